@@ -13,8 +13,39 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+#: Weights that the sources take in turn, in order of their names.
+MIX_WEIGHTS = [5.0, 2.0, 1.0]
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), check=True)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_dedup,)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op4_simhash, op5_exact_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
