@@ -20,7 +20,7 @@ gives an empty result; very long texts are hashed whole, in slices; other column
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from voxelloom.llm.components import components
 from voxelloom.session import ship, written
 
 SEED = 42
+LONG_MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Members of a key that are verified in one group.
 BLOCK = 4096
 #: Cost of making a key row against checking one candidate pair.
@@ -52,9 +53,8 @@ def shingle_hashes(data: bytes, k: int) -> np.ndarray:
     return np.fromiter((xxh(view[a:b], SEED) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, n - k + 1)
 
 
-def fingerprint(data: bytes, k: int) -> int:
-    """Bit set where more than half of the shingle hashes have it; zero for no words."""
-    h = shingle_hashes(data, k)
+def majority(h: np.ndarray) -> int:
+    """Bit set where more than half of the hashes have it; zero for no hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -64,6 +64,25 @@ def fingerprint(data: bytes, k: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(data: bytes, k: int) -> int:
+    return majority(shingle_hashes(data, k))
+
+
+def long_fingerprint(data: bytes, k: int) -> bytes:
+    """256 bits over k-word shingles: majorities of each hash and of three further mixes of it."""
+    h, out = shingle_hashes(data, k), []
+    for m in LONG_MIX:
+        x = h * np.uint64(m)
+        out.append(majority(x ^ (x >> np.uint64(32))).to_bytes(8, "little"))
+    return b"".join(out)
+
+
+def long_limit(similarity: float) -> int:
+    """Bits of 256 within which texts of that Jaccard similarity lie nearly always (1.3 deviations)."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(256 * p + 1.3 * sqrt(256 * p * (1 - p)))
+
+
 def _fingerprints(k: int):
     def run(batches):
         for batch in batches:
@@ -74,6 +93,24 @@ def _fingerprints(k: int):
     return run
 
 
+def _fingerprint_pairs(k: int):
+    """Short fingerprint over the distinct words, long one over k-word shingles, and an id of both."""
+
+    def run(batches):
+        for batch in batches:
+            keys, texts = batch.columns
+            fp, check, ids = [], [], []
+            for t in texts:
+                b = bytes(t.as_buffer()) if t.is_valid else b""
+                fp.append(majority(np.unique(shingle_hashes(b, 1))))
+                check.append(long_fingerprint(b, k))
+                ids.append(xxhash.xxh3_64_intdigest(fp[-1].to_bytes(8, "little") + check[-1]))
+            as_long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, ids)]
+            yield pa.RecordBatch.from_arrays([keys, as_long[0], pa.array(check, pa.binary()), as_long[1]], ["doc_id", "fp", "check", "id"])
+
+    return run
+
+
 def _bit_pairs(batches):
     """How often each pair of bits is set together, over a partition."""
     total = np.zeros((64, 64))
@@ -158,67 +195,83 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
     return best[1]
 
 
-def _near(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among distinct fingerprints x: all of them, or a spanning forest where they are many."""
-    if len(x) <= 1024:
-        a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= distance, 1))
-        if len(a) <= 4 * len(x):
-            return x[a], x[b]
-    left, us, vs = x, [], []
+def _within(x: np.ndarray, y: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
+    """Whether rows of fingerprints lie within all limits; a second limit is over all later words."""
+    near = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= limits[0]
+    if len(limits) > 1 and near.any():
+        near &= np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(-1, dtype=np.int64) <= limits[1]
+    return near
+
+
+def _near(x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows x of fingerprints: all of them, or a spanning forest where they are many."""
+    if len(x) <= 512:
+        a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None, 0] ^ x[None, :, 0]) <= limits[0], 1))
+        ok = _within(x[a], x[b], limits)
+        if ok.sum() <= 4 * len(x):
+            return ids[a[ok]], ids[b[ok]]
+    left, us, vs = np.arange(len(x)), [], []
     while len(left):
         stack, left = [left[0]], left[1:]
         while stack and len(left):
             p = stack.pop()
-            hit = np.bitwise_count(left ^ p) <= distance
+            hit = _within(x[left], x[p], limits)
             if hit.any():
                 found, left = left[hit], left[~hit]
-                us.append(np.full(len(found), p))
-                vs.append(found)
+                us.append(np.full(len(found), ids[p]))
+                vs.append(ids[found])
                 stack.extend(found)
-    empty = np.zeros(0, np.uint64)
+    empty = np.zeros(0, np.int64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
-def _verify(distance: int):
-    """Over rows sorted by key: verifies each run of one key, holding one run and one batch."""
+def _verify(limits: tuple[int, ...]):
+    """Over rows sorted by key: verifies each run of one key, holding one run and one batch.
+
+    Columns: key, fp, id and, under two limits, the long fingerprint.
+    """
+    width = 1 + 4 * (len(limits) - 1)
 
     def run(batches):
-        def out(us, vs):
+        k, x, ids = np.zeros(0, np.int64), np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
+
+        def out(n):
+            us, vs = _runs(k[:n], x[:n], ids[:n], limits)
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)) for e in (us, vs)], ["u", "v"])
 
-        tail_k, tail_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        held = False
         for batch in batches:
-            k = np.concatenate([tail_k, batch.column(0).to_numpy()])
-            f = np.concatenate([tail_f, batch.column(1).to_numpy().view(np.uint64)])
-            last = np.searchsorted(k, k[-1]) if len(k) else 0  # the last run may go on
-            tail_k, tail_f = k[last:], f[last:]
-            yield from out(*_runs(k[:last], f[:last], distance))
-            held = True
-        if held:
-            yield from out(*_runs(tail_k, tail_f, distance))
+            new = batch.column(1).to_numpy().view(np.uint64)[:, None]
+            if width > 1:
+                long = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, 4)
+                new = np.concatenate([new, long], axis=1)
+            k, x, ids = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([x, new]), np.concatenate([ids, batch.column(2).to_numpy()])
+            last = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last run may go on
+            yield from out(last)
+            k, x, ids = k[last:], x[last:], ids[last:]
+        yield from out(len(k))
 
     return run
 
 
-def _runs(k: np.ndarray, f: np.ndarray, distance: int) -> tuple[list, list]:
+def _runs(k: np.ndarray, x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]) -> tuple[list, list]:
     us, vs = [], []
     if not len(k):
         return us, vs
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     size = np.diff(np.r_[start, len(k)])
     small = np.repeat(size, size) <= 16
-    ks, fs = k[small], f[small]
+    ks, xs, js = k[small], x[small], ids[small]
     for d in range(1, 16):  # all small runs at once: each row against the d-th after it
         if len(ks) <= d:
             break
-        hit = (ks[d:] == ks[:-d]) & (np.bitwise_count(fs[d:] ^ fs[:-d]) <= distance)
-        if hit.any():
-            us.append(fs[:-d][hit])
-            vs.append(fs[d:][hit])
+        same = np.flatnonzero(ks[d:] == ks[:-d])
+        same = same[_within(xs[same + d], xs[same], limits)]
+        if len(same):
+            us.append(js[same])
+            vs.append(js[same + d])
     for a, s in zip(start[size > 16].tolist(), size[size > 16].tolist()):
-        u, v = _near(np.unique(f[a : a + s]), distance)
+        u, v = _near(x[a : a + s], ids[a : a + s], limits)
         if len(u):
             us.append(u)
             vs.append(v)
@@ -232,24 +285,32 @@ def _keyed(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
             kept = _signed(_mask(set(bits) - set(gone)))
             # The number of the part and of the masked bits goes into the key, so keys of different parts never meet.
             keys.append(F.xxhash64(F.lit(p), F.lit(c), F.col("fp").bitwiseAND(F.lit(kept))))
-    return fps.select(F.explode(F.array(*keys)).alias("k"), "fp")
+    return fps.select(F.explode(F.array(*keys)).alias("k"), *fps.columns)
+
 
+def fingerprint_links(fps: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """u, v: links between ids, connecting exactly what lies within the limits.
 
-def fingerprint_links(fps: DataFrame, distance: int) -> DataFrame:
-    """u, v: links that connect exactly the distinct fingerprints ``fps`` within ``distance`` bits."""
-    if distance == 0:
-        return fps.where(F.lit(False)).select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    keyed = _keyed(fps, plan(fps, distance))
+    ``fps``: distinct rows of fp, id and, under two limits, check (the long fingerprint).
+    """
+    keyed = _keyed(fps, plan(fps, limits[0]))
     hot = written(keyed.groupBy("k").count().where(F.col("count") > BLOCK).select("k", F.ceil(F.col("count") / BLOCK).cast("int").alias("b")), "sim-hot")
-    if hot.isEmpty():
-        even, parted = keyed, None
-    else:
-        even = keyed.join(hot, "k", "left_anti")
-        own = F.pmod(F.xxhash64("fp"), F.col("b")).cast("int")
-        dealt = keyed.join(hot, "k").withColumn("own", own).select("k", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
-        parted = dealt.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "fp")
-    rows = even if parted is None else even.unionByName(parted)
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(_verify(distance), "u long, v long")
+    rows = keyed
+    if not hot.isEmpty():
+        own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("b")).cast("int")
+        dealt = keyed.join(hot, "k").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+        blocks = F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k")
+        rows = keyed.join(hot, "k", "left_anti").unionByName(dealt.select(blocks, *fps.columns))
+    rows = rows.repartition("k").sortWithinPartitions("k").select("k", *fps.columns)
+    return rows.mapInArrow(_verify(limits), "u long, v long")
+
+
+def _labelled(nodes: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """id, component_id from nodes of id, least (smallest key) and fingerprints."""
+    labels = components(fingerprint_links(nodes.drop("least"), limits))
+    named = nodes.join(labels, nodes["id"] == labels["node"], "left").select("id", "least", F.coalesce("label", "id").alias("label"))
+    named = written(named, "sim-named")
+    return named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("id", "component_id")
 
 
 def simhash_components(docs: DataFrame, words: int, distance: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,20 +318,31 @@ def simhash_components(docs: DataFrame, words: int, distance: int, key: str = "d
     ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     slim = written(source.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "sim-slim")
-    fps = written(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "sim-distinct")
-    labels = components(fingerprint_links(fps.select("fp"), distance))
-    named = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = written(named, "sim-named")
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "label").select("fp", "component_id")
+    nodes = written(slim.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.col("fp").alias("id"), "least"), "sim-distinct")
+    ids = _labelled(nodes, (distance,)).withColumnRenamed("id", "fp")
     return slim.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id: documents whose word shingles have about ``similarity`` (Jaccard) or more.
+
+    Candidates lie within ``distance`` bits by 64-bit fingerprints of their distinct words, which move
+    less than those of shingles when a word changes; a link needs 256-bit fingerprints of the shingles
+    within :func:`long_limit` bits too, far from what unrelated texts reach at any corpus size.
+    """
+    ship(docs.sparkSession)
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = written(source.mapInArrow(_fingerprint_pairs(words), "doc_id long, fp long, check binary, id long"), "near-slim")
+    nodes = slim.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("check").alias("check"))
+    nodes = written(nodes.select("fp", "id", "check", "least"), "near-distinct")
+    return slim.select("doc_id", "id").join(_labelled(nodes, (distance, long_limit(similarity))), "id").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest key, of each component. ``key`` must be unique.
 
-    Blank documents, all of fingerprint zero, are one group.
+    Texts without words are one group.
     """
-    found = simhash_components(docs, words, distance, key, text)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "sim-gone")
+    found = near_components(docs, words, similarity, key=key, text=text)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-gone")
     return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
