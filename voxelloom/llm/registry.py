@@ -35,6 +35,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.secretscan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelloom.llm import langid
 
@@ -44,8 +56,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+QUERIES = (op1_mix_sources, op2_sentencepiece, op4_simhash, op5_exact_dedup, op6_pii, op8_secrets, op9_language_id)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op4_simhash, op5_exact_dedup, op9_language_id)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
