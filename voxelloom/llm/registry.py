@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelloom.session import table
 
@@ -29,6 +30,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), check=True)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelloom.llm.simhash import simhash_components
 
@@ -41,6 +48,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelloom.llm.secretscan import find_secrets
 
@@ -56,7 +69,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = (op1_mix_sources, op2_sentencepiece, op4_simhash, op5_exact_dedup, op6_pii, op8_secrets, op9_language_id)
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (op1_mix_sources, op2_sentencepiece, op3_nearest, op4_simhash, op5_exact_dedup, op6_pii, op7_url_filter, op8_secrets, op9_language_id, op10_html_text)
 
 
 def queries() -> dict:
