@@ -24,6 +24,8 @@ from voxelloom.session import ship
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 DIM = 1 << 14
+#: Share of URLs to block that is expected where the table is used; the labelled table is half and half.
+PRIOR = 0.3
 #: The small labelled table: (URL, 1 to block).
 SEED_URLS = [
     ("https://www.cheap-pills.test/en/31", 1), ("https://m.cheap-meds.test/en/1/", 1), ("http://buy-pills-online.test/fr/8.html", 1),
@@ -90,7 +92,7 @@ def train(rows: list[tuple[str, str, int, float]], rounds: int = 200, rate: floa
         g = c * (1 / (1 + np.exp(-z)) - y)
         w -= rate * (np.bincount(slot, x * g[row], DIM) + decay * w)
         b -= rate * g.sum()
-    return w, b
+    return w, b + float(np.log(PRIOR / (1 - PRIOR)))
 
 
 def _split(url: str) -> tuple[str, str]:
