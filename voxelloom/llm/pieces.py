@@ -35,9 +35,9 @@ SPACE = "▁"
 LITERAL = "\ud800"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Words whose forward weights a worker keeps.
-CACHE = 200_000
+CACHE = 80_000
 #: Words that one vector pass draws for.
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 class Pieces:
@@ -77,6 +77,13 @@ class Pieces:
             i = np.array([i for _, i in table], np.int32)
             self.levels.append((np.array([h for h, _ in table], np.uint64), i, np.array([logp.get(x, 0.0) for x in i.tolist()])))
 
+        # Where each character stands in the first level; characters beyond the table share its last entry.
+        first = self.levels[0][0]
+        chars = np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)
+        self.single = np.minimum(np.searchsorted(first, chars), len(first) - 1)
+        if max((ord(c) for x in self.ids for c in x), default=0) >= len(self.single):
+            self.single = np.minimum(np.searchsorted(first, np.arange(0x110001, dtype=np.uint64) + np.uint64(1)), len(first) - 1)
+
     def decode(self, ids) -> str:
         out = self.out
         raw = b"".join([out[i] for i in ids])
@@ -139,7 +146,7 @@ class Sampler:
             go = room[live] >= length
             live, h = live[go], h[go]
             h = h * POLY + cp[live + (length - 1)] + np.uint64(1)
-            spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            spot = p.single[np.minimum(cp, len(p.single) - 1)] if length == 1 else np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             go = hashes[spot] == h
             hit = go & (ids[spot] >= 0)
             if length == 1:
@@ -162,11 +169,11 @@ class Sampler:
             if not len(live):
                 break
         begin, end, token, weight = (np.concatenate(x) for x in (begin, end, token, weight))
-        order = np.lexsort((begin, end))
+        order = np.argsort(end * (len(p.levels) + 1) + (len(p.levels) - (end - begin)))  # by end, then start
         begin, end, token, weight = begin[order], end[order], token[order], weight[order]
         alpha, prob = np.zeros(len(cp)), np.zeros(len(begin))
         offset = end - head[end]
-        by = np.argsort(offset, kind="stable")
+        by = np.argsort(offset.astype(np.int16) if offset.max(initial=0) < 1 << 15 else offset, kind="stable")
         cuts = np.searchsorted(offset[by], np.arange(int(offset.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             e = by[a:b]
