@@ -39,8 +39,8 @@ def compass_test(gray: DataFrame, width: int, height: int, t: int = THRESHOLD) -
 def has_arc(bits: list[Column]) -> Column:
     """Whether nine neighbours in a row, around the circle, satisfy their condition: bit arithmetic."""
     mask = reduce(lambda a, b: a + b, [F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)])
-    twice = mask + mask * 65536
-    run = reduce(lambda a, b: a.bitwiseAND(b), [F.shiftrightunsigned(twice.cast("long"), i) for i in range(ARC)])
+    twice = mask.cast("long") * 65537
+    run = reduce(lambda a, b: a.bitwiseAND(b), [F.shiftrightunsigned(twice, i) for i in range(ARC)])
     return run.bitwiseAND(F.lit(65535)) != 0
 
 

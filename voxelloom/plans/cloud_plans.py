@@ -79,8 +79,9 @@ _TRACK = "SELECT point_id AS k, x AS ax, y AS ay, z AS az, 1.25 * x + 1 AS bx, 1
 
 
 @query(
-    f"WITH t AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM ({_TRACK}) qqq QUALIFY i <= 33), p AS (SELECT a.i, b.i AS j, sqrt((a.ax - b.ax) ** 2 + (a.ay - b.ay) ** 2 + (a.az - b.az) ** 2) AS da, sqrt((a.bx - b.bx) ** 2 + (a.by_ - b.by_) ** 2 + (a.bz - b.bz) ** 2) AS db FROM t a JOIN t b ON a.i < b.i ORDER BY b.i, a.i LIMIT 500), r AS (SELECT db / da AS ratio FROM p WHERE da > 0.001 AND db > 0.001) "
-    "SELECT CASE WHEN count(*) >= 3 THEN least(greatest(list_sort(list(ratio))[count(*) // 2 + 1], 0.5), 2) ELSE 1 END AS scale FROM r",
+    "SELECT CASE WHEN count(*) >= 3 THEN least(greatest(list_sort(list(db / da))[count(*) // 2 + 1], 0.5), 2) ELSE 1 END AS scale FROM "
+    "(SELECT sqrt((a.ax - b.ax) ** 2 + (a.ay - b.ay) ** 2 + (a.az - b.az) ** 2) AS da, sqrt((a.bx - b.bx) ** 2 + (a.by_ - b.by_) ** 2 + (a.bz - b.bz) ** 2) AS db "
+    f"FROM (SELECT *, row_number() OVER (ORDER BY k) AS i FROM ({_TRACK}) QUALIFY i <= 33) a JOIN (SELECT *, row_number() OVER (ORDER BY k) AS i FROM ({_TRACK}) QUALIFY i <= 33) b ON a.i < b.i ORDER BY b.i, a.i LIMIT 500) WHERE da > 0.001 AND db > 0.001",
     reals="scale",
 )
 def agg_scale(spark, sf):
@@ -215,8 +216,8 @@ def gate_cam(spark, sf):
 def compose(spark, sf):
     from voxelloom.operators.sfm import compose_pose
 
-    one = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
-    turn = [0.8, -0.6, 0, 0.6, 0.8, 0, 0, 0, 1.0]
+    one = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    turn = [0.8, -0.6, 0.0, 0.6, 0.8, 0.0, 0.0, 0.0, 1.0]
     rel = spark.createDataFrame([(0, turn, [0.0, 0.0, 0.0]), (1, one, [0.0, 0.0, 0.0])], "image_id int, r array<double>, t array<double>")
     base = spark.createDataFrame([(one, [0.0, 0.0, 0.0])], "rk array<double>, tk array<double>")
     poses = compose_pose(rel.crossJoin(base))

@@ -1 +1,174 @@
-"""Queries."""
+"""Queries of sources and sinks: files are written to the shared folder first and read back."""
+
+from __future__ import annotations
+
+import os
+import struct
+import uuid
+import zlib
+
+from pyspark.sql import functions as F
+
+from voxelloom.operators import models as M
+from voxelloom.operators import scene as O
+from voxelloom.plans import fixtures as X
+from voxelloom.plans.registry import query
+from voxelloom.session import shared_dir
+from voxelloom.sources import files as S
+
+F32 = "x y z scale_x scale_y scale_z rot_w rot_x rot_y rot_z opacity_logit sh_dc_r sh_dc_g sh_dc_b"
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _float_splats(spark, sf):
+    s = X.splats(spark, sf)
+    return s.select("splat_id", *[F.col(c).cast("float").alias(c) for c in F32.split()])
+
+
+@query("SELECT " + ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in F32.split()) + " FROM spl", reals=F32)
+def src_ply(spark, sf):
+    path = _folder(spark, "ply")
+    S.save_scene(_float_splats(spark, sf), path, "ply")
+    return spark.read.format("ply").load(path)
+
+
+@query("SELECT CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, CAST(scale_x AS FLOAT) AS scale_x FROM spl", reals="x y z scale_x")
+def src_splat(spark, sf):
+    path = _folder(spark, "splat")
+    S.save_scene(_float_splats(spark, sf), path, "splat")
+    return spark.read.format("splat").load(path)
+
+
+@query("SELECT count(*) AS n, max(CAST(z AS FLOAT)) AS far_z FROM spl", ints="n", reals="far_z")
+def snk_export(spark, sf):
+    path = _folder(spark, "export")
+    S.save_scene(_float_splats(spark, sf), path, "ply")
+    return spark.read.format("ply").load(path).agg(F.count("*").alias("n"), F.max("z").alias("far_z"))
+
+
+@query("SELECT count(*) AS n FROM spl", ints="n")
+def src_file(spark, sf):
+    path = _folder(spark, "scene")
+    S.save_scene(_float_splats(spark, sf).coalesce(1), path, "splat")
+    return S.load_scene(spark, f"{path}/part-00000.splat").agg(F.count("*").alias("n"))
+
+
+def _ascii_ply(spark, sf):
+    """A text PLY with an extra property, a byte colour and no rotation."""
+    path = _folder(spark, "ascii").removeprefix("file://")
+    os.makedirs(path)
+    with open(f"{path}/a.ply", "w") as f:
+        f.write("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float extra\nproperty double opacity\nend_header\n1 2 9 0.5\n3 4 9 oops\n5 6 9\n")
+    S.register(spark)
+    return spark.read.format("ply").load(path)
+
+
+@query("SELECT * FROM (VALUES (0, 1.0, 2.0, 0.5, 0.0), (1, 3.0, 4.0, 0.0, 0.0), (2, 5.0, 6.0, 0.0, 0.0)) t(splat_id, x, y, opacity_logit, rot_w)", ints="splat_id", reals="x y opacity_logit rot_w")
+def src_ply_ascii(spark, sf):
+    return _ascii_ply(spark, sf)
+
+
+@query("SELECT * FROM (VALUES ('x', 'f4', 0), ('y', 'f4', 4), ('opacity', 'f8', 8)) t(name, kind, start)", ints="start", other="name kind")
+def src_ply_hdr(spark, sf):
+    from voxelloom.sources.ply import Header
+
+    h = Header(b"ply\r\nformat binary_little_endian 1.0\r\nelement vertex 7\r\nproperty float x\r\nproperty float y\r\nproperty double opacity\r\nend_header\r\n")
+    return spark.createDataFrame([(n, t.lstrip("<"), h.dtype.fields[n][1]) for n, t in h.props], "name string, kind string, start int")
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' || value ELSE CAST(value AS VARCHAR) END AS DOUBLE), 0) AS v FROM events", ints="event_id", reals="v")
+def src_ply_val(spark, sf):
+    from voxelloom.session import table
+
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), F.col("value").cast("string"))).otherwise(F.col("value").cast("string"))
+    return table(spark, sf, "events").select("event_id", F.coalesce(text.try_cast("double"), F.lit(0.0)).alias("v"))
+
+
+@query("SELECT 'skull_' || lpad(CAST(i AS VARCHAR), 2, '0') || '.jpg' AS file_name FROM range(1, 76, 3) g(i) UNION ALL SELECT 'templeR' || lpad(CAST(i AS VARCHAR), 4, '0') || '.png' FROM range(1, 17) g(i)", other="file_name")
+def src_dataset(spark, sf):
+    return S.sample_names(spark, "Skull").unionByName(S.sample_names(spark, "TempleRing"))
+
+
+def _lines(spark, sf):
+    from voxelloom.session import table
+
+    p = table(spark, sf, "part").where("p_partkey < 40")
+    i = F.col("p_partkey").cast("string")
+    row = F.concat_ws(" ", F.concat(F.lit("templeR"), F.lpad(i, 4, "0"), F.lit(".png")), F.lit("1520.4 0 302.32 0 1525.9 246.87 0 0 1 1 0 0 0 1 0 0 0 1"), i, F.lit("0.5"), F.lit("-2"))
+    return spark.createDataFrame([("40",)], "value string").unionByName(p.select(row.alias("value")))
+
+
+@query("SELECT 'templeR' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '.png' AS name, 1520.4 AS fx, 302.32 AS cx, 1 AS r00, p_partkey AS t0, -2 AS t2 FROM part WHERE p_partkey < 40", reals="fx cx r00 t0 t2", other="name")
+def src_calib(spark, sf):
+    c = S.calibration(_lines(spark, sf))
+    return c.select("name", F.col("k")[0].alias("fx"), F.col("k")[2].alias("cx"), F.col("r")[0].alias("r00"), F.col("t")[0].alias("t0"), F.col("t")[2].alias("t2"))
+
+
+@query("SELECT 'templeR' || lpad(CAST(i AS VARCHAR), 4, '0') || '.png' AS file_name, CASE WHEN i < 10 THEN i END AS t0 FROM range(1, 17) g(i)", reals="t0", other="file_name")
+def j_calib(spark, sf):
+    truth = S.calibration(_lines(spark, sf)).where(F.col("t")[0] < 10)
+    return S.with_truth(S.sample_names(spark, "TempleRing"), truth).select("file_name", F.col("t")[0].alias("t0"))
+
+
+@query("SELECT point_id, sqrt((x - 1.1 * x) ** 2 + 0.01) AS gap FROM ppts WHERE point_id % 4 = 0", ints="point_id", reals="gap")
+def j_gt(spark, sf):
+    a = X.part_points(spark, sf)
+    b = a.where("point_id % 4 = 0").select("point_id", (F.col("x") * 1.1).alias("ox"), (F.col("y") + 0.1).alias("oy"))
+    d = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)
+    return a.join(b, "point_id").select("point_id", F.sqrt(d).alias("gap"))
+
+
+def write_png(path: str, width: int, height: int, rgb) -> None:
+    """A plain 8-bit RGB PNG."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes(v for x in range(width) for v in rgb(x, y)) for y in range(height))
+    with open(path, "wb") as f:
+        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+
+
+def _pictures(spark):
+    path = _folder(spark, "images").removeprefix("file://")
+    os.makedirs(path)
+    for i in range(2):
+        write_png(f"{path}/p{i}.png", 12, 8, lambda x, y, i=i: (x * 20, y * 30, 100 * i))
+    with open(f"{path}/bad.png", "wb") as f:
+        f.write(b"not a picture")
+    return S.images(spark, path)
+
+
+@query("SELECT x, y, count(*) AS n, x * 20 AS r, y * 30 AS g, 100 AS b FROM range(12) h(x) JOIN range(8) v(y) ON true JOIN range(2) i(k) ON true GROUP BY x, y", ints="x y n r g b")
+def src_img(spark, sf):
+    p = S.pixels(_pictures(spark))
+    return p.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("r").alias("r"), F.max("g").alias("g"), F.max("b").alias("b"))
+
+
+@query("SELECT 2 AS n, 12 AS width, 8 AS height", ints="n width height")
+def src_import(spark, sf):
+    return _pictures(spark).agg(F.count("*").alias("n"), F.max("width").alias("width"), F.max("height").alias("height"))
+
+
+@query("SELECT 192 AS n, 0 AS missing", ints="n missing")
+def n_depth(spark, sf):
+    return M.estimate_depth(_pictures(spark), side=16).agg(F.count("*").alias("n"), F.count_if(F.col("d").isNull()).alias("missing"))
+
+
+@query("SELECT 2 AS n, 24 AS width, 16 AS height", ints="n width height")
+def n_sr(spark, sf):
+    return M.upscale(_pictures(spark)).agg(F.count("*").alias("n"), F.max("width").alias("width"), F.max("height").alias("height"))
+
+
+@query("SELECT count(*) * 24 AS bytes FROM spl", ints="bytes")
+def snk_pack24(spark, sf):
+    import pandas as pd
+    import pyarrow as pa
+
+    from voxelloom.sources.splat import pack24
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"v": [pack24(pa.Table.from_pandas(pdf))]})
+
+    return O.pack10(X.splats(spark, sf)).mapInPandas(run, "v binary").agg(F.sum(F.length("v")).alias("bytes"))

@@ -1 +1,146 @@
-"""Queries."""
+"""Queries of solvers and reconstruction over a made scene: points of ``part`` seen by cameras in an arc."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from voxelloom.functions import splat as S
+from voxelloom.operators import geometry as G
+from voxelloom.operators import sfm
+from voxelloom.plans import fixtures as X
+from voxelloom.plans.registry import query
+
+CAMERAS = 5
+POINTS = 150
+
+
+def true_pose(i: int) -> tuple[np.ndarray, np.ndarray]:
+    r = G.rotation(np.array([0.02 * i, -0.12 * i, 0.01 * i]))
+    c = np.array([0.9 * i, 0.05 * i, 0.04 * i * i])
+    return r, -r @ c
+
+
+def scene(spark, sf):
+    """points, poses, features (normalised) and matches with coordinates."""
+    i = F.col("point_id")
+    pts = X.part_points(spark, sf).where(i < POINTS).select("point_id", ((i * 37 % 101) / 25.0 - 1.0).alias("x"), ((i * 53 % 97) / 30.0 - 1.5).alias("y"), (5.0 + (i * 29 % 89) / 20.0).alias("z"))
+    poses = spark.createDataFrame([(k, r.ravel().tolist(), t.tolist()) for k in range(CAMERAS) for r, t in [true_pose(k)]], sfm.POSE)
+    r = [[F.col("r")[3 * a + b] for b in range(3)] for a in range(3)]
+    c = S.transform_point(r, [F.col("t")[a] for a in range(3)], [F.col(a) for a in "xyz"])
+    seen = pts.crossJoin(F.broadcast(poses)).select("image_id", F.col("point_id").alias("feat_id"), (c[0] / c[2]).alias("x"), (c[1] / c[2]).alias("y"))  # five poses
+    o = seen.select(F.col("image_id").alias("img_b"), F.col("feat_id").alias("feat_b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    a = seen.select(F.col("image_id").alias("img_a"), F.col("feat_id").alias("feat_a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    coords = a.join(o, (F.col("feat_a") == F.col("feat_b")) & (F.col("img_a") < F.col("img_b")))
+    return pts, poses, seen, coords
+
+
+@query("SELECT true AS many", other="many")
+def m_tri(spark, sf):
+    _, poses, _, coords = scene(spark, sf)
+    tri = sfm.triangulate_pairs(coords, poses)
+    return tri.agg((F.count("*") > POINTS * 3).alias("many"))
+
+
+@query(None, ints="img_a img_b feat_a feat_b", reals="x y z")
+def m_tripair(spark, sf):
+    _, poses, _, coords = scene(spark, sf)
+    return sfm.triangulate_pairs(coords.where("img_a = 0 and img_b = 2"), poses)
+
+
+@query(None, ints="img_a img_b inliers", reals="score")
+def s_pair0(spark, sf):
+    return sfm.start_pairs(scene(spark, sf)[3])
+
+
+@query(None, ints="img_a img_b", reals="score")
+def s_bestpair(spark, sf):
+    return sfm.start_pairs(scene(spark, sf)[3]).orderBy(F.desc("score"), "img_a", "img_b").limit(1)
+
+
+def _per_pair(spark, sf, f, schema):
+    return scene(spark, sf)[3].where("img_a = 0").groupBy("img_a", "img_b").applyInPandas(f, schema)
+
+
+@query(None, ints="img_b inliers", reals="worst")
+def m_E(spark, sf):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        xa, xb = rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy()
+        e, ok = G.essential(xa, xb, 64)
+        return pd.DataFrame({"img_b": rows["img_b"].iloc[:1], "inliers": [int(ok.sum())], "worst": [float(G.sampson(e, xa, xb).max())]})
+
+    return _per_pair(spark, sf, run, "img_b int, inliers int, worst double")
+
+
+@query(None, ints="img_b", reals="worst third")
+def m_8pt(spark, sf):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        xa, xb = rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy()
+        e = G.eight_point(xa[:20], xb[:20])
+        return pd.DataFrame({"img_b": rows["img_b"].iloc[:1], "worst": [float(G.sampson(e, xa, xb).max())], "third": [float(np.linalg.svd(e)[1][2])]})
+
+    return _per_pair(spark, sf, run, "img_b int, worst double, third double")
+
+
+@query("SELECT i AS img_b, true AS same FROM range(1, 5) g(i)", ints="img_b", other="same")
+def m_pose(spark, sf):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        xa, xb = rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy()
+        r, t, _ = G.recover_pose(G.eight_point(xa, xb), xa, xb)
+        tr, tt = true_pose(int(rows["img_b"].iloc[0]))
+        return pd.DataFrame({"img_b": rows["img_b"].iloc[:1], "same": [bool(np.abs(r - tr).max() < 1e-3 and abs(t @ tt / np.linalg.norm(tt) - 1) < 1e-3)]})
+
+    return _per_pair(spark, sf, run, "img_b int, same boolean")
+
+
+@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
+def m_pnp(spark, sf):
+    pts, _, seen, _ = scene(spark, sf)
+    found = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v")).join(pts, "point_id")
+    want = spark.createDataFrame([(k, r.ravel().tolist(), t.tolist()) for k in range(CAMERAS) for r, t in [true_pose(k)]], "image_id int, rr array<double>, tt array<double>")
+    near = lambda a, b, n: F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.abs(F.get(a, i) - F.get(b, i)) < 1e-3)
+    return sfm.resect(found).join(want, "image_id").select("image_id", (near("r", "rr", 9) & near("t", "tt", 3)).alias("same"))
+
+
+@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
+def m_epnp(spark, sf):
+    pts, _, seen, _ = scene(spark, sf)
+    found = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v")).join(pts, "point_id")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        r, t = G.epnp(rows[["u", "v"]].to_numpy(), rows[["x", "y", "z"]].to_numpy())
+        tr, tt = true_pose(int(rows["image_id"].iloc[0]))
+        return pd.DataFrame({"image_id": rows["image_id"].iloc[:1], "same": [bool(np.abs(r - tr).max() < 1e-3 and np.abs(t - tt).max() < 1e-3)]})
+
+    return found.groupBy("image_id").applyInPandas(run, "image_id int, same boolean")
+
+
+@query(None, ints="step", reals="rms")
+def m_ba(spark, sf):
+    pts, poses, seen, _ = scene(spark, sf)
+    i = F.col("point_id")
+    off = pts.where(i < 40).select("point_id", (F.col("x") + 0.01 * (i % 3)).alias("x"), (F.col("y") - 0.01 * (i % 5)).alias("y"), "z")
+    obs = seen.where("feat_id < 40").select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v"))
+    _, _, history = sfm.bundle_adjust(poses, off, obs, 4)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(history)], "step int, rms double")
+
+
+@query("SELECT true AS whole", other="whole")
+def s_gt(spark, sf):
+    _, poses, _, coords = scene(spark, sf)
+    return sfm.reconstruct_known(coords, poses).agg((F.count("*") > POINTS).alias("whole"))
+
+
+@query("SELECT i AS image_id FROM range(5) g(i)", ints="image_id")
+def s_hyb(spark, sf):
+    _, poses, seen, coords = scene(spark, sf)
+    found, _, _ = sfm.reconstruct_hybrid(coords, seen, poses.where("image_id < 2"))
+    return found.select("image_id")
+
+
+@query("SELECT i AS image_id FROM range(5) g(i)", ints="image_id")
+def s_recon(spark, sf):
+    _, _, seen, coords = scene(spark, sf)
+    poses, _, _ = sfm.reconstruct(coords, seen, adjust=0)
+    return poses.select("image_id")

@@ -46,7 +46,7 @@ def frames_per_second(frames: DataFrame) -> DataFrame:
 
 def gated(frames: DataFrame, ms: int = GATE_MS) -> DataFrame:
     """session, frame_id, ts of the frames that may sort: each at least ``ms`` after the one before it."""
-    g = frames.groupBy("session").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("ms"), "frame_id"))).alias("a"))
+    g = frames.groupBy("session").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "frame_id"))).alias("a"))
     empty = F.array().cast("array<struct<ms:bigint,frame_id:bigint>>")
     fold = F.aggregate("a", empty, lambda s, x: F.when((F.size(s) == 0) | (x["ms"] - F.coalesce(F.element_at(s, -1)["ms"], F.lit(0)) >= ms), F.concat(s, F.array(x))).otherwise(s))
     return g.select("session", F.explode(fold).alias("k")).select("session", "k.frame_id", "k.ms")
