@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 XYZ = ("x", "y", "z")
 
@@ -53,7 +54,7 @@ def covariance(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     return points.groupBy(*(by or [])).agg(F.count("*").alias("n"), *terms)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pca_ratio(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
     """Smallest over largest eigenvalue of symmetric matrices, zero where the largest is."""
     import numpy as np
