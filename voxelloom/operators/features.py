@@ -7,6 +7,7 @@ fetched for its survivors only.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -81,7 +82,7 @@ def describe(gray: DataFrame, features: DataFrame, width: int, height: int, pair
     the bits are sums of powers of two.
     """
     pairs = test_pairs() if pairs is None else pairs
-    table = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(int(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), row)]) for i, row in enumerate(pairs)])
+    table = F.from_json(F.lit(json.dumps([dict(zip(("i", "x1", "y1", "x2", "y2"), (i, *map(int, row)))) for i, row in enumerate(pairs)])), "array<struct<i:int,x1:int,y1:int,x2:int,y2:int>>")
     inside = features.where(F.col("x").between(border, width - 1 - border) & F.col("y").between(border, height - 1 - border))
     ask = inside.select("image_id", "feat_id", "x", "y", F.explode(table).alias("t"))
     px = lambda k: gray.select("image_id", F.col("x").alias(f"gx{k}"), F.col("y").alias(f"gy{k}"), F.col("v").alias(f"v{k}"))

@@ -36,10 +36,10 @@ def gray(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocky(spark: SparkSession, sf: str) -> DataFrame:
-    """A dark grey image with bright rectangles, which has corners."""
+    """A dark grey image with bright dots, which the segment test finds."""
     e = F.col("event_id")
     x, y = e % WIDTH, F.expr(f"event_id div {WIDTH}")
-    lit = F.expr(f"(event_id % {WIDTH}) div 9 % 2 = 1 AND (event_id div {WIDTH}) div 7 % 2 = 1")
+    lit = F.expr(f"event_id % {WIDTH} % 9 < 2 AND event_id div {WIDTH} % 7 < 2")
     v = F.when(lit, 200).otherwise(40) + (x * 7 + y * 13) % 11
     return table(spark, sf, "events").select(*_place(), v.cast("int").alias("v"))
 
@@ -104,7 +104,7 @@ CTE = {
     "nd": "SELECT image_id, x, y, d, CASE WHEN dmax - dmin > 1e-6 THEN (d - dmin) / (dmax - dmin) ELSE 0 END AS n FROM depth, mm",
     "px": f"SELECT 0 AS image_id, event_id % {WIDTH} AS x, event_id // {WIDTH} AS y, user_id % 256 AS r, CAST(json_extract(props, '$.k') AS INT) % 256 AS g, event_id * 37 % 256 AS b, 255 AS a FROM events",
     "gray": f"SELECT 0 AS image_id, event_id % {WIDTH} AS x, event_id // {WIDTH} AS y, event_id * 7919 % 256 AS v FROM events",
-    "blocky": f"SELECT 0 AS image_id, event_id % {WIDTH} AS x, event_id // {WIDTH} AS y, CASE WHEN (event_id % {WIDTH}) // 9 % 2 = 1 AND (event_id // {WIDTH}) // 7 % 2 = 1 THEN 200 ELSE 40 END + ((event_id % {WIDTH}) * 7 + (event_id // {WIDTH}) * 13) % 11 AS v FROM events",
+    "blocky": f"SELECT 0 AS image_id, event_id % {WIDTH} AS x, event_id // {WIDTH} AS y, CASE WHEN event_id % {WIDTH} % 9 < 2 AND event_id // {WIDTH} % 7 < 2 THEN 200 ELSE 40 END + ((event_id % {WIDTH}) * 7 + (event_id // {WIDTH}) * 13) % 11 AS v FROM events",
     "feat": "SELECT label AS image_id, vec_id AS feat_id, CAST(vec_id * 37 % 640 AS DOUBLE) AS x, CAST(vec_id * 53 % 480 AS DOUBLE) AS y, "
     + ", ".join(f"CAST(list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + {a + 1}] > 0 THEN (1::BIGINT << i) ELSE 0 END)) AS BIGINT) AS d{k}" for k, a in enumerate((0, 32)))
     + " FROM embeddings",

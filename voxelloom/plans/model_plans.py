@@ -75,18 +75,18 @@ def s_top2000(spark, sf):
 
 _PAIRS = K.test_pairs().tolist()
 _TABLE = ", ".join(f"({i}, {a}, {b}, {c}, {d})" for i, (a, b, c, d) in enumerate(_PAIRS))
-_ASK = f"SELECT f.feat_id, t.i, p.v < q.v AS bit FROM ({_TOP}) f JOIN size ON f.x BETWEEN 15 AND w - 16 AND f.y BETWEEN 15 AND h - 16 JOIN (VALUES {_TABLE}) t(i, x1, y1, x2, y2) ON true JOIN blocky p ON p.x = f.x + t.x1 AND p.y = f.y + t.y1 JOIN blocky q ON q.x = f.x + t.x2 AND q.y = f.y + t.y2"
+_ASK = f"SELECT k.feat_id, k.i, p.v < q.v AS bit FROM (SELECT feat_id, i, f.x + x1 AS ax, f.y + y1 AS ay, f.x + x2 AS bx, f.y + y2 AS by_ FROM ({_TOP}) f JOIN size ON f.x BETWEEN 15 AND w - 16 AND f.y BETWEEN 15 AND h - 16 JOIN (VALUES {_TABLE}) t(i, x1, y1, x2, y2) ON true) k JOIN (SELECT x, y, v FROM blocky) p ON p.x = k.ax AND p.y = k.ay JOIN (SELECT x, y, v FROM blocky) q ON q.x = k.bx AND q.y = k.by_"
 
 
-@query(f"SELECT feat_id, count(*) FILTER (WHERE bit) AS ones, coalesce(sum(i) FILTER (WHERE bit), 0) AS places FROM ({_ASK}) GROUP BY feat_id", ints="feat_id ones places")
+@query(f"SELECT feat_id, count(*) FILTER (WHERE bit) AS ones, count(*) FILTER (WHERE bit AND i % 2 = 0) AS even FROM ({_ASK}) GROUP BY feat_id", ints="feat_id ones even")
 def f_brief(spark, sf):
     g = X.blocky(spark, sf)
     w, h = _size(spark, sf)
     d = K.describe(g, K.strongest(K.suppress(K.corners(g, w, h))), w, h).where(F.col("x").between(15, w - 16) & F.col("y").between(15, h - 16))
-    bits = F.array(*[F.shiftrightunsigned(f"d{i // 64}", i % 64).bitwiseAND(F.lit(1)) for i in range(256)])
-    both = F.transform(bits, lambda b, i: b * i)
-    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    return d.select("feat_id", add(bits).alias("ones"), add(both).alias("places"))
+    ones = F.expr("bit_count(d0) + bit_count(d1) + bit_count(d2) + bit_count(d3)")
+    mask = 0x5555555555555555
+    even = F.expr(" + ".join(f"bit_count(d{i} & {mask}L)" for i in range(4)))
+    return d.select("feat_id", ones.alias("ones"), even.alias("even"))
 
 
 @query(None, ints="i x1 y1 x2 y2")
