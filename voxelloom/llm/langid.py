@@ -18,6 +18,7 @@ slices.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 
 from voxelloom.session import ship
 
-DIM = 1 << 13
+DIM = 1 << 12
 #: Labelled rows per language that the classifier is fitted on.
-MAX_PER_LANG = 400
+MAX_PER_LANG = 300
 CENTROIDS = 4
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.3
 SLICE = 1 << 18
 #: Upper ends of the length classes, in bytes, of the rejection thresholds.
 LENGTHS = (32, 128, 512)
@@ -109,20 +110,23 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = MAX_PER_LANG, centroids: int = CENTROIDS) -> Model | None:
     """Fits on at most ``per_lang`` rows a language of ``labelled``; None without rows."""
     ship(labelled.sparkSession)
-    rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # First a share by hash from counts, so that only about the rows wanted carry their texts on.
-    sizes = rows.groupBy("lang").count().select("lang", (F.lit(2.0 * per_lang + 50) / F.col("count")).alias("share"))
-    some = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_lang)
-    found = first.select("lang", "text").mapInArrow(_vectors, "lang string, v binary, n long").toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("v", "ascending")])
-    if not len(found):
+    rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # The smallest hashes of each language come from labels and hashes alone; one bound per language, of
+    # which the model has to hold centroids anyway, then picks the texts in a filter, without an exchange.
+    first = rows.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang)
+    cuts = {r["lang"]: r["cut"] for r in first.groupBy("lang").agg(F.max("h").alias("cut")).collect()}
+    if not cuts:
         return None
-    tf = np.stack([np.frombuffer(v, np.float32) for v in found["v"].to_pylist()])
+    bound = F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>")
+    some = rows.where(F.col("h") <= F.try_element_at(bound, F.col("lang"))).select("lang", "text")
+    found = some.mapInArrow(_vectors, "lang string, v binary, n long").toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("v", "ascending")]).combine_chunks()
+    tf = np.frombuffer(found["v"].chunk(0).buffers()[2], np.float32)[: len(found) * DIM].reshape(-1, DIM)
     labels, lengths = found["lang"].to_pylist(), found["n"].to_numpy()
     langs = sorted(set(labels))
     y = np.array([langs.index(a) for a in labels])
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
-    x = np.log1p(tf) * idf
+    x = np.log1p(tf)
+    x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     cs = [_kmeans(x[y == j], centroids) for j in range(len(langs))]
     c, of = np.concatenate(cs).astype(np.float32), np.repeat(np.arange(len(langs)), [len(a) for a in cs])

@@ -76,28 +76,45 @@ def _before(sums: DataFrame, bucket: str) -> DataFrame:
     return sums.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
 
 
-def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row per row of ``docs``."""
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
-    base = base.withColumn("kind", F.floor(F.log2(F.col("size") + 1)).cast("int"))
-    base = written(base, "mix-base")
-    kinds = base.groupBy("source", "kind").agg(F.sum("size").alias("words"))
-    sizes = kinds.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(sizes, weights, cap).withColumn("sid", F.xxhash64(F.col("source").isNull(), "source"))
-    parts = kinds.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")).drop("source").withColumn("g", F.col("kind") + 1.0)
-    parts = _level(parts.join(targets, "sid"), ["sid"], "target", "words", "g", cap, "c")
-    f = F.least(F.lit(cap), F.col("c") * F.col("g"))
-    plan = written(parts.select("sid", "kind", "source_size", "target", f.alias("f")), "mix-plan")
+def _prepared(df: DataFrame, source: str, size: str, seed: int) -> DataFrame:
+    """Adds the source's id, the length class and the row's random number."""
+    kind = F.floor(F.log2(F.col(size) + 1)).cast("int")
+    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return df.withColumns({"sid": F.xxhash64(F.col(source).isNull(), source), "kind": kind, "u": u})
+
 
-    rows = base.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")).drop("source").join(plan, ["sid", "kind"])
+def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds certain copies, and rank and rank intervals of rows that can be drawn once more."""
+    rows = rows.join(plan, ["sid", "kind"])
     whole = F.floor(F.col("f") + 1e-9)
     p = F.greatest(F.lit(0.0), F.col("f") - whole)
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    odds = (u / (1 - u)) / (p / (1 - p))
-    rows = rows.withColumn("whole", whole.cast("long")).withColumn("rank", F.when(p > 1e-9, odds / (1 + odds)))
+    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    rows = rows.withColumns({"whole": whole.cast("long"), "rank": F.when(p > 1e-9, odds / (1 + odds))})
     rows = rows.withColumn("b1", F.least(F.floor(F.col("rank") * SPLIT), F.lit(SPLIT - 1)))
-    rows = rows.withColumn("b2", F.least(F.floor((F.col("rank") * SPLIT - F.col("b1")) * SPLIT), F.lit(SPLIT - 1)))
+    return rows.withColumn("b2", F.least(F.floor((F.col("rank") * SPLIT - F.col("b1")) * SPLIT), F.lit(SPLIT - 1)))
+
+
+def _within():
+    """Whether a row lies before its source's cut."""
+    here = F.struct("rank", "doc_id", "size")
+    return (
+        F.when(F.col("rank").isNull() | (F.col("want") <= 0), False)
+        .when(F.col("c1").isNull(), True)  # all that can be drawn is wanted
+        .when((F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))), True)
+        .when((F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")), F.coalesce(here <= F.col("last"), F.lit(False)))
+        .otherwise(False)
+    )
+
+
+def _filled(rounds: int):
+    here, out = F.struct("rank", "doc_id", "size"), F.lit(False)
+    for i in range(rounds):
+        out = out | F.coalesce(here == F.col(f"fill{i}"), F.lit(False))
+    return out
 
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """One row per source: words wanted, the cut in its ranking, and the documents that fill the gap."""
     certain = rows.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     wanted = certain.select("sid", F.greatest(F.lit(0.0), F.col("target") - F.col("certain")).alias("want"))
     drawn = rows.where("rank is not null")
@@ -108,37 +125,52 @@ def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: int = 17,
     cut2 = second.where("before <= want2 and before + words > want2").groupBy("sid").agg(F.min("c1").alias("c1"), F.min("b2").alias("c2"), F.min(F.col("want2") - F.col("before")).alias("want3"))
     edge = drawn.join(cut2.withColumnsRenamed({"c1": "b1", "c2": "b2"}), ["sid", "b1", "b2"])
     order = Window.partitionBy("sid").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    upto = F.col("before") + F.col("size")
-    last = edge.where(upto <= F.col("want3")).groupBy("sid").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"), F.max(upto).alias("upto"))
+    upto = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size")
+    last = edge.withColumn("upto", upto).where("upto <= want3").groupBy("sid").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"), F.max("upto").alias("upto"))
     cuts = wanted.join(cut2, "sid", "left").join(last, "sid", "left").withColumn("gap", F.col("want3") - F.coalesce("upto", F.lit(0)))
     cuts = cuts.select("sid", "want", "c1", "c2", "last", "gap")
-
-    here = F.struct("rank", "doc_id", "size")
-    within = (
-        F.when(F.col("rank").isNull() | (F.col("want") <= 0), False)
-        .when(F.col("c1").isNull(), True)  # all that can be drawn is wanted
-        .when((F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))), True)
-        .when((F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")), F.coalesce(here <= F.col("last"), F.lit(False)))
-        .otherwise(False)
-    )
     # The document at the cut seldom fits. The longest ones that fit close the gap, one in each round.
-    filled = F.lit(False)
     for i in range(FILL_ROUNDS):
         cuts = written(cuts, "mix-cuts")
-        open_ = rows.where("rank is not null and size > 0").join(cuts.where("gap >= 1"), "sid").where(~within & ~filled & (F.col("size") <= F.col("gap")))
+        open_ = rows.where("rank is not null and size > 0").join(cuts.where("gap >= 1"), "sid").where(~_within() & ~_filled(i) & (F.col("size") <= F.col("gap")))
         fill = open_.groupBy("sid").agg(F.max(F.struct("size", -F.col("rank"), "doc_id")).alias("f")).select("sid", F.struct((-F.col("f.col2")).alias("rank"), "f.doc_id", "f.size").alias(f"fill{i}"))
         cuts = cuts.join(fill, "sid", "left").withColumn("gap", F.col("gap") - F.coalesce(F.col(f"fill{i}.size"), F.lit(0)))
-        filled = filled | F.coalesce(here == F.col(f"fill{i}"), F.lit(False))
-    cuts = written(cuts, "mix-cuts")
-    extra = (within | filled).cast("long")
-    out = rows.join(cuts, "sid").withColumn("copies", (F.col("whole") + extra).cast("long"))
+    return written(cuts.drop("gap"), "mix-cuts")
+
+
+def _decided(docs: DataFrame, weights: list[float], cap: float, seed: int, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Slim rows of all documents, the plan per source and length class, the cuts per source."""
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    base = written(_prepared(base, "source", "size", seed), "mix-base")
+    kinds = base.groupBy("source", "sid", "kind").agg(F.sum("size").alias("words"))
+    targets = source_targets(kinds.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
+    targets = targets.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")).drop("source")
+    parts = kinds.drop("source").withColumn("g", F.col("kind") + 1.0)
+    parts = _level(parts.join(targets, "sid"), ["sid"], "target", "words", "g", cap, "c")
+    f = F.least(F.lit(cap), F.col("c") * F.col("g"))
+    plan = written(parts.select("sid", "kind", "source_size", "target", f.alias("f")), "mix-plan")
+    base = base.drop("source")
+    return base, plan, _cuts(_ranked(base, plan))
+
+
+def _copies():
+    return (F.col("whole") + (_within() | _filled(FILL_ROUNDS)).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: one row per row of ``docs``."""
+    base, plan, cuts = _decided(docs, weights, cap, seed, key, text, source)
+    out = _ranked(base, plan).join(cuts, "sid").withColumn("copies", _copies())
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` itself in the mix: rows not taken go, rows taken several times are repeated. ``key`` must be unique."""
-    taken = mix(docs, weights, cap, seed, key, text, source).where("copies > 0 and size > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = written(taken, "mix-taken")
-    rows = docs.join(taken, docs[key].cast("long").eqNullSafe(taken["_id"]))
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """``docs`` itself in the mix: rows not taken go, rows taken several times are repeated.
+
+    Every row is decided from its own columns and its source's few rows of plan and cuts, so the texts
+    are not exchanged while those tables are small enough to be sent (Spark decides by their size).
+    """
+    _, plan, cuts = _decided(docs, weights, cap, seed, key, text, source)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(source).alias("_source"), word_count(text).alias("size"))
+    taken = _ranked(_prepared(rows, "_source", "size", seed), plan).join(cuts, "sid").withColumn("copies", _copies()).where("copies > 0 and size > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
