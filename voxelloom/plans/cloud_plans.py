@@ -221,7 +221,7 @@ def compose(spark, sf):
     rel = spark.createDataFrame([(0, turn, [0.0, 0.0, 0.0]), (1, one, [0.0, 0.0, 0.0])], "image_id int, r array<double>, t array<double>")
     base = spark.createDataFrame([(one, [0.0, 0.0, 0.0])], "rk array<double>, tk array<double>")
     poses = compose_pose(rel.crossJoin(base))
-    p = X.part_points(spark, sf).crossJoin(F.broadcast(poses))  # two poses
+    p = X.part_points(spark, sf).select("point_id", *XYZ).crossJoin(F.broadcast(poses))  # two poses
     r = [[F.col("r")[3 * i + j] for j in range(3)] for i in range(3)]
     return p.select("point_id", "image_id", S.transform_point(r, [F.col("t")[i] for i in range(3)], [F.col(a) for a in XYZ])[0].alias("cx"))
 
