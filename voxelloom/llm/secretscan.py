@@ -35,31 +35,23 @@ PATTERNS = {
 #: The last group of an assignment, of which six characters are needed.
 _LAST = rf"[:=]\x20*[\"']?({_VALUE}+)$"
 SCOPE = 256
-ROLES = {"identifier": ("access", "weak_id"), "secret": ("assign", "hex", "weak_secret"), "endpoint": ("endpoint",)}
-
-
-def _explode(slim: DataFrame, name: str, **more: str) -> DataFrame:
-    cols = [F.lit(v).alias(k) for k, v in more.items()]
-    return slim.select("rid", F.explode(name).alias("x"), *cols).select("rid", "x.s", "x.e", *more)
+#: Of each kind of span its role (0 identifier, 1 secret, 2 endpoint) and the number that a weak part reports.
+ROLES = {"access": (0, -1), "weak_id": (0, 3), "assign": (1, -1), "hex": (1, -1), "weak_secret": (1, 4), "endpoint": (2, -1)}
 
 
 def linked_parts(slim: DataFrame) -> DataFrame:
-    """rid, s, k, e of the weak parts of ``slim`` whose scope holds parts of both other roles."""
-    parts = None
-    for role, kinds in ROLES.items():
-        for kind in kinds:
-            p = _explode(slim, kind, role=role)
-            parts = p if parts is None else parts.unionByName(p)
-    weak = _explode(slim, "weak_id", role="identifier", k="weak_id").unionByName(_explode(slim, "weak_secret", role="secret", k="weak_secret"))
+    """rid, s, k, e of the weak parts of ``slim`` (rid, parts) whose scope holds parts of both other roles."""
+    # Rows without a weak part have nothing to report, whatever else they hold.
+    one = slim.where(F.exists("parts", lambda p: p["k"] >= 0)).select("rid", F.explode("parts").alias("p")).select("rid", "p.*")
     # A part lies in the blocks that it touches; of each block count the first start and the last end.
     blocks = F.explode(F.sequence(F.floor(F.col("s") / SCOPE), F.floor((F.col("e") - 1) / SCOPE))).alias("block")
-    reduced = parts.select("rid", "role", "s", "e", blocks).groupBy("rid", "block", "role").agg(F.min("s").alias("first"), F.max("e").alias("last"))
+    reduced = one.select("rid", F.col("role").alias("other"), "s", "e", blocks).groupBy("rid", "block", "other").agg(F.min("s").alias("first"), F.max("e").alias("last"))
     reach = F.explode(F.sequence(F.floor((F.col("s") - SCOPE) / SCOPE), F.floor((F.col("e") - 1 + SCOPE) / SCOPE))).alias("block")
-    near = weak.select("rid", "s", "e", "k", F.col("role").alias("own"), reach).join(reduced, ["rid", "block"])
+    near = one.where("k >= 0").select("rid", "s", "e", "k", "role", reach).join(reduced, ["rid", "block"])
     # Blocks to the left are near enough if their last end is, blocks to the right if their first start is.
-    near = near.where((F.col("role") != F.col("own")) & (F.col("last") >= F.col("s") - SCOPE) & (F.col("first") <= F.col("e") + SCOPE))
-    both = near.groupBy("rid", "s", "e", "k").agg(F.size(F.collect_set("role")).alias("roles")).where("roles = 2")
-    return both.select("rid", "s", F.when(F.col("k") == "weak_id", 3).otherwise(4).alias("k"), "e")
+    near = near.where((F.col("other") != F.col("role")) & (F.col("last") >= F.col("s") - SCOPE) & (F.col("first") <= F.col("e") + SCOPE))
+    both = near.groupBy("rid", "s", "e", "k").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a < b")
+    return both.select("rid", "s", "k", "e")
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,7 +65,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     src = src.withColumn("base", tagged({"assign": 0, "access": 1, "hex": 2}))
     free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
     src = src.withColumns({k: F.filter(k, free) for k in ("weak_id", "weak_secret")})
-    slim = written(src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", *PATTERNS), "secret-slim")
+    parts = F.concat(*[F.expr(f"transform({c}, x -> named_struct('s', x.s, 'e', x.e, 'role', {role}, 'k', {k}))") for c, (role, k) in ROLES.items()])
+    slim = written(src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", parts.alias("parts")), "secret-slim")
     added = linked_parts(slim).groupBy("rid").agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))
     out = slim.select("rid", "doc_id", "base").join(added, "rid", "left")
     out = out.withColumn("added", F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>")))
