@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from voxelloom.session import local_session, ship
 
-    s = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    s = local_session(2, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     ship(s)
     yield s
     s.stop()
