@@ -351,6 +351,27 @@ def test_languages(spark, edges):
     assert {r.lang_pred for r in langid.predict(edges, langid.fit(edges.limit(0))).collect()} == {"und"}
 
 
+def test_centroids_of_equal_and_odd_rows():
+    x = np.eye(8, dtype=np.float32)[[0] * 60 + [1]]
+    assert langid._centroids(x, 4).tolist() == x[:1].tolist() and langid._centroids(x[-1:], 4).tolist() == x[-1:].tolist()
+
+
+def test_unlearned_texts_are_rejected(spark):
+    """Texts in unlearned scripts and gibberish of any length, also where labelled rows hold junk."""
+    d = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null and lang is not null")
+    junk = spark.createDataFrame([(10**6, "zx", "en"), (10**6 + 1, "qq " * 300, "en"), (10**6 + 2, "\u4e00\u4e8c", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(d.select("doc_id", "text", "lang").unionByName(junk))
+    rng = np.random.default_rng(5)
+    for alphabet in (range(0x4E00, 0x5500), range(0xAC00, 0xB400), range(0x430, 0x450), range(0x3B1, 0x3C9), map(ord, "bcdfghjklmnpqrstvwxz")):
+        letters = list(map(chr, alphabet))
+        for n in (10, 50, 300, 1500, 5000):
+            text = " ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(n))
+            assert model.judge(text.encode())[2], (letters[0], n)
+    whole = [r.text for r in d.where(langid.held_out()).collect()]
+    assert np.mean([model.judge(t.encode())[2] for t in whole]) < 0.01
+    assert not any(model.judge(" ".join(t for t in whole[i : i + 40]).encode())[2] for i in range(0, 120, 40))
+
+
 def test_sliced_counts_are_whole():
     data = ("ab é " * 1000).encode()
     old = langid.SLICE

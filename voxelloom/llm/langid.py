@@ -4,8 +4,10 @@ Features are byte n-grams of one to three bytes of the whole text (A-Z lower-cas
 letters folded to one blank), hashed into ``DIM`` slots, as normalised TF-IDF with logarithmic counts.
 Each language has several centroids, found by spherical k-means over its training rows. A text goes to
 the language of the centroid with the largest cosine; the score is that cosine. Rejection is by
-distance: every centroid knows the cosines of the training rows nearest to it, and a text whose cosine
-lies far below them (``REJECT_SHARE`` of the lowest training cosine of its length class) is rejected.
+distance: a text is rejected if its cosine lies below ``REJECT_SHARE`` of what all but ``REJECT_TAIL`` of
+its language's training texts of its length class reach. Beginnings of longer training rows stand for the
+shorter classes; a class of fewer than ``MIN_CLASS`` texts takes those of the nearest classes, shorter ones
+first. Clusters of hardly any training rows are junk and give no centroid.
 
 The classifier is fitted on at most ``MAX_PER_LANG`` labelled rows per language, those with the
 smallest hash of the key, and needs labels and texts alone. Everything else reads every row in full.
@@ -29,14 +31,18 @@ from pyspark.sql import functions as F
 
 from voxelloom.session import ship
 
-DIM = 1 << 12
+DIM = 1 << 13
 #: Labelled rows per language that the classifier is fitted on.
-MAX_PER_LANG = 300
+MAX_PER_LANG = 400
 CENTROIDS = 4
-REJECT_SHARE = 0.3
+REJECT_SHARE = 0.5
+REJECT_TAIL = 0.05
+MIN_CLASS = 20
+#: A centroid stands for at least this share of its language's training rows, and for two.
+LEAST_SHARE = 0.02
 SLICE = 1 << 18
 #: Upper ends of the length classes, in bytes, of the rejection thresholds.
-LENGTHS = (32, 128, 512)
+LENGTHS = (32, 128, 512, 2048, 8192)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -69,7 +75,7 @@ class Model:
     idf: np.ndarray  # DIM
     centroids: np.ndarray  # centroids x DIM, unit rows
     of: np.ndarray  # language of each centroid
-    floor: np.ndarray  # centroids' languages x length classes: cosines below are rejected
+    floor: np.ndarray  # languages x length classes: cosines below are rejected
 
     def judge(self, data: bytes) -> tuple[int, float, bool]:
         v = np.log1p(counts(data)).astype(np.float32) * self.idf
@@ -83,11 +89,17 @@ class Model:
 
 
 def _vectors(batches):
+    """Counts of each row and of its beginnings, one per length class below its own, as slots and values."""
     for batch in batches:
-        lang, text = batch.columns
-        data = [t.as_buffer() for t in text]
-        vs = [counts(bytes(d)).astype(np.float32).tobytes() for d in data]
-        yield pa.RecordBatch.from_arrays([lang, pa.array(vs, pa.binary()), pa.array([len(d) for d in data], pa.int64())], ["lang", "v", "n"])
+        out = []
+        for lang, text in zip(*batch.columns):
+            data = bytes(text.as_buffer())
+            starts = [data[: 3 * end // 4].decode("utf-8", "ignore").encode() for end in LENGTHS[: np.searchsorted(LENGTHS, len(data))]]
+            for d in (data, *starts):
+                c = counts(d)
+                at = np.flatnonzero(c)
+                out.append((lang.as_py(), at.astype(np.uint16).tobytes(), c[at].astype(np.float32).tobytes(), len(d), d is data))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 5, (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], ["lang", "at", "v", "n", "whole"])
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -107,6 +119,33 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """k-means without the rows of clusters that are too small to be a kind of text."""
+    least = max(2, LEAST_SHARE * len(x))
+    while True:
+        c = _kmeans(x, k)
+        near = np.argmax(c @ x.T, axis=0)
+        size = np.bincount(near, minlength=len(c))
+        kept = size[near] >= least
+        if kept.all() or not kept.any():
+            return c[size > 0]  # equal rows leave clusters empty
+        x = x[kept]
+
+
+def _floors(cos: list[np.ndarray]) -> list[float]:
+    """Lowest accepted cosine of each length class."""
+    out = []
+    for k in range(len(cos)):
+        order = sorted(range(len(cos)), key=lambda o: (abs(o - k), o))
+        some = np.zeros(0)
+        for o in order:
+            if len(some) >= MIN_CLASS:
+                break
+            some = np.concatenate([some, cos[o]])
+        out.append(REJECT_SHARE * float(np.quantile(some, REJECT_TAIL)))
+    return out
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = MAX_PER_LANG, centroids: int = CENTROIDS) -> Model | None:
     """Fits on at most ``per_lang`` rows a language of ``labelled``; None without rows."""
     ship(labelled.sparkSession)
@@ -119,24 +158,27 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return None
     bound = F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>")
     some = rows.where(F.col("h") <= F.try_element_at(bound, F.col("lang"))).select("lang", "text")
-    found = some.mapInArrow(_vectors, "lang string, v binary, n long").toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("v", "ascending")]).combine_chunks()
-    tf = np.frombuffer(found["v"].chunk(0).buffers()[2], np.float32)[: len(found) * DIM].reshape(-1, DIM)
-    labels, lengths = found["lang"].to_pylist(), found["n"].to_numpy()
+    found = some.mapInArrow(_vectors, "lang string, at binary, v binary, n long, whole boolean").toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("at", "ascending"), ("v", "ascending")])
+    slots, values = ([np.frombuffer(b, t) for b in found[c].to_pylist()] for c, t in (("at", np.uint16), ("v", np.float32)))
+    labels, whole, kind = np.array(found["lang"].to_pylist(), object), found["whole"].to_numpy(), np.searchsorted(LENGTHS, found["n"].to_numpy())
     langs = sorted(set(labels))
-    y = np.array([langs.index(a) for a in labels])
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
-    x = np.log1p(tf)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    cs = [_kmeans(x[y == j], centroids) for j in range(len(langs))]
-    c, of = np.concatenate(cs).astype(np.float32), np.repeat(np.arange(len(langs)), [len(a) for a in cs])
-    floor = np.zeros((len(langs), len(LENGTHS) + 1))
-    for j in range(len(langs)):
-        cos = (x[y == j] @ c[of == j].T).max(1)
-        kind = np.searchsorted(LENGTHS, lengths[y == j])
-        for k in range(len(LENGTHS) + 1):
-            upto = cos[kind <= k]  # shorter training rows only lower the bar
-            floor[j, k] = REJECT_SHARE * (upto.min() if len(upto) else 0.0)
+    seen = np.bincount(np.concatenate([slots[i] for i in np.flatnonzero(whole)]), minlength=DIM)
+    idf = np.log((1 + whole.sum()) / (1 + seen)).astype(np.float32) + 1
+
+    def vectors(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), DIM), np.float32)  # of one language, or one class of it, at a time
+        for v, i in zip(x, rows):
+            v[slots[i]] = np.log1p(values[i])
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return x
+
+    cs, floor = [], np.zeros((len(langs), len(LENGTHS) + 1))
+    for j, name in enumerate(langs):
+        own = labels == name
+        cs.append(_centroids(vectors(np.flatnonzero(own & whole)), centroids).astype(np.float32))
+        floor[j] = _floors([(vectors(np.flatnonzero(own & (kind == k))) @ cs[j].T).max(1) for k in range(len(LENGTHS) + 1)])
+    c, of = np.concatenate(cs), np.repeat(np.arange(len(langs)), [len(a) for a in cs])
     return Model(langs, idf, c, of, floor)
 
 
