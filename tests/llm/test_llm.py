@@ -400,6 +400,29 @@ def test_wrapper_reads_pages():
     assert htmltext.read(PAGE.format(9), w.labels()) == "Title 9\nFirst & foremost 9 words that fill the line and more of them.\nSecond 9 goes on with many words for a whole line."
 
 
+def _site(i, notice):
+    own = "".join(f"<p>own words {i} {k} of a page</p>" for k in range(1 + i % 3))
+    see = "".join(f"<p><a href=x>Other page {i} {k}</a></p>" for k in range(2))
+    return f"<html><body><article><h1>Head {i}</h1>{own}{notice}<div>{see}</div></article></body></html>"
+
+
+def test_wrapper_separates_within_the_article(spark):
+    """Template text and link lists inside the article go by the wrapper alone; copies of a page are no template."""
+    pages = [(i, f"https://w.org/{i}", _site(i, "<p>Printed from our archive.</p>")) for i in range(12)]
+    pages += [(100 + i, f"https://w.org/c/{i}", _site(50, "")) for i in range(6)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, i in [(i, i) for i in range(12)] + [(100 + i, 50) for i in range(6)]:
+        assert got[k] == "\n".join([f"Head {i}", *(f"own words {i} {k} of a page" for k in range(1 + i % 3))]), k
+
+
+def test_wrapper_is_of_all_pages(spark):
+    """A layout that few of a host's pages have is learned as well."""
+    plain = [(i, f"https://v.org/{i}", f"<body><div><h1>Head {i}</h1><p>own words {i} of it</p></div></body>") for i in range(300)]
+    rare = [(1000 + i, f"https://v.org/r/{i}", f"<body><div><h1>Head r{i}</h1><p>own words r{i} of it</p><h2>Reprints at our desk.</h2></div></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(plain + rare, "page_id long, url string, html string")).collect()}
+    assert all(got[1000 + i] == f"Head r{i}\nown words r{i} of it" for i in range(5)) and got[7] == "Head 7\nown words 7 of it"
+
+
 def test_pages_of_the_fixture(spark):
     pages = {r.page_id: r for r in table(spark, SF, "pages").collect()}
     for r in registry.op10_html_text(spark, SF).collect():

@@ -2,15 +2,16 @@
 
 A page is a stream of blocks, each with the path of structural tags above it (a tag is its name and
 class or id words). Blocks that recur in tandem (periods of one to four) fold into repeated groups.
-Wrappers are inferred per host from at most ``SAMPLE`` of its pages: the first page's stream is the
-wrapper, and every next one is aligned with it; terms on one side only become optional groups, terms
-that repeat on either side repeated groups, and texts that differ text slots, while a text that stays
-equal is part of the template. Slots then are told apart with the evidence of all sample pages: menus,
-headers, footers, sidebars, notices, adverts, forms and comments by tags and class words and by the
-share of linked text, the article by its tag or by holding most of the slots' text.
+Wrappers are inferred per host from all its pages, as distinct streams of terms with the number of
+distinct pages that have them: the commonest stream is the wrapper, and every next one is aligned with
+it; terms on one side only become optional groups, terms that repeat on either side repeated groups. A
+text that ``FIXED_PAGES`` pages and ``FIXED_SHARE`` of those with its term have is part of the template,
+every other one fills a slot. Terms are then labelled with the evidence of all pages: menus, headers,
+footers, sidebars, notices, adverts, forms and comments by tags and class words and by the share of
+linked text, the article by its tag or by holding most of the slots' text.
 
-Every page is read through its host's wrapper: a block is kept if its term is an article slot. Terms
-that the sample did not show are resolved as the aligner resolves them, by the same evidence.
+Every page is aligned with its host's wrapper: a block is kept if it fills a slot of an article term, so
+template texts and link lists go inside the article too.
 
 Edge cases: null, empty and blank html give empty text; pages without a host share one wrapper; a host
 with one page has all its texts as slots; repeated rows are read each; an empty table gives an empty
@@ -29,14 +30,16 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.llm.urlfilter import host_path
 from voxelloom.session import ship, written
 
-#: Pages of a host that its wrapper is inferred from.
-SAMPLE = 8
+#: Distinct pages, and the share of those with its term, that make a text part of the template.
+FIXED_PAGES = 3
+FIXED_SHARE = 0.2
 MAX_PERIOD = 4
 
 # Elements of the HTML standard by role.
@@ -161,8 +164,21 @@ def fold(paths: list[str]) -> list[tuple[tuple[str, ...], int, int]]:
     return out
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def page_terms(page: list[tuple[str, str, int]]) -> list[dict]:
+    """The terms of one page as a wrapper holds them; texts: pages that have each text's hash in the term."""
+    out = []
+    for group, i, k in fold([p for p, _, _ in page]):
+        part = page[i : i + k * len(group)]
+        out.append({"group": group, "repeated": k > 1, "seen": 1, "texts": Counter({_hash(t): 1 for _, t, _ in part}), "size": sum(len(t) for _, t, _ in part), "linked": sum(n for _, _, n in part)})
+    return out
+
+
 class Wrapper:
-    """Terms in order: group, repeated, optional, pages seen in, its text or None for a slot, sizes of text and links."""
+    """Terms in order: group, repeated, pages seen in, pages by text, sizes of text and links."""
 
     def __init__(self):
         self.terms: list[dict] = []
@@ -170,24 +186,19 @@ class Wrapper:
 
     def add(self, page: list[tuple[str, str, int]]) -> None:
         """Aligns one more page and resolves the mismatches."""
-        new = []
-        for group, i, k in fold([p for p, _, _ in page]):
-            part = page[i : i + k * len(group)]
-            text = part[0][1] if len(part) == 1 else None
-            new.append({"group": group, "repeated": k > 1, "seen": 1, "text": text, "size": sum(len(t) for _, t, _ in part), "linked": sum(n for _, _, n in part)})
-        self.pages += 1
-        if self.pages == 1:
-            self.terms = new
-            return
+        self.merge(page_terms(page), 1)
+
+    def merge(self, new: list[dict], pages: int) -> None:
+        """Aligns the summed terms of so many pages of one stream."""
+        self.pages += pages
         merged: list[dict] = []
-        matcher = SequenceMatcher(None, [t["group"] for t in self.terms], [t["group"] for t in new], autojunk=False)
-        for kind, a, b, c, d in matcher.get_opcodes():
+        for kind, a, b, c, d in _aligned([t["group"] for t in self.terms], [t["group"] for t in new]):
             if kind != "equal":
                 merged += self.terms[a:b] + new[c:d]  # optional: seen in fewer pages than there are
                 continue
             for old, t in zip(self.terms[a:b], new[c:d]):
                 old["repeated"] |= t["repeated"]
-                old["text"] = old["text"] if old["text"] == t["text"] else None
+                old["texts"].update(t["texts"])
                 for k in ("seen", "size", "linked"):
                     old[k] += t[k]
                 merged.append(old)
@@ -195,23 +206,23 @@ class Wrapper:
 
     def expression(self) -> str:
         """The wrapper as a regular expression over groups, for people."""
-        return " ".join(f"({' '.join(t['group'])})" + "+" * t["repeated"] + "?" * (t["seen"] < self.pages) + ("=#" if t["text"] is None else "=const") for t in self.terms)
+        return " ".join(f"({' '.join(t['group'])})" + "+" * t["repeated"] + "?" * (t["seen"] < self.pages) + ("=const" if max(t["texts"].values(), default=0) == t["seen"] > 1 else "=#") for t in self.terms)
 
     def labels(self) -> dict:
-        """What reading a page needs: article prefixes, texts of the template, terms known by path."""
+        """What reading a page needs: terms with template texts and whether links make them up, the article's root, linked paths."""
         size, linked = Counter(), Counter()
         for t in self.terms:
             for p in t["group"]:
                 size[p] += t["size"] / len(t["group"])
                 linked[p] += t["linked"] / len(t["group"])
-        fixed = [t["text"] for t in self.terms if t["text"] is not None and t["seen"] >= 3 and not in_article(t["group"][0])]
+        fixed = [sorted(h for h, n in t["texts"].items() if n >= max(FIXED_PAGES, FIXED_SHARE * t["seen"])) for t in self.terms]
         open_ = [p for p in size if not outside(p) and linked[p] <= 0.5 * size[p]]
         inside = [p for p in open_ if in_article(p)]
         root = ""
         if not inside and open_:
             variable = Counter()
-            for t in self.terms:
-                if t["text"] is None or t["seen"] < 3:
+            for t, f in zip(self.terms, fixed):
+                if not f or t["repeated"]:
                     for p in t["group"]:
                         if p in open_:
                             variable[p] += t["size"] / len(t["group"])
@@ -224,7 +235,12 @@ class Wrapper:
             root = max(most, key=lambda p: (p.count("/"), p), default="")
             if re.match(r"(p|h\d|li|td|blockquote|pre)\b", root.rsplit("/", 1)[-1]):
                 root = root.rpartition("/")[0]  # the container of the paragraphs, not the paragraphs
-        return {"root": root, "fixed": sorted(set(fixed)), "links": sorted(p for p in size if linked[p] > 0.5 * size[p] and not in_article(p))}
+        terms = [[t["group"], f, t["linked"] > 0.5 * t["size"]] for t, f in zip(self.terms, fixed)]
+        return {"root": root, "terms": terms, "links": sorted(p for p in size if linked[p] > 0.5 * size[p])}
+
+
+def _aligned(old: list, new: list):
+    return SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
 
 
 def _steps(path: str) -> list[list[str]]:
@@ -247,30 +263,70 @@ def in_article(path: str) -> bool:
     return any(name in ARTICLE or (name in ("div", "section", "td") and ARTICLE_WORDS.intersection(words)) for name, *words in _steps(path))
 
 
-def infer(pages: list[str]) -> dict:
-    w = Wrapper()
-    for page in pages:
-        w.add(blocks(page))
-    return w.labels()
+@lru_cache(1 << 14)
+def _known(old: tuple, new: tuple) -> list[int]:
+    """The wrapper's term of each term of a page, -1 where it has none."""
+    out = [-1] * len(new)
+    for kind, a, _, c, d in _aligned(old, new):
+        if kind == "equal":
+            out[c:d] = range(a, a + d - c)
+    return out
 
 
 def read(page: str, labels: dict) -> str:
     """The article's blocks of one page, by its wrapper."""
     found = blocks(page)
-    fixed, links, root = set(labels["fixed"]), set(labels["links"]), labels["root"]
-    kept = [(p, t, n) for p, t, n in found if not outside(p) and p not in links and (in_article(p) or (t not in fixed and n <= 0.5 * len(t)))]
+    terms, links, root = labels["terms"], set(labels["links"]), labels["root"]
+    folded = fold([p for p, _, _ in found])
+    known = _known(tuple(tuple(t[0]) for t in terms), tuple(g for g, _, _ in folded))
+    kept = []
+    for (group, i, k), j in zip(folded, known):
+        fixed, linked = (terms[j][1], terms[j][2]) if j >= 0 else ((), any(p in links for p in group))
+        if not linked:
+            kept += [(p, t) for p, t, n in found[i : i + k * len(group)] if not outside(p) and n <= 0.5 * len(t) and not (fixed and _hash(t) in fixed)]
     inside = [x for x in kept if in_article(x[0])]
     if inside:
         kept = inside
     elif root:
         under = [x for x in kept if x[0] == root or x[0].startswith(root + "/")]
         kept = under or kept
-    return "\n".join(t for _, t, _ in kept)
+    return "\n".join(t for _, t in kept)
+
+
+_STREAM = "host string, page long, stream long, at int, text long, size long, linked long, repeated boolean, groups string"
+
+
+def _streams(batches):
+    """For each page a row of its stream, at -1, and a row for each text of each term."""
+    names = [c.split()[0] for c in _STREAM.split(", ")]
+    for batch in batches:
+        out = []
+        for host, page in zip(*(c.to_pylist() for c in batch.columns)):
+            terms, h = page_terms(blocks(page)), _hash(page)
+            groups = json.dumps([t["group"] for t in terms])
+            stream = _hash(groups)
+            out.append((host, h, stream, -1, 0, 0, 0, False, groups))
+            for at, t in enumerate(terms):
+                for i, text in enumerate(t["texts"]):
+                    out.append((host, h, stream, at, text, 0 if i else t["size"], 0 if i else t["linked"], t["repeated"], None))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * len(types), types)], names)
 
 
 def _infer_host(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["h", "html"]).head(SAMPLE)
-    return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(infer(list(rows["html"])))]})
+    """One host's wrapper from its distinct streams, the commonest first."""
+    w = Wrapper()
+    heads = rows[rows["at"] < 0].sort_values(["n", "stream"], ascending=[False, True])
+    parts = dict(iter(rows[rows["at"] >= 0].sort_values("at").groupby("stream")))
+    for stream, groups, n in zip(heads["stream"], heads["groups"], heads["n"]):
+        if stream in parts:
+            part = parts[stream]
+            new = [
+                {"group": tuple(g), "repeated": bool(rep), "seen": int(n), "texts": Counter({int(x["text"]): int(x["n"]) for x in texts if x is not None}), "size": int(size), "linked": int(linked)}
+                for g, rep, size, linked, texts in zip(json.loads(groups), part["repeated"], part["size"], part["linked"], part["texts"])
+            ]
+            w.merge(new, int(n))
+    return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(w.labels())]})
 
 
 _labels = lru_cache(4096)(json.loads)
@@ -286,11 +342,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """page_id, url, text, n_chars: one row per row of ``pages``."""
     ship(pages.sparkSession)
     host, _ = host_path(url)
-    src = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.xxhash64(F.col(key), F.col(url)).alias("h"), F.col(html).alias("html"))
-    # Sampling looks at hosts and hashes alone; each task keeps SAMPLE rows of a host at most.
-    first = src.select("host", "h").withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("i") <= SAMPLE)
-    cut = written(first.groupBy("host").agg(F.max("h").alias("cut")), "html-cut")
-    sample = src.join(cut, "host").where(F.col("h") <= F.col("cut")).select("host", "h", F.coalesce("html", F.lit("")).alias("html"))
-    # Rows that repeat key and URL may tie with the last; equal pages add nothing to a wrapper.
-    wrappers = written(sample.distinct().groupBy("host").applyInPandas(_infer_host, "host string, wrapper string"), "html-wrappers")
+    src = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
+    # Texts are counted by hash over all pages, copies of a page once; what reaches a host's group is its distinct
+    # streams and the texts that several of its pages have.
+    rows = src.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_streams, _STREAM).distinct()
+    sums = [F.sum(c).alias(c) for c in ("size", "linked")] + [F.max(c).alias(c) for c in ("repeated", "groups")]
+    by_text = written(rows.groupBy("host", "stream", "at", "text").agg(F.count("*").alias("n"), *sums), "html-texts")
+    often = by_text.where("at >= 0").groupBy("host", "text").agg(F.sum("n").alias("m")).where(F.col("m") >= FIXED_PAGES).select("host", "text", F.lit(True).alias("often"))
+    some = F.collect_list(F.when(F.col("often"), F.struct("text", "n"))).alias("texts")
+    terms = by_text.join(often, ["host", "text"], "left").groupBy("host", "stream", "at").agg(F.max("n").alias("n"), *sums, some)
+    wrappers = written(terms.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string"), "html-wrappers")
     return src.select("page_id", "url", "host", "html").join(wrappers, "host", "left").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
