@@ -311,6 +311,15 @@ def test_patterns_discover_identifiers(spark):
     assert pii.find_pii(near).agg(F.sum("n_added")).first()[0] >= 0
 
 
+def test_trusted_patterns_discover_other_formats(spark):
+    known = [(i, f"please write to user{i}@mail.example.com about it") for i in range(12)]
+    known += [(20 + i, f"you may call +1555123{4000 + i} at noon") for i in range(12)]
+    new = [(100, "please write to user77@localhost about nothing"), (101, "you may call 15551237777 at noon"), (102, "a walk of 12345 steps"), (103, "please write to 12345 about it"), (104, "you may call 2024 at noon")]
+    got = {r.doc_id: (r.n_added, r.spans) for r in pii.find_pii(spark.createDataFrame(known + new, "doc_id long, text string")).collect()}
+    assert got[100] == (1, "email:16:32") and got[101] == (1, "phone:13:24")
+    assert all(n == 0 for k, (n, _) in got.items() if k not in (100, 101))
+
+
 def test_parts_are_linked_in_scope_only(spark):
     secret = "aB3dE5fG7hJ9kL1mN3pQ5"
     df = spark.createDataFrame([

@@ -6,8 +6,10 @@ the words around an instance (two before; one before and one after) are its lexi
 instances form a bipartite graph, scored in rounds: a pattern's confidence is the mean confidence of
 its distinct instances (discounted for few), an instance's is one minus the product over its trusted
 patterns of their doubts. Patterns that are trusted after the last round and rest on ``MIN_SEEDS``
-distinct seeds discover the unseen tokens that stand in them and are shaped like one of their seeds (runs of
-letters and of digits folded): spans of the same kind.
+distinct seeds discover the unseen tokens that stand in them, in whatever format: a pattern speaks for a
+token by its confidence, times the shares of its seeds that have an at sign and letters where the token has
+(or lack them with it), times how near their digit counts are; a token of joint score ``TRUST`` is a span
+of the kind that scores best.
 
 The graph holds distinct (pattern, instance) pairs of the whole corpus, gathered by partial aggregates,
 and scores move by joins on either side; nothing is collected.
@@ -67,8 +69,9 @@ def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return src.withColumns(kept).withColumn("base", tagged({k: i for i, k in enumerate(KINDS)}))
 
 
-def _shape(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, r"\p{L}+", "a"), "[0-9]+", "9")
+def _features(t: Column) -> list[Column]:
+    """Soft evidence of a token's kind: at sign, letters, number of digits."""
+    return [t.contains("@").cast("double").alias("at"), t.rlike(r"\p{L}").cast("double").alias("letters"), F.length(_digits(t)).cast("double").alias("digits")]
 
 
 def _instances(slim: DataFrame) -> DataFrame:
@@ -79,18 +82,18 @@ def _instances(slim: DataFrame) -> DataFrame:
     two = F.lower(F.regexp_extract("left", r"(\S+\s+\S+)\s*$", 1))
     near = F.concat_ws(" _ ", F.lower(F.regexp_extract("left", r"(\S+)\s*$", 1)), F.lower(F.regexp_extract("right", r"^\s*(\S+)", 1)))
     patterns = F.filter(F.array(F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " ")), F.concat(F.lit("1 "), near)), lambda p: F.length(p) > 5)
-    return one.select("rid", "s", "e", F.lower("tok").alias("tok"), _shape(F.lower("tok")).alias("shape"), kind.alias("kind"), patterns.alias("patterns"))
+    return one.select("rid", "s", "e", F.lower("tok").alias("tok"), kind.alias("kind"), patterns.alias("patterns"))
 
 
 def score_patterns(occurrences: DataFrame) -> DataFrame:
-    """pattern, kind, shape: trusted patterns with the shapes of their seeds, from rounds over the graph."""
-    edges = occurrences.select(F.explode("patterns").alias("pattern"), "tok", "shape", "kind").groupBy("pattern", "tok").agg(F.max("kind").alias("kind"), F.first("shape").alias("shape"))
+    """pattern, kind, conf, at, letters, digits: trusted patterns with what their seeds are like, from rounds over the graph."""
+    edges = occurrences.select(F.explode("patterns").alias("pattern"), "tok", "kind").groupBy("pattern", "tok").agg(F.max("kind").alias("kind"))
     edges = written(edges, "pii-edges")
     seeds = edges.where("kind is not null").groupBy("tok").agg(F.max("kind").alias("kind"))
     inst = seeds.select("tok", "kind", F.lit(1.0).alias("conf"))
     # Only patterns that some seed stands in can ever be trusted.
     rooted = edges.where("kind is not null").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    live = written(edges.join(rooted, "pattern").select("pattern", "tok", "shape", F.col("kind").alias("seed_kind")), "pii-live")
+    live = written(edges.join(rooted, "pattern").select("pattern", "tok", F.col("kind").alias("seed_kind")), "pii-live")
     size = live.groupBy("pattern").agg(F.count("*").alias("n"))
     for _ in range(ROUNDS):
         score = live.join(inst, "tok").groupBy("pattern", "kind").agg(F.sum("conf").alias("sum")).join(size, "pattern")
@@ -98,8 +101,20 @@ def score_patterns(occurrences: DataFrame) -> DataFrame:
         trusted = written(trusted, "pii-patterns")
         found = live.where("seed_kind is null").join(trusted, "pattern").groupBy("tok", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("conf"))
         inst = written(seeds.select("tok", "kind", F.lit(1.0).alias("conf")).unionByName(found.join(seeds.select("tok"), "tok", "left_anti")), "pii-instances")
-    shapes = live.where("seed_kind is not null").select("pattern", "shape", F.col("seed_kind").alias("kind")).distinct()
-    return trusted.join(shapes, ["pattern", "kind"]).select("pattern", "kind", "shape")
+    like = live.where("seed_kind is not null").select("pattern", F.col("seed_kind").alias("kind"), *_features(F.col("tok")))
+    like = like.groupBy("pattern", "kind").agg(*[F.avg(c).alias(c) for c in ("at", "letters", "digits")])
+    return trusted.join(like, ["pattern", "kind"])
+
+
+def discovered(free: DataFrame, trusted: DataFrame) -> DataFrame:
+    """rid, s, e, k: the occurrences (rid, s, e, tok, pattern) that trusted patterns speak for."""
+    own = free.select("rid", "s", "e", "pattern", *[f.alias(f"own_{c}") for c, f in zip(("at", "letters", "digits"), _features(F.col("tok")))])
+    j = own.join(trusted, "pattern")
+    same = [1 - F.abs(F.col(f"own_{c}") - F.col(c)) for c in ("at", "letters")]
+    near = (F.least("own_digits", "digits") + 1) / (F.greatest("own_digits", "digits") + 1)
+    score = F.col("conf") * same[0] * same[1] * F.when(F.col("own_at") > 0, 1.0).otherwise(near * near)  # names, not digits, make addresses
+    joint = j.withColumn("score", score).groupBy("rid", "s", "e", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("score")).where(F.col("score") >= TRUST)
+    return joint.groupBy("rid", "s", "e").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("k"))
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,8 +126,8 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     slim = written(slim, "pii-slim")
     seen = written(_instances(slim), "pii-instances")
     trusted = score_patterns(seen)
-    free = seen.where("kind is null").select("rid", "s", "e", "shape", F.explode("patterns").alias("pattern"))
-    added = free.join(trusted, ["pattern", "shape"]).select("rid", F.struct("s", F.col("kind").alias("k"), "e").alias("x")).groupBy("rid").agg(F.collect_set("x").alias("added"))
+    free = seen.where("kind is null").select("rid", "s", "e", "tok", F.explode("patterns").alias("pattern"))
+    added = discovered(free, trusted).select("rid", F.struct("s", "k", "e").alias("x")).groupBy("rid").agg(F.collect_set("x").alias("added"))
     out = slim.select("rid", "doc_id", "base").join(added, "rid", "left")
     out = out.withColumn("added", F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>")))
     out = out.withColumn("all", F.array_sort(F.array_union("base", "added")))
