@@ -409,6 +409,46 @@ def test_wrapper_reads_pages():
     assert htmltext.read(PAGE.format(9), w.labels()) == "Title 9\nFirst & foremost 9 words that fill the line and more of them.\nSecond 9 goes on with many words for a whole line."
 
 
+EMPTY = {"terms": [], "paths": {}}
+
+
+def test_the_wrapper_decides(spark):
+    """Without its wrapper a page has no text; labels come from all pages, where nothing on the page tells."""
+    page = lambda i, more="": f"<body class='no-sidebar'><form><div class=x><h1>Title {i}</h1><p>own words {i} for a line</p><h2>Part {i}</h2><p>more of {i}</p><p>and more of {i}</p>{more}</div></form><div class=y><p><a>to {i}</a></p><p><a>at {i}</a></p></div></body>"
+    w = htmltext.Wrapper()
+    for i in range(6):
+        w.add(htmltext.blocks(page(i).replace("<form>", "").replace("</form>", "")))
+    plain = page(9).replace("<form>", "").replace("</form>", "")
+    assert htmltext.read(plain, EMPTY) == "" and htmltext.read(plain, w.labels()).split("\n")[0] == "Title 9"
+    sample = [r.html for r in table(spark, SF, "pages").limit(20).collect()]
+    own = htmltext.Wrapper()
+    for h in sample:
+        own.add(htmltext.blocks(h))
+    assert all(htmltext.read(h, EMPTY) == "" != htmltext.read(h, own.labels()) for h in sample)
+    # The same block is article or template by what the host's other pages hold.
+    line, got = "<p>Printed in the old town.</p>", {}
+    for host, notices in (("a", 6), ("b", 1)):
+        pages = [(i, f"https://{host}.org/{i}", page(i, line if i < notices else "").replace("<form>", "").replace("</form>", "")) for i in range(6)]
+        got[host] = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id = 0").first().text
+    assert got["b"].endswith("\nPrinted in the old town.") and got["a"] + "\nPrinted in the old town." == got["b"]
+    inside = page(1).replace("<div class=x>", "<article class=x>").replace("</div></form>", "</article></form>")
+    one = htmltext.Wrapper()
+    one.add(htmltext.blocks(inside))
+    assert htmltext.read(inside, one.labels()) == "Title 1\nown words 1 for a line\nPart 1\nmore of 1\nand more of 1"
+
+
+def test_wrappers_merge_in_rounds(spark):
+    pages = [(i, f"https://w.org/{i}", f"<body><div class=menu><p>Go</p></div><div class=x><h1>Title {i}</h1>" + "".join(f"<h{2 + j % (2 + i % 4)}>head {i} {j}</h{2 + j % (2 + i % 4)}><p>words {i} {j} of it</p>" for j in range(1 + i % 9)) + "</div></body>") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole = sorted(map(tuple, htmltext.extract(df).collect()))
+    old, htmltext.FAN_IN = htmltext.FAN_IN, 2
+    try:
+        assert sorted(map(tuple, htmltext.extract(df).collect())) == whole
+    finally:
+        htmltext.FAN_IN = old
+    assert all(t.split("\n")[0] == f"Title {i}" and len(t.split("\n")) == 1 + 2 * (1 + i % 9) for i, _, t, _ in whole)
+
+
 def _site(i, notice):
     own = "".join(f"<p>own words {i} {k} of a page</p>" for k in range(1 + i % 3))
     see = "".join(f"<p><a href=x>Other page {i} {k}</a></p>" for k in range(2))

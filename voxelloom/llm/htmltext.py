@@ -1,17 +1,23 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
 A page is a stream of blocks, each with the path of structural tags above it (a tag is its name and
-class or id words). Blocks that recur in tandem (periods of one to four) fold into repeated groups.
-Wrappers are inferred per host from all its pages, as distinct streams of terms with the number of
-distinct pages that have them: the commonest stream is the wrapper, and every next one is aligned with
-it; terms on one side only become optional groups, terms that repeat on either side repeated groups. A
-text that ``FIXED_PAGES`` pages and ``FIXED_SHARE`` of those with its term have is part of the template,
-every other one fills a slot. Terms are then labelled with the evidence of all pages: menus, headers,
-footers, sidebars, notices, adverts, forms and comments by tags and class words and by the share of
-linked text, the article by its tag or by holding most of the slots' text.
-
-Every page is aligned with its host's wrapper: a block is kept if it fills a slot of an article term, so
-template texts and link lists go inside the article too.
+class or id words). Runs of one path fold into repeated terms, and runs that recur in tandem (periods of
+two to four) into repeated groups of terms. Wrappers are inferred per host from all its pages, as
+distinct streams of terms with the number of distinct pages (by title) that have them: the commonest
+stream is the wrapper, and every next one is aligned with it; terms on one side only become optional
+groups, terms that repeat on either side repeated groups. A text that ``FIXED_PAGES`` pages and
+``FIXED_SHARE`` of those with its term have is part of the template, every other one fills a slot.
+Terms are then labelled with the evidence of all pages: menus, headers, footers, sidebars, notices,
+adverts, forms and comments by tags and class words and by the share of linked text, the article by its
+tag or by holding most of the slots' text.
+
+Every page is aligned with its host's wrapper, which alone decides: a block is kept if it fills a slot of
+an article term, so template texts and link lists go inside the article too. Blocks that the alignment
+leaves over take the label that the wrapper has for their path; paths it does not know are no article.
+
+Streams of a host are merged in groups of ``FAN_IN``, and the wrappers of the groups again, so that a
+host with very many layouts is no single group. Html meets the wrappers by host: as a broadcast while
+Spark finds them small, else by a join whose skewed hosts AQE splits.
 
 Edge cases: null, empty and blank html give empty text; pages without a host share one wrapper; a host
 with one page has all its texts as slots; repeated rows are read each; an empty table gives an empty
@@ -39,8 +45,10 @@ from voxelloom.session import ship, written
 
 #: Distinct pages, and the share of those with its term, that make a text part of the template.
 FIXED_PAGES = 3
-FIXED_SHARE = 0.2
+FIXED_SHARE = 0.5
 MAX_PERIOD = 4
+#: Streams or wrappers of one host that one group merges.
+FAN_IN = 512
 
 # Elements of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +63,10 @@ OUTSIDE_WORDS = frozenset(
     "breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager paywall copyright legal search form skip".split()
 )
 ARTICLE = frozenset(("article", "main"))
+#: Words that are headers of the page, or of the article itself where they stand in it.
+HEAD_WORDS = frozenset("header head masthead".split())
+#: First words of classes that tell of something else on the page ("no-sidebar").
+OTHERS = frozenset("no has with without".split())
 ARTICLE_WORDS = frozenset("article post entry story content body text main prose".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -66,7 +78,9 @@ def _tag(name: str, attrs: str) -> str:
     words = []
     if "=" in attrs:
         for _, a, b, c in _ATTR.findall(attrs):
-            words += re.findall(r"[a-z]+", (a or b or c).lower())
+            for token in (a or b or c).lower().split():
+                own = re.findall(r"[a-z]+", token)
+                words += own if own[:1] and own[0] not in OTHERS else []
     return ".".join([name, *dict.fromkeys(words)])
 
 
@@ -147,20 +161,27 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def fold(paths: list[str]) -> list[tuple[tuple[str, ...], int, int]]:
-    """Terms of a stream: (group of paths, first block, number of repeats), tandem repeats folded."""
-    out, i = [], 0
-    while i < len(paths):
+def fold(paths: list[str]) -> list[tuple[tuple[str, ...], int, int, bool]]:
+    """Terms of a stream: (group of paths, first block, number of blocks, whether repeated)."""
+    runs: list[list] = []
+    for i, p in enumerate(paths):
+        if runs and runs[-1][0] == p:
+            runs[-1][2] += 1
+        else:
+            runs.append([p, i, 1])
+    names, out, i = [r[0] for r in runs], [], 0
+    while i < len(names):
         best = (1, 1)
-        for period in range(1, MAX_PERIOD + 1):
-            group, k = paths[i : i + period], 1
-            while len(group) == period and paths[i + k * period : i + (k + 1) * period] == group:
+        for period in range(2, MAX_PERIOD + 1):
+            group, k = names[i : i + period], 1
+            while len(group) == period and names[i + k * period : i + (k + 1) * period] == group:
                 k += 1
             if k > 1 and k * period > best[0] * best[1]:
                 best = (period, k)
-        period, k = best
-        out.append((tuple(paths[i : i + period]), i, k))
-        i += period * k
+        part = runs[i : i + best[0] * best[1]]
+        n = sum(r[2] for r in part)
+        out.append((tuple(names[i : i + best[0]]), part[0][1], n, n > best[0]))
+        i += len(part)
     return out
 
 
@@ -171,9 +192,9 @@ def _hash(text: str) -> int:
 def page_terms(page: list[tuple[str, str, int]]) -> list[dict]:
     """The terms of one page as a wrapper holds them; texts: pages that have each text's hash in the term."""
     out = []
-    for group, i, k in fold([p for p, _, _ in page]):
-        part = page[i : i + k * len(group)]
-        out.append({"group": group, "repeated": k > 1, "seen": 1, "texts": Counter({_hash(t): 1 for _, t, _ in part}), "size": sum(len(t) for _, t, _ in part), "linked": sum(n for _, _, n in part)})
+    for group, i, k, repeated in fold([p for p, _, _ in page]):
+        part = page[i : i + k]
+        out.append({"group": group, "repeated": repeated, "seen": 1, "texts": Counter({_hash(t): 1 for _, t, _ in part}), "size": sum(len(t) for _, t, _ in part), "linked": sum(n for _, _, n in part)})
     return out
 
 
@@ -204,39 +225,60 @@ class Wrapper:
                 merged.append(old)
         self.terms = merged
 
+    def state(self) -> str:
+        return json.dumps([self.pages, [{**t, "texts": list(t["texts"].items())} for t in self.terms]])
+
+    @staticmethod
+    def parts(state: str) -> tuple[list[dict], int]:
+        """What :meth:`merge` takes, of a wrapper's state."""
+        pages, terms = json.loads(state)
+        return [{**t, "group": tuple(t["group"]), "texts": Counter(dict(map(tuple, t["texts"])))} for t in terms], pages
+
     def expression(self) -> str:
         """The wrapper as a regular expression over groups, for people."""
         return " ".join(f"({' '.join(t['group'])})" + "+" * t["repeated"] + "?" * (t["seen"] < self.pages) + ("=const" if max(t["texts"].values(), default=0) == t["seen"] > 1 else "=#") for t in self.terms)
 
     def labels(self) -> dict:
-        """What reading a page needs: terms with template texts and whether links make them up, the article's root, linked paths."""
+        """What reading a page needs: every term's group, the label of each of its paths (article or not) and
+        template texts; and the label of each path where most of its text has it."""
         size, linked = Counter(), Counter()
         for t in self.terms:
             for p in t["group"]:
                 size[p] += t["size"] / len(t["group"])
                 linked[p] += t["linked"] / len(t["group"])
         fixed = [sorted(h for h, n in t["texts"].items() if n >= max(FIXED_PAGES, FIXED_SHARE * t["seen"])) for t in self.terms]
-        open_ = [p for p in size if not outside(p) and linked[p] <= 0.5 * size[p]]
-        inside = [p for p in open_ if in_article(p)]
-        root = ""
-        if not inside and open_:
-            variable = Counter()
-            for t, f in zip(self.terms, fixed):
-                if not f or t["repeated"]:
-                    for p in t["group"]:
-                        if p in open_:
-                            variable[p] += t["size"] / len(t["group"])
-            total, depth = sum(variable.values()), Counter()
-            for p, n in variable.items():
-                steps = p.split("/")
-                for i in range(1, len(steps) + 1):
-                    depth["/".join(steps[:i])] += n
-            most = [p for p, n in depth.items() if n >= 0.6 * total]
-            root = max(most, key=lambda p: (p.count("/"), p), default="")
-            if re.match(r"(p|h\d|li|td|blockquote|pre)\b", root.rsplit("/", 1)[-1]):
-                root = root.rpartition("/")[0]  # the container of the paragraphs, not the paragraphs
-        terms = [[t["group"], f, t["linked"] > 0.5 * t["size"]] for t, f in zip(self.terms, fixed)]
-        return {"root": root, "terms": terms, "links": sorted(p for p in size if linked[p] > 0.5 * size[p])}
+        links = {p for p in size if linked[p] > 0.5 * size[p] and not _is_title(p)}
+        open_ = {p for p in size if not outside(p) and p not in links}
+        article = {p for p in open_ if in_article(p)}
+        if not article and open_:
+            root = self._root(open_, fixed)
+            article = {p for p in open_ if not root or p == root or p.startswith(root + "/")} or open_
+        terms, by_path = [], Counter()
+        for t, f in zip(self.terms, fixed):
+            lists = t["linked"] > 0.5 * t["size"] and not any(map(_is_title, t["group"]))
+            keep = [p in article and not lists for p in t["group"]]
+            terms.append([t["group"], keep, f])
+            for p, k in zip(t["group"], keep):
+                by_path[p] += t["size"] if k else -t["size"]
+        return {"terms": terms, "paths": {p: n > 0 for p, n in by_path.items()}}
+
+    def _root(self, open_: set[str], fixed: list) -> str:
+        """The deepest container of most of the slots' text."""
+        variable = Counter()
+        for t, f in zip(self.terms, fixed):
+            if not f or t["repeated"]:
+                for p in t["group"]:
+                    if p in open_:
+                        variable[p] += t["size"] / len(t["group"])
+        total, depth = sum(variable.values()), Counter()
+        for p, n in variable.items():
+            steps = p.split("/")
+            for i in range(1, len(steps) + 1):
+                depth["/".join(steps[:i])] += n
+        most = [p for p, n in depth.items() if n >= 0.6 * total]
+        root = max(most, key=lambda p: (p.count("/"), p), default="")
+        # The container of the paragraphs, not the paragraphs.
+        return root.rpartition("/")[0] if re.match(r"(p|h\d|li|td|blockquote|pre)\b", root.rsplit("/", 1)[-1]) else root
 
 
 def _aligned(old: list, new: list):
@@ -247,12 +289,24 @@ def _steps(path: str) -> list[list[str]]:
     return [s.split(".") for s in path.split("/")]
 
 
+def _is_title(path: str) -> bool:
+    return path.rsplit("/", 1)[-1].split(".")[0] == "h1"
+
+
 @lru_cache(1 << 16)
 def outside(path: str) -> bool:
     """Whether tags or class words tell that a block is no part of the article."""
+    steps = _steps(path)
+    last = max((i for i, (name, *_) in enumerate(steps) if name in ARTICLE), default=-1)
     inside = False
-    for name, *words in _steps(path):
-        if name in OUTSIDE or (name == "header" and not inside) or OUTSIDE_WORDS.intersection(words):
+    for i, (name, *words) in enumerate(steps):
+        if name in ("html", "body"):
+            continue  # their classes tell of the whole page
+        if name in OUTSIDE and not (name == "form" and i < last):  # a form around everything is none of its parts
+            return True
+        if not inside and (name == "header" or HEAD_WORDS.intersection(words)):
+            return True
+        if (OUTSIDE_WORDS - HEAD_WORDS).intersection(words):
             return True
         inside |= name in ARTICLE
     return False
@@ -274,23 +328,23 @@ def _known(old: tuple, new: tuple) -> list[int]:
 
 
 def read(page: str, labels: dict) -> str:
-    """The article's blocks of one page, by its wrapper."""
+    """The article's blocks of one page, by its wrapper: without one, none."""
     found = blocks(page)
-    terms, links, root = labels["terms"], set(labels["links"]), labels["root"]
+    terms, paths, kept = labels["terms"], labels["paths"], []
     folded = fold([p for p, _, _ in found])
-    known = _known(tuple(tuple(t[0]) for t in terms), tuple(g for g, _, _ in folded))
-    kept = []
-    for (group, i, k), j in zip(folded, known):
-        fixed, linked = (terms[j][1], terms[j][2]) if j >= 0 else ((), any(p in links for p in group))
-        if not linked:
-            kept += [(p, t) for p, t, n in found[i : i + k * len(group)] if not outside(p) and n <= 0.5 * len(t) and not (fixed and _hash(t) in fixed)]
-    inside = [x for x in kept if in_article(x[0])]
-    if inside:
-        kept = inside
-    elif root:
-        under = [x for x in kept if x[0] == root or x[0].startswith(root + "/")]
-        kept = under or kept
-    return "\n".join(t for _, t in kept)
+    known = _known(tuple(tuple(t[0]) for t in terms), tuple(g for g, *_ in folded))
+    for (group, i, n, _), j in zip(folded, known):
+        keep, fixed = (dict(zip(terms[j][0], terms[j][1])), terms[j][2]) if j >= 0 else (paths, ())
+        for p, t, linked in found[i : i + n]:
+            if keep.get(p) and (linked <= 0.5 * len(t) or _is_title(p)) and not (fixed and _hash(t) in fixed):
+                kept.append(t)
+    return "\n".join(kept)
+
+
+def page_name(page: list[tuple[str, str, int]]) -> int:
+    """What tells pages from copies of them: the title, else the longest text."""
+    title = next((t for p, t, _ in page if p.rsplit("/", 1)[-1].split(".")[0] in ("title", "h1")), None)
+    return _hash(title if title is not None else max((t for _, t, _ in page), key=len, default=""))
 
 
 _STREAM = "host string, page long, stream long, at int, text long, size long, linked long, repeated boolean, groups string"
@@ -302,7 +356,8 @@ def _streams(batches):
     for batch in batches:
         out = []
         for host, page in zip(*(c.to_pylist() for c in batch.columns)):
-            terms, h = page_terms(blocks(page)), _hash(page)
+            found = blocks(page)
+            terms, h = page_terms(found), page_name(found)
             groups = json.dumps([t["group"] for t in terms])
             stream = _hash(groups)
             out.append((host, h, stream, -1, 0, 0, 0, False, groups))
@@ -313,8 +368,8 @@ def _streams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * len(types), types)], names)
 
 
-def _infer_host(rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's wrapper from its distinct streams, the commonest first."""
+def _infer(rows: pd.DataFrame) -> pd.DataFrame:
+    """A wrapper of some of a host's distinct streams, the commonest first."""
     w = Wrapper()
     heads = rows[rows["at"] < 0].sort_values(["n", "stream"], ascending=[False, True])
     parts = dict(iter(rows[rows["at"] >= 0].sort_values("at").groupby("stream")))
@@ -326,7 +381,30 @@ def _infer_host(rows: pd.DataFrame) -> pd.DataFrame:
                 for g, rep, size, linked, texts in zip(json.loads(groups), part["repeated"], part["size"], part["linked"], part["texts"])
             ]
             w.merge(new, int(n))
-    return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(w.labels())]})
+    return _state(rows, w)
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """Wrappers of groups of a host's streams as one, that of most pages first."""
+    w = Wrapper()
+    for state in rows.sort_values(["pages", "part"], ascending=[False, True])["state"]:
+        w.merge(*Wrapper.parts(state))
+    return _state(rows, w)
+
+
+def _state(rows: pd.DataFrame, w: Wrapper) -> pd.DataFrame:
+    return pd.DataFrame({"host": rows["host"].iloc[:1], "part": rows["part"].iloc[:1], "pages": [w.pages], "state": [w.state()], "wrapper": [json.dumps(w.labels())]})
+
+
+def wrappers(terms: DataFrame) -> DataFrame:
+    """host, wrapper from the summed terms of all streams, in rounds of ``FAN_IN``."""
+    schema = "host string, part long, pages long, state string, wrapper string"
+    width = terms.where("at < 0").groupBy("host").agg(F.ceil(F.count("*") / FAN_IN).alias("width"))
+    some = terms.join(width, "host").withColumn("part", F.pmod("stream", F.col("width")).cast("long"))
+    now = written(some.groupBy("host", "part").applyInPandas(_infer, schema), "html-wrappers")
+    while (most := now.agg(F.max("part")).first()[0]) and most > 0:
+        now = written(now.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("host", "part").applyInPandas(_merge, schema), "html-wrappers")
+    return now.select("host", "wrapper")
 
 
 _labels = lru_cache(4096)(json.loads)
@@ -334,7 +412,7 @@ _labels = lru_cache(4096)(json.loads)
 
 def _read(batches):
     for batch in batches:
-        found = [read(h or "", _labels(w)) for h, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist())]
+        found = [read(h or "", _labels(w)) if w else "" for h, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -343,13 +421,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     ship(pages.sparkSession)
     host, _ = host_path(url)
     src = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
-    # Texts are counted by hash over all pages, copies of a page once; what reaches a host's group is its distinct
+    # Texts are counted by hash over all pages, copies of a page once; what reaches a host's groups is its distinct
     # streams and the texts that several of its pages have.
-    rows = src.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_streams, _STREAM).distinct()
+    rows = src.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_streams, _STREAM)
+    own = [F.max(c).alias(c) for c in ("size", "linked", "repeated", "groups")]
+    rows = rows.groupBy("host", "stream", "at", "text", "page").agg(*own)
     sums = [F.sum(c).alias(c) for c in ("size", "linked")] + [F.max(c).alias(c) for c in ("repeated", "groups")]
     by_text = written(rows.groupBy("host", "stream", "at", "text").agg(F.count("*").alias("n"), *sums), "html-texts")
     often = by_text.where("at >= 0").groupBy("host", "text").agg(F.sum("n").alias("m")).where(F.col("m") >= FIXED_PAGES).select("host", "text", F.lit(True).alias("often"))
     some = F.collect_list(F.when(F.col("often"), F.struct("text", "n"))).alias("texts")
     terms = by_text.join(often, ["host", "text"], "left").groupBy("host", "stream", "at").agg(F.max("n").alias("n"), *sums, some)
-    wrappers = written(terms.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string"), "html-wrappers")
-    return src.select("page_id", "url", "host", "html").join(wrappers, "host", "left").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
+    return src.select("page_id", "url", "host", "html").join(wrappers(terms), "host", "left").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
