@@ -404,7 +404,7 @@ def wrappers(terms: DataFrame) -> DataFrame:
     now = written(some.groupBy("host", "part").applyInPandas(_infer, schema), "html-wrappers")
     while (most := now.agg(F.max("part")).first()[0]) and most > 0:
         now = written(now.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("host", "part").applyInPandas(_merge, schema), "html-wrappers")
-    return now.select("host", "wrapper")
+    return written(now.select("host", "wrapper"), "html-wrappers")  # without the states, so that its size tells how it can be joined
 
 
 _labels = lru_cache(4096)(json.loads)
