@@ -8,20 +8,26 @@ Within a source a document expects f copies, f = min(cap, c * g): g grows with t
 length, and c, found the same way from one row per (source, length class), makes the expected words
 meet the target. The whole part of f is taken for certain. What is left, p = f - floor(f), is an
 inclusion probability: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of the key, and
-taken in that order up to the words still wanted, so the sample has a fixed size in words. The gap that
-the document at the cut leaves is closed by the longest documents that fit it, two at most.
+taken in that order up to the words still wanted, so the sample has a fixed size in words. Where the
+next document does not fit, the order goes on with the ones that do, looking at the next ``FILL`` of each
+length class.
 
 The cut in each source's ranking comes from word counts by rank interval, refined twice, so that a hot
-source is never sorted in one task: only rows inside one interval of 2**-20 of a source are ordered.
+source is never sorted in one task: only distinct documents inside one interval of 2**-20 of a source are
+ordered. Rows that repeat key and size draw the same number and are one entry of the order with their
+count; where the words end inside such an entry, just as many of its rows are taken as fit, numbered
+within each partition of the input and then across them.
 
 Edge cases: null text has no words; null source is a source of its own, last in order; the empty
-source is a source; documents without words are taken zero times; rows that repeat a key draw the same
-number (ties in rank are ordered by key and size); an empty table gives an empty result; other columns
-are not read.
+source is a source; documents without words are taken zero times; ties in rank are ordered by key and
+size; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +35,7 @@ from voxelloom.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPLIT = 1 << 10  # rank intervals of each refinement
-FILL_ROUNDS = 2
+FILL = 64  # documents of each length class that may close a source's gap
 
 
 def word_count(text: str | Column) -> Column:
@@ -94,9 +100,12 @@ def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("b2", F.least(F.floor((F.col("rank") * SPLIT - F.col("b1")) * SPLIT), F.lit(SPLIT - 1)))
 
 
+HERE = ("rank", "doc_id", "size")
+
+
 def _within():
     """Whether a row lies before its source's cut."""
-    here = F.struct("rank", "doc_id", "size")
+    here = F.struct(*HERE)
     return (
         F.when(F.col("rank").isNull() | (F.col("want") <= 0), False)
         .when(F.col("c1").isNull(), True)  # all that can be drawn is wanted
@@ -106,15 +115,14 @@ def _within():
     )
 
 
-def _filled(rounds: int):
-    here, out = F.struct("rank", "doc_id", "size"), F.lit(False)
-    for i in range(rounds):
-        out = out | F.coalesce(here == F.col(f"fill{i}"), F.lit(False))
-    return out
+def _fill():
+    """Of the entries that fill a source's gap the row's own one, else null: rows taken (n) of how many (m)."""
+    own = lambda x: (x["rank"] == F.col("rank")) & x["doc_id"].eqNullSafe(F.col("doc_id")) & (x["size"] == F.col("size"))
+    return F.get(F.filter("fills", own), F.lit(0))
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
-    """One row per source: words wanted, the cut in its ranking, and the documents that fill the gap."""
+    """One row per source: words wanted, the cut in its ranking, and the entries beyond it that fill the gap."""
     certain = rows.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     wanted = certain.select("sid", F.greatest(F.lit(0.0), F.col("target") - F.col("certain")).alias("want"))
     drawn = rows.where("rank is not null")
@@ -123,24 +131,28 @@ def _cuts(rows: DataFrame) -> DataFrame:
     inside = drawn.join(cut1.withColumnRenamed("c1", "b1"), ["sid", "b1"])
     second = _before(inside.groupBy("sid", "b2").agg(F.sum("size").alias("words"), F.first("want2").alias("want2"), F.first("b1").alias("c1")), "b2")
     cut2 = second.where("before <= want2 and before + words > want2").groupBy("sid").agg(F.min("c1").alias("c1"), F.min("b2").alias("c2"), F.min(F.col("want2") - F.col("before")).alias("want3"))
-    edge = drawn.join(cut2.withColumnsRenamed({"c1": "b1", "c2": "b2"}), ["sid", "b1", "b2"])
-    order = Window.partitionBy("sid").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size")
-    last = edge.withColumn("upto", upto).where("upto <= want3").groupBy("sid").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"), F.max("upto").alias("upto"))
+    edge = drawn.join(cut2.withColumnsRenamed({"c1": "b1", "c2": "b2"}), ["sid", "b1", "b2"]).groupBy("sid", *HERE).agg(F.count("*").alias("m"), F.first("want3").alias("want3"))
+    order = Window.partitionBy("sid").orderBy(*HERE)
+    edge = edge.withColumn("upto", F.sum(F.col("size") * F.col("m")).over(order))
+    last = edge.where("upto <= want3").groupBy("sid").agg(F.max(F.struct(*HERE)).alias("last"), F.max("upto").alias("upto"))
     cuts = wanted.join(cut2, "sid", "left").join(last, "sid", "left").withColumn("gap", F.col("want3") - F.coalesce("upto", F.lit(0)))
-    cuts = cuts.select("sid", "want", "c1", "c2", "last", "gap")
-    # The document at the cut seldom fits. The longest ones that fit close the gap, one in each round.
-    for i in range(FILL_ROUNDS):
-        cuts = written(cuts, "mix-cuts")
-        open_ = rows.where("rank is not null and size > 0").join(cuts.where("gap >= 1"), "sid").where(~_within() & ~_filled(i) & (F.col("size") <= F.col("gap")))
-        fill = open_.groupBy("sid").agg(F.max(F.struct("size", -F.col("rank"), "doc_id")).alias("f")).select("sid", F.struct((-F.col("f.col2")).alias("rank"), "f.doc_id", "f.size").alias(f"fill{i}"))
-        cuts = cuts.join(fill, "sid", "left").withColumn("gap", F.col("gap") - F.coalesce(F.col(f"fill{i}.size"), F.lit(0)))
-    return written(cuts.drop("gap"), "mix-cuts")
+    cuts = written(cuts.select("sid", "want", "c1", "c2", "last", "gap"), "mix-cuts")
+    # The order goes on with what fits. Of each length class only the intervals that hold its next ``FILL`` rows are read.
+    beyond = rows.where("rank is not null and size > 0").join(cuts.where("gap >= 1"), "sid").where(~_within() & (F.col("size") <= F.col("gap")))
+    held = beyond.groupBy("sid", "kind", "b1").agg(F.count("*").alias("n"))
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy("sid", "kind").orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bound = held.withColumn("upto", upto).where(F.col("upto") < FILL).groupBy("sid", "kind").agg(F.max("b1").alias("top"))
+    entries = beyond.join(bound, ["sid", "kind"]).where("b1 <= top").groupBy("sid", "kind", *HERE).agg(F.count("*").alias("m"))
+    entries = entries.withColumn("i", F.row_number().over(Window.partitionBy("sid", "kind").orderBy(*HERE))).where(F.col("i") <= FILL)
+    entries = entries.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct(*HERE, "m"))).alias("next"))
+    step = """aggregate(next, named_struct('gap', gap, 'fills', cast(array() as array<struct<rank:double,doc_id:bigint,size:bigint,m:bigint,n:bigint>>)), (a, x) ->
+        IF(x.size <= a.gap, named_struct('gap', a.gap - least(x.m, cast(floor(a.gap / x.size) as bigint)) * x.size, 'fills', array_append(a.fills, named_struct('rank', x.rank, 'doc_id', x.doc_id, 'size', x.size, 'm', x.m, 'n', least(x.m, cast(floor(a.gap / x.size) as bigint))))), a)).fills"""
+    return written(cuts.join(entries, "sid", "left").withColumn("fills", F.expr(step)).drop("next", "gap"), "mix-cuts")
 
 
 def _decided(docs: DataFrame, weights: list[float], cap: float, seed: int, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Slim rows of all documents, the plan per source and length class, the cuts per source."""
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.spark_partition_id().alias("part"))
     base = written(_prepared(base, "source", "size", seed), "mix-base")
     kinds = base.groupBy("source", "sid", "kind").agg(F.sum("size").alias("words"))
     targets = source_targets(kinds.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -153,14 +165,28 @@ def _decided(docs: DataFrame, weights: list[float], cap: float, seed: int, key:
     return base, plan, _cuts(_ranked(base, plan))
 
 
-def _copies():
-    return (F.col("whole") + (_within() | _filled(FILL_ROUNDS)).cast("long")).cast("long")
+def _copied(rows: DataFrame, cuts: DataFrame, part: str) -> DataFrame:
+    """``rows`` (of :func:`_ranked`) with ``copies``. Rows alike of which only some are taken are numbered:
+    within each value of ``part``, a partition of the input, and from how many the others before it hold."""
+    rows = rows.join(cuts, "sid").withColumn("fill", _fill())
+    some = F.coalesce(F.col("fill.n") < F.col("fill.m"), F.lit(False))
+    own = F.col("whole") + (_within() | F.col("fill").isNotNull()).cast("long")
+    names = [c for c in rows.columns if c not in ("want", "c1", "c2", "last", "fills", "fill")]
+    if cuts.where(F.exists("fills", lambda x: x["n"] < x["m"])).isEmpty():
+        return rows.select(*names, own.alias("copies"))
+    alike = rows.where(some)
+    counts = alike.groupBy("sid", *HERE, part).agg(F.count("*").alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy("sid", *HERE).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in ("sid", *HERE, part)], before.alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("sid", *HERE, part).orderBy("size"))
+    alike = alike.join(counts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("sid", *HERE, part)])).select(*names, (F.col("whole") + (number <= F.col("fill.n")).cast("long")).alias("copies"))
+    return rows.where(~some).select(*names, own.alias("copies")).unionByName(alike)
 
 
 def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row per row of ``docs``."""
     base, plan, cuts = _decided(docs, weights, cap, seed, key, text, source)
-    out = _ranked(base, plan).join(cuts, "sid").withColumn("copies", _copies())
+    out = _copied(_ranked(base, plan), cuts, "part")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -168,9 +194,10 @@ def mixed(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: int = 1
     """``docs`` itself in the mix: rows not taken go, rows taken several times are repeated.
 
     Every row is decided from its own columns and its source's few rows of plan and cuts, so the texts
-    are not exchanged while those tables are small enough to be sent (Spark decides by their size).
+    are not exchanged while those tables are small enough to be sent (Spark decides by their size). Only
+    rows alike at a source's cut are, to be numbered.
     """
     _, plan, cuts = _decided(docs, weights, cap, seed, key, text, source)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(source).alias("_source"), word_count(text).alias("size"))
-    taken = _ranked(_prepared(rows, "_source", "size", seed), plan).join(cuts, "sid").withColumn("copies", _copies()).where("copies > 0 and size > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(source).alias("_source"), word_count(text).alias("size"), F.spark_partition_id().alias("part"))
+    taken = _copied(_ranked(_prepared(rows, "_source", "size", seed), plan), cuts, "part").where("copies > 0 and size > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -1,18 +1,20 @@
 """Personal data: base patterns, and bootstrapped contextual extraction. SQL functions only.
 
 Base spans come from four patterns. The method then learns where identifiers stand: every token that
-has a digit run or an at sign is an instance, known ones (of a base span) are seeds of their kind, and
-the words around an instance (two before; one before and one after) are its lexical patterns. Patterns and
-instances form a bipartite graph, scored in rounds: a pattern's confidence is the mean confidence of
-its distinct instances (discounted for few), an instance's is one minus the product over its trusted
-patterns of their doubts. Patterns that are trusted after the last round and rest on ``MIN_SEEDS``
-distinct seeds discover the unseen tokens that stand in them, in whatever format: a pattern speaks for a
-token by its confidence, times the shares of its seeds that have an at sign and letters where the token has
-(or lack them with it), times how near their digit counts are; a token of joint score ``TRUST`` is a span
-of the kind that scores best.
+has a digit or an at sign is an instance, and the words around it (two before; one before and one after,
+whole words whatever their length) are its lexical patterns. Patterns and instances form a bipartite
+graph. Tokens that base spans cover are the first seeds of their kind. Each round scores the patterns, a
+pattern's confidence in a kind being the mean confidence of its distinct instances in it (discounted for
+few), and trusts those of ``TRUST`` that rest on ``MIN_SEEDS`` accepted instances; trusted patterns then
+speak for the unseen tokens that stand in them, in whatever format: a pattern speaks for a token by its
+confidence, times the shares of its instances that have an at sign and letters where the token has (or
+lack them with it), times how near their digit counts are. A token of joint score ``TRUST`` (one minus the
+product of its patterns' doubts) is accepted for the kind that scores best, and is a seed of the next
+round, where it induces new patterns. The patterns of the last round discover the spans that are added.
 
 The graph holds distinct (pattern, instance) pairs of the whole corpus, gathered by partial aggregates,
-and scores move by joins on either side; nothing is collected.
+and scores move by joins on either side; nothing is collected. Tokens meet the base spans of their row by
+blocks of ``BLOCK`` characters, so that rows with very many of both make no pairs beyond a block.
 
 Edge cases: null text is empty text; without seeds nothing is added; repeated rows are judged each;
 a null key is returned as it is; an empty table gives an empty result; other columns are not read.
@@ -39,7 +41,9 @@ _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 MIN_SEEDS = 3
 TRUST = 0.6
-ROUNDS = 3
+ROUNDS = 4
+#: Characters of a block in which tokens meet base spans.
+BLOCK = 256
 
 
 def _digits(m: Column) -> Column:
@@ -62,73 +66,78 @@ VALID = {
 
 
 def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, base (array of s, k, e) and the rows' tokens that may be identifiers."""
+    """doc_id, base (array of s, k, e) and the rows' tokens (with their words around) that may be identifiers."""
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    src = with_matches(src, "text", PATTERNS | {"tok": (TOKEN, None)})
+    src = with_matches(src, "text", PATTERNS | {"tok": (TOKEN, None)}, context="tok").drop("text")
     kept = {k: F.filter(F.col(k), VALID[k]) for k in KINDS}
-    return src.withColumns(kept).withColumn("base", tagged({k: i for i, k in enumerate(KINDS)}))
+    return src.withColumns(kept).select("doc_id", tagged({k: i for i, k in enumerate(KINDS)}).alias("base"), "tok")
 
 
-def _features(t: Column) -> list[Column]:
+SOFT = ("at", "letters", "digits")
+
+
+def _features(t: Column) -> dict[str, Column]:
     """Soft evidence of a token's kind: at sign, letters, number of digits."""
-    return [t.contains("@").cast("double").alias("at"), t.rlike(r"\p{L}").cast("double").alias("letters"), F.length(_digits(t)).cast("double").alias("digits")]
+    return {"at": t.contains("@").cast("double"), "letters": t.rlike(r"\p{L}").cast("double"), "digits": F.length(_digits(t)).cast("double")}
+
+
+def _blocks() -> Column:
+    return F.explode(F.sequence(F.floor(F.col("s") / BLOCK), F.floor((F.col("e") - 1) / BLOCK))).alias("block")
 
 
 def _instances(slim: DataFrame) -> DataFrame:
     """One row per identifier-like token: place, text, its patterns and the base kind that covers it, if any."""
-    one = slim.select("rid", "base", F.explode("toks").alias("t")).select("rid", "base", "t.*")
-    over = F.filter("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    kind = F.get(F.transform(over, lambda b: b["k"]), F.lit(0))
-    two = F.lower(F.regexp_extract("left", r"(\S+\s+\S+)\s*$", 1))
-    near = F.concat_ws(" _ ", F.lower(F.regexp_extract("left", r"(\S+)\s*$", 1)), F.lower(F.regexp_extract("right", r"^\s*(\S+)", 1)))
-    patterns = F.filter(F.array(F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " ")), F.concat(F.lit("1 "), near)), lambda p: F.length(p) > 5)
-    return one.select("rid", "s", "e", F.lower("tok").alias("tok"), kind.alias("kind"), patterns.alias("patterns"))
+    one = slim.select("rid", (F.size("base") > 0).alias("known"), F.explode("tok").alias("t")).select("rid", "known", "t.*")
+    two = F.when(F.size("left") == 2, F.concat(F.lit("2 "), F.lower(F.array_join("left", " "))))
+    near = F.when((F.size("left") > 0) | F.col("right").isNotNull(), F.concat(F.lit("1 "), F.concat_ws(" _ ", F.lower(F.try_element_at("left", F.lit(-1))), F.lower("right"))))
+    patterns = F.filter(F.array(two, near), lambda p: F.length(p) > 5)
+    one = one.select("rid", "known", "s", "e", F.lower("m").alias("tok"), patterns.alias("patterns"))
+    spans = slim.where(F.size("base") > 0).select("rid", F.explode("base").alias("b")).select("rid", "b.*").select("rid", "k", F.col("s").alias("bs"), F.col("e").alias("be"), _blocks())
+    meet = one.where("known").select("rid", "s", "e", _blocks()).join(spans, ["rid", "block"]).where("bs < e and be > s")
+    kinds = meet.groupBy("rid", "s").agg(F.min(F.struct("bs", "k")).getField("k").alias("kind"))
+    names = ["rid", "s", "e", "tok", "kind", "patterns"]
+    return one.where("known").join(kinds, ["rid", "s"], "left").select(*names).unionByName(one.where("not known").withColumn("kind", F.lit(None).cast("int")).select(*names))
+
+
+def _spoken(free: DataFrame, trusted: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, kind, conf: what trusted patterns speak for among ``free`` (by, tok, pattern), with joint scores of ``TRUST``."""
+    own = free.select(*by, "pattern", *[f.alias(f"own_{c}") for c, f in _features(F.col("tok")).items()])
+    same = [1 - F.abs(F.col(f"own_{c}") - F.col(c)) for c in ("at", "letters")]
+    near = (F.least("own_digits", "digits") + 1) / (F.greatest("own_digits", "digits") + 1)
+    score = F.col("conf") * same[0] * same[1] * F.when(F.col("own_at") > 0, 1.0).otherwise(near * near)  # names, not digits, make addresses
+    joint = own.join(trusted, "pattern").withColumn("score", score).groupBy(*by, "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("conf")).where(F.col("conf") >= TRUST)
+    best = joint.groupBy(*by).agg(F.max(F.struct("conf", -F.col("kind"))).alias("x"))
+    return best.select(*by, (-F.col("x.col2")).alias("kind"), "x.conf")
 
 
-def score_patterns(occurrences: DataFrame) -> DataFrame:
-    """pattern, kind, conf, at, letters, digits: trusted patterns with what their seeds are like, from rounds over the graph."""
+def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """pattern, kind, conf, at, letters, digits: trusted patterns with what their instances are like."""
     edges = occurrences.select(F.explode("patterns").alias("pattern"), "tok", "kind").groupBy("pattern", "tok").agg(F.max("kind").alias("kind"))
     edges = written(edges, "pii-edges")
-    seeds = edges.where("kind is not null").groupBy("tok").agg(F.max("kind").alias("kind"))
-    inst = seeds.select("tok", "kind", F.lit(1.0).alias("conf"))
-    # Only patterns that some seed stands in can ever be trusted.
-    rooted = edges.where("kind is not null").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    live = written(edges.join(rooted, "pattern").select("pattern", "tok", F.col("kind").alias("seed_kind")), "pii-live")
-    size = live.groupBy("pattern").agg(F.count("*").alias("n"))
-    for _ in range(ROUNDS):
-        score = live.join(inst, "tok").groupBy("pattern", "kind").agg(F.sum("conf").alias("sum")).join(size, "pattern")
-        trusted = score.select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("conf")).where(F.col("conf") >= TRUST)
+    size = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS), "pii-sizes")
+    seeds = written(edges.where("kind is not null").groupBy("tok").agg(F.max("kind").alias("kind")).withColumn("conf", F.lit(1.0)), "pii-seeds")
+    unseen = edges.join(seeds.select("tok"), "tok", "left_anti")
+    accepted = seeds
+    for i in range(rounds):
+        hits = edges.select("pattern", "tok").join(accepted, "tok").withColumns(_features(F.col("tok")))
+        like = [F.avg(c).alias(c) for c in SOFT]
+        score = hits.groupBy("pattern", "kind").agg(F.sum("conf").alias("sum"), F.count("*").alias("m"), *like).where(F.col("m") >= MIN_SEEDS).join(size, "pattern")
+        trusted = score.select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("conf"), *SOFT).where(F.col("conf") >= TRUST)
         trusted = written(trusted, "pii-patterns")
-        found = live.where("seed_kind is null").join(trusted, "pattern").groupBy("tok", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("conf"))
-        inst = written(seeds.select("tok", "kind", F.lit(1.0).alias("conf")).unionByName(found.join(seeds.select("tok"), "tok", "left_anti")), "pii-instances")
-    like = live.where("seed_kind is not null").select("pattern", F.col("seed_kind").alias("kind"), *_features(F.col("tok")))
-    like = like.groupBy("pattern", "kind").agg(*[F.avg(c).alias(c) for c in ("at", "letters", "digits")])
-    return trusted.join(like, ["pattern", "kind"])
-
-
-def discovered(free: DataFrame, trusted: DataFrame) -> DataFrame:
-    """rid, s, e, k: the occurrences (rid, s, e, tok, pattern) that trusted patterns speak for."""
-    own = free.select("rid", "s", "e", "pattern", *[f.alias(f"own_{c}") for c, f in zip(("at", "letters", "digits"), _features(F.col("tok")))])
-    j = own.join(trusted, "pattern")
-    same = [1 - F.abs(F.col(f"own_{c}") - F.col(c)) for c in ("at", "letters")]
-    near = (F.least("own_digits", "digits") + 1) / (F.greatest("own_digits", "digits") + 1)
-    score = F.col("conf") * same[0] * same[1] * F.when(F.col("own_at") > 0, 1.0).otherwise(near * near)  # names, not digits, make addresses
-    joint = j.withColumn("score", score).groupBy("rid", "s", "e", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("score")).where(F.col("score") >= TRUST)
-    return joint.groupBy("rid", "s", "e").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("k"))
+        if i < rounds - 1:
+            accepted = written(seeds.unionByName(_spoken(unseen, trusted, ["tok"])), "pii-accepted")
+    return trusted
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added: one row per row of ``docs``."""
-    src = base_spans(docs, key, text)
-    # Sixty-four characters to either side hold the two words that a pattern is made of.
-    toks = F.expr("transform(tok, t -> named_struct('s', t.s, 'e', t.e, 'tok', t.m, 'left', substring(text, greatest(t.s - 63, 1), least(t.s, 64)), 'right', substring(text, t.e + 1, 64)))")
-    slim = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", toks.alias("toks"))
+    slim = base_spans(docs, key, text).withColumn("rid", F.monotonically_increasing_id())
     slim = written(slim, "pii-slim")
     seen = written(_instances(slim), "pii-instances")
     trusted = score_patterns(seen)
     free = seen.where("kind is null").select("rid", "s", "e", "tok", F.explode("patterns").alias("pattern"))
-    added = discovered(free, trusted).select("rid", F.struct("s", "k", "e").alias("x")).groupBy("rid").agg(F.collect_set("x").alias("added"))
+    added = _spoken(free, trusted, ["rid", "s", "e"]).select("rid", F.struct("s", F.col("kind").alias("k"), "e").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("added"))
     out = slim.select("rid", "doc_id", "base").join(added, "rid", "left")
     out = out.withColumn("added", F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>")))
-    out = out.withColumn("all", F.array_sort(F.array_union("base", "added")))
+    out = out.withColumn("all", F.array_sort(F.concat("base", "added")))
     return out.select("doc_id", *counted("base", KINDS), F.sha2(listed("base", KINDS), 256).alias("base_sha256"), listed("all", KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"))

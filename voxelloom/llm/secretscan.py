@@ -25,12 +25,12 @@ from voxelloom.session import written
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret"]
 _VALUE = "[A-Za-z0-9+/_.=-]"
 PATTERNS = {
-    "assign": (rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?{_VALUE}++""", "text rlike '[:=]'"),
+    "assign": (rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?{_VALUE}++""", "text rlike '[:=]'"),
     "access": (r"AKIA[A-Z0-9]++", "contains(text, 'AKIA')"),
     "hex": (r"[0-9a-f]{24,}+", None),
     "weak_id": (r"""(?i:\b(?:user(?:name)?|login|account|client|access_?key)(?:_?id)?["']?\x20*[:=]\x20*["']?)[A-Za-z0-9@._+-]{3,}+""", "text rlike '[:=]'"),
     "weak_secret": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/=_-]{20})(?=[A-Za-z+/=_-]*+[0-9])(?=[a-z0-9+/=_-]*+[A-Z])(?=[A-Z0-9+/=_-]*+[a-z])[A-Za-z0-9+/=_-]++", "text rlike '[0-9]'"),
-    "endpoint": (r"""(?:[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]++|(?i:\b(?:host(?:name)?|endpoint|server|url))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}+)""", "text rlike '[:=]'"),
+    "endpoint": (r"""(?:(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]++|(?i:\b(?:host(?:name)?|endpoint|server|url))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}+)""", "text rlike '[:=]'"),
 }
 #: The last group of an assignment, of which six characters are needed.
 _LAST = rf"[:=]\x20*[\"']?({_VALUE}+)$"
