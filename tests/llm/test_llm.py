@@ -233,8 +233,8 @@ def test_links_are_complete_for_dense_groups(spark, distance):
     signed = [v - (1 << 64) if v >> 63 else v for v in sorted(fp)]
     old, simhash.BLOCK = simhash.BLOCK, 64  # deals out the hot keys
     try:
-        links = simhash.fingerprint_links(spark.createDataFrame([(v, v) for v in signed], "fp long, id long"), (distance,))
-        found = {r.node: r.label for r in components.components(links).collect()}
+        links = simhash.fingerprint_links(spark.createDataFrame([(v, v, i) for i, v in enumerate(signed)], "fp long, id long, least long"), distance, (distance,))
+        found = {r.node.id: r.label.id for r in components.components(links).collect()}
     finally:
         simhash.BLOCK = old
     want = brute_components({v: v for v in signed}, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= distance)
@@ -251,6 +251,53 @@ def test_near_copies_by_similarity(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "_gone"]
 
 
+def edited(rng, words, kind, share):
+    """A copy with a share of its words changed in place, or as many added to, or cut from, its end."""
+    n, own = max(1, round(share * len(words))), [str(w) for w in rng.choice(ZIPF, len(words), p=ODDS)]
+    if kind == "scattered":
+        out = list(words)
+        for i in rng.choice(len(words), n, replace=False):
+            out[i] = own[i]
+        return out
+    return [*words, *own[:n]] if kind == "appended" else words[:-n]
+
+
+ZIPF = np.array([f"w{i}" for i in range(4000)])
+ODDS = 1 / np.arange(2, 4002)
+ODDS /= ODDS.sum()
+
+
+def jaccard(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("kind, share", [("scattered", 0.02), ("appended", 0.2), ("cut", 0.17)])
+def test_near_copies_of_every_kind(spark, kind, share):
+    """Nine in ten pairs of Jaccard 0.8 to 0.9, whatever the edit; none of unrelated texts."""
+    rng, data, near = np.random.default_rng(7), [], {}
+    for i in range(400):
+        words = [str(w) for w in rng.choice(ZIPF, int(rng.integers(80, 500)), p=ODDS)]
+        copy = edited(rng, words, kind, share * rng.uniform(0.6, 1.2))
+        near[i] = jaccard(words, copy)
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[k] in (k, k - k % 2) for k in got)
+    wanted = [i for i, j in near.items() if 0.8 <= j < 0.9]
+    assert len(wanted) > 60 and np.mean([got[2 * i + 1] == 2 * i for i in wanted]) >= 0.9
+    assert np.mean([got[2 * i + 1] == 2 * i for i, j in near.items() if j < 0.6] or [0]) < 0.1
+
+
+def test_near_copies_of_repeated_and_null_keys(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(1, a), (1, a), (1, a + " more"), (2, a), (2, b), (None, b), (None, "quite alone here"), (None, "quite alone here"), (3, None), (4, " ")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("h", F.lit(0))
+    kept = sorted(map(str, ((r.doc_id, r.text) for r in simhash.drop_near_copies(df).collect())))
+    assert kept in [sorted(map(str, [(1, x), (2, b), (None, "quite alone here"), (3, None)])) for x in (a, a + " more")]
+    exact = sorted(map(str, ((r.doc_id, r.text) for r in exact_dedup.drop_copies(df).collect())))
+    assert exact == sorted(map(str, [(1, a + " more"), (2, a), (2, b), (None, "quite alone here"), (3, None), (4, " ")]))
+
+
 def test_threshold_programme():
     cost, t = simhash.allocate([[0, 5, 50], [0, 1, 2], [0, 9, 90]], 4)
     every = [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if a + b + c == 5]

@@ -21,7 +21,7 @@ from typing import Iterator  # noqa: UP035  the hint that Spark looks for
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.session import ship, written
@@ -197,8 +197,27 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def without(docs: DataFrame, gone: DataFrame, again: DataFrame | None, key: str, digest: Column) -> DataFrame:
+    """``docs`` without the rows whose key and digest are in ``gone``, and with one row of each in ``again``.
+
+    Both hold doc_id and h (the digest), distinct; ``again`` names rows that are there several times.
+    """
+    names = docs.columns
+    own = docs.select(F.struct(*names).alias("_row"), F.col(key).cast("long").alias("_key"), digest.alias("_h"))
+    same = lambda t: own["_key"].eqNullSafe(t["doc_id"]) & (own["_h"] == t["h"])
+    kept = own.join(gone, same(gone), "left_anti")
+    if again is not None:
+        again = written(again, "again")
+        if not again.isEmpty():
+            one = own.join(again, same(again), "left_semi").dropDuplicates(["_key", "_h"])
+            kept = kept.join(again, same(again), "left_anti").unionByName(one)
+    return kept.select("_row.*")
+
+
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` does not keep. ``key`` must be unique."""
-    gone = exact_groups(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = written(gone, "exact-gone")
-    return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` without the rows that :func:`exact_groups` does not keep; of rows that repeat key and text one stays."""
+    found = written(exact_groups(docs, key, text).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("h"), "kept"), "exact-found")
+    gone = written(found.where(~F.col("kept")).select("doc_id", "h").distinct(), "exact-gone")
+    again = found.where("kept").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    lower = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return without(docs, gone, again, key, F.sha2(lower, 256))

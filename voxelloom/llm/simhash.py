@@ -10,15 +10,19 @@ Probing works on distinct fingerprints. A part with threshold t gives one key pe
 bits, equal for all values within t of each other. Rows that share a key are verified together; a key
 with more than ``BLOCK`` rows is dealt out as pairs of blocks, each a group of its own. From one group
 come its links or, where they are many, a spanning forest of them: components stay exact and a group
-of near copies gives as many rows as it has members, not their square.
+of near copies gives as many rows as it has members, not their square. A node is the pair of its smallest
+key and its fingerprint, so the smallest node of a component tells the component's smallest key, and no
+join gathers a component.
 
 Edge cases: null and blank texts have fingerprint zero and link like any other; repeated rows and
-equal texts share a fingerprint; null keys are ignored when the smallest key is taken; an empty table
-gives an empty result; very long texts are hashed whole, in slices; other columns are not read.
+equal texts share a fingerprint; null keys are ignored when the smallest key is taken (null where all are);
+an empty table gives an empty result; very long texts are hashed whole, in slices; other columns are not
+read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import acos, comb, pi, sqrt
 
@@ -29,14 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.llm.components import components
+from voxelloom.llm.exact_dedup import without
 from voxelloom.session import ship, written
 
 SEED = 42
-LONG_MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Members of a key that are verified in one group.
 BLOCK = 4096
 #: Cost of a key row (made, exchanged, sorted, sent to Python) against checking one candidate pair in a vector operation.
 KEY_COST = 1500.0
+#: Independent fingerprints of a text's words by which near copies meet, and words of the long one that verifies them.
+FAMILIES, LONG = 2, 8
+#: Key of nodes that have none.
+NO_KEY = (1 << 63) - 1
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
 
 
 def shingle_hashes(data: bytes, k: int) -> np.ndarray:
@@ -53,34 +63,48 @@ def shingle_hashes(data: bytes, k: int) -> np.ndarray:
     return np.fromiter((xxh(view[a:b], SEED) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, n - k + 1)
 
 
-def majority(h: np.ndarray) -> int:
-    """Bit set where more than half of the hashes have it; zero for no hashes."""
-    if not len(h):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 15):
-        bits = np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+def majorities(h: np.ndarray) -> np.ndarray:
+    """For each row of hashes the bits that more than half of them have; zero for no hashes."""
+    m, n = h.shape
+    ones, base = np.zeros((m * 8, 8)), (256 * np.arange(m * 8)).reshape(m, 1, 8)
+    for i in range(0, n, 1 << 13):  # how often each byte has each value, then each bit
+        b = np.ascontiguousarray(h[:, i : i + (1 << 13)]).astype("<u8", copy=False).view(np.uint8).reshape(m, -1, 8)
+        ones += np.bincount((b + base).ravel(), minlength=m * 2048).reshape(-1, 256) @ _BITS
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").reshape(m, 8).view("<u8")[:, 0]
 
 
 def fingerprint(data: bytes, k: int) -> int:
-    return majority(shingle_hashes(data, k))
+    return int(majorities(shingle_hashes(data, k)[None])[0])
+
+
+def _mixed(h: np.ndarray, first: int, n: int) -> np.ndarray:
+    """n further hashes of each hash, one row each."""
+    x = (h[None] ^ (np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
+    return x ^ (x >> np.uint64(29))
+
 
+def word_and_shingle_hashes(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct words and of its distinct k-word shingles (all words, where there are fewer)."""
+    w = shingle_hashes(data, 1)
+    if not len(w):
+        return w, w
+    n, s = max(1, len(w) - k + 1), np.zeros(max(1, len(w) - k + 1), np.uint64)
+    for i in range(min(k, len(w))):
+        s = (s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + w[i : i + n]
+    return np.unique(w), np.unique(s)
 
-def long_fingerprint(data: bytes, k: int) -> bytes:
-    """256 bits over k-word shingles: majorities of each hash and of three further mixes of it."""
-    h, out = shingle_hashes(data, k), []
-    for m in LONG_MIX:
-        x = h * np.uint64(m)
-        out.append(majority(x ^ (x >> np.uint64(32))).to_bytes(8, "little"))
-    return b"".join(out)
 
+def near_fingerprints(data: bytes, k: int) -> np.ndarray:
+    """``FAMILIES`` fingerprints of the distinct words, then ``LONG`` of the distinct shingles."""
+    words, shingles = word_and_shingle_hashes(data, k)
+    return np.r_[majorities(_mixed(words, 1, FAMILIES)), majorities(_mixed(shingles, 101, LONG))]
 
-def long_limit(similarity: float) -> int:
-    """Bits of 256 within which texts of that Jaccard similarity lie nearly always (1.3 deviations)."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(256 * p + 1.3 * sqrt(256 * p * (1 - p)))
+
+def long_limit(similarity: float, deviations: float = 1.65) -> int:
+    """Bits of the long fingerprint within which texts of that Jaccard similarity lie nearly always."""
+    p, n = acos(2 * similarity / (1 + similarity)) / pi, 64 * LONG
+    return int(n * p + deviations * sqrt(n * p * (1 - p)))
 
 
 def _fingerprints(k: int):
@@ -93,20 +117,19 @@ def _fingerprints(k: int):
     return run
 
 
-def _fingerprint_pairs(k: int):
-    """Short fingerprint over the distinct words, long one over k-word shingles, and an id of both."""
+def _fingerprint_sets(k: int):
+    """Fingerprints of the words, the long one of the shingles, and an id of all."""
+    names = ["doc_id", "h", *[f"fp{i}" for i in range(FAMILIES)], "check", "id"]
 
     def run(batches):
         for batch in batches:
-            keys, texts = batch.columns
-            fp, check, ids = [], [], []
-            for t in texts:
-                b = bytes(t.as_buffer()) if t.is_valid else b""
-                fp.append(majority(np.unique(shingle_hashes(b, 1))))
-                check.append(long_fingerprint(b, k))
-                ids.append(xxhash.xxh3_64_intdigest(fp[-1].to_bytes(8, "little") + check[-1]))
-            as_long = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, ids)]
-            yield pa.RecordBatch.from_arrays([keys, as_long[0], pa.array(check, pa.binary()), as_long[1]], ["doc_id", "fp", "check", "id"])
+            keys, hashes, texts = batch.columns
+            rows = [near_fingerprints(bytes(t.as_buffer()) if t.is_valid else b"", k) for t in texts]
+            x = np.array(rows, np.uint64).reshape(-1, FAMILIES + LONG)
+            ids = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64)
+            check = pa.array([r[FAMILIES:].tobytes() for r in rows], pa.binary())
+            fps = [pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for i in range(FAMILIES)]
+            yield pa.RecordBatch.from_arrays([keys, hashes, *fps, check, pa.array(ids.view(np.int64))], names)
 
     return run
 
@@ -196,10 +219,11 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
 
 
 def _within(x: np.ndarray, y: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
-    """Whether rows of fingerprints lie within all limits; a second limit is over all later words."""
-    near = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= limits[0]
-    if len(limits) > 1 and near.any():
-        near &= np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(-1, dtype=np.int64) <= limits[1]
+    """Which rows of fingerprints lie within all limits; a second limit is over all later words."""
+    near = np.flatnonzero(np.bitwise_count(x[:, 0] ^ y[..., 0]) <= limits[0])
+    if len(limits) > 1 and len(near):
+        far = np.bitwise_count(x[near, 1:] ^ (y[near, 1:] if y.ndim > 1 else y[1:])).sum(-1, dtype=np.int64)
+        near = near[far <= limits[1]]
     return near
 
 
@@ -208,7 +232,7 @@ def _near(x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]) -> tuple[np.n
     if len(x) <= 512:
         a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None, 0] ^ x[None, :, 0]) <= limits[0], 1))
         ok = _within(x[a], x[b], limits)
-        if ok.sum() <= 4 * len(x):
+        if len(ok) <= 4 * len(x):
             return ids[a[ok]], ids[b[ok]]
     left, us, vs = np.arange(len(x)), [], []
     while len(left):
@@ -216,36 +240,37 @@ def _near(x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]) -> tuple[np.n
         while stack and len(left):
             p = stack.pop()
             hit = _within(x[left], x[p], limits)
-            if hit.any():
-                found, left = left[hit], left[~hit]
-                us.append(np.full(len(found), ids[p]))
+            if len(hit):
+                found, left = left[hit], np.delete(left, hit)
+                us.append(np.repeat(ids[p : p + 1], len(found), axis=0))
                 vs.append(ids[found])
                 stack.extend(found)
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
 
 
 def _verify(limits: tuple[int, ...]):
     """Over rows sorted by key: verifies each run of one key, holding one run and one batch.
 
-    Columns: key, fp, id and, under two limits, the long fingerprint.
+    Columns: key, fp, id, least and, under two limits, the long fingerprint.
     """
-    width = 1 + 4 * (len(limits) - 1)
+    width = 1 + LONG * (len(limits) - 1)
 
     def run(batches):
-        k, x, ids = np.zeros(0, np.int64), np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
+        k, x, ids = np.zeros(0, np.int64), np.zeros((0, width), np.uint64), np.zeros((0, 2), np.int64)
 
         def out(n):
             us, vs = _runs(k[:n], x[:n], ids[:n], limits)
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)) for e in (us, vs)], ["u", "v"])
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for e in (u, v) for c in e.T], ["u", "u_least", "v", "v_least"])
 
         for batch in batches:
             new = batch.column(1).to_numpy().view(np.uint64)[:, None]
             if width > 1:
-                long = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, 4)
+                long = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(-1, LONG)
                 new = np.concatenate([new, long], axis=1)
-            k, x, ids = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([x, new]), np.concatenate([ids, batch.column(2).to_numpy()])
+            node = np.stack([batch.column(c).to_numpy() for c in (2, 3)], axis=1)
+            k, x, ids = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([x, new]), np.concatenate([ids, node])
             last = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last run may go on
             yield from out(last)
             k, x, ids = k[last:], x[last:], ids[last:]
@@ -278,39 +303,47 @@ def _runs(k: np.ndarray, x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]
     return us, vs
 
 
-def _keyed(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+def _keyed(fps: DataFrame, fp: str, seed: int, parts: list[tuple[list[int], int]], carried: list[str]) -> DataFrame:
     keys = []
     for p, (bits, t) in enumerate(parts):
         for c, gone in enumerate(combinations(bits, t)):
             kept = _signed(_mask(set(bits) - set(gone)))
-            # The number of the part and of the masked bits goes into the key, so keys of different parts never meet.
-            keys.append(F.xxhash64(F.lit(p), F.lit(c), F.col("fp").bitwiseAND(F.lit(kept))))
-    return fps.select(F.explode(F.array(*keys)).alias("k"), *fps.columns)
+            # The numbers of the fingerprint, part and masked bits go into the key, so keys of different ones never meet.
+            keys.append(F.xxhash64(F.lit(seed), F.lit(p), F.lit(c), F.col(fp).bitwiseAND(F.lit(kept))))
+    return fps.select(F.explode(F.array(*keys)).alias("k"), F.col(fp).alias("fp"), *carried)
 
 
-def fingerprint_links(fps: DataFrame, limits: tuple[int, ...]) -> DataFrame:
-    """u, v: links between ids, connecting exactly what lies within the limits.
+def fingerprint_links(fps: DataFrame, distance: int, limits: tuple[int, ...], families: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """u, v: links between nodes (least, id) that lie within the limits: all that some fingerprint has within
+    ``distance``, and those beyond that share a key anyway.
 
-    ``fps``: distinct rows of fp, id and, under two limits, check (the long fingerprint).
+    ``fps``: distinct rows of id, least, the fingerprints named by ``families`` and, under two limits, check
+    (the long fingerprint).
     """
-    keyed = _keyed(fps, plan(fps, limits[0]))
+    carried = ["id", "least"] + ["check"] * (len(limits) - 1)
+    rows = [c for c in ("k", "fp", *carried)]
+    keyed = reduce(DataFrame.unionByName, [_keyed(fps, c, i, plan(fps.select(F.col(c).alias("fp")), distance), carried) for i, c in enumerate(families)])
     hot = written(keyed.groupBy("k").count().where(F.col("count") > BLOCK).select("k", F.ceil(F.col("count") / BLOCK).cast("int").alias("b")), "sim-hot")
-    rows = keyed
+    every = keyed
     if not hot.isEmpty():
         own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("b")).cast("int")
         dealt = keyed.join(hot, "k").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
         blocks = F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k")
-        rows = keyed.join(hot, "k", "left_anti").unionByName(dealt.select(blocks, *fps.columns))
-    rows = rows.repartition("k").sortWithinPartitions("k").select("k", *fps.columns)
-    return rows.mapInArrow(_verify(limits), "u long, v long")
+        every = keyed.join(hot, "k", "left_anti").unionByName(dealt.select(blocks, *rows[1:]))
+    every = every.repartition("k").sortWithinPartitions("k").select(*rows)
+    found = every.mapInArrow(_verify(limits), "u long, u_least long, v long, v_least long")
+    return found.select(*[F.struct(F.col(f"{c}_least").alias("least"), F.col(c).alias("id")).alias(c) for c in "uv"])
+
 
+def _labelled(nodes: DataFrame, distance: int, limits: tuple[int, ...], families: tuple[str, ...]) -> DataFrame:
+    """id, component_id from nodes of id, least (smallest key, or ``NO_KEY``) and fingerprints."""
+    labels = components(fingerprint_links(nodes, distance, limits, families)).select(F.col("node.id").alias("id"), F.col("label.least").alias("label"))
+    found = F.coalesce("label", "least")
+    return nodes.select("id", "least").join(labels, "id", "left").select("id", F.when(found < NO_KEY, found).alias("component_id"))
 
-def _labelled(nodes: DataFrame, limits: tuple[int, ...]) -> DataFrame:
-    """id, component_id from nodes of id, least (smallest key) and fingerprints."""
-    labels = components(fingerprint_links(nodes.drop("least"), limits))
-    named = nodes.join(labels, nodes["id"] == labels["node"], "left").select("id", "least", F.coalesce("label", "id").alias("label"))
-    named = written(named, "sim-named")
-    return named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("id", "component_id")
+
+def _least(key: str = "doc_id"):
+    return F.coalesce(F.min(key), F.lit(NO_KEY)).alias("least")
 
 
 def simhash_components(docs: DataFrame, words: int, distance: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,31 +351,46 @@ def simhash_components(docs: DataFrame, words: int, distance: int, key: str = "d
     ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     slim = written(source.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "sim-slim")
-    nodes = written(slim.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.col("fp").alias("id"), "least"), "sim-distinct")
-    ids = _labelled(nodes, (distance,)).withColumnRenamed("id", "fp")
+    nodes = written(slim.groupBy("fp").agg(_least()).select("fp", F.col("fp").alias("id"), "least"), "sim-distinct")
+    ids = _labelled(nodes, distance, (distance,), ("fp",)).withColumnRenamed("id", "fp")
     return slim.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _near_rows(docs: DataFrame, words: int, similarity: float, distance: int, limit: int, key: str, text: str) -> DataFrame:
+    """doc_id, h (hash of the text), component_id: one row per row of ``docs``."""
+    ship(docs.sparkSession)
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
+    families = tuple(f"fp{i}" for i in range(FAMILIES))
+    slim = written(source.mapInArrow(_fingerprint_sets(words), f"doc_id long, h long, {' long, '.join(families)} long, check binary, id long"), "near-slim")
+    nodes = slim.groupBy("id").agg(_least(), *[F.first(c).alias(c) for c in (*families, "check")])
+    ids = _labelled(written(nodes, "near-distinct"), distance, (limit, long_limit(similarity)), families)
+    return slim.select("doc_id", "h", "id").join(ids, "id").select("doc_id", "h", "component_id")
+
+
+def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, limit: int = 18, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id: documents whose word shingles have about ``similarity`` (Jaccard) or more.
 
-    Candidates lie within ``distance`` bits by 64-bit fingerprints of their distinct words, which move
-    less than those of shingles when a word changes; a link needs 256-bit fingerprints of the shingles
-    within :func:`long_limit` bits too, far from what unrelated texts reach at any corpus size.
+    Candidates share a key of one of two independent 64-bit fingerprints of their distinct words, which
+    move less than those of shingles when a word changes. All within ``distance`` bits do, and most within
+    ``limit``, the furthest that is looked at. A link needs 512-bit fingerprints of the distinct shingles
+    within :func:`long_limit` bits, far from what unrelated texts reach at any corpus size.
     """
-    ship(docs.sparkSession)
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    slim = written(source.mapInArrow(_fingerprint_pairs(words), "doc_id long, fp long, check binary, id long"), "near-slim")
-    nodes = slim.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("check").alias("check"))
-    nodes = written(nodes.select("fp", "id", "check", "least"), "near-distinct")
-    return slim.select("doc_id", "id").join(_labelled(nodes, (distance, long_limit(similarity))), "id").select("doc_id", "component_id")
+    return _near_rows(docs, words, similarity, distance, limit, key, text).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest key, of each component. ``key`` must be unique.
+    """``docs`` with one row, that of the smallest key, of each component.
 
-    Texts without words are one group.
+    Of rows of one key in one component that with the smallest hash of its text stays, of rows that repeat
+    key and text one. Texts without words are one group.
     """
-    found = near_components(docs, words, similarity, key=key, text=text)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-gone")
-    return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
+    found = written(_near_rows(docs, words, similarity, 7, 18, key, text), "near-found")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    same = written(found.where(first).groupBy("component_id").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1"), "near-same")
+    gone = found.where(~first).select("doc_id", "h")
+    again = None
+    if not same.isEmpty():  # several rows of the smallest key
+        tied = found.where(first).join(same, found["component_id"].eqNullSafe(same["component_id"])).select("doc_id", "h", "least")
+        gone = gone.unionByName(tied.where("h <> least").select("doc_id", "h"))
+        again = tied.where("h = least").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    return without(docs, written(gone.distinct(), "near-gone"), again, key, F.xxhash64(text))
