@@ -533,16 +533,17 @@ def test_unlearned_texts_are_rejected(spark):
 
 
 def test_sliced_counts_are_whole():
-    data = ("ab é " * 1000).encode()
-    old = langid.SLICE
-    try:
-        langid.SLICE = 1 << 20
-        whole = langid.counts(data)
-        langid.SLICE = 977
-        cut = langid.counts(data)
-    finally:
-        langid.SLICE = old
-    assert abs(whole.sum() - cut.sum()) <= 2 * (len(data) // 977 + 1)
+    """Of whatever size the slices are, also where they cut runs of blanks."""
+    rng, old = np.random.default_rng(2), langid.SLICE
+    for data in (b"", b" ", b"a", ("ab é   " * 1000).encode(), bytes(rng.choice(np.frombuffer("aB é  .1ü".encode(), np.uint8), 5000))):
+        try:
+            langid.SLICE = 1 << 20
+            whole = langid.counts(data)
+            for langid.SLICE in (1, 2, 3, 977, len(data) or 1):
+                assert (langid.counts(data) == whole).all()
+        finally:
+            langid.SLICE = old
+    assert langid.counts("ab É,,x".encode()).sum() == sum(len(" ab É x ".encode()) - n for n in range(3))
 
 
 # 10: pages

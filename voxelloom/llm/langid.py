@@ -11,11 +11,13 @@ first. Clusters of hardly any training rows are junk and give no centroid.
 
 The classifier is fitted on at most ``MAX_PER_LANG`` labelled rows per language, those with the
 smallest hash of the key, and needs labels and texts alone. Everything else reads every row in full.
+Executors turn the sample into vectors and fit each language; the driver holds the finished model alone,
+``CENTROIDS`` vectors a language.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected; the empty
 label is a label; without any labelled row every text is ``und``; ties go to the label that sorts
 first; an empty table gives an empty result; other columns are not read; long texts are counted in
-slices.
+slices that carry their ends over, which gives the counts of the whole text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.session import ship
+from voxelloom.session import ship, written
 
 DIM = 1 << 13
 #: Labelled rows per language that the classifier is fitted on.
@@ -50,22 +52,21 @@ _FOLD[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
 
 
 def counts(data: bytes) -> np.ndarray:
-    """Counts of hashed byte n-grams (1 to 3) over the whole text."""
-    total = np.zeros(DIM, np.int64)
-    raw = np.frombuffer(data, np.uint8)
-    for i in range(0, len(raw), SLICE):
-        x = _FOLD[raw[max(0, i - 2) : i + SLICE]].astype(np.uint32)
-        new = min(i, 2)  # n-grams that end in an earlier slice are counted there
-        x = np.r_[np.uint32(32), x, np.uint32(32)] if i == 0 else x
-        x = np.r_[x[:new], x[new:][np.r_[True, (x[new + 1 :] | x[new:-1]) != 32]]]  # one blank for several
-        total += np.bincount(x[new:] * np.uint32(31) % DIM, minlength=DIM)
-        if len(x) > 1:
-            two = x[:-1] << 8 | x[1:]
-            two = two if new < 2 else two[1:]
-            total += np.bincount(((two * np.uint32(2654435761)) >> 16) % DIM, minlength=DIM)
-        if len(x) > 2:
-            three = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
-            total += np.bincount(((three * np.uint32(2246822519)) >> 17) % DIM, minlength=DIM)
+    """Counts of hashed byte n-grams (1 to 3) over the whole text, with a blank before and after it."""
+    total, raw = np.zeros(DIM, np.int64), np.frombuffer(data, np.uint8)
+    total[32 * 31 % DIM] += 1  # the blank before
+    before = np.array([32], np.uint32)  # the last two bytes counted
+    for i in range(0, len(raw) + 1, SLICE):
+        x = _FOLD[raw[i : i + SLICE]].astype(np.uint32)
+        x = np.r_[x, np.uint32(32)] if i + SLICE > len(raw) else x
+        x = x[(x | np.r_[before[-1:], x[:-1]]) != 32]  # one blank for several
+        total += np.bincount(x * np.uint32(31) % DIM, minlength=DIM)
+        x, old = np.r_[before, x], len(before)
+        two = (x[:-1] << 8 | x[1:])[old - 1 :]
+        total += np.bincount(((two * np.uint32(2654435761)) >> 16) % DIM, minlength=DIM)
+        three = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        total += np.bincount(((three * np.uint32(2246822519)) >> 17) % DIM, minlength=DIM)
+        before = x[-2:]
     return total
 
 
@@ -146,9 +147,45 @@ def _floors(cos: list[np.ndarray]) -> list[float]:
     return out
 
 
+def _seen(batches):
+    """In how many rows each slot is, over a partition; at -1 the number of rows."""
+    seen, n = np.zeros(DIM, np.int64), 0
+    for batch in batches:
+        for at in batch.column(0).to_pylist():
+            seen[np.frombuffer(at, np.uint16)] += 1
+            n += 1
+    slots = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, slots].astype(np.int32)), pa.array(np.r_[n, seen[slots]])], ["slot", "n"])
+
+
+def _fit_one(sent, centroids: int):
+    """One language's centroids and lowest accepted cosines, from at most ``per_lang`` rows and their beginnings."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        idf = sent.value
+        rows = rows.sort_by([("n", "ascending"), ("at", "ascending"), ("v", "ascending")])
+        slots, values = ([np.frombuffer(b, t) for b in rows[c].to_pylist()] for c, t in (("at", np.uint16), ("v", np.float32)))
+        whole, kind = rows["whole"].to_numpy(), np.searchsorted(LENGTHS, rows["n"].to_numpy())
+
+        def vectors(some: np.ndarray) -> np.ndarray:
+            x = np.zeros((len(some), DIM), np.float32)
+            for v, i in zip(x, some):
+                v[slots[i]] = np.log1p(values[i])
+            x *= idf
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            return x
+
+        c = _centroids(vectors(np.flatnonzero(whole)), centroids).astype(np.float32)
+        floor = _floors([(vectors(np.flatnonzero(kind == k)) @ c.T).max(1) for k in range(len(LENGTHS) + 1)])
+        return pa.table({"lang": rows["lang"].slice(0, 1).cast(pa.string()), "c": pa.array([c.tobytes()], pa.binary()), "floor": pa.array([floor], pa.list_(pa.float64()))})
+
+    return run
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = MAX_PER_LANG, centroids: int = CENTROIDS) -> Model | None:
     """Fits on at most ``per_lang`` rows a language of ``labelled``; None without rows."""
-    ship(labelled.sparkSession)
+    spark = labelled.sparkSession
+    ship(spark)
     rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # The smallest hashes of each language come from labels and hashes alone; one bound per language, of
     # which the model has to hold centroids anyway, then picks the texts in a filter, without an exchange.
@@ -158,28 +195,15 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return None
     bound = F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>")
     some = rows.where(F.col("h") <= F.try_element_at(bound, F.col("lang"))).select("lang", "text")
-    found = some.mapInArrow(_vectors, "lang string, at binary, v binary, n long, whole boolean").toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("at", "ascending"), ("v", "ascending")])
-    slots, values = ([np.frombuffer(b, t) for b in found[c].to_pylist()] for c, t in (("at", np.uint16), ("v", np.float32)))
-    labels, whole, kind = np.array(found["lang"].to_pylist(), object), found["whole"].to_numpy(), np.searchsorted(LENGTHS, found["n"].to_numpy())
-    langs = sorted(set(labels))
-    seen = np.bincount(np.concatenate([slots[i] for i in np.flatnonzero(whole)]), minlength=DIM)
-    idf = np.log((1 + whole.sum()) / (1 + seen)).astype(np.float32) + 1
-
-    def vectors(rows: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(rows), DIM), np.float32)  # of one language, or one class of it, at a time
-        for v, i in zip(x, rows):
-            v[slots[i]] = np.log1p(values[i])
-        x *= idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return x
-
-    cs, floor = [], np.zeros((len(langs), len(LENGTHS) + 1))
-    for j, name in enumerate(langs):
-        own = labels == name
-        cs.append(_centroids(vectors(np.flatnonzero(own & whole)), centroids).astype(np.float32))
-        floor[j] = _floors([(vectors(np.flatnonzero(own & (kind == k))) @ cs[j].T).max(1) for k in range(len(LENGTHS) + 1)])
-    c, of = np.concatenate(cs), np.repeat(np.arange(len(langs)), [len(a) for a in cs])
-    return Model(langs, idf, c, of, floor)
+    sample = written(some.mapInArrow(_vectors, "lang string, at binary, v binary, n long, whole boolean"), "lang-sample")
+    seen = dict(map(tuple, sample.where("whole").select("at").mapInArrow(_seen, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect()))  # DIM slots
+    n = seen.pop(-1, 0)
+    idf = np.full(DIM, np.log(1 + n) + 1, np.float32)
+    idf[list(seen)] = np.log((1 + n) / (1 + np.array(list(seen.values())))) + 1
+    sent = spark.sparkContext.broadcast(idf)
+    found = sample.groupBy("lang").applyInArrow(_fit_one(sent, centroids), "lang string, c binary, floor array<double>").toArrow().sort_by("lang")
+    cs = [np.frombuffer(b, np.float32).reshape(-1, DIM) for b in found["c"].to_pylist()]
+    return Model(found["lang"].to_pylist(), idf, np.concatenate(cs), np.repeat(np.arange(len(cs)), [len(c) for c in cs]), np.array(found["floor"].to_pylist()))
 
 
 def _predict(sent):
