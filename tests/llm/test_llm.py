@@ -181,6 +181,39 @@ def test_neighbours(spark):
     assert len(few) == 4 and ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("small", [{"BLOCK": 40}, {"CUT": 4, "PART": 60, "SAMPLE": 300}])
+def test_neighbours_of_split_parts(spark, small):
+    """Blocks of rows and of queries lose nothing; parts cut again reach the recall, and are several."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(40, 12)) * 3
+    x = (centre[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 12))).astype(np.float32)
+    x[900:1300] = x[900]  # a third of the queries' rows alike
+    data = [(i, v.tolist(), "q") for i, v in enumerate(x)] + [(3, x[3].tolist(), "again")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, query string")
+    old = {k: getattr(ann, k) for k in small}
+    made = []
+    cut, ann._cut_again = ann._cut_again, lambda *a: made.append(cut(*a)) or made[-1]
+    try:
+        for k, v in small.items():
+            setattr(ann, k, v)
+        got = ann.nearest(df, F.col("vec_id") % 4 == 0, k=20).toPandas()
+    finally:
+        ann._cut_again = cut
+        for k, v in old.items():
+            setattr(ann, k, v)
+    assert not made or made[0].parts > 8
+    assert bool(made) == ("CUT" in small) and got["measured_recall"].iloc[0] >= 0.95
+    x64, hit, n = np.r_[x, x[3:4]].astype(float), 0, 0
+    ids = np.r_[np.arange(1500), 3]
+    for q, g in got.groupby("query_id"):
+        s = ann.exact_scores(np.repeat(x64[q : q + 1], len(x64), 0), x64)
+        best = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        g = g.sort_values("rank")
+        hit, n = hit + len(set(best) & set(g["vec_id"])), n + len(set(best))
+        assert list(g["rank"]) == list(range(1, len(g) + 1)) and q not in set(g["vec_id"])
+    assert got["query_id"].nunique() == 375 and hit / n >= 0.9
+
+
 # 4: near copies
 
 
