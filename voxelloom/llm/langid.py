@@ -10,7 +10,8 @@ shorter classes; a class of fewer than ``MIN_CLASS`` texts takes those of the ne
 first. Clusters of hardly any training rows are junk and give no centroid.
 
 The classifier is fitted on at most ``MAX_PER_LANG`` labelled rows per language, those with the
-smallest hash of the key, and needs labels and texts alone. Everything else reads every row in full.
+smallest hash of the key and text (found from counts by power of two of the hash, so that no language is
+ranked in one task), and needs labels and texts alone. Everything else reads every row in full.
 Executors turn the sample into vectors and fit each language; the driver holds the finished model alone,
 ``CENTROIDS`` vectors a language.
 
@@ -93,14 +94,14 @@ def _vectors(batches):
     """Counts of each row and of its beginnings, one per length class below its own, as slots and values."""
     for batch in batches:
         out = []
-        for lang, text in zip(*batch.columns):
+        for lang, h, text in zip(*batch.columns):
             data = bytes(text.as_buffer())
             starts = [data[: 3 * end // 4].decode("utf-8", "ignore").encode() for end in LENGTHS[: np.searchsorted(LENGTHS, len(data))]]
             for d in (data, *starts):
                 c = counts(d)
                 at = np.flatnonzero(c)
-                out.append((lang.as_py(), at.astype(np.uint16).tobytes(), c[at].astype(np.float32).tobytes(), len(d), d is data))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 5, (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], ["lang", "at", "v", "n", "whole"])
+                out.append((lang.as_py(), h.as_py(), at.astype(np.uint16).tobytes(), c[at].astype(np.float32).tobytes(), len(d), d is data))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 6, (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], ["lang", "h", "at", "v", "n", "whole"])
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -158,11 +159,13 @@ def _seen(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, slots].astype(np.int32)), pa.array(np.r_[n, seen[slots]])], ["slot", "n"])
 
 
-def _fit_one(sent, centroids: int):
+def _fit_one(sent, centroids: int, per_lang: int):
     """One language's centroids and lowest accepted cosines, from at most ``per_lang`` rows and their beginnings."""
 
     def run(rows: pa.Table) -> pa.Table:
         idf = sent.value
+        hashes = np.sort(rows["h"].to_numpy()[rows["whole"].to_numpy()])
+        rows = rows.filter(pc.less_equal(rows["h"], int(hashes[: per_lang][-1])))
         rows = rows.sort_by([("n", "ascending"), ("at", "ascending"), ("v", "ascending")])
         slots, values = ([np.frombuffer(b, t) for b in rows[c].to_pylist()] for c, t in (("at", np.uint16), ("v", np.float32)))
         whole, kind = rows["whole"].to_numpy(), np.searchsorted(LENGTHS, rows["n"].to_numpy())
@@ -186,22 +189,25 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Fits on at most ``per_lang`` rows a language of ``labelled``; None without rows."""
     spark = labelled.sparkSession
     ship(spark)
-    rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # The smallest hashes of each language come from labels and hashes alone; one bound per language, of
-    # which the model has to hold centroids anyway, then picks the texts in a filter, without an exchange.
-    first = rows.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang)
-    cuts = {r["lang"]: r["cut"] for r in first.groupBy("lang").agg(F.max("h").alias("cut")).collect()}
+    h = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1)
+    rows = labelled.select(F.col(lang).alias("lang"), h.alias("h"), F.floor(F.log2(h + 1.0)).cast("int").alias("power"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # Each power of two holds about as many rows as all below it, so the first ones that hold ``per_lang`` rows
+    # hold few more. One bound per language, of which the model has to hold centroids anyway, then picks the
+    # texts in a filter, without an exchange.
+    held = rows.groupBy("lang", "power").agg(F.count("*").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("power").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = {r["lang"]: r["cut"] for r in held.withColumn("below", below).where(F.col("below") < per_lang).groupBy("lang").agg(F.max("power").alias("cut")).collect()}
     if not cuts:
         return None
-    bound = F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>")
-    some = rows.where(F.col("h") <= F.try_element_at(bound, F.col("lang"))).select("lang", "text")
-    sample = written(some.mapInArrow(_vectors, "lang string, at binary, v binary, n long, whole boolean"), "lang-sample")
+    bound = F.from_json(F.lit(json.dumps(cuts)), "map<string,int>")
+    some = rows.where(F.col("power") <= F.try_element_at(bound, F.col("lang"))).select("lang", "h", "text")
+    sample = written(some.mapInArrow(_vectors, "lang string, h long, at binary, v binary, n long, whole boolean"), "lang-sample")
     seen = dict(map(tuple, sample.where("whole").select("at").mapInArrow(_seen, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect()))  # DIM slots
     n = seen.pop(-1, 0)
     idf = np.full(DIM, np.log(1 + n) + 1, np.float32)
     idf[list(seen)] = np.log((1 + n) / (1 + np.array(list(seen.values())))) + 1
     sent = spark.sparkContext.broadcast(idf)
-    found = sample.groupBy("lang").applyInArrow(_fit_one(sent, centroids), "lang string, c binary, floor array<double>").toArrow().sort_by("lang")
+    found = sample.groupBy("lang").applyInArrow(_fit_one(sent, centroids, per_lang), "lang string, c binary, floor array<double>").toArrow().sort_by("lang")
     cs = [np.frombuffer(b, np.float32).reshape(-1, DIM) for b in found["c"].to_pylist()]
     return Model(found["lang"].to_pylist(), idf, np.concatenate(cs), np.repeat(np.arange(len(cs)), [len(c) for c in cs]), np.array(found["floor"].to_pylist()))
 
