@@ -181,7 +181,7 @@ def test_neighbours(spark):
     assert len(few) == 4 and ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("small", [{"BLOCK": 40}, {"CUT": 4, "PART": 60, "SAMPLE": 300}])
+@pytest.mark.parametrize("small", [{"BLOCK": 40}, {"CUT": 4, "ROOT": 1.2, "SAMPLE": 300}])
 def test_neighbours_of_split_parts(spark, small):
     """Blocks of rows and of queries lose nothing; parts cut again reach the recall, and are several."""
     rng = np.random.default_rng(1)

@@ -2,9 +2,9 @@
 
 Fit, on a bounded sample: the sample's neighbour graph is cut into balanced parts (recursive bisection
 along the graph's second eigenvector, refined by swaps), and a small classifier (softmax regression on
-the vector) learns to tell the parts. Parts grow in number with the rows, about ``PART`` rows each: where one
-cut of ``CUT`` parts leaves them larger, executors cut every part again by a sample of its own rows, and a
-row's probability of a part is the product of both classifiers'. Index: every row goes to its most
+the vector) learns to tell the parts. Parts grow in number with the square root of the rows: where that is
+more than one cut of ``CUT`` parts, executors cut every part again by a sample of its own rows, and a row's
+probability of a part is the product of both classifiers'. Index: every row goes to its most
 probable part. Search: a query goes to its ``probes`` most probable parts and is reranked exactly there. How
 many parts to probe is measured, not guessed: a few queries are answered exactly over all rows, and the
 parts of their true neighbours tell the fewest probes that reach the wanted recall.
@@ -34,8 +34,8 @@ from voxelloom.session import ship, written
 SAMPLE = 4000
 #: Queries that are answered exactly over all rows to set the number of probes.
 PROBE_QUERIES = 64
-#: Rows that a part should hold, and parts of one cut at most.
-PART, CUT = 2000, 128
+#: Square root of the rows for each part wanted, and parts of one cut at most.
+ROOT, CUT = 12.0, 128
 #: Rows of one part, and queries of one part, searched in one task.
 BLOCK = 20_000
 NEIGHBOURS = 10
@@ -297,7 +297,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.96, key: s
     ok = ok.where(F.size("v") == width)
     by_hash = ok.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id")
     x, _ = _matrix(by_hash.limit(SAMPLE).toArrow()["v"].combine_chunks(), width)
-    wanted = parts or 2 ** max(2, int(np.ceil(np.log2(max(n, 1) / PART))))
+    wanted = parts or 2 ** max(2, round(np.log2(max(n, 1) ** 0.5 / ROOT)))
     router = Router(fit_cut(x, min(wanted, CUT)))
     if wanted > router.parts == CUT:
         router = _cut_again(ok, router, width, min(CUT, wanted // CUT))
