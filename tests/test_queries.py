@@ -41,6 +41,6 @@ def test_oracle(spark, db, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no fixture tables")
-@pytest.mark.parametrize("name", ["agg_pca", "w_gate", "f_pairs", "m_tripair", "m_8pt"])
+@pytest.mark.parametrize("name", ["w_gate", "f_pairs", "m_8pt", "w_loss", "m_ba"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -1,8 +1,11 @@
 """Point-cloud statistics and outlier filters. Quartiles and medians are order statistics at n div 4, n div 2
-and 3n div 4 of the sorted values, found by counting over value ranges where a cloud is large."""
+and 3n div 4 of the sorted values, found by counting over value ranges and ordering only the ranges that hold them."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,16 +14,30 @@ from pyspark.sql import types as T
 XYZ = ("x", "y", "z")
 
 
+#: Value ranges that a group is counted in.
+RANGES = 4096
+
+
 def ranked_values(values: DataFrame, by: list[str], value: str, at: dict[str, Column]) -> DataFrame:
     """Order statistics: for each name, the value at a 0-based rank (an expression of ``n``) within ``by``.
 
-    Distinct values are counted first (partial aggregation), and only their running counts are windowed.
+    Distinct values are counted (partial aggregation), then counts of ``RANGES`` ranges between the least
+    and the largest value tell the range of each rank; only the values inside those ranges are ordered.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(*by)
-    c = counts.withColumn("upto", F.sum("m").over(w.orderBy(value))).withColumn("n", F.sum("m").over(w))
-    pick = [F.min(F.when(F.col("upto") > rank, F.col(value))).alias(name) for name, rank in at.items()]
-    return c.groupBy(*by).agg(F.max("n").alias("n"), *pick)
+    same = lambda t: reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{t}_{c}")) for c in by])
+    named = lambda t: [F.col(c).alias(f"_{t}_{c}") for c in by]
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
+    ends = counts.groupBy(*by).agg(F.sum("_m").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(*named("e"), "n", "_lo", "_hi")
+    part = F.nanvl((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)).cast("double"), F.lit(0.0))
+    bucket = F.when(F.col("_v") >= F.col("_hi"), RANGES - 1).otherwise(F.least(F.floor(part * RANGES), F.lit(RANGES - 1))).cast("int")
+    c = counts.join(ends, same("e")).select(*by, "_v", "_m", "n", bucket.alias("_b"))
+    w = Window.partitionBy(*by).orderBy("_b")
+    sums = c.groupBy(*by, "_b").agg(F.sum("_m").alias("_m"), F.max("n").alias("n")).withColumn("_upto", F.sum("_m").over(w))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in at.items()])).alias("_r")
+    want = sums.select(*named("w"), F.col("_b").alias("_w"), "_upto", F.col("_m").alias("_in"), ranks).where("_r.rank >= _upto - _in and _r.rank < _upto")
+    inside = c.join(want, same("w") & (F.col("_b") == F.col("_w"))).withColumn("_seen", F.col("_upto") - F.col("_in") + F.sum("_m").over(Window.partitionBy(*by, "_r.name").orderBy("_v")))
+    pick = [F.min(F.when((F.col("_r.name") == name) & (F.col("_seen") > F.col("_r.rank")), F.col("_v"))).alias(name) for name in at]
+    return inside.groupBy(*by).agg(F.max("n").alias("n"), *pick)
 
 
 def quartiles(points: DataFrame, axes=XYZ) -> DataFrame:
@@ -119,12 +136,17 @@ def scale_ratio(tracks: DataFrame, limit: int = 500) -> DataFrame:
     return m.agg(F.coalesce(F.max(F.when(F.col("n") >= 3, F.least(F.greatest(F.col("median"), F.lit(0.5)), F.lit(2.0)))), F.lit(1.0)).alias("scale"))
 
 
-def mean_nearest(points: DataFrame, first: int = 100) -> DataFrame:
-    """Mean distance of each of the first points (by point_id) to the nearest other one of them; one row."""
-    f = points.select("point_id", *XYZ).orderBy("point_id").limit(first)
-    o = f.select(*[F.col(c).alias(f"o_{c}") for c in f.columns])
-    d = F.sqrt(sum((F.col(a) - F.col(f"o_{a}")) * (F.col(a) - F.col(f"o_{a}")) for a in XYZ))
-    return f.join(F.broadcast(o), F.col("point_id") != F.col("o_point_id")).groupBy("point_id").agg(F.min(d).alias("d")).agg(F.avg("d").alias("mean_nn"))  # ``first`` rows
+def mean_nearest(points: DataFrame, first: int = 100, among: int | None = None, apart: bool = False) -> DataFrame:
+    """Mean distance of each of the first points (by point_id) to the nearest other point; one row.
+
+    ``among``: only so many first points count as others; ``apart``: points in the same place do not.
+    """
+    every = points.select("point_id", *XYZ)
+    f = every.orderBy("point_id").limit(first).select(*[F.col(c).alias(f"f_{c}") for c in every.columns])
+    others = every if among is None else every.orderBy("point_id").limit(among)
+    d = F.sqrt(sum((F.col(a) - F.col(f"f_{a}")) * (F.col(a) - F.col(f"f_{a}")) for a in XYZ))
+    near = others.join(F.broadcast(f), F.col("point_id") != F.col("f_point_id")).select("f_point_id", d.alias("d"))  # ``first`` rows
+    return near.where(F.col("d") > 0 if apart else F.lit(True)).groupBy("f_point_id").agg(F.min("d").alias("d")).agg(F.avg("d").alias("mean_nn"))
 
 
 def circular_gaps(cameras: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Corners and binary descriptors on grey pixel tables (image_id, x, y, v).
 
-The segment test reads its sixteen neighbours by one equi-join on shifted coordinates: each pixel is
-sent to the sixteen centres that read it. The cheap compass test goes first, so the other twelve are
-fetched for its survivors only.
+The segment test starts with the cheap compass test: each pixel is sent to the four centres that read it.
+Its survivors alone then ask for the sixteen pixels of their circle by an equi-join.
 """
 
 from __future__ import annotations
@@ -21,18 +20,28 @@ THRESHOLD, MARGIN, CELL, MOST = 25, 4, 8, 2000
 ARC = 9
 
 
-def _circle(gray: DataFrame, centres: DataFrame, which) -> DataFrame:
-    """centres with p0..p15 of the wanted circle positions."""
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(CIRCLE) if i in which])
-    sent = gray.select("image_id", F.explode(offsets).alias("o"), "x", "y", F.col("v").alias("w")).select("image_id", (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), "o.i", "w")
-    near = sent.groupBy("image_id", "x", "y").agg(*[F.max(F.when(F.col("i") == i, F.col("w"))).alias(f"p{i}") for i in which])
+def _offsets(which) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(CIRCLE) if i in which])).alias("o")
+
+
+def _compass(gray: DataFrame, centres: DataFrame) -> DataFrame:
+    """centres with the four compass pixels: every pixel goes to the centres around it."""
+    sent = gray.select("image_id", _offsets(COMPASS), "x", "y", F.col("v").alias("w")).select("image_id", (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), "o.i", "w")
+    near = sent.groupBy("image_id", "x", "y").agg(*[F.max(F.when(F.col("i") == i, F.col("w"))).alias(f"p{i}") for i in COMPASS])
     return centres.join(near, ["image_id", "x", "y"])
 
 
+def _circle(gray: DataFrame, centres: DataFrame) -> DataFrame:
+    """centres with p0..p15: they ask for their pixels, which are few against the image."""
+    ask = centres.select("image_id", "x", "y", "v", _offsets(range(16))).select("image_id", "x", "y", "v", "o.i", (F.col("x") + F.col("o.dx")).alias("gx"), (F.col("y") + F.col("o.dy")).alias("gy"))
+    px = gray.select("image_id", F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("v").alias("w"))
+    return ask.join(px, ["image_id", "gx", "gy"]).groupBy("image_id", "x", "y", "v").agg(*[F.max(F.when(F.col("i") == i, F.col("w"))).alias(f"p{i}") for i in range(16)])
+
+
 def compass_test(gray: DataFrame, width: int, height: int, t: int = THRESHOLD) -> DataFrame:
     """Centres inside the margin of whose four compass pixels three are brighter, or three darker, by t."""
     inner = gray.where(F.col("x").between(MARGIN, width - 1 - MARGIN) & F.col("y").between(MARGIN, height - 1 - MARGIN))
-    c = _circle(gray, inner, COMPASS)
+    c = _compass(gray, inner)
     votes = lambda test: reduce(lambda a, b: a + b, [F.when(test(F.col(f"p{i}")), 1).otherwise(0) for i in COMPASS])
     return c.where((votes(lambda p: p > F.col("v") + t) >= 3) | (votes(lambda p: p < F.col("v") - t) >= 3))
 
@@ -48,7 +57,7 @@ def has_arc(bits: list[Column]) -> Column:
 def corners(gray: DataFrame, width: int, height: int, t: int = THRESHOLD) -> DataFrame:
     """image_id, x, y, score: the segment test; bright arcs are tried first, and the score is the least margin."""
     kept = compass_test(gray, width, height, t).select("image_id", "x", "y", "v")
-    c = _circle(gray, kept, range(16))
+    c = _circle(gray, kept)
     p = [F.col(f"p{i}") for i in range(16)]
     margins = {"bright": [q - F.col("v") - t for q in p], "dark": [F.col("v") - q - t for q in p]}
     least = {k: F.array_min(F.filter(F.array(*m), lambda d: d > 0)) for k, m in margins.items()}

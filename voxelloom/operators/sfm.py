@@ -143,58 +143,79 @@ def resect(found: DataFrame) -> DataFrame:
 def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame, rounds: int = 15, damping: float = 10.0, diagonal: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
     """Levenberg-Marquardt over poses, points and observations (image_id, point_id, u, v); the first pose is held.
 
-    Per point (its own observations) the point is eliminated; what is left are sums of 6 x 6 blocks per
-    pair of cameras, aggregated in Spark. Only that camera system comes to the driver. ``diagonal`` keeps
-    blocks of single cameras alone. Rejected steps raise the damping and are tried again. ``POSE`` order: angle-axis, t.
+    A point lies with its own observations in one row, and is eliminated there; batches of points add up their
+    6 x 6 blocks per pair of cameras before Spark does. Only that camera system comes to the driver. ``diagonal``
+    keeps blocks of single cameras alone. Rejected steps raise the damping and are tried again. ``POSE`` order:
+    angle-axis, t.
     """
     cams = {r["image_id"]: np.r_[G.angle_axis(np.reshape(r["r"], (3, 3))), r["t"]] for r in poses.collect()}
     ids = sorted(cams)
-    base = written(observations.join(points, "point_id").select("point_id", "image_id", "u", "v", "x", "y", "z"), "ba")
+    seen = observations.where(F.col("image_id").isin(ids)).groupBy("point_id").agg(*[F.collect_list(c).alias(c) for c in ("image_id", "u", "v")])
+    base = written(seen.join(points, "point_id").select("point_id", "image_id", "u", "v", "x", "y", "z"), "ba")
     points = points.select("point_id", "x", "y", "z")
 
-    def jacobians(rows: pd.DataFrame, now: dict):
-        x = rows[["x", "y", "z"]].to_numpy()[0]
-        for c, u, v in zip(rows["image_id"], rows["u"], rows["v"]):
-            p = now[c]
-            r = G.rotation(p[:3])
-            y = r @ x + p[3:]
-            z = max(y[2], 1e-6)
-            e = np.array([y[0] / z - u, y[1] / z - v])
-            d = np.array([[1 / z, 0, -y[0] / z**2], [0, 1 / z, -y[1] / z**2]])
-            turn = np.stack([(G.rotation(p[:3] + h) - G.rotation(p[:3] - h)) @ x / 2e-4 for h in 1e-4 * np.eye(3)], 1)
-            yield c, e, np.c_[d @ turn, d], d @ r
+    def jacobians(pdf: pd.DataFrame, now: dict):
+        """Of every observation in a batch: its point and camera, error (2), and derivatives by camera (2 x 6) and point (2 x 3)."""
+        n = pdf["image_id"].map(len).to_numpy()
+        pt, u, v = np.repeat(np.arange(len(pdf)), n), np.concatenate(pdf["u"].to_numpy()), np.concatenate(pdf["v"].to_numpy())
+        c = np.searchsorted(ids, np.concatenate(pdf["image_id"].to_numpy()))
+        p = np.stack([now[k] for k in ids])
+        r = np.stack([G.rotation(q[:3]) for q in p])
+        dr = np.stack([[(G.rotation(q[:3] + h) - G.rotation(q[:3] - h)) / 2e-4 for h in 1e-4 * np.eye(3)] for q in p])
+        x = pdf[["x", "y", "z"]].to_numpy()[pt]
+        y = np.einsum("oij,oj->oi", r[c], x) + p[c, 3:]
+        z, zero = np.maximum(y[:, 2], 1e-6), np.zeros(len(c))
+        e = y[:, :2] / z[:, None] - np.stack([u, v], 1)
+        d = np.stack([np.stack([1 / z, zero, -y[:, 0] / z**2], 1), np.stack([zero, 1 / z, -y[:, 1] / z**2], 1)], 1)
+        jc = np.concatenate([d @ np.einsum("okij,oj->oik", dr[c], x), d], axis=2)
+        return n, pt, c, e, jc, d @ r[c]
+
+    def summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, *values.shape[1:]))
+        np.add.at(out, at, values)
+        return out
+
+    def inverse(jp: np.ndarray, pt: np.ndarray, n: int, lam: float) -> np.ndarray:
+        v = summed(np.swapaxes(jp, 1, 2) @ jp, pt, n)
+        return np.linalg.pinv(v + lam * v * np.eye(3) + 1e-12 * np.eye(3))
 
     def eliminate(now: dict, lam: float):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            js = list(jacobians(rows, now))
-            v = sum(jp.T @ jp for *_, jp in js)
-            gp = sum(jp.T @ e for _, e, _, jp in js)
-            vi = np.linalg.pinv(v + lam * np.diag(np.diag(v)) + 1e-12 * np.eye(3))
-            out = []
-            for i, (c, e, jc, jp) in enumerate(js):
-                w = jc.T @ jp
-                out.append((c, c, jc.T @ jc, jc.T @ e - w @ vi @ gp, e @ e, jc.T @ jc))
-                for k, (o, _, jo, po) in enumerate(js):
-                    if i == k or not diagonal:
-                        out.append((c, o, -w @ vi @ (jo.T @ po).T, np.zeros(6), 0.0, np.zeros((6, 6))))
-            return pd.DataFrame([(a, b, np.r_[s.ravel(), g, h.ravel(), q].tolist()) for a, b, s, g, q, h in out], columns=["a", "b", "s"])
+        def run(frames):
+            for pdf in frames:
+                n, pt, c, e, jc, jp = jacobians(pdf, now)
+                vi = inverse(jp, pt, len(pdf), lam)
+                gp = summed(np.einsum("oki,ok->oi", jp, e), pt, len(pdf))
+                w = np.swapaxes(jc, 1, 2) @ jp
+                wv, k = w @ vi[pt], len(ids)
+                own = np.concatenate([(np.swapaxes(jc, 1, 2) @ jc).reshape(-1, 36), np.einsum("oki,ok->oi", jc, e) - np.einsum("oij,oj->oi", wv, gp[pt])], axis=1)
+                own = summed(np.c_[own, own[:, :36], (e * e).sum(1)], c, k)
+                i = np.repeat(np.arange(len(c)), n[pt])  # every two observations of a point
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n[pt]) - n[pt], n[pt]) + (np.cumsum(n) - n)[pt][i]
+                if diagonal:
+                    i = j = np.arange(len(c))
+                pair, at = np.unique(c[i] * k + c[j], return_inverse=True)
+                rows = np.zeros((len(pair), 79))
+                rows[:, :36] = summed(-(wv[i] @ np.swapaxes(w[j], 1, 2)).reshape(-1, 36), at.ravel(), len(pair))
+                a, b = np.asarray(ids)[pair // k], np.asarray(ids)[pair % k]
+                rows[a == b] += own[(pair // k)[a == b]]
+                yield pd.DataFrame({"a": a, "b": b, "s": rows.tolist()})
 
         return run
 
     def move(now: dict, step: dict, lam: float):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            js = list(jacobians(rows, now))
-            v = sum(jp.T @ jp for *_, jp in js)
-            g = sum(jp.T @ (e + jc @ step[c]) for c, e, jc, jp in js)
-            d = -np.linalg.pinv(v + lam * np.diag(np.diag(v)) + 1e-12 * np.eye(3)) @ g
-            return rows.assign(x=rows["x"] + d[0], y=rows["y"] + d[1], z=rows["z"] + d[2])
+        def run(frames):
+            for pdf in frames:
+                _, pt, c, e, jc, jp = jacobians(pdf, now)
+                e = e + np.einsum("oij,oj->oi", jc, np.stack([step[k] for k in ids])[c])
+                d = -np.einsum("pij,pj->pi", inverse(jp, pt, len(pdf), lam), summed(np.einsum("oki,ok->oi", jp, e), pt, len(pdf)))
+                yield pdf.assign(x=pdf["x"] + d[:, 0], y=pdf["y"] + d[:, 1], z=pdf["z"] + d[:, 2])
 
         return run
 
     schema, history = base.schema, []
 
     def system(df: DataFrame, now: dict, lam: float):
-        blocks = df.groupBy("point_id").applyInPandas(eliminate(now, lam), "a int, b int, s array<double>")
+        blocks = df.mapInPandas(eliminate(now, lam), "a int, b int, s array<double>")
         rows = blocks.select("a", "b", F.posexplode("s").alias("i", "v")).groupBy("a", "b", "i").agg(F.sum("v").alias("v")).toPandas()  # cameras squared
         n = 6 * len(ids)
         s, g, h, total = np.zeros((n, n)), np.zeros(n), np.zeros(n), 0.0
@@ -208,7 +229,7 @@ def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame,
             total += x[78]
         return s, g, h, total
 
-    lam, count = damping, base.count()
+    lam, count = damping, base.agg(F.coalesce(F.sum(F.size("u")), F.lit(0))).first()[0]
     s, g, h, total = system(base, cams, lam)
     history.append(float(np.sqrt(total / max(2 * count, 1))))
     for _ in range(rounds):
@@ -217,7 +238,7 @@ def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame,
         d[6:] = -np.linalg.lstsq(m[6:, 6:], g[6:], rcond=None)[0]
         step = {c: d[6 * i : 6 * i + 6] for i, c in enumerate(ids)}
         new = {c: cams[c] + step[c] for c in ids}
-        moved = written(base.groupBy("point_id").applyInPandas(move(cams, step, lam), schema), "ba")
+        moved = written(base.mapInPandas(move(cams, step, lam), schema), "ba")
         again = system(moved, new, max(lam / 3, 1e-6))
         if np.isfinite(again[3]) and again[3] < total:
             done = abs(history[-1] - np.sqrt(again[3] / max(2 * count, 1))) < 1e-7
@@ -232,7 +253,7 @@ def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame,
             s, g, h, total = system(base, cams, lam)
     spark = poses.sparkSession
     out = spark.createDataFrame([(c, G.rotation(p[:3]).ravel().tolist(), p[3:].tolist()) for c, p in sorted(cams.items())], POSE)
-    fresh = base.groupBy("point_id").agg(*[F.first(a).alias(f"n_{a}") for a in "xyz"])
+    fresh = base.select("point_id", *[F.col(a).alias(f"n_{a}") for a in "xyz"])
     pts = points.join(fresh, "point_id", "left").select("point_id", *[F.coalesce(f"n_{a}", a).alias(a) for a in "xyz"])
     return out, pts, history
 

@@ -37,7 +37,16 @@ def agg_cov(spark, sf):
     return P.covariance(X.points(spark, sf))
 
 
-@query(None, ints="n", reals="ratio")
+#: Eigenvalues of a symmetric matrix (c_xx to c_zz) in closed form: e1 >= e2 >= e3.
+def eigen_sql(table: str) -> str:
+    q = f"SELECT *, (c_xx + c_yy + c_zz) / 3 AS q_, c_xy * c_xy + c_xz * c_xz + c_yz * c_yz AS off_ FROM ({table})"
+    p_ = f"SELECT *, sqrt(((c_xx - q_) ** 2 + (c_yy - q_) ** 2 + (c_zz - q_) ** 2 + 2 * off_) / 6) AS p_ FROM ({q})"
+    det = "(c_xx - q_) * ((c_yy - q_) * (c_zz - q_) - c_yz * c_yz) - c_xy * (c_xy * (c_zz - q_) - c_yz * c_xz) + c_xz * (c_xy * c_yz - (c_yy - q_) * c_xz)"
+    f_ = f"SELECT *, CASE WHEN p_ > 0 THEN acos(least(greatest(({det}) / (2 * p_ ** 3), -1), 1)) / 3 ELSE 0 END AS f_ FROM ({p_})"
+    return f"SELECT *, q_ + 2 * p_ * cos(f_) AS e1, q_ + 2 * p_ * cos(f_ - 2 * pi() / 3) AS e2, q_ + 2 * p_ * cos(f_ + 2 * pi() / 3) AS e3 FROM ({f_})"
+
+
+@query("SELECT n, CASE WHEN e1 > 0 THEN e3 / e1 ELSE 0 END AS ratio FROM (" + eigen_sql("SELECT count(*) AS n, " + ", ".join(f"covar_pop({k[2]}, {k[3]}) AS {k}" for k in COV.split()) + " FROM pts") + ")", ints="n", reals="ratio")
 def agg_pca(spark, sf):
     return P.pca(X.points(spark, sf))
 
@@ -89,7 +98,7 @@ def agg_scale(spark, sf):
     return P.scale_ratio(p.select(F.col("point_id").alias("k"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), (1.25 * F.col("x") + 1).alias("bx"), (1.25 * F.col("y") + 0.001 * (F.col("point_id") % 7)).alias("by"), (1.25 * F.col("z")).alias("bz")))
 
 
-NN = "SELECT avg(d) AS mean_nn FROM (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM (SELECT * FROM ppts ORDER BY point_id LIMIT 100) a JOIN (SELECT * FROM ppts ORDER BY point_id LIMIT 100) b ON a.point_id <> b.point_id GROUP BY a.point_id)"
+NN = "SELECT avg(d) AS mean_nn FROM (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM (SELECT * FROM ppts ORDER BY point_id LIMIT 100) a JOIN ppts b ON a.point_id <> b.point_id GROUP BY a.point_id)"
 
 
 @query(NN, reals="mean_nn")
@@ -97,9 +106,14 @@ def j_knn1(spark, sf):
     return P.mean_nearest(X.part_points(spark, sf))
 
 
-@query("SELECT seq, sqrt((x - nx) ** 2 + (y - ny) ** 2 + (z - nz) ** 2) AS gap FROM (SELECT point_id AS seq, x, y, z, " + ", ".join(f"coalesce(lead({a}) OVER (ORDER BY point_id), first_value({a}) OVER (ORDER BY point_id)) AS n{a}" for a in XYZ) + " FROM ppts WHERE point_id < 150)", ints="seq", reals="gap")
+@query("SELECT avg(d) AS mean_nn FROM (SELECT min(d) AS d FROM (SELECT a.point_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM (SELECT * FROM ppts ORDER BY point_id LIMIT 200) a JOIN (SELECT * FROM ppts ORDER BY point_id LIMIT 500) b ON a.point_id <> b.point_id) WHERE d > 0 GROUP BY point_id)", reals="mean_nn")
+def j_knn1_depth(spark, sf):
+    return P.mean_nearest(X.part_points(spark, sf), 200, 500, apart=True)
+
+
+@query("SELECT seq, sqrt((x - nx) ** 2 + (y - ny) ** 2 + (z - nz) ** 2) AS gap FROM (SELECT point_id AS seq, x, y, z, " + ", ".join(f"coalesce(lead({a}) OVER (ORDER BY point_id), first_value({a}) OVER (ORDER BY point_id)) AS n{a}" for a in XYZ) + " FROM ppts)", ints="seq", reals="gap")
 def w_seqdist(spark, sf):
-    return P.circular_gaps(X.part_points(spark, sf).where("point_id < 150").withColumnRenamed("point_id", "seq"))
+    return P.circular_gaps(X.part_points(spark, sf).withColumnRenamed("point_id", "seq"))
 
 
 # A second camera a unit to the right: points are seen from both.

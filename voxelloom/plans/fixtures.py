@@ -90,9 +90,10 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def target(spark: SparkSession, sf: str) -> DataFrame:
-    """A 64 x 48 image in 0..1 from the first events, shifted by one."""
-    e = table(spark, sf, "events").where(F.col("event_id").between(1, 64 * 48)).withColumn("i", F.col("event_id") - 1)
-    return e.select((F.col("i") % 64).cast("int").alias("x"), F.expr("cast(i div 64 as int)").alias("y"), *[(c % 256 / 255.0).alias(k) for c, k in ((F.col("user_id"), "r"), (F.col("event_id") * 11, "g"), (F.col("event_id") * 37, "b"))])
+    """A 64 x 48 image in 0..1: each pixel is the mean of the events that fall on it."""
+    e = table(spark, sf, "events").withColumn("i", (F.col("event_id") - 1) % (64 * 48))
+    mean = [(F.avg(c % 256) / 255.0).alias(k) for c, k in ((F.col("user_id"), "r"), (F.col("event_id") * 11, "g"), (F.col("event_id") * 37, "b"))]
+    return e.groupBy((F.col("i") % 64).cast("int").alias("x"), F.expr("cast(i div 64 as int)").alias("y")).agg(*mean)
 
 
 _C = CAMERA
@@ -113,14 +114,14 @@ CTE = {
     "spl": "SELECT p_partkey AS splat_id, (p_partkey % 41) / 10.0::DOUBLE - 2.0::DOUBLE AS x, p_size / 20.0::DOUBLE - 1.2::DOUBLE AS y, 2.0 + p_retailprice / 500.0 AS z, ln((p_size + 1) / 500.0::DOUBLE) AS scale_x, ln((p_size + 5) / 800.0::DOUBLE) AS scale_y, ln(0.03::DOUBLE) AS scale_z, 1.0::DOUBLE AS rot_w, p_partkey % 7 / 10.0::DOUBLE AS rot_x, p_partkey % 5 / 10.0::DOUBLE AS rot_y, p_partkey % 3 / 10.0::DOUBLE AS rot_z, p_partkey % 13 - 6.0::DOUBLE AS opacity_logit, p_partkey % 11 / 5.0::DOUBLE - 1.0::DOUBLE AS sh_dc_r, p_partkey % 9 / 4.0::DOUBLE - 1.0::DOUBLE AS sh_dc_g, p_partkey % 8 / 3.5::DOUBLE - 1.0::DOUBLE AS sh_dc_b FROM part",
     "packed": "SELECT splat_id, x, y, z, " + ", ".join(f"least(greatest(0.5::DOUBLE + 0.28209479::DOUBLE * sh_dc_{c}, 0), 1) AS {c}" for c in "rgb") + ", exp(scale_x) AS scale_x, exp(scale_y) AS scale_y, exp(scale_z) AS scale_z, 1 / (1 + exp(-opacity_logit)) AS opacity FROM spl",
     "frames": "SELECT event_id AS frame_id, user_id AS session, ts, value / 20000.0 AS px, event_id % 17 / 1000.0::DOUBLE AS py, 0.0::DOUBLE AS pz, event_id % 5 / 1000.0::DOUBLE AS fx, 0.0::DOUBLE AS fy, 1.0::DOUBLE AS fz, event_id % 29 - 14.0::DOUBLE AS dx, value % 50 - 20.0::DOUBLE AS dy FROM events",
-    "target": "SELECT (event_id - 1) % 64 AS x, (event_id - 1) // 64 AS y, user_id % 256 / 255.0::DOUBLE AS r, event_id * 11 % 256 / 255.0::DOUBLE AS g, event_id * 37 % 256 / 255.0::DOUBLE AS b FROM events WHERE event_id BETWEEN 1 AND 3072",
+    "target": "SELECT i % 64 AS x, i // 64 AS y, avg(user_id % 256) / 255.0::DOUBLE AS r, avg(event_id * 11 % 256) / 255.0::DOUBLE AS g, avg(event_id * 37 % 256) / 255.0::DOUBLE AS b FROM (SELECT *, (event_id - 1) % 3072 AS i FROM events) GROUP BY i",
     # Candidates of descriptor matching, ranked from either side.
     "cand": "SELECT a.image_id AS img_a, b.image_id AS img_b, a.feat_id AS fa, b.feat_id AS fb, bit_count(xor(a.d0, b.d0)) + bit_count(xor(a.d1, b.d1)) AS dist FROM feat a JOIN feat b ON a.image_id < b.image_id",
     "ahead": "SELECT img_a, img_b, fa AS feat, max(fb) FILTER (WHERE k = 1) AS match, max(dist) FILTER (WHERE k = 1) AS best, max(dist) FILTER (WHERE k = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY img_a, img_b, fa ORDER BY dist, fb) AS k FROM cand) GROUP BY ALL",
     "back": "SELECT img_a, img_b, fb AS feat, max(fa) FILTER (WHERE k = 1) AS match, max(dist) FILTER (WHERE k = 1) AS best, max(dist) FILTER (WHERE k = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY img_a, img_b, fb ORDER BY dist, fa) AS k FROM cand) GROUP BY ALL",
     "mt": "SELECT a.img_a, a.img_b, a.feat AS feat_a, a.match AS feat_b, a.best AS distance FROM ahead a JOIN back b ON a.img_a = b.img_a AND a.img_b = b.img_b AND a.feat = b.match AND a.match = b.feat WHERE a.best < 64 AND a.best < 0.9 * coalesce(a.second, 999999) AND coalesce(a.second, 999999) > 0 AND b.best < 64 AND b.best < 0.9 * coalesce(b.second, 999999) AND coalesce(b.second, 999999) > 0",
     "pairs": "SELECT img_a, img_b, count(*) AS n FROM mt GROUP BY ALL HAVING count(*) >= 8",
-    "obs": "SELECT image_id, feat_id, feat_id * 3 AS point_id FROM feat WHERE image_id < 3 AND feat_id % 4 < 3",
+    "obs": "SELECT image_id, feat_id, feat_id * 3 AS point_id FROM feat WHERE image_id < 3 AND x < 480",
     # Screen ellipses of the splat fixture under the fixture's camera: it looks along +z, so right is -x and down -y.
     "cov": "SELECT *, 1 - 2 * (qy * qy + qz * qz) AS r00, 2 * (qx * qy - qw * qz) AS r01, 2 * (qx * qz + qw * qy) AS r02, 2 * (qx * qy + qw * qz) AS r10, 1 - 2 * (qx * qx + qz * qz) AS r11, 2 * (qy * qz - qw * qx) AS r12, 2 * (qx * qz - qw * qy) AS r20, 2 * (qy * qz + qw * qx) AS r21, 1 - 2 * (qx * qx + qy * qy) AS r22, exp(2 * scale_x) AS v0, exp(2 * scale_y) AS v1, exp(2 * scale_z) AS v2 FROM (SELECT *, rot_w / q AS qw, rot_x / q AS qx, rot_y / q AS qy, rot_z / q AS qz FROM (SELECT *, sqrt(rot_w * rot_w + rot_x * rot_x + rot_y * rot_y + rot_z * rot_z) AS q FROM spl))",
     "cov6": "SELECT *, " + ", ".join(f"r{i}0 * r{j}0 * v0 + r{i}1 * r{j}1 * v1 + r{i}2 * r{j}2 * v2 AS c{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM cov",

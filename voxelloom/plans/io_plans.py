@@ -9,6 +9,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from voxelloom.functions.splat import MEAN, STD
 from voxelloom.operators import models as M
 from voxelloom.operators import scene as O
 from voxelloom.plans import fixtures as X
@@ -95,13 +96,13 @@ def src_dataset(spark, sf):
 def _lines(spark, sf):
     from voxelloom.session import table
 
-    p = table(spark, sf, "part").where("p_partkey < 40")
+    p = table(spark, sf, "part")
     i = F.col("p_partkey").cast("string")
     row = F.concat_ws(" ", F.concat(F.lit("templeR"), F.lpad(i, 4, "0"), F.lit(".png")), F.lit("1520.4 0 302.32 0 1525.9 246.87 0 0 1 1 0 0 0 1 0 0 0 1"), i, F.lit("0.5"), F.lit("-2"))
     return spark.createDataFrame([("40",)], "value string").unionByName(p.select(row.alias("value")))
 
 
-@query("SELECT 'templeR' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '.png' AS name, 1520.4 AS fx, 302.32 AS cx, 1 AS r00, p_partkey AS t0, -2 AS t2 FROM part WHERE p_partkey < 40", reals="fx cx r00 t0 t2", other="name")
+@query("SELECT 'templeR' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') || '.png' AS name, 1520.4 AS fx, 302.32 AS cx, 1 AS r00, p_partkey AS t0, -2 AS t2 FROM part", reals="fx cx r00 t0 t2", other="name")
 def src_calib(spark, sf):
     c = S.calibration(_lines(spark, sf))
     return c.select("name", F.col("k")[0].alias("fx"), F.col("k")[2].alias("cx"), F.col("r")[0].alias("r00"), F.col("t")[0].alias("t0"), F.col("t")[2].alias("t2"))
@@ -145,19 +146,24 @@ def src_img(spark, sf):
     return p.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("r").alias("r"), F.max("g").alias("g"), F.max("b").alias("b"))
 
 
-@query("SELECT 2 AS n, 12 AS width, 8 AS height", ints="n width height")
+@query("SELECT 'p' || i || '.png' AS file_name, 12 AS width, 8 AS height FROM range(2) g(i)", ints="width height", other="file_name")
 def src_import(spark, sf):
-    return _pictures(spark).agg(F.count("*").alias("n"), F.max("width").alias("width"), F.max("height").alias("height"))
+    """The file that is no picture is left out."""
+    return _pictures(spark).select(F.substring_index("file_name", "/", -1).alias("file_name"), "width", "height")
 
 
-@query("SELECT 192 AS n, 0 AS missing", ints="n missing")
+_SCALED = "((({v} * {k}) / 255.0::DOUBLE) - {m}::DOUBLE) / {s}::DOUBLE"
+_SEEN = " + ".join(_SCALED.format(v=v, k=k, m=m, s=s) for v, k, m, s in zip(("sx", "sy", "i"), (20, 30, 100), MEAN, STD))
+
+
+@query(f"SELECT x, y, count(*) AS n, avg(({_SEEN}) / 3) AS d FROM (SELECT x, y, i, x * 16 // 12 * 12 // 16 AS sx, y * 16 // 8 * 8 // 16 AS sy FROM range(12) h(x) JOIN range(8) v(y) ON true JOIN range(2) g(i) ON true) GROUP BY x, y", ints="x y n", reals="d")
 def n_depth(spark, sf):
-    return M.estimate_depth(_pictures(spark), side=16).agg(F.count("*").alias("n"), F.count_if(F.col("d").isNull()).alias("missing"))
+    return M.estimate_depth(_pictures(spark), side=16).groupBy("x", "y").agg(F.count("*").alias("n"), F.avg("d").alias("d"))
 
 
-@query("SELECT 2 AS n, 24 AS width, 16 AS height", ints="n width height")
+@query("SELECT x, y, count(*) AS n, x // 2 * 20 AS r, y // 2 * 30 AS g, 100 AS b FROM range(24) h(x) JOIN range(16) v(y) ON true JOIN range(2) i(k) ON true GROUP BY x, y", ints="x y n r g b")
 def n_sr(spark, sf):
-    return M.upscale(_pictures(spark)).agg(F.count("*").alias("n"), F.max("width").alias("width"), F.max("height").alias("height"))
+    return S.pixels(M.upscale(_pictures(spark))).groupBy("x", "y").agg(F.count("*").alias("n"), F.max("r").alias("r"), F.max("g").alias("g"), F.max("b").alias("b"))
 
 
 @query("SELECT count(*) * 24 AS bytes FROM spl", ints="bytes")

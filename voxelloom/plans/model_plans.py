@@ -99,7 +99,7 @@ def f_detect(spark, sf):
     return K.detect(X.blocky(spark, sf), *_size(spark, sf))
 
 
-_NN = "(SELECT avg(d) AS m FROM (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM (SELECT * FROM ppts ORDER BY point_id LIMIT 100) a JOIN (SELECT * FROM ppts ORDER BY point_id LIMIT 100) b ON a.point_id <> b.point_id GROUP BY a.point_id))"
+_NN = "(SELECT avg(d) AS m FROM (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM (SELECT * FROM ppts ORDER BY point_id LIMIT 100) a JOIN ppts b ON a.point_id <> b.point_id GROUP BY a.point_id))"
 
 
 @query(f"SELECT point_id AS splat_id, x, ln(m * 0.5) AS scale_x, 2 AS opacity_logit, (r - 0.5) * 2 AS sh_dc_r FROM ppts, {_NN}", ints="splat_id", reals="x scale_x opacity_logit sh_dc_r")
@@ -205,19 +205,19 @@ def ctl_look(spark, sf):
 
 @query(None, ints="iteration", reals="loss")
 def w_loss(spark, sf):
-    _, losses = T.train(X.part_points(spark, sf).where("point_id < 200"), X.target(spark, sf), X.CAMERA, iterations=3, batch=None)
+    _, losses = T.train(X.part_points(spark, sf), X.target(spark, sf), X.CAMERA, iterations=3, batch=None)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
 
 
 @query(None, ints="splat_id", reals="x sh_dc_r opacity_logit")
 def t_loop(spark, sf):
-    splats, _ = T.train(X.part_points(spark, sf).where("point_id < 200"), X.target(spark, sf), X.CAMERA, iterations=2)
+    splats, _ = T.train(X.part_points(spark, sf), X.target(spark, sf), X.CAMERA, iterations=2)
     return splats
 
 
 @query("SELECT splat_id, exp(scale_x) AS sx FROM spl", ints="splat_id", reals="sx")
 def snk_handoff(spark, sf):
-    return X.splats(spark, sf).select("splat_id", F.exp("scale_x").alias("sx")).persist()
+    return X.splats(spark, sf).select("splat_id", F.exp("scale_x").alias("sx"))
 
 
 @query("SELECT splat_id, ln(exp(scale_x)) AS back, 1 / (1 + exp(-opacity_logit)) AS opacity FROM spl", ints="splat_id", reals="back opacity")

@@ -1,4 +1,7 @@
-"""Queries of solvers and reconstruction over a made scene: points of ``part`` seen by cameras in an arc."""
+"""Queries of solvers and reconstruction over a made scene: all points of ``part`` seen by cameras in an arc.
+
+The SQL knows the scene: results are compared with the points and poses that were put into it.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,6 @@ from voxelloom.plans import fixtures as X
 from voxelloom.plans.registry import query
 
 CAMERAS = 5
-POINTS = 150
 
 
 def true_pose(i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,7 +27,7 @@ def true_pose(i: int) -> tuple[np.ndarray, np.ndarray]:
 def scene(spark, sf):
     """points, poses, features (normalised) and matches with coordinates."""
     i = F.col("point_id")
-    pts = X.part_points(spark, sf).where(i < POINTS).select("point_id", ((i * 37 % 101) / 25.0 - 1.0).alias("x"), ((i * 53 % 97) / 30.0 - 1.5).alias("y"), (5.0 + (i * 29 % 89) / 20.0).alias("z"))
+    pts = X.part_points(spark, sf).select("point_id", ((i * 37 % 101) / 25.0 - 1.0).alias("x"), ((i * 53 % 97) / 30.0 - 1.5).alias("y"), (5.0 + (i * 29 % 89) / 20.0).alias("z"))
     poses = spark.createDataFrame([(k, r.ravel().tolist(), t.tolist()) for k in range(CAMERAS) for r, t in [true_pose(k)]], sfm.POSE)
     r = [[F.col("r")[3 * a + b] for b in range(3)] for a in range(3)]
     c = S.transform_point(r, [F.col("t")[a] for a in range(3)], [F.col(a) for a in "xyz"])
@@ -36,14 +38,34 @@ def scene(spark, sf):
     return pts, poses, seen, coords
 
 
-@query("SELECT true AS many", other="many")
+_SCENE = "SELECT p_partkey AS i, (p_partkey * 37 % 101) / 25.0::DOUBLE - 1.0 AS x, (p_partkey * 53 % 97) / 30.0::DOUBLE - 1.5 AS y, 5.0 + (p_partkey * 29 % 89) / 20.0::DOUBLE AS z FROM part"
+
+
+def _cameras_sql() -> str:
+    """image, third row of the rotation, third of the translation, centre."""
+    rows = []
+    for k in range(CAMERAS):
+        r, t = true_pose(k)
+        rows.append(f"({k}, " + ", ".join(f"{v:.17g}::DOUBLE" for v in (*r[2], t[2], *(-r.T @ t))) + ")")
+    return f"(VALUES {', '.join(rows)})"
+
+
+_DOT = " + ".join("({0} - a.c{0}) * ({0} - b.c{0})".format(k) for k in "xyz")
+_LEN = lambda s: "sqrt(" + " + ".join(f"({k} - {s}.c{k}) ** 2" for k in "xyz") + ")"
+_TRI = (
+    f"SELECT a.image AS img_a, b.image AS img_b, i AS feat_a, i AS feat_b, x, y, z FROM ({_SCENE}) JOIN {_cameras_sql()} a(image, r0, r1, r2, t, cx, cy, cz) ON a.r0 * x + a.r1 * y + a.r2 * z + a.t > 0 "
+    f"JOIN {_cameras_sql()} b(image, r0, r1, r2, t, cx, cy, cz) ON a.image < b.image AND b.r0 * x + b.r1 * y + b.r2 * z + b.t > 0 AND degrees(acos(least(1, ({_DOT}) / ({_LEN('a')} * {_LEN('b')})))) >= 3"
+)
+FOUND = {"ints": "img_a img_b feat_a feat_b", "reals": "x y z"}
+
+
+@query(_TRI, **FOUND)
 def m_tri(spark, sf):
     _, poses, _, coords = scene(spark, sf)
-    tri = sfm.triangulate_pairs(coords, poses)
-    return tri.agg((F.count("*") > POINTS * 3).alias("many"))
+    return sfm.triangulate_pairs(coords, poses)
 
 
-@query(None, ints="img_a img_b feat_a feat_b", reals="x y z")
+@query(f"SELECT * FROM ({_TRI}) WHERE img_a = 0 AND img_b = 2", **FOUND)
 def m_tripair(spark, sf):
     _, poses, _, coords = scene(spark, sf)
     return sfm.triangulate_pairs(coords.where("img_a = 0 and img_b = 2"), poses)
@@ -120,27 +142,44 @@ def m_epnp(spark, sf):
 def m_ba(spark, sf):
     pts, poses, seen, _ = scene(spark, sf)
     i = F.col("point_id")
-    off = pts.where(i < 40).select("point_id", (F.col("x") + 0.01 * (i % 3)).alias("x"), (F.col("y") - 0.01 * (i % 5)).alias("y"), "z")
-    obs = seen.where("feat_id < 40").select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v"))
+    off = pts.select("point_id", (F.col("x") + 0.01 * (i % 3)).alias("x"), (F.col("y") - 0.01 * (i % 5)).alias("y"), "z")
+    obs = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v"))
     _, _, history = sfm.bundle_adjust(poses, off, obs, 4)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(history)], "step int, rms double")
 
 
-@query("SELECT true AS whole", other="whole")
+_QUART = ", ".join(f"(SELECT list_sort(list({a}))[len(list({a})) // 4 + 1] AS q1{a}, list_sort(list({a}))[3 * len(list({a})) // 4 + 1] AS q3{a} FROM ({_TRI}))" for a in "xyz")
+
+
+@query(f"SELECT x, y, z FROM ({_TRI}), {_QUART} WHERE " + " AND ".join(f"{a} BETWEEN q1{a} - 2 * (q3{a} - q1{a}) - 1e-9 AND q3{a} + 2 * (q3{a} - q1{a}) + 1e-9" for a in "xyz"), reals="x y z")
 def s_gt(spark, sf):
     _, poses, _, coords = scene(spark, sf)
-    return sfm.reconstruct_known(coords, poses).agg((F.count("*") > POINTS).alias("whole"))
+    return sfm.reconstruct_known(coords, poses)
+
 
+def _as_made(spark, poses):
+    """image_id, same: whether poses are those of the scene, up to the frame of the first of them and its scale."""
+    found = {r["image_id"]: (np.reshape(r["r"], (3, 3)), np.array(r["t"])) for r in poses.collect()}  # cameras
+    own = min(found, key=lambda k: (np.abs(found[k][0] - np.eye(3)).max() + np.abs(found[k][1]).max(), k))
+    r0, t0 = true_pose(own)
+    want = {}
+    for k in found:
+        r, t = true_pose(k)
+        want[k] = r @ r0.T, t - r @ r0.T @ t0
+    scale = sum(found[k][1] @ want[k][1] for k in found) / max(sum(want[k][1] @ want[k][1] for k in found), 1e-12)
+    same = [(k, bool(np.abs(r - want[k][0]).max() < 1e-3 and np.abs(t - scale * want[k][1]).max() < 1e-3 * max(1.0, scale))) for k, (r, t) in found.items()]
+    return spark.createDataFrame(same, "image_id int, same boolean")
 
-@query("SELECT i AS image_id FROM range(5) g(i)", ints="image_id")
+
+@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
 def s_hyb(spark, sf):
     _, poses, seen, coords = scene(spark, sf)
     found, _, _ = sfm.reconstruct_hybrid(coords, seen, poses.where("image_id < 2"))
-    return found.select("image_id")
+    return _as_made(spark, found)
 
 
-@query("SELECT i AS image_id FROM range(5) g(i)", ints="image_id")
+@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
 def s_recon(spark, sf):
     _, _, seen, coords = scene(spark, sf)
     poses, _, _ = sfm.reconstruct(coords, seen, adjust=0)
-    return poses.select("image_id")
+    return _as_made(spark, poses)
