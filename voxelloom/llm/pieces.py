@@ -34,10 +34,12 @@ SPACE = "▁"
 #: Stands for a literal U+2581 inside this module: half a surrogate pair, which no valid text holds.
 LITERAL = "\ud800"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Words whose forward weights a worker keeps.
+#: Words whose forward weights a task keeps.
 CACHE = 80_000
 #: Words that one vector pass draws for.
 CHUNK = 50_000
+#: New words that are filtered at once: their edges take most of the memory.
+SOME = 8_000
 
 
 class Pieces:
@@ -247,8 +249,8 @@ class Sampler:
             if len(known) + len(new) > CACHE and known:
                 self.clear()
                 known, new = self.word, list(dict.fromkeys(words))
-            if new:
-                self.add(new)
+            for a in range(0, len(new), SOME):
+                self.add(new[a : a + SOME])
             tokens, lens = self.draw([known[x] for x in words], np.concatenate(salts))
             ends = np.r_[0, np.cumsum(lens)]
             at = 0
@@ -279,7 +281,7 @@ _SAMPLERS: dict[tuple, Sampler] = {}
 
 
 def _sampler(path: str, temperature: float, seed: int) -> Sampler:
-    """One sampler per worker process and setting, so words stay known from task to task."""
+    """One sampler per worker process and setting, so that the vocabulary is read once."""
     name = (path, temperature, seed)
     if name not in _SAMPLERS:
         _SAMPLERS[name] = Sampler(Pieces(path, temperature), seed)
@@ -315,6 +317,7 @@ def _encoder(path: str, temperature: float, seed: int, check: bool):
                     cols.append(pa.array([None if t is None else s.p.decode(f.tolist()) == t for t, f in zip(texts, found)], pa.bool_()))
                     names.append("lossless")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        s.clear()  # a worker that goes on with other stages keeps the vocabulary alone
 
     return run
 
