@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.llm.memory import tidy
 from voxelloom.session import ship, written
 
 #: Fingerprints that one filter gathers before it is handed on.
@@ -180,7 +181,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    slim = written(source.mapInArrow(_digest, "doc_id long, fp long, text_sha256 string"), "exact-slim")
+    slim = written(source.mapInArrow(tidy(_digest), "doc_id long, fp long, text_sha256 string"), "exact-slim")
     rows = slim.count()
     repeated = written(repeated_fingerprints(slim, rows), "exact-repeated")
     bits = min(MAX_ROUTE_BITS, max(16, int(np.ceil(np.log2(repeated.count() + 1))) + 4))
@@ -189,7 +190,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint8)
     sent = spark.sparkContext.broadcast(bitmap)
-    routed = source.mapInArrow(_router(sent, bits), "doc_id long, fp long, norm binary")
+    routed = source.mapInArrow(tidy(_router(sent, bits)), "doc_id long, fp long, norm binary")
     groups = routed.groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = written(groups.select("fp", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "exact-groups")
     out = slim.join(groups, ["fp", "text_sha256"], "left")

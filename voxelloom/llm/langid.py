@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.llm.memory import tidy
 from voxelloom.session import ship, written
 
 DIM = 1 << 13
@@ -201,7 +202,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return None
     bound = F.from_json(F.lit(json.dumps(cuts)), "map<string,int>")
     some = rows.where(F.col("power") <= F.try_element_at(bound, F.col("lang"))).select("lang", "h", "text")
-    sample = written(some.mapInArrow(_vectors, "lang string, h long, at binary, v binary, n long, whole boolean"), "lang-sample")
+    sample = written(some.mapInArrow(tidy(_vectors), "lang string, h long, at binary, v binary, n long, whole boolean"), "lang-sample")
     seen = dict(map(tuple, sample.where("whole").select("at").mapInArrow(_seen, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect()))  # DIM slots
     n = seen.pop(-1, 0)
     idf = np.full(DIM, np.log(1 + n) + 1, np.float32)
@@ -235,7 +236,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # languages x CENTROIDS x DIM floats
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(_predict(sent), "doc_id long, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(tidy(_predict(sent)), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def _accepting(sent, at: int):
@@ -255,7 +256,7 @@ def keep_accepted(docs: DataFrame, model: Model | None, text: str = "text") -> D
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accepting(sent, docs.columns.index(text)), docs.schema)
+    return docs.mapInArrow(tidy(_accepting(sent, docs.columns.index(text))), docs.schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.llm.memory import tidy
 from voxelloom.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -326,7 +327,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     """doc_id, ids, n_tokens and, with ``check``, lossless: whether decoding gave the text back. No shuffle."""
     ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(_encoder(model, temperature, seed, check), "doc_id long, ids array<int>, n_tokens long" + ", lossless boolean" * check)
+    return source.mapInArrow(tidy(_encoder(model, temperature, seed, check)), "doc_id long, ids array<int>, n_tokens long" + ", lossless boolean" * check)
 
 
 def _decoder(path: str):

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm.components import components
 from voxelloom.llm.exact_dedup import without
+from voxelloom.llm.memory import tidy
 from voxelloom.session import ship, written
 
 SEED = 42
@@ -331,7 +332,7 @@ def fingerprint_links(fps: DataFrame, distance: int, limits: tuple[int, ...], fa
         blocks = F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k")
         every = keyed.join(hot, "k", "left_anti").unionByName(dealt.select(blocks, *rows[1:]))
     every = every.repartition("k").sortWithinPartitions("k").select(*rows)
-    found = every.mapInArrow(_verify(limits), "u long, u_least long, v long, v_least long")
+    found = every.mapInArrow(tidy(_verify(limits)), "u long, u_least long, v long, v_least long")
     return found.select(*[F.struct(F.col(f"{c}_least").alias("least"), F.col(c).alias("id")).alias(c) for c in "uv"])
 
 
@@ -350,7 +351,7 @@ def simhash_components(docs: DataFrame, words: int, distance: int, key: str = "d
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
     ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    slim = written(source.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "sim-slim")
+    slim = written(source.mapInArrow(tidy(_fingerprints(words)), "doc_id long, fp long"), "sim-slim")
     nodes = written(slim.groupBy("fp").agg(_least()).select("fp", F.col("fp").alias("id"), "least"), "sim-distinct")
     ids = _labelled(nodes, distance, (distance,), ("fp",)).withColumnRenamed("id", "fp")
     return slim.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -361,7 +362,7 @@ def _near_rows(docs: DataFrame, words: int, similarity: float, distance: int, li
     ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     families = tuple(f"fp{i}" for i in range(FAMILIES))
-    slim = written(source.mapInArrow(_fingerprint_sets(words), f"doc_id long, h long, {' long, '.join(families)} long, check binary, id long"), "near-slim")
+    slim = written(source.mapInArrow(tidy(_fingerprint_sets(words)), f"doc_id long, h long, {' long, '.join(families)} long, check binary, id long"), "near-slim")
     nodes = slim.groupBy("id").agg(_least(), *[F.first(c).alias(c) for c in (*families, "check")])
     ids = _labelled(written(nodes, "near-distinct"), distance, (limit, long_limit(similarity)), families)
     return slim.select("doc_id", "h", "id").join(ids, "id").select("doc_id", "h", "component_id")
