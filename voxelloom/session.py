@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_PATHS: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 
 
 def local_session(cpus: int | str = "*", app: str = "voxelloom", **conf: str) -> SparkSession:
@@ -68,15 +69,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def _sweep() -> None:
     for spark, path in _WRITTEN:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already; the folder belongs to the cluster
             return
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more; others are left alone."""
+    for df in tables:
+        if df is not None and (path := _PATHS.pop(df, None)):
+            _delete(df.sparkSession, path)
+            _WRITTEN.remove((df.sparkSession, path))
+
+
 atexit.register(_sweep)
 
 
@@ -84,13 +97,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Cuts lineage, survives lost executors and is computed once, unlike a reliable checkpoint, which
-    runs its job twice. The folder is removed when the Python process ends.
+    runs its job twice. The folder goes with :func:`discard`, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
