@@ -75,7 +75,27 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_mix_sources, op2_sentencepiece, op3_nearest, op4_simhash, op5_exact_dedup, op6_pii, op7_url_filter, op8_secrets, op9_language_id, op10_html_text)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from voxelloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelloom.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_mix_sources, op2_sentencepiece, op3_nearest, op4_simhash, op5_exact_dedup, op6_pii, op7_url_filter, op8_secrets, op9_language_id, op10_html_text, op11_resample, op12_pack, op13_centroids)
 
 
 def queries() -> dict:
