@@ -13,6 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch between the JVM and Python workers, and Spark's default, which is large where rows are whole texts.
+BATCH, ARROW, ARROW_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _PATHS: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
@@ -36,7 +38,10 @@ def local_session(cpus: int | str = "*", app: str = "voxelloom", **conf: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context."""
+    """Send this package to the executors' Python workers, once per context, and bound the session's Arrow batches
+    by ``BATCH`` bytes where it has Spark's default."""
+    if spark.conf.get(ARROW) == ARROW_DEFAULT:
+        spark.conf.set(ARROW, BATCH)
     sc = spark.sparkContext
     if sc in _SHIPPED:
         return
