@@ -50,7 +50,7 @@ def starts(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     """The k vectors with the smallest hashes of seed and key, in order of the hash."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     found = rows.select(h.alias("h"), "x").orderBy("h", "x").limit(k).collect()
-    return np.array([r.x for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r.x for r in found], np.int64)
 
 
 def grouped(centroids: np.ndarray, groups: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.session import written
+from voxelloom.session import discard, written
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
-        e = written(_star(_star(e, large=True), large=False), "cc-round")
+        before, e = e, written(_star(_star(e, large=True), large=False), "cc-round")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("label"))

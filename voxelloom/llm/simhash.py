@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm.components import components
 from voxelloom.llm.exact_dedup import without
+from voxelloom.llm.jaccard import exact_links
 from voxelloom.llm.memory import tidy
 from voxelloom.session import ship, written
 
@@ -44,6 +45,8 @@ BLOCK = 4096
 KEY_COST = 1500.0
 #: Independent fingerprints of a text's words by which near copies meet, and words of the long one that verifies them.
 FAMILIES, LONG = 2, 8
+#: Standard deviations of the long fingerprint by which a link must be above the similarity to need no shingles.
+SURE = 3.0
 #: Key of nodes that have none.
 NO_KEY = (1 << 63) - 1
 
@@ -102,8 +105,9 @@ def near_fingerprints(data: bytes, k: int) -> np.ndarray:
     return np.r_[majorities(_mixed(words, 1, FAMILIES)), majorities(_mixed(shingles, 101, LONG))]
 
 
-def long_limit(similarity: float, deviations: float = 1.65) -> int:
-    """Bits of the long fingerprint within which texts of that Jaccard similarity lie nearly always."""
+def long_limit(similarity: float, deviations: float = 2.33) -> int:
+    """Bits of the long fingerprint within which 99 in 100 texts of that Jaccard similarity lie. With negative
+    ``deviations``: bits within which hardly any of that similarity or less lie."""
     p, n = acos(2 * similarity / (1 + similarity)) / pi, 64 * LONG
     return int(n * p + deviations * sqrt(n * p * (1 - p)))
 
@@ -228,42 +232,63 @@ def _within(x: np.ndarray, y: np.ndarray, limits: tuple[int, ...]) -> np.ndarray
     return near
 
 
-def _near(x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows x of fingerprints: all of them, or a spanning forest where they are many."""
-    if len(x) <= 512:
-        a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None, 0] ^ x[None, :, 0]) <= limits[0], 1))
-        ok = _within(x[a], x[b], limits)
-        if len(ok) <= 4 * len(x):
-            return ids[a[ok]], ids[b[ok]]
-    left, us, vs = np.arange(len(x)), [], []
+def _forest(x: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of a spanning forest of the links among rows x, and the tree of each row."""
+    left, us, vs = np.arange(len(x)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    tree = np.zeros(len(x), np.int64)
     while len(left):
-        stack, left = [left[0]], left[1:]
+        root, stack, left = left[0], [left[0]], left[1:]
+        tree[root] = root
         while stack and len(left):
             p = stack.pop()
             hit = _within(x[left], x[p], limits)
             if len(hit):
                 found, left = left[hit], np.delete(left, hit)
-                us.append(np.repeat(ids[p : p + 1], len(found), axis=0))
-                vs.append(ids[found])
+                us.append(np.repeat(p, len(found)))
+                vs.append(found)
+                tree[found] = root
                 stack.extend(found)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
+    return np.concatenate(us), np.concatenate(vs), tree
 
 
-def _verify(limits: tuple[int, ...]):
+def _near(x: np.ndarray, limits: tuple[int, ...], sure: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of links among rows x of fingerprints: all of them, or a spanning forest where they are many.
+    With ``sure``, the forest is of links that are sure wherever these connect."""
+    if len(x) <= 512:
+        a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None, 0] ^ x[None, :, 0]) <= limits[0], 1))
+        ok = _within(x[a], x[b], limits)
+        if len(ok) <= 4 * len(x):
+            return a[ok], b[ok]
+    if sure is None:
+        return _forest(x, limits)[:2]
+    u, v, tree = _forest(x, (limits[0], sure))
+    if (tree == tree[0]).all():
+        return u, v
+    a, b, _ = _forest(x, limits)
+    across = tree[a] != tree[b]
+    return np.concatenate([u, a[across]]), np.concatenate([v, b[across]])
+
+
+def _verify(limits: tuple[int, ...], sure: int | None = None):
     """Over rows sorted by key: verifies each run of one key, holding one run and one batch.
 
-    Columns: key, fp, id, least and, under two limits, the long fingerprint.
+    Columns: key, fp, id, least and, under two limits, the long fingerprint. With ``sure``, each link also tells
+    whether its long fingerprints lie within that many bits.
     """
     width = 1 + LONG * (len(limits) - 1)
+    names = ["u", "u_least", "v", "v_least", "sure"]
 
     def run(batches):
         k, x, ids = np.zeros(0, np.int64), np.zeros((0, width), np.uint64), np.zeros((0, 2), np.int64)
 
         def out(n):
-            us, vs = _runs(k[:n], x[:n], ids[:n], limits)
+            us, vs = _runs(k[:n], x[:n], limits, sure)
             if us:
                 u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for e in (u, v) for c in e.T], ["u", "u_least", "v", "v_least"])
+                cols = [pa.array(np.ascontiguousarray(c)) for e in (ids[u], ids[v]) for c in e.T]
+                if sure is not None:
+                    cols.append(pa.array(np.bitwise_count(x[u, 1:] ^ x[v, 1:]).sum(1, dtype=np.int64) <= sure))
+                yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
 
         for batch in batches:
             new = batch.column(1).to_numpy().view(np.uint64)[:, None]
@@ -280,14 +305,15 @@ def _verify(limits: tuple[int, ...]):
     return run
 
 
-def _runs(k: np.ndarray, x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]) -> tuple[list, list]:
+def _runs(k: np.ndarray, x: np.ndarray, limits: tuple[int, ...], sure: int | None) -> tuple[list, list]:
+    """Row pairs of the links within each run of equal keys."""
     us, vs = [], []
     if not len(k):
         return us, vs
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     size = np.diff(np.r_[start, len(k)])
     small = np.repeat(size, size) <= 16
-    ks, xs, js = k[small], x[small], ids[small]
+    ks, xs, js = k[small], x[small], np.flatnonzero(small)
     for d in range(1, 16):  # all small runs at once: each row against the d-th after it
         if len(ks) <= d:
             break
@@ -297,10 +323,10 @@ def _runs(k: np.ndarray, x: np.ndarray, ids: np.ndarray, limits: tuple[int, ...]
             us.append(js[same])
             vs.append(js[same + d])
     for a, s in zip(start[size > 16].tolist(), size[size > 16].tolist()):
-        u, v = _near(x[a : a + s], ids[a : a + s], limits)
+        u, v = _near(x[a : a + s], limits, sure)
         if len(u):
-            us.append(u)
-            vs.append(v)
+            us.append(a + u)
+            vs.append(a + v)
     return us, vs
 
 
@@ -314,9 +340,10 @@ def _keyed(fps: DataFrame, fp: str, seed: int, parts: list[tuple[list[int], int]
     return fps.select(F.explode(F.array(*keys)).alias("k"), F.col(fp).alias("fp"), *carried)
 
 
-def fingerprint_links(fps: DataFrame, distance: int, limits: tuple[int, ...], families: tuple[str, ...] = ("fp",)) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int, limits: tuple[int, ...], families: tuple[str, ...] = ("fp",), sure: int | None = None) -> DataFrame:
     """u, v: links between nodes (least, id) that lie within the limits: all that some fingerprint has within
-    ``distance``, and those beyond that share a key anyway.
+    ``distance``, and those beyond that share a key anyway. With ``sure`` also whether a link's long fingerprints
+    lie within that many bits.
 
     ``fps``: distinct rows of id, least, the fingerprints named by ``families`` and, under two limits, check
     (the long fingerprint).
@@ -332,13 +359,14 @@ def fingerprint_links(fps: DataFrame, distance: int, limits: tuple[int, ...], fa
         blocks = F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k")
         every = keyed.join(hot, "k", "left_anti").unionByName(dealt.select(blocks, *rows[1:]))
     every = every.repartition("k").sortWithinPartitions("k").select(*rows)
-    found = every.mapInArrow(tidy(_verify(limits)), "u long, u_least long, v long, v_least long")
-    return found.select(*[F.struct(F.col(f"{c}_least").alias("least"), F.col(c).alias("id")).alias(c) for c in "uv"])
+    more = ["sure"] if sure is not None else []
+    found = every.mapInArrow(tidy(_verify(limits, sure)), "u long, u_least long, v long, v_least long" + ", sure boolean" * len(more))
+    return found.select(*[F.struct(F.col(f"{c}_least").alias("least"), F.col(c).alias("id")).alias(c) for c in "uv"], *more)
 
 
-def _labelled(nodes: DataFrame, distance: int, limits: tuple[int, ...], families: tuple[str, ...]) -> DataFrame:
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id, component_id from nodes of id, least (smallest key, or ``NO_KEY``) and fingerprints."""
-    labels = components(fingerprint_links(nodes, distance, limits, families)).select(F.col("node.id").alias("id"), F.col("label.least").alias("label"))
+    labels = components(links).select(F.col("node.id").alias("id"), F.col("label.least").alias("label"))
     found = F.coalesce("label", "least")
     return nodes.select("id", "least").join(labels, "id", "left").select("id", F.when(found < NO_KEY, found).alias("component_id"))
 
@@ -353,7 +381,7 @@ def simhash_components(docs: DataFrame, words: int, distance: int, key: str = "d
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     slim = written(source.mapInArrow(tidy(_fingerprints(words)), "doc_id long, fp long"), "sim-slim")
     nodes = written(slim.groupBy("fp").agg(_least()).select("fp", F.col("fp").alias("id"), "least"), "sim-distinct")
-    ids = _labelled(nodes, distance, (distance,), ("fp",)).withColumnRenamed("id", "fp")
+    ids = _labelled(nodes, fingerprint_links(nodes, distance, (distance,))).withColumnRenamed("id", "fp")
     return slim.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -363,18 +391,37 @@ def _near_rows(docs: DataFrame, words: int, similarity: float, distance: int, li
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     families = tuple(f"fp{i}" for i in range(FAMILIES))
     slim = written(source.mapInArrow(tidy(_fingerprint_sets(words)), f"doc_id long, h long, {' long, '.join(families)} long, check binary, id long"), "near-slim")
-    nodes = slim.groupBy("id").agg(_least(), *[F.first(c).alias(c) for c in (*families, "check")])
-    ids = _labelled(written(nodes, "near-distinct"), distance, (limit, long_limit(similarity)), families)
+    nodes = written(slim.groupBy("id").agg(_least(), *[F.first(c).alias(c) for c in (*families, "check")]), "near-distinct")
+    found = fingerprint_links(nodes, distance, (limit, long_limit(similarity)), families, long_limit(similarity, -SURE))
+    links = written(found.groupBy("u", "v").agg(F.max("sure").alias("sure")), "near-links")
+    ids = _labelled(nodes, _exact(docs, slim, links, words, similarity, key, text))
     return slim.select("doc_id", "h", "id").join(ids, "id").select("doc_id", "h", "component_id")
 
 
+def _exact(docs: DataFrame, slim: DataFrame, links: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """u, v: the sure links, and where a component has others, those that its texts' shingles have."""
+    if links.where("not sure").isEmpty():
+        return links.select("u", "v")
+    labels = written(components(links), "near-candidates")
+    unsure = links.where("not sure").join(labels, F.col("u") == F.col("node")).select("label").distinct()
+    open_ = written(labels.join(unsure, "label").select("node", F.xxhash64("label").alias("label")), "near-open")
+    # One row of each text, which stands for all rows that have its fingerprints.
+    row = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_KEY)), "doc_id", "h")).alias("row")
+    members = slim.select("id", "doc_id", "h").join(open_.select(F.col("node.id").alias("id"), F.col("node.least").alias("least"), "label"), "id")
+    members = written(members.groupBy("id", "least", "label").agg(row).select("id", "least", "label", "row.doc_id", "row.h"), "near-members")
+    exact = exact_links(docs, members, lambda data: word_and_shingle_hashes(data, words)[1], similarity, key, text)
+    settled = links.join(open_.select(F.col("node").alias("u")), "u", "left_anti").select("u", "v")
+    return settled.unionByName(exact)
+
+
 def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, limit: int = 18, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id: documents whose word shingles have about ``similarity`` (Jaccard) or more.
+    """doc_id, component_id: documents whose distinct word shingles have ``similarity`` (Jaccard) or more.
 
     Candidates share a key of one of two independent 64-bit fingerprints of their distinct words, which
     move less than those of shingles when a word changes. All within ``distance`` bits do, and most within
-    ``limit``, the furthest that is looked at. A link needs 512-bit fingerprints of the distinct shingles
-    within :func:`long_limit` bits, far from what unrelated texts reach at any corpus size.
+    ``limit``, the furthest that is looked at. They also have 512-bit fingerprints of the distinct shingles
+    within :func:`long_limit` bits. Where all links of a component lie ``SURE`` deviations inside the
+    similarity, they stand; every other component is settled by :mod:`.jaccard` on whole shingle sets.
     """
     return _near_rows(docs, words, similarity, distance, limit, key, text).select("doc_id", "component_id")
 
