@@ -620,7 +620,7 @@ def test_wrapper_reads_pages():
     assert htmltext.read(PAGE.format(9), w.labels()) == "Title 9\nFirst & foremost 9 words that fill the line and more of them.\nSecond 9 goes on with many words for a whole line."
 
 
-EMPTY = {"terms": [], "paths": {}}
+EMPTY = {"terms": [], "paths": {}, "root": ""}
 
 
 def test_the_wrapper_decides(spark):
@@ -636,12 +636,12 @@ def test_the_wrapper_decides(spark):
     for h in sample:
         own.add(htmltext.blocks(h))
     assert all(htmltext.read(h, EMPTY) == "" != htmltext.read(h, own.labels()) for h in sample)
-    # The same block is article or template by what the host's other pages hold.
-    line, got = "<p>Printed in the old town.</p>", {}
+    # The same block is article or notice by what the host's other pages hold.
+    line, got = "<p>Sponsored by the old town.</p>", {}
     for host, notices in (("a", 6), ("b", 1)):
         pages = [(i, f"https://{host}.org/{i}", page(i, line if i < notices else "").replace("<form>", "").replace("</form>", "")) for i in range(6)]
         got[host] = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id = 0").first().text
-    assert got["b"].endswith("\nPrinted in the old town.") and got["a"] + "\nPrinted in the old town." == got["b"]
+    assert got["b"].endswith("\nSponsored by the old town.") and got["a"] + "\nSponsored by the old town." == got["b"]
     inside = page(1).replace("<div class=x>", "<article class=x>").replace("</div></form>", "</article></form>")
     one = htmltext.Wrapper()
     one.add(htmltext.blocks(inside))
@@ -667,12 +667,51 @@ def _site(i, notice):
 
 
 def test_wrapper_separates_within_the_article(spark):
-    """Template text and link lists inside the article go by the wrapper alone; copies of a page are no template."""
+    """Inside the article template text stays and lists of links go; copies of a page are no template."""
     pages = [(i, f"https://w.org/{i}", _site(i, "<p>Printed from our archive.</p>")) for i in range(12)]
     pages += [(100 + i, f"https://w.org/c/{i}", _site(50, "")) for i in range(6)]
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     for k, i in [(i, i) for i in range(12)] + [(100 + i, 50) for i in range(6)]:
-        assert got[k] == "\n".join([f"Head {i}", *(f"own words {i} {k} of a page" for k in range(1 + i % 3))]), k
+        line = ["Printed from our archive."] if k < 100 else []
+        assert got[k] == "\n".join([f"Head {i}", *(f"own words {i} {k} of a page" for k in range(1 + i % 3)), *line]), k
+
+
+def _extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"https://one.org/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in htmltext.extract(df).collect()}
+
+
+def test_no_article_text_is_lost(spark):
+    """Shared paragraphs, paragraphs that are links, and single links stay, with and without classes."""
+    shared = [f"<body><article><h1>Head {i}</h1><p>own {i}</p><p>Copyright law is what all of these are about.</p></article></body>" for i in range(3)]
+    assert _extracted(spark, shared) == {i: f"Head {i}\nown {i}\nCopyright law is what all of these are about." for i in range(3)}
+    linked = "<body><article><h1>Head</h1><p>Intro</p><p><a href=x>A long link that is most of the text of all paragraphs here</a>.</p><p>body</p></article></body>"
+    assert _extracted(spark, [linked]) == {0: "Head\nIntro\nA long link that is most of the text of all paragraphs here.\nbody"}
+    alone = "<body><main><p>Text of it</p><div><a href=x>Read the rest</a></div></main></body>"
+    assert _extracted(spark, [alone]) == {0: "Text of it\nRead the rest"}
+    menu = "<body><main><p>Text of it</p><ul><li><a>one</a></li><li><a>two</a></li></ul><p>End</p></main></body>"
+    assert _extracted(spark, [menu]) == {0: "Text of it\nEnd"}
+
+
+def test_pages_without_classes(spark):
+    """The fixture's pages with their article as one bare div among others, and all classes removed."""
+    pages = {r.page_id: r.html for r in table(spark, SF, "pages").collect()}
+    bare = {k: re.sub(r' class="[^"]*"', "", h).replace("<article>", "<div>").replace("</article>", "</div>") for k, h in pages.items()}
+    df = spark.createDataFrame([(k, f"https://one.org/{k}", h) for k, h in bare.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    want = {r.page_id: r.text for r in registry.op10_html_text(spark, SF).collect()}
+    assert [k for k in want if got[k] != want[k]] == []
+
+
+def test_mismatches_become_repeated_groups():
+    """A group that one page has once and another several times is one repeated term."""
+    page = lambda n: htmltext.blocks("<body><article><h1>T</h1>" + "".join(f"<h2>s {i}</h2><p>t {i}</p>" for i in range(n)) + "<h3>e</h3></article></body>")
+    for order in ((1, 3), (3, 1), (1, 2, 4)):
+        w = htmltext.Wrapper()
+        for n in order:
+            w.add(page(n))
+        repeated = [t for t in w.terms if t["repeated"]]
+        assert [len(t["group"]) for t in repeated] == [2] and repeated[0]["seen"] == w.pages == len(order) and "?" not in w.expression()
 
 
 def test_wrapper_is_of_all_pages(spark):
@@ -680,7 +719,7 @@ def test_wrapper_is_of_all_pages(spark):
     plain = [(i, f"https://v.org/{i}", f"<body><div><h1>Head {i}</h1><p>own words {i} of it</p></div></body>") for i in range(300)]
     rare = [(1000 + i, f"https://v.org/r/{i}", f"<body><div><h1>Head r{i}</h1><p>own words r{i} of it</p><h2>Reprints at our desk.</h2></div></body>") for i in range(5)]
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(plain + rare, "page_id long, url string, html string")).collect()}
-    assert all(got[1000 + i] == f"Head r{i}\nown words r{i} of it" for i in range(5)) and got[7] == "Head 7\nown words 7 of it"
+    assert all(got[1000 + i] == f"Head r{i}\nown words r{i} of it\nReprints at our desk." for i in range(5)) and got[7] == "Head 7\nown words 7 of it"
 
 
 def test_pages_of_the_fixture(spark):

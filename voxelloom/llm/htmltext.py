@@ -4,16 +4,19 @@ A page is a stream of blocks, each with the path of structural tags above it (a
 class or id words). Runs of one path fold into repeated terms, and runs that recur in tandem (periods of
 two to four) into repeated groups of terms. Wrappers are inferred per host from all its pages, as
 distinct streams of terms with the number of distinct pages (by title) that have them: the commonest
-stream is the wrapper, and every next one is aligned with it; terms on one side only become optional
-groups, terms that repeat on either side repeated groups. A text that ``FIXED_PAGES`` pages and
-``FIXED_SHARE`` of those with its term have is part of the template, every other one fills a slot.
-Terms are then labelled with the evidence of all pages: menus, headers, footers, sidebars, notices,
-adverts, forms and comments by tags and class words and by the share of linked text, the article by its
-tag or by holding most of the slots' text.
-
-Every page is aligned with its host's wrapper, which alone decides: a block is kept if it fills a slot of
-an article term, so template texts and link lists go inside the article too. Blocks that the alignment
-leaves over take the label that the wrapper has for their path; paths it does not know are no article.
+stream is the wrapper, and every next one is aligned with it. A mismatch is resolved into a repeated group
+where the terms on one side repeat those on the other, and into optional groups elsewhere. A text that
+``FIXED_PAGES`` pages and ``FIXED_SHARE`` of those with its term have is part of the template, every other
+one fills a slot. Terms are then labelled with the evidence of all pages: menus, headers, footers,
+sidebars, notices, adverts, forms and comments by tags and class words, the article by its tag or by
+being the container of most of the slots' text.
+
+Every page is aligned with its host's wrapper, which alone decides: the blocks of article terms are kept,
+whole and in order. Nothing inside an article goes for being template text, or a link: only a run of two
+or more blocks that are all links, where the wrapper has mostly links too, is a menu; and where no tag or
+class names the article, a template text with words of a notice (``NOTICE``), and text directly in an
+element beside the article's own that merely shares its path. Blocks that the alignment leaves over take
+the label that the wrapper has for their path; paths it does not know are no article.
 
 Streams of a host are merged in groups of ``FAN_IN``, and the wrappers of the groups again, so that a
 host with very many layouts is no single group. Html meets the wrappers by host: as a broadcast while
@@ -69,6 +72,11 @@ HEAD_WORDS = frozenset("header head masthead".split())
 OTHERS = frozenset("no has with without".split())
 ARTICLE_WORDS = frozenset("article post entry story content body text main prose".split())
 
+#: Words of notices, which tell only where a text is part of a template and nothing names the article.
+NOTICE = re.compile(r"©|copyright|all rights reserved|cookie|privacy policy|terms of (?:use|service)|subscribe|newsletter|sign (?:in|up)|log ?in\b|advertis|sponsored", re.I)
+#: Share of a container's text below which text directly in it counts as text of elements beside the article.
+DIRECT = 0.2
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -84,17 +92,20 @@ def _tag(name: str, attrs: str) -> str:
     return ".".join([name, *dict.fromkeys(words)])
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, linked characters) of every block with text, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+Block = tuple[str, str, int, tuple[int, ...]]
+
+
+def blocks(page: str) -> list[Block]:
+    """(path, text, linked characters, where the elements of the path begin) of every block with text, in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, str, int]] = []
     parts: list[tuple[str, bool]] = []
     links = 0
 
     def flush():
         text = " ".join("".join(t for t, _ in parts).split())
         if text:
-            out.append(("/".join(s for _, s in stack), text, sum(len(t) for t, linked in parts if linked)))
+            out.append(("/".join(s for _, s, _ in stack), text, sum(len(t) for t, linked in parts if linked), tuple(a for _, _, a in stack)))
         parts.clear()
 
     def close(names) -> None:
@@ -131,7 +142,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             inner = page[at : end.start() if end else n]
             at = end.start() if end else n
             flush()
-            stack.append((name, _tag(name, m[3])))
+            stack.append((name, _tag(name, m[3]), m.start()))
             if name == "title":
                 say(inner)
             flush()
@@ -156,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         elif name in ("td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] in ("td", "th", "dt", "dd", "option"):
             stack.pop()
         if not m[3].rstrip().endswith("/"):
-            stack.append((name, _tag(name, m[3])))
+            stack.append((name, _tag(name, m[3]), m.start()))
     flush()
     return out
 
@@ -189,12 +200,12 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def page_terms(page: list[tuple[str, str, int]]) -> list[dict]:
+def page_terms(page: list[Block]) -> list[dict]:
     """The terms of one page as a wrapper holds them; texts: pages that have each text's hash in the term."""
     out = []
-    for group, i, k, repeated in fold([p for p, _, _ in page]):
+    for group, i, k, repeated in fold([b[0] for b in page]):
         part = page[i : i + k]
-        out.append({"group": group, "repeated": repeated, "seen": 1, "texts": Counter({_hash(t): 1 for _, t, _ in part}), "size": sum(len(t) for _, t, _ in part), "linked": sum(n for _, _, n in part)})
+        out.append({"group": group, "repeated": repeated, "seen": 1, "texts": Counter({_hash(b[1]): 1 for b in part}), "size": sum(len(b[1]) for b in part), "linked": sum(b[2] for b in part)})
     return out
 
 
@@ -205,7 +216,7 @@ class Wrapper:
         self.terms: list[dict] = []
         self.pages = 0
 
-    def add(self, page: list[tuple[str, str, int]]) -> None:
+    def add(self, page: list[Block]) -> None:
         """Aligns one more page and resolves the mismatches."""
         self.merge(page_terms(page), 1)
 
@@ -214,15 +225,13 @@ class Wrapper:
         self.pages += pages
         merged: list[dict] = []
         for kind, a, b, c, d in _aligned([t["group"] for t in self.terms], [t["group"] for t in new]):
-            if kind != "equal":
-                merged += self.terms[a:b] + new[c:d]  # optional: seen in fewer pages than there are
-                continue
-            for old, t in zip(self.terms[a:b], new[c:d]):
-                old["repeated"] |= t["repeated"]
-                old["texts"].update(t["texts"])
-                for k in ("seen", "size", "linked"):
-                    old[k] += t[k]
-                merged.append(old)
+            old, add = self.terms[a:b], new[c:d]
+            if kind == "equal":
+                merged += [_summed([x, y], x["group"], x["repeated"] or y["repeated"]) for x, y in zip(old, add)]
+            elif group := _repeats([t["group"] for t in old], [t["group"] for t in add]):
+                merged.append(_summed([*old, *add], group, True))
+            else:
+                merged += old + add  # optional: seen in fewer pages than there are
         self.terms = merged
 
     def state(self) -> str:
@@ -239,28 +248,31 @@ class Wrapper:
         return " ".join(f"({' '.join(t['group'])})" + "+" * t["repeated"] + "?" * (t["seen"] < self.pages) + ("=const" if max(t["texts"].values(), default=0) == t["seen"] > 1 else "=#") for t in self.terms)
 
     def labels(self) -> dict:
-        """What reading a page needs: every term's group, the label of each of its paths (article or not) and
-        template texts; and the label of each path where most of its text has it."""
+        """What reading a page needs: every term's group, the label of each of its paths (article or not), template
+        texts and whether it is mostly links; the label of each path where most of its text has it; and, where
+        nothing names the article, its container (``root``)."""
         size, linked = Counter(), Counter()
         for t in self.terms:
             for p in t["group"]:
                 size[p] += t["size"] / len(t["group"])
                 linked[p] += t["linked"] / len(t["group"])
         fixed = [sorted(h for h, n in t["texts"].items() if n >= max(FIXED_PAGES, FIXED_SHARE * t["seen"])) for t in self.terms]
-        links = {p for p in size if linked[p] > 0.5 * size[p] and not _is_title(p)}
-        open_ = {p for p in size if not outside(p) and p not in links}
-        article = {p for p in open_ if in_article(p)}
+        open_ = {p for p in size if not outside(p)}
+        article, root = {p for p in open_ if in_article(p)}, ""
+        named = bool(article)
         if not article and open_:
-            root = self._root(open_, fixed)
+            plain = {p for p in open_ if linked[p] <= 0.5 * size[p] or _is_title(p)}
+            root = self._root(plain or open_, fixed)
             article = {p for p in open_ if not root or p == root or p.startswith(root + "/")} or open_
+            if size[root] >= DIRECT * sum(size[p] for p in article):
+                root = ""  # the article's own text lies directly in it
         terms, by_path = [], Counter()
         for t, f in zip(self.terms, fixed):
-            lists = t["linked"] > 0.5 * t["size"] and not any(map(_is_title, t["group"]))
-            keep = [p in article and not lists for p in t["group"]]
-            terms.append([t["group"], keep, f])
+            keep = [p in article for p in t["group"]]
+            terms.append([t["group"], keep, [] if named else f, t["linked"] > 0.5 * t["size"] and not any(map(_is_title, t["group"]))])
             for p, k in zip(t["group"], keep):
                 by_path[p] += t["size"] if k else -t["size"]
-        return {"terms": terms, "paths": {p: n > 0 for p, n in by_path.items()}}
+        return {"terms": terms, "paths": {p: n > 0 for p, n in by_path.items()}, "root": root}
 
     def _root(self, open_: set[str], fixed: list) -> str:
         """The deepest container of most of the slots' text."""
@@ -285,6 +297,25 @@ def _aligned(old: list, new: list):
     return SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
 
 
+def _repeats(old: list[tuple], new: list[tuple]) -> tuple | None:
+    """The group that both sides of a mismatch repeat, some number of times, where one of them is that group."""
+    for one, other in ((old, new), (new, old)):
+        if len(one) == 1 and other:
+            group, flat = one[0], [p for g in other for p in g]
+            if len(flat) % len(group) == 0 and flat == [*group] * (len(flat) // len(group)):
+                return group
+    return None
+
+
+def _summed(terms: list[dict], group: tuple, repeated: bool) -> dict:
+    """Terms of the same blocks as one. Sides of a mismatch come in several terms, each seen by the same pages."""
+    texts = Counter()
+    for t in terms:
+        texts.update(t["texts"])
+    seen = sum({id(t): t["seen"] for t in (terms[0], terms[-1])}.values())
+    return {"group": group, "repeated": repeated, "seen": seen, "texts": texts, "size": sum(t["size"] for t in terms), "linked": sum(t["linked"] for t in terms)}
+
+
 def _steps(path: str) -> list[list[str]]:
     return [s.split(".") for s in path.split("/")]
 
@@ -321,30 +352,39 @@ def in_article(path: str) -> bool:
 def _known(old: tuple, new: tuple) -> list[int]:
     """The wrapper's term of each term of a page, -1 where it has none."""
     out = [-1] * len(new)
-    for kind, a, _, c, d in _aligned(old, new):
+    for kind, a, b, c, d in _aligned(old, new):
         if kind == "equal":
             out[c:d] = range(a, a + d - c)
+        elif b - a == 1 and _repeats([old[a]], list(new[c:d])):
+            out[c:d] = [a] * (d - c)
     return out
 
 
 def read(page: str, labels: dict) -> str:
     """The article's blocks of one page, by its wrapper: without one, none."""
     found = blocks(page)
-    terms, paths, kept = labels["terms"], labels["paths"], []
-    folded = fold([p for p, _, _ in found])
+    terms, paths, root, kept = labels["terms"], labels["paths"], labels["root"], []
+    folded = fold([b[0] for b in found])
     known = _known(tuple(tuple(t[0]) for t in terms), tuple(g for g, *_ in folded))
+    depth = root.count("/") + 1
+    holders = {b[3][:depth] for b in found if root and b[0].startswith(root + "/")}  # elements that have blocks of their own below
     for (group, i, n, _), j in zip(folded, known):
-        keep, fixed = (dict(zip(terms[j][0], terms[j][1])), terms[j][2]) if j >= 0 else (paths, ())
-        for p, t, linked in found[i : i + n]:
-            if keep.get(p) and (linked <= 0.5 * len(t) or _is_title(p)) and not (fixed and _hash(t) in fixed):
+        keep, fixed, links = (dict(zip(terms[j][0], terms[j][1])), terms[j][2], terms[j][3]) if j >= 0 else (paths, (), True)
+        run = found[i : i + n]
+        if links and n > 1 and all(b[2] > 0.5 * len(b[1]) for b in run) and not any(_is_title(p) for p in group):
+            continue  # a menu
+        for p, t, _, at in run:
+            notice = fixed and NOTICE.search(t) and _hash(t) in fixed
+            beside = root and p == root and at not in holders
+            if keep.get(p) and not notice and not beside:
                 kept.append(t)
     return "\n".join(kept)
 
 
-def page_name(page: list[tuple[str, str, int]]) -> int:
+def page_name(page: list[Block]) -> int:
     """What tells pages from copies of them: the title, else the longest text."""
-    title = next((t for p, t, _ in page if p.rsplit("/", 1)[-1].split(".")[0] in ("title", "h1")), None)
-    return _hash(title if title is not None else max((t for _, t, _ in page), key=len, default=""))
+    title = next((t for p, t, *_ in page if p.rsplit("/", 1)[-1].split(".")[0] in ("title", "h1")), None)
+    return _hash(title if title is not None else max((b[1] for b in page), key=len, default=""))
 
 
 _STREAM = "host string, page long, stream long, at int, text long, size long, linked long, repeated boolean, groups string"
