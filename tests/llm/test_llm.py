@@ -79,6 +79,22 @@ def test_mix_targets_and_words(spark):
     assert (got["taken"] <= 3 * got["size"]).all() and (got["taken"] % got["size"].clip(lower=1) == 0).all()
 
 
+def test_mix_of_giants_and_single_words(spark):
+    """Every source ends within the smallest untaken document of its target, however mixed the sizes."""
+    rng, data = np.random.default_rng(5), []
+    for s in "abc":
+        data += [(len(data) + i, "w " * 9000, s) for i in range(12)]
+        data += [(len(data) + i, "w", s) for i in range(4000)]
+        data += [(len(data) + i, "w " * int(n), s) for i, n in enumerate(rng.integers(2, 700, 40 if s == "b" else 0))]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = mixing.mix(df, [5.0, 2.0, 1.0]).join(df.select("doc_id", "source"), "doc_id").toPandas()
+    for _, g in rows.groupby("source"):
+        left = g["target"].iloc[0] - g["taken"].sum()
+        fits = g[(g["copies"] < 3) & (g["size"] > 0) & (g["size"] <= left)]
+        assert left >= -1e-6 and (left < 1 or len(fits[fits["copies"] == 0]) == 0), (left, len(fits))
+        assert left < 9000
+
+
 def test_mix_is_stable_and_handles_edges(spark, edges):
     df = mix_input(spark)
     a, b = (sorted(map(tuple, mixing.mix(d, [5.0, 2.0, 1.0]).collect())) for d in (df, df.repartition(7)))
@@ -104,10 +120,14 @@ def test_mix_of_repeated_rows(spark):
             assert dict(zip(same["doc_id"].fillna(-1), same["count"])) == {k: n for k, n in rows.fillna({"doc_id": -1}).groupby("doc_id")["copies"].sum().items() if n}
 
 
-def brute_pareto(rows, c, want):
-    """Documents drawn in Pareto order up to ``want`` words, then whatever fits: rows of (key, size, u, p)."""
+def brute_pareto(rows, want):
+    """Documents drawn in Pareto order up to ``want`` words, then the longest untaken ones that fit: rows of (key, size, u, p)."""
+    order = sorted(((u / (1 - u)) / (p / (1 - p)), k, s) for k, s, u, p in rows if p > 1e-9)
     taken = set()
-    for key, size, _ in sorted(((k, s, (u / (1 - u)) / (p / (1 - p))) for k, s, u, p in rows if p > 1e-9), key=lambda r: (r[2], r[0])):
+    while order and order[0][2] <= want:
+        want -= order[0][2]
+        taken.add(order.pop(0)[1])
+    for _, key, size in sorted(order, key=lambda r: (-r[2], r[0], r[1])):
         if size <= want:
             taken.add(key)
             want -= size
@@ -122,7 +142,7 @@ def test_mix_draws_in_pareto_order(spark):
     for _, g in rows.groupby("sid"):
         want = g["target"].iloc[0] - (g["whole"] * g["size"]).sum()
         order = [(r.doc_id, r.size, r.u, r.f - r.whole) for r in g[g["size"] > 0].itertuples(index=False) if r.rank == r.rank]
-        drawn = brute_pareto([(k, int(s), u, p) for k, s, u, p in order], None, want)
+        drawn = brute_pareto([(k, int(s), u, p) for k, s, u, p in order], want)
         assert {r.doc_id for r in g.itertuples(index=False) if copies[r.doc_id] > r.whole} - set(g[g["size"] == 0]["doc_id"]) == drawn
 
 

@@ -8,15 +8,16 @@ Within a source a document expects f copies, f = min(cap, c * g): g grows with t
 length, and c, found the same way from one row per (source, length class), makes the expected words
 meet the target. The whole part of f is taken for certain. What is left, p = f - floor(f), is an
 inclusion probability: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of the key, and
-taken in that order up to the words still wanted, so the sample has a fixed size in words. Where the
-next document does not fit, the order goes on with the ones that do, looking at the next ``FILL`` of each
-length class.
+taken in that order up to the words still wanted, so the sample has a fixed size in words. The next
+document does not fit; what is still missing, less than its words, is filled with untaken documents,
+longest first and those of one length in order of rank, until none that is left would fit.
 
 The cut in each source's ranking comes from word counts by rank interval, refined twice, so that a hot
 source is never sorted in one task: only distinct documents inside one interval of 2**-20 of a source are
-ordered. Rows that repeat key and size draw the same number and are one entry of the order with their
-count; where the words end inside such an entry, just as many of its rows are taken as fit, numbered
-within each partition of the input and then across them.
+ordered. The filling takes whole lengths by their counts, and of a length that it needs in part the first
+ones by a cut of the same kind, over counts. Rows that repeat key and size draw the same number and are
+one entry of the order with their count; where a cut ends inside such an entry, just as many of its rows
+are taken as fit, numbered within each partition of the input and then across them.
 
 Edge cases: null text has no words; null source is a source of its own, last in order; the empty
 source is a source; documents without words are taken zero times; ties in rank are ordered by key and
@@ -35,7 +36,6 @@ from voxelloom.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPLIT = 1 << 10  # rank intervals of each refinement
-FILL = 64  # documents of each length class that may close a source's gap
 
 
 def word_count(text: str | Column) -> Column:
@@ -76,12 +76,6 @@ def source_targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) ->
     return s.select("source", F.col("source_size").cast("long").alias("source_size"), target.cast("double").alias("target"))
 
 
-def _before(sums: DataFrame, bucket: str) -> DataFrame:
-    """Words of all intervals before each interval of a source."""
-    w = Window.partitionBy("sid").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
-
-
 def _prepared(df: DataFrame, source: str, size: str, seed: int) -> DataFrame:
     """Adds the source's id, the length class and the row's random number."""
     kind = F.floor(F.log2(F.col(size) + 1)).cast("int")
@@ -103,55 +97,68 @@ def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
 HERE = ("rank", "doc_id", "size")
 
 
-def _within():
-    """Whether a row lies before its source's cut."""
+def _cut(rows: DataFrame, by: list[str], amount: str) -> DataFrame:
+    """Where ``want`` (a column, alike within ``by``) of ``amount`` is reached in order of rank.
+
+    One row per ``by`` that has more: rank intervals c1 and c2, the last entry that fits (null: none there), what is
+    missing after it (gap), and the entry after it with its rows (next, m)."""
+
+    def inside(sums: DataFrame, bucket: str, more: list) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        at = sums.withColumn("before", F.coalesce(F.sum("sum").over(w), F.lit(0))).where("before <= want and before + sum > want")
+        return at.groupBy(*by).agg(F.min(bucket).alias(bucket), F.min(F.col("want") - F.col("before")).alias("want"), *more)
+
+    sums = [F.sum(amount).alias("sum"), F.first("want").alias("want")]
+    cut1 = inside(rows.groupBy(*by, "b1").agg(*sums), "b1", [])
+    rows = rows.drop("want")
+    cut2 = inside(rows.join(cut1, [*by, "b1"]).groupBy(*by, "b2").agg(*sums, F.first("b1").alias("b1")), "b2", [F.min("b1").alias("b1")])
+    edge = rows.join(cut2, [*by, "b1", "b2"]).groupBy(*by, "b1", "b2", *[c for c in HERE if c not in by]).agg(F.count("*").alias("m"), F.sum(amount).alias("sum"), F.first("want").alias("want"))
+    order = Window.partitionBy(*by).orderBy(*HERE)
+    edge = edge.withColumns({"upto": F.sum("sum").over(order), "here": F.struct(*HERE)})
+    fits, beyond = F.col("upto") <= F.col("want"), F.col("upto") > F.col("want")
+    found = edge.groupBy(*by).agg(
+        F.first("b1").alias("c1"), F.first("b2").alias("c2"), F.max(F.when(fits, F.col("here"))).alias("last"),
+        (F.first("want") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("gap"), F.min(F.when(beyond, F.struct("here", "m"))).alias("next"),
+    )
+    return found.select(*by, "c1", "c2", "last", "gap", F.col("next.here").alias("next"), F.col("next.m").alias("m"))
+
+
+def _reached(c1: str, c2: str, last: str) -> Column:
+    """Whether a row that can be drawn lies before a cut. No cut: it does."""
     here = F.struct(*HERE)
-    return (
-        F.when(F.col("rank").isNull() | (F.col("want") <= 0), False)
-        .when(F.col("c1").isNull(), True)  # all that can be drawn is wanted
-        .when((F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))), True)
-        .when((F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")), F.coalesce(here <= F.col("last"), F.lit(False)))
-        .otherwise(False)
-    )
+    inside = F.coalesce(here <= F.col(last), F.lit(False))
+    b1, b2 = F.col("b1"), F.col("b2")
+    return F.when(F.col(c1).isNull(), True).when(b1 != F.col(c1), b1 < F.col(c1)).when(b2 != F.col(c2), b2 < F.col(c2)).otherwise(inside)
 
 
-def _fill():
-    """Of the entries that fill a source's gap the row's own one, else null: rows taken (n) of how many (m)."""
-    own = lambda x: (x["rank"] == F.col("rank")) & x["doc_id"].eqNullSafe(F.col("doc_id")) & (x["size"] == F.col("size"))
-    return F.get(F.filter("fills", own), F.lit(0))
+def _within() -> Column:
+    """Whether a row lies before its source's cut."""
+    return F.col("rank").isNotNull() & (F.col("want") > 0) & _reached("c1", "c2", "last")
 
 
-def _cuts(rows: DataFrame) -> DataFrame:
-    """One row per source: words wanted, the cut in its ranking, and the entries beyond it that fill the gap."""
+def _cuts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per source: words wanted and the cut in its ranking. One row per source and size that fills what is
+    missing after it: how many rows (n), and where they are not all (m), the cut in their ranking."""
     certain = rows.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
-    wanted = certain.select("sid", F.greatest(F.lit(0.0), F.col("target") - F.col("certain")).alias("want"))
-    drawn = rows.where("rank is not null")
-    first = _before(drawn.groupBy("sid", "b1").agg(F.sum("size").alias("words")), "b1").join(wanted, "sid")
-    cut1 = first.where("before <= want and before + words > want").groupBy("sid").agg(F.min("b1").alias("c1"), F.min(F.col("want") - F.col("before")).alias("want2"))
-    inside = drawn.join(cut1.withColumnRenamed("c1", "b1"), ["sid", "b1"])
-    second = _before(inside.groupBy("sid", "b2").agg(F.sum("size").alias("words"), F.first("want2").alias("want2"), F.first("b1").alias("c1")), "b2")
-    cut2 = second.where("before <= want2 and before + words > want2").groupBy("sid").agg(F.min("c1").alias("c1"), F.min("b2").alias("c2"), F.min(F.col("want2") - F.col("before")).alias("want3"))
-    edge = drawn.join(cut2.withColumnsRenamed({"c1": "b1", "c2": "b2"}), ["sid", "b1", "b2"]).groupBy("sid", *HERE).agg(F.count("*").alias("m"), F.first("want3").alias("want3"))
-    order = Window.partitionBy("sid").orderBy(*HERE)
-    edge = edge.withColumn("upto", F.sum(F.col("size") * F.col("m")).over(order))
-    last = edge.where("upto <= want3").groupBy("sid").agg(F.max(F.struct(*HERE)).alias("last"), F.max("upto").alias("upto"))
-    cuts = wanted.join(cut2, "sid", "left").join(last, "sid", "left").withColumn("gap", F.col("want3") - F.coalesce("upto", F.lit(0)))
-    cuts = written(cuts.select("sid", "want", "c1", "c2", "last", "gap"), "mix-cuts")
-    # The order goes on with what fits. Of each length class only the intervals that hold its next ``FILL`` rows are read.
+    wanted = written(certain.select("sid", F.greatest(F.lit(0.0), F.col("target") - F.col("certain")).alias("want")), "mix-wanted")
+    drawn = rows.where("rank is not null").join(wanted, "sid")
+    cuts = written(wanted.join(_cut(drawn, ["sid"], "size").drop("next", "m"), "sid", "left"), "mix-cuts")
     beyond = rows.where("rank is not null and size > 0").join(cuts.where("gap >= 1"), "sid").where(~_within() & (F.col("size") <= F.col("gap")))
-    held = beyond.groupBy("sid", "kind", "b1").agg(F.count("*").alias("n"))
-    upto = F.coalesce(F.sum("n").over(Window.partitionBy("sid", "kind").orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bound = held.withColumn("upto", upto).where(F.col("upto") < FILL).groupBy("sid", "kind").agg(F.max("b1").alias("top"))
-    entries = beyond.join(bound, ["sid", "kind"]).where("b1 <= top").groupBy("sid", "kind", *HERE).agg(F.count("*").alias("m"))
-    entries = entries.withColumn("i", F.row_number().over(Window.partitionBy("sid", "kind").orderBy(*HERE))).where(F.col("i") <= FILL)
-    entries = entries.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct(*HERE, "m"))).alias("next"))
-    step = """aggregate(next, named_struct('gap', gap, 'fills', cast(array() as array<struct<rank:double,doc_id:bigint,size:bigint,m:bigint,n:bigint>>)), (a, x) ->
-        IF(x.size <= a.gap, named_struct('gap', a.gap - least(x.m, cast(floor(a.gap / x.size) as bigint)) * x.size, 'fills', array_append(a.fills, named_struct('rank', x.rank, 'doc_id', x.doc_id, 'size', x.size, 'm', x.m, 'n', least(x.m, cast(floor(a.gap / x.size) as bigint))))), a)).fills"""
-    return written(cuts.join(entries, "sid", "left").withColumn("fills", F.expr(step)).drop("next", "gap"), "mix-cuts")
-
-
-def _decided(docs: DataFrame, weights: list[float], cap: float, seed: int, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Slim rows of all documents, the plan per source and length class, the cuts per source."""
+    sizes = beyond.groupBy("sid", "size").agg(F.count("*").alias("m"), F.first("gap").alias("gap"))
+    # At most one source's distinct sizes below the gap, which is below one document's words.
+    sizes = sizes.groupBy("sid").agg(F.first("gap").alias("gap"), F.reverse(F.array_sort(F.collect_list(F.struct("size", "m")))).alias("sizes"))
+    take = "least(x.m, cast(floor(a.gap / x.size) as bigint))"
+    step = f"""aggregate(sizes, named_struct('gap', gap, 'out', cast(array() as array<struct<size:bigint,n:bigint,m:bigint>>)), (a, x) ->
+        IF(x.size <= a.gap, named_struct('gap', a.gap - {take} * x.size, 'out', array_append(a.out, named_struct('size', x.size, 'n', {take}, 'm', x.m))), a)).out"""
+    fills = written(sizes.select("sid", F.explode(F.expr(step)).alias("x")).select("sid", "x.*"), "mix-fills")
+    some = fills.where("n < m").select("sid", "size", F.col("n").cast("double").alias("want"))
+    found = _cut(beyond.drop("want", "c1", "c2", "last", "gap").withColumn("one", F.lit(1)).join(some, ["sid", "size"]), ["sid", "size"], "one")
+    found = found.select("sid", "size", *[F.col(c).alias(f"f_{c}") for c in ("c1", "c2", "last", "next")], F.col("gap").cast("long").alias("f_n"))
+    return cuts, written(fills.select("sid", "size", F.lit(True).alias("filled")).join(found, ["sid", "size"], "left"), "mix-fills")
+
+
+def _decided(docs: DataFrame, weights: list[float], cap: float, seed: int, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    """Slim rows of all documents, the plan per source and length class, the cuts per source and the sizes that fill."""
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.spark_partition_id().alias("part"))
     base = written(_prepared(base, "source", "size", seed), "mix-base")
     kinds = base.groupBy("source", "sid", "kind").agg(F.sum("size").alias("words"))
@@ -165,21 +172,24 @@ def _decided(docs: DataFrame, weights: list[float], cap: float, seed: int, key:
     return base, plan, _cuts(_ranked(base, plan))
 
 
-def _copied(rows: DataFrame, cuts: DataFrame, part: str) -> DataFrame:
+def _copied(rows: DataFrame, cuts: tuple[DataFrame, DataFrame], part: str) -> DataFrame:
     """``rows`` (of :func:`_ranked`) with ``copies``. Rows alike of which only some are taken are numbered:
     within each value of ``part``, a partition of the input, and from how many the others before it hold."""
-    rows = rows.join(cuts, "sid").withColumn("fill", _fill())
-    some = F.coalesce(F.col("fill.n") < F.col("fill.m"), F.lit(False))
-    own = F.col("whole") + (_within() | F.col("fill").isNotNull()).cast("long")
-    names = [c for c in rows.columns if c not in ("want", "c1", "c2", "last", "fills", "fill")]
-    if cuts.where(F.exists("fills", lambda x: x["n"] < x["m"])).isEmpty():
+    names = rows.columns
+    rows = rows.join(cuts[0], "sid").join(cuts[1], ["sid", "size"], "left")
+    filling = F.coalesce(F.col("filled"), F.lit(False)) & F.col("rank").isNotNull() & ~_within()
+    own = F.col("whole") + (_within() | (filling & _reached("f_c1", "f_c2", "f_last"))).cast("long")
+    if cuts[1].where("f_n > 0").isEmpty():
         return rows.select(*names, own.alias("copies"))
+    next_ = F.col("f_next")
+    same = (next_["rank"] == F.col("rank")) & next_["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("f_n") > 0)
+    some = filling & F.coalesce(same, F.lit(False))
     alike = rows.where(some)
     counts = alike.groupBy("sid", *HERE, part).agg(F.count("*").alias("_held"))
     before = F.coalesce(F.sum("_held").over(Window.partitionBy("sid", *HERE).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*[F.col(c).alias(f"_{c}") for c in ("sid", *HERE, part)], before.alias("_before"))
     number = F.col("_before") + F.row_number().over(Window.partitionBy("sid", *HERE, part).orderBy("size"))
-    alike = alike.join(counts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("sid", *HERE, part)])).select(*names, (F.col("whole") + (number <= F.col("fill.n")).cast("long")).alias("copies"))
+    alike = alike.join(counts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("sid", *HERE, part)])).select(*names, (F.col("whole") + (number <= F.col("f_n")).cast("long")).alias("copies"))
     return rows.where(~some).select(*names, own.alias("copies")).unionByName(alike)
 
 
