@@ -10,6 +10,8 @@ from voxelloom.session import table
 
 WIDTH = 100
 WORDS = ["d0", "d1"]
+#: Kinds and keys of the input fixture, dealt out by event.
+KINDS, KEYS = "down move move wheel tick keydown tick move tick up keyup move", "w A s D q E Shift w"
 #: The camera that looks at the splat fixture.
 CAMERA = Camera.default(64, 48, position=(0.0, 0.0, 0.0), forward=(0.0, 0.0, 1.0))
 
@@ -78,13 +80,26 @@ def splats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
+    return frames_of(table(spark, sf, "events"))
+
+
+def frames_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf, "events").select(
+    return events.select(
         e.alias("frame_id"), F.col("user_id").alias("session"), "ts", (F.col("value") / 20000.0).alias("px"), (e % 17 / 1000.0).alias("py"), F.lit(0.0).alias("pz"),
         (e % 5 / 1000.0).alias("fx"), F.lit(0.0).alias("fy"), F.lit(1.0).alias("fz"), (e % 29 - 14.0).alias("dx"), (F.col("value") % 50 - 20.0).alias("dy"),
     )
 
 
+def inputs(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    kinds, keys = (F.split(F.lit(t), " ") for t in (KINDS, KEYS))
+    return table(spark, sf, "events").select(
+        e.alias("frame_id"), F.col("user_id").alias("session"), "ts", F.get(kinds, (e * 7 % 12).cast("int")).alias("kind"), (e % 3).cast("int").alias("button"), (e % 7 == 0).alias("shift"),
+        (e * 37 % 640).cast("double").alias("cx"), (e * 53 % 480).cast("double").alias("cy"), (e * 31 % 700 - 350.0).alias("delta"), F.get(keys, (e % 8).cast("int")).alias("key"), (0.016 + e % 5 / 50.0).alias("dt"),
+    )
+
+
 def images(spark: SparkSession, sf: str) -> DataFrame:
     return features(spark, sf).select("image_id").distinct()
 
@@ -114,6 +129,7 @@ CTE = {
     "spl": "SELECT p_partkey AS splat_id, (p_partkey % 41) / 10.0::DOUBLE - 2.0::DOUBLE AS x, p_size / 20.0::DOUBLE - 1.2::DOUBLE AS y, 2.0 + p_retailprice / 500.0 AS z, ln((p_size + 1) / 500.0::DOUBLE) AS scale_x, ln((p_size + 5) / 800.0::DOUBLE) AS scale_y, ln(0.03::DOUBLE) AS scale_z, 1.0::DOUBLE AS rot_w, p_partkey % 7 / 10.0::DOUBLE AS rot_x, p_partkey % 5 / 10.0::DOUBLE AS rot_y, p_partkey % 3 / 10.0::DOUBLE AS rot_z, p_partkey % 13 - 6.0::DOUBLE AS opacity_logit, p_partkey % 11 / 5.0::DOUBLE - 1.0::DOUBLE AS sh_dc_r, p_partkey % 9 / 4.0::DOUBLE - 1.0::DOUBLE AS sh_dc_g, p_partkey % 8 / 3.5::DOUBLE - 1.0::DOUBLE AS sh_dc_b FROM part",
     "packed": "SELECT splat_id, x, y, z, " + ", ".join(f"least(greatest(0.5::DOUBLE + 0.28209479::DOUBLE * sh_dc_{c}, 0), 1) AS {c}" for c in "rgb") + ", exp(scale_x) AS scale_x, exp(scale_y) AS scale_y, exp(scale_z) AS scale_z, 1 / (1 + exp(-opacity_logit)) AS opacity FROM spl",
     "frames": "SELECT event_id AS frame_id, user_id AS session, ts, value / 20000.0 AS px, event_id % 17 / 1000.0::DOUBLE AS py, 0.0::DOUBLE AS pz, event_id % 5 / 1000.0::DOUBLE AS fx, 0.0::DOUBLE AS fy, 1.0::DOUBLE AS fz, event_id % 29 - 14.0::DOUBLE AS dx, value % 50 - 20.0::DOUBLE AS dy FROM events",
+    "inputs": "SELECT event_id AS frame_id, user_id AS session, ts, string_split('" + KINDS + "', ' ')[event_id * 7 % 12 + 1] AS kind, event_id % 3 AS button, event_id % 7 = 0 AS shift, CAST(event_id * 37 % 640 AS DOUBLE) AS cx, CAST(event_id * 53 % 480 AS DOUBLE) AS cy, event_id * 31 % 700 - 350.0::DOUBLE AS delta, string_split('" + KEYS + "', ' ')[event_id % 8 + 1] AS key, 0.016::DOUBLE + event_id % 5 / 50.0::DOUBLE AS dt FROM events",
     "target": "SELECT i % 64 AS x, i // 64 AS y, avg(user_id % 256) / 255.0::DOUBLE AS r, avg(event_id * 11 % 256) / 255.0::DOUBLE AS g, avg(event_id * 37 % 256) / 255.0::DOUBLE AS b FROM (SELECT *, (event_id - 1) % 3072 AS i FROM events) GROUP BY i",
     # Candidates of descriptor matching, ranked from either side.
     "cand": "SELECT a.image_id AS img_a, b.image_id AS img_b, a.feat_id AS fa, b.feat_id AS fb, bit_count(xor(a.d0, b.d0)) + bit_count(xor(a.d1, b.d1)) AS dist FROM feat a JOIN feat b ON a.image_id < b.image_id",

@@ -193,11 +193,6 @@ def agg_fps(spark, sf):
     return FR.frames_per_second(X.frames(spark, sf)).select(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', start)").alias("start"), "n")
 
 
-@query(None, ints="session frame_id ms")
-def w_gate(spark, sf):
-    return FR.gated(X.frames(spark, sf), 3_600_000)
-
-
 @query("SELECT session, sum(dx) * 0.001 AS yaw, list_reduce(list_prepend(0.0::DOUBLE, list(dy ORDER BY ts, frame_id)), lambda s, d: least(greatest(s - d * 0.001, -(pi() / 2 - 0.01)), pi() / 2 - 0.01)) AS pitch FROM frames GROUP BY session", ints="session", reals="yaw pitch")
 def ctl_look(spark, sf):
     return FR.controls(X.frames(spark, sf))

@@ -17,7 +17,7 @@ from voxelloom.plans.fixtures import CTE
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("depth_plans", "splat_plans", "match_plans", "cloud_plans", "model_plans", "io_plans", "sfm_plans", "solver_plans")
+MODULES = ("depth_plans", "splat_plans", "match_plans", "cloud_plans", "model_plans", "io_plans", "sfm_plans", "solver_plans", "stream_plans")
 
 
 def with_fixtures(sql: str) -> str:

@@ -1,7 +1,7 @@
 """Frame events: the same logic over a batch, and as keyed state over a stream.
 
-frames: session, ts, px, py, pz, fx, fy, fz. Batch forms are windows; greedy gates and running averages,
-which depend on their own past, are folds per session (bounded by a session's frames) or stream state.
+frames: session, ts, px, py, pz, fx, fy, fz. Batch forms are windows; the greedy gate is a chain of successors followed by doubling;
+running averages, which depend on their own past, are folds per session (bounded by a session's frames) or stream state.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.session import discard, written
+
 # Smoothing, hysteresis limits and the least time between sorts.
 KEEP, NEW = 0.7, 0.3
 ENTER, LEAVE = 0.0002, 0.00005
@@ -44,12 +46,46 @@ def frames_per_second(frames: DataFrame) -> DataFrame:
     return frames.groupBy(F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
+def _successors(f: DataFrame, ms: int) -> DataFrame:
+    """session, at, next: each frame's (ms, frame_id) and the first frame at least ``ms`` later.
+
+    Frames and the moments that they ask for meet in cells of ``ms`` of time; a moment whose cell has nothing later takes the first
+    frame of the session's next cell, from one row per session and cell.
+    """
+    cell = lambda c: F.floor(F.col(c) / ms)
+    at = F.struct("ms", "frame_id")
+    frames = f.select("session", F.col("ms").alias("t"), at.alias("found"), F.lit(None).cast("struct<ms:bigint,frame_id:bigint>").alias("asks"))
+    asks = f.select("session", (F.col("ms") + ms).alias("t"), F.lit(None).cast("struct<ms:bigint,frame_id:bigint>").alias("found"), at.alias("asks"))
+    # A frame at the very moment counts, so frames come after the moments of the same time.
+    later = Window.partitionBy("session", "cell").orderBy("t", F.col("found").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    both = frames.unionByName(asks).withColumn("cell", cell("t"))
+    near = both.withColumn("next", F.min("found").over(later)).where("asks is not null").select("session", "cell", F.col("asks").alias("at"), "next")
+    # The cells that hold frames or are asked for, each with the first frame of a later one.
+    cells = both.groupBy("session", "cell").agg(F.min("found").alias("first"))
+    beyond = Window.partitionBy("session").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
+    cells = cells.select(F.col("session").alias("_s"), F.col("cell").alias("_c"), F.first("first", ignorenulls=True).over(beyond).alias("_first"))
+    out = near.join(cells, F.col("session").eqNullSafe(F.col("_s")) & (F.col("cell") == F.col("_c")))
+    return out.select("session", "at", F.coalesce("next", "_first").alias("next")).distinct()
+
+
 def gated(frames: DataFrame, ms: int = GATE_MS) -> DataFrame:
-    """session, frame_id, ts of the frames that may sort: each at least ``ms`` after the one before it."""
-    g = frames.groupBy("session").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "frame_id"))).alias("a"))
-    empty = F.array().cast("array<struct<ms:bigint,frame_id:bigint>>")
-    fold = F.aggregate("a", empty, lambda s, x: F.when((F.size(s) == 0) | (x["ms"] - F.coalesce(F.element_at(s, -1)["ms"], F.lit(0)) >= ms), F.concat(s, F.array(x))).otherwise(s))
-    return g.select("session", F.explode(fold).alias("k")).select("session", "k.frame_id", "k.ms")
+    """session, frame_id, ts of the frames that may sort: each at least ``ms`` after the one before it, from each session's first.
+
+    Every frame knows its successor; the chain from the first frame is followed by doubling, so n links take log n rounds and no
+    session is gathered. Frames that repeat session, time and id are one.
+    """
+    f = frames.select("session", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "frame_id")
+    jump = written(_successors(f, ms).where("next is not null"), "gate-jumps")
+    chain = written(f.groupBy("session").agg(F.min(F.struct("ms", "frame_id")).alias("at")), "gate-chain")
+    while not jump.isEmpty():
+        j = jump.select(F.col("session").alias("_s"), F.col("at").alias("_at"), F.col("next").alias("_next"))
+        reached = chain.join(j, chain["session"].eqNullSafe(j["_s"]) & (chain["at"] == j["_at"])).select("session", F.col("_next").alias("at"))
+        grown = written(chain.unionByName(reached), "gate-chain")
+        # Each link now spans two: frames without a second one are at their chain's end and need no link any more.
+        further = written(jump.join(j, jump["session"].eqNullSafe(j["_s"]) & (jump["next"] == j["_at"])).select("session", "at", F.col("_next").alias("next")), "gate-jumps")
+        discard(chain, jump)
+        chain, jump = grown, further
+    return chain.select("session", "at.frame_id", "at.ms")
 
 
 STATE = "ms long, ema double, px double, py double, pz double, fx double, fy double, fz double, n long"
