@@ -1,7 +1,7 @@
 """Structure from motion: relations stay in Spark; only poses, one row per camera, come to the driver.
 
-Solvers run per pair or per camera inside ``applyInPandas`` (one pair's matches, one camera's
-correspondences: bounded by the features of an image). Points, tracks and observations are written
+Matches are triangulated row by row with both poses beside them; relative poses and resections come from tables of
+hypotheses (:mod:`.consensus`), so no pair and no camera is one group. Points, tracks and observations are written
 tables between rounds. Every round adds all cameras that pass the gate at once, which parallelises what
 a one-by-one loop does and may register more cameras per round.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import splat as S
-from voxelloom.operators import cloud, match
+from voxelloom.operators import cloud, consensus, match
 from voxelloom.operators import geometry as G
 from voxelloom.session import written
 
@@ -65,24 +65,28 @@ def triangulate_closed(rows: DataFrame, a: tuple, b: tuple) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith(("_h", "_g"))])
 
 
-def _triangulate_pair(rows: pd.DataFrame) -> pd.DataFrame:
-    f = rows.iloc[0]
-    ra, rb = np.reshape(f["r_a"], (3, 3)), np.reshape(f["r_b"], (3, 3))
-    ta, tb = np.asarray(f["t_a"]), np.asarray(f["t_b"])
-    x = G.triangulate(rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy(), np.c_[ra, ta], np.c_[rb, tb])
-    da, db = x + ra.T @ ta, x + rb.T @ tb  # from each centre, -R^T t
-    cos = np.sum(da * db, 1) / np.maximum(np.linalg.norm(da, axis=1) * np.linalg.norm(db, axis=1), 1e-12)
-    ok = np.isfinite(x).all(1) & (x @ ra[2] + ta[2] > 0) & (x @ rb[2] + tb[2] > 0) & (np.degrees(np.arccos(np.clip(cos, -1, 1))) >= MIN_ANGLE)
-    out = rows[["img_a", "img_b", "feat_a", "feat_b"]].copy()
-    out[["x", "y", "z"]] = x
-    return out[ok]
+def _triangulated(frames):
+    """Rows of matches with the pose of either camera: points in front of both and at an angle."""
+    for rows in frames:
+        if not len(rows):
+            continue
+        ra, rb, ta, tb = (np.stack(rows[c].to_numpy()) for c in ("r_a", "r_b", "t_a", "t_b"))
+        ra, rb = ra.reshape(-1, 3, 3), rb.reshape(-1, 3, 3)
+        x = G.triangulate(rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy(), np.concatenate([ra, ta[:, :, None]], 2), np.concatenate([rb, tb[:, :, None]], 2))
+        da, db = x + np.einsum("nji,nj->ni", ra, ta), x + np.einsum("nji,nj->ni", rb, tb)  # from each centre, -R^T t
+        cos = np.sum(da * db, 1) / np.maximum(np.linalg.norm(da, axis=1) * np.linalg.norm(db, axis=1), 1e-12)
+        deep = lambda r, t: np.sum(x * r[:, 2], 1) + t[:, 2] > 0
+        ok = np.isfinite(x).all(1) & deep(ra, ta) & deep(rb, tb) & (np.degrees(np.arccos(np.clip(cos, -1, 1))) >= MIN_ANGLE)
+        out = rows[["img_a", "img_b", "feat_a", "feat_b"]].copy()
+        out[["x", "y", "z"]] = x
+        yield out[ok]
 
 
 def triangulate_pairs(coords: DataFrame, poses: DataFrame) -> DataFrame:
-    """img_a, img_b, feat_a, feat_b, x, y, z for matches between posed images, in front of both and at an angle."""
+    """img_a, img_b, feat_a, feat_b, x, y, z for matches between posed images, in front of both and at an angle. No grouping."""
     pose = lambda s: poses.select(F.col("image_id").alias(f"img_{s}"), F.col("r").alias(f"r_{s}"), F.col("t").alias(f"t_{s}"))
     j = coords.join(pose("a"), "img_a").join(pose("b"), "img_b")
-    return j.groupBy("img_a", "img_b").applyInPandas(_triangulate_pair, "img_a int, img_b int, feat_a long, feat_b long, x double, y double, z double")
+    return j.mapInPandas(_triangulated, "img_a int, img_b int, feat_a long, feat_b long, x double, y double, z double")
 
 
 def tracks(tri: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,43 +105,45 @@ def reconstruct_known(coords: DataFrame, poses: DataFrame) -> DataFrame:
     return cloud.drop_outliers(points)
 
 
-def _start(rows: pd.DataFrame) -> pd.DataFrame:
-    xa, xb = rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy()
-    none = pd.DataFrame({"img_a": rows["img_a"].iloc[:0], "img_b": rows["img_b"].iloc[:0], "r": [], "t": [], "inliers": [], "score": []})
-    found = G.essential(xa, xb)
-    pose = found and G.recover_pose(found[0], xa[found[1]], xb[found[1]])
-    if not pose:
-        return none
-    r, t, _ = pose
-    x = G.triangulate(xa[found[1]], xb[found[1]], np.eye(3, 4), np.c_[r, t])
-    x = x[np.isfinite(x).all(1) & (x[:, 2] > 0)]
-    if len(x) < 10:
-        return none
-    z = np.sort(x[:, 2])
-    q1, q3 = z[len(z) // 4], z[3 * len(z) // 4]
-    x = x[(x[:, 2] >= max(q1 - 3 * (q3 - q1), 0.1)) & (x[:, 2] <= q3 + 3 * (q3 - q1))]
-    e = np.linalg.eigvalsh(np.cov(x.T, bias=True)) if len(x) >= 10 else [0, 0, 1]
-    return pd.DataFrame({"img_a": rows["img_a"].iloc[:1], "img_b": rows["img_b"].iloc[:1], "r": [r.ravel().tolist()], "t": [t.tolist()], "inliers": [int(found[1].sum())], "score": [float(e[0] / max(e[2], 1e-12))]})
-
-
-def start_pairs(coords: DataFrame) -> DataFrame:
-    """Relative pose and shape score of each candidate pair, all in parallel."""
-    return coords.groupBy("img_a", "img_b").applyInPandas(_start, "img_a int, img_b int, r array<double>, t array<double>, inliers int, score double")
-
-
-def _resect(rows: pd.DataFrame) -> pd.DataFrame:
-    x2, x3 = rows[["u", "v"]].to_numpy(), rows[["x", "y", "z"]].to_numpy()
-    pose = G.pnp(x2, x3, iterations=200)
-    if pose is None:
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[:0], "r": [], "t": [], "inliers": [], "det": [], "distance": [], "median_error": []})
-    r, t, ok = pose
-    err = np.sort(np.sqrt(G.reprojection(r, t, x2, x3)))
-    return pd.DataFrame({"image_id": rows["image_id"].iloc[:1], "r": [r.ravel().tolist()], "t": [t.tolist()], "inliers": [int(ok.sum())], "det": [float(np.linalg.det(r))], "distance": [float(np.linalg.norm(r.T @ t))], "median_error": [float(min(err[len(err) // 2], 1e6))]})
-
-
-def resect(found: DataFrame) -> DataFrame:
+def _pairs_of(found: DataFrame) -> DataFrame:
+    """img_a, img_b from the group's name."""
+    ab = F.split("g", ":")
+    return found.select(ab[0].cast("int").alias("img_a"), ab[1].cast("int").alias("img_b"), *[c for c in found.columns if c != "g"])
+
+
+def _pose_columns(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"r": F.slice("m", 1, 9), "t": F.slice("m", 10, 3)}).drop("m")
+
+
+def start_pairs(coords: DataFrame, samples: int = 256) -> DataFrame:
+    """img_a, img_b, r, t, inliers, score: relative pose and shape of the triangulated inliers of each candidate pair, all in parallel."""
+    rows = consensus.numbered(coords, ["img_a", "img_b"], ["img_a", "img_b", "feat_a", "feat_b"], consensus.TWO)
+    parts = consensus.blocks(rows, consensus.TWO)
+    found = consensus.essentials(rows, parts, samples)
+    poses = _pose_columns(_pairs_of(consensus.relative_poses(parts, found).drop("inliers")))
+    e = _pairs_of(found.select("g", F.col("m").alias("e"), "inliers"))
+    here = written(poses.join(e, ["img_a", "img_b"]), "starts")
+    close = coords.join(here, ["img_a", "img_b"]).where(S.sampson(_m("e"), *[F.col(c) for c in consensus.TWO]) < 0.01)
+    one = [F.array(*[F.lit(float(v)) for v in x]) for x in (np.eye(3).ravel(), np.zeros(3))]
+    posed = close.select("img_a", "img_b", "feat_a", "feat_b", *consensus.TWO, one[0].alias("r_a"), one[1].alias("t_a"), F.col("r").alias("r_b"), F.col("t").alias("t_b"))
+    points = written(posed.mapInPandas(_triangulated, "img_a int, img_b int, feat_a long, feat_b long, x double, y double, z double"), "start-points")
+    by = ["img_a", "img_b"]
+    q = cloud.ranked_values(points, by, "z", {"q1": F.floor(F.col("n") / 4), "q3": F.floor(3 * F.col("n") / 4)}).where("n >= 10")
+    r = F.col("q3") - F.col("q1")
+    inner = points.join(q.select(*by, "q1", "q3"), by).where(F.col("z").between(F.greatest(F.col("q1") - 3 * r, F.lit(0.1)), F.col("q3") + 3 * r))
+    shape = cloud.pca(inner, by).select(*by, F.when(F.col("n") >= 10, F.col("ratio")).otherwise(0.0).alias("score"))
+    return here.join(shape, by).select(*by, "r", "t", "inliers", "score")
+
+
+def resect(found: DataFrame, samples: int = 1024) -> DataFrame:
     """Pose per image from 2D-3D correspondences (image_id, u, v, x, y, z), with the gate's measures."""
-    return found.groupBy("image_id").applyInPandas(_resect, POSE + ", inliers int, det double, distance double, median_error double")
+    rows = consensus.numbered(found, ["image_id"], ["image_id"], consensus.SIX)
+    poses = consensus.resections(rows, consensus.blocks(rows, consensus.SIX), samples)
+    both = _pose_columns(poses.join(consensus.errors(rows, poses), "g")).withColumn("image_id", F.col("g").cast("int"))
+    r, t = _m("r"), _v("t")
+    det = sum(r[0][i] * (r[1][(i + 1) % 3] * r[2][(i + 2) % 3] - r[1][(i + 2) % 3] * r[2][(i + 1) % 3]) for i in range(3))
+    far = F.sqrt(sum(c * c for c in S.camera_centre(r, t)))
+    return both.select("image_id", "r", "t", F.col("inliers").cast("int").alias("inliers"), det.alias("det"), far.alias("distance"), F.least("median", F.lit(1e6)).alias("median_error"))
 
 
 def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame, rounds: int = 15, damping: float = 10.0, diagonal: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
@@ -293,7 +299,7 @@ def reconstruct(coords: DataFrame, features: DataFrame, **options) -> tuple[Data
     """From matches alone: the best-shaped starting pair fixes the frame, then growth and outlier removal."""
     pairs = coords.groupBy("img_a", "img_b").agg(F.count("*").alias("n"))
     starts = start_pairs(coords.join(match.start_candidates(pairs).select("img_a", "img_b"), ["img_a", "img_b"]))
-    best = starts.orderBy(F.desc("score"), "img_a", "img_b").first()
+    best = starts.orderBy(F.desc(F.round("score", 9)), "img_a", "img_b").first()  # scores of one shape differ by rounding alone
     if best is None:
         raise ValueError("no pair of images can start the reconstruction")
     one = np.eye(3).ravel().tolist()

@@ -1,15 +1,15 @@
 """Queries of solvers and reconstruction over a made scene: all points of ``part`` seen by cameras in an arc.
 
-The SQL knows the scene: results are compared with the points and poses that were put into it.
+The SQL knows the scene: results are compared with the points and poses that were put into it, number by number.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelloom.functions import splat as S
+from voxelloom.operators import consensus as C
 from voxelloom.operators import geometry as G
 from voxelloom.operators import sfm
 from voxelloom.plans import fixtures as X
@@ -71,81 +71,138 @@ def m_tripair(spark, sf):
     return sfm.triangulate_pairs(coords.where("img_a = 0 and img_b = 2"), poses)
 
 
-@query(None, ints="img_a img_b inliers", reals="score")
+_COV = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+#: Least over largest eigenvalue of the scene's covariance: all pairs see all of it, whatever their frame.
+_SHAPE = (
+    "SELECT (q + 2 * p * cos(phi + 2 * pi() / 3)) / (q + 2 * p * cos(phi)) AS score, n FROM (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM (SELECT *, "
+    "((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) AS r FROM (SELECT *, "
+    f"sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM (SELECT *, (xx + yy + zz) / 3 AS q FROM (SELECT {_COV}, count(*) AS n FROM ({_SCENE}))))))"
+)
+
+
+@query(f"SELECT a AS img_a, b AS img_b, n AS inliers, score FROM ({_SHAPE}), range({CAMERAS}) x(a) JOIN range({CAMERAS}) y(b) ON a < b", ints="img_a img_b inliers", reals="score")
 def s_pair0(spark, sf):
     return sfm.start_pairs(scene(spark, sf)[3])
 
 
-@query(None, ints="img_a img_b", reals="score")
+@query(f"SELECT 0 AS img_a, 1 AS img_b, score FROM ({_SHAPE})", ints="img_a img_b", reals="score")
 def s_bestpair(spark, sf):
-    return sfm.start_pairs(scene(spark, sf)[3]).orderBy(F.desc("score"), "img_a", "img_b").limit(1)
+    return sfm.start_pairs(scene(spark, sf)[3]).orderBy(F.desc(F.round("score", 9)), "img_a", "img_b").limit(1)
 
 
-def _per_pair(spark, sf, f, schema):
-    return scene(spark, sf)[3].where("img_a = 0").groupBy("img_a", "img_b").applyInPandas(f, schema)
+def _pairs(spark, sf):
+    """Matches of the first camera with each other one, numbered and in blocks."""
+    coords = scene(spark, sf)[3].where("img_a = 0")
+    rows = C.numbered(coords, ["img_a", "img_b"], ["img_a", "img_b", "feat_a", "feat_b"], C.TWO)
+    return rows, C.blocks(rows, C.TWO)
 
 
-@query(None, ints="img_b inliers", reals="worst")
-def m_E(spark, sf):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        xa, xb = rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy()
-        e, ok = G.essential(xa, xb, 64)
-        return pd.DataFrame({"img_b": rows["img_b"].iloc[:1], "inliers": [int(ok.sum())], "worst": [float(G.sampson(e, xa, xb).max())]})
+def _values(found, name, own="g"):
+    """One row per number of each model: the camera, its place k, and v to four places."""
+    key = F.element_at(F.split(own, ":"), -1).cast("int").alias(name)
+    return found.select(key, F.posexplode("m").alias("k", "v")).select(name, "k", F.round("v", 4).alias("v"))
+
+
+def _unsigned(found):
+    """Matrices with the entry of largest size positive: a model's sign is free."""
+    top = F.array_max(F.transform("m", lambda v: F.struct(F.round(F.abs(v), 6).alias("a"), v.alias("v"))))["v"]
+    return found.withColumn("m", F.transform("m", lambda v: v * F.signum(top)))
+
+
+def _made(models: dict[int, np.ndarray], name: str) -> str:
+    rows = ", ".join(f"({i}, {k}, {v:.17g}::DOUBLE)" for i, m in models.items() for k, v in enumerate(np.ravel(m)))
+    return f"SELECT {name}, k, round(v, 4) AS v FROM (VALUES {rows}) t({name}, k, v)"
+
 
-    return _per_pair(spark, sf, run, "img_b int, inliers int, worst double")
+def _relative(i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pose of camera i in the frame of the first one."""
+    (r0, t0), (r, t) = true_pose(0), true_pose(i)
+    return r @ r0.T, t - r @ r0.T @ t0
 
 
-@query(None, ints="img_b", reals="worst third")
+def _essential(i: int) -> np.ndarray:
+    r, (a, b, c) = _relative(i)
+    e = np.array([[0, -c, b], [c, 0, -a], [-b, a, 0]]) @ r
+    e = e / np.linalg.norm(e)
+    return e * np.sign(e.ravel()[np.abs(e).round(6).argmax()])
+
+
+_OTHERS = range(1, CAMERAS)
+_E_SQL = _made({i: _essential(i) for i in _OTHERS}, "img_b")
+
+
+@query(f"SELECT m.*, n FROM ({_E_SQL}) m, (SELECT count(*) AS n FROM part)", ints="img_b k n", reals="v")
+def m_E(spark, sf):
+    """All 256 samples; every match of the scene is an inlier."""
+    found = C.essentials(*_pairs(spark, sf))
+    return _values(_unsigned(found), "img_b").join(found.select(F.element_at(F.split("g", ":"), -1).cast("int").alias("img_b"), F.col("inliers").alias("n")), "img_b")
+
+
+@query(_E_SQL, ints="img_b k", reals="v")
 def m_8pt(spark, sf):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        xa, xb = rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy()
-        e = G.eight_point(xa[:20], xb[:20])
-        return pd.DataFrame({"img_b": rows["img_b"].iloc[:1], "worst": [float(G.sampson(e, xa, xb).max())], "third": [float(np.linalg.svd(e)[1][2])]})
+    """From all matches at once, as sums of moments."""
+    return _values(_unsigned(C.eight_points(_pairs(spark, sf)[1])), "img_b")
 
-    return _per_pair(spark, sf, run, "img_b int, worst double, third double")
 
+def _poses_sql(scale: float | None = None, of=range(CAMERAS), relative: bool = False, name: str = "image_id") -> str:
+    """r and t of each camera; t of unit length, or divided by ``scale``."""
+    out = {}
+    for i in of:
+        r, t = _relative(i) if relative else true_pose(i)
+        out[i] = np.r_[r.ravel(), t / (scale or np.linalg.norm(t))]
+    return _made(out, name)
 
-@query("SELECT i AS img_b, true AS same FROM range(1, 5) g(i)", ints="img_b", other="same")
-def m_pose(spark, sf):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        xa, xb = rows[["xa", "ya"]].to_numpy(), rows[["xb", "yb"]].to_numpy()
-        r, t, _ = G.recover_pose(G.eight_point(xa, xb), xa, xb)
-        tr, tt = true_pose(int(rows["img_b"].iloc[0]))
-        return pd.DataFrame({"img_b": rows["img_b"].iloc[:1], "same": [bool(np.abs(r - tr).max() < 1e-3 and abs(t @ tt / np.linalg.norm(tt) - 1) < 1e-3)]})
 
-    return _per_pair(spark, sf, run, "img_b int, same boolean")
+@query(_poses_sql(of=_OTHERS, relative=True, name="img_b"), ints="img_b k", reals="v")
+def m_pose(spark, sf):
+    parts = _pairs(spark, sf)[1]
+    return _values(C.relative_poses(parts, C.eight_points(parts)), "img_b")
 
 
-@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
-def m_pnp(spark, sf):
+def _seen_points(spark, sf):
+    """Every camera's points with where it sees them, numbered and in blocks."""
     pts, _, seen, _ = scene(spark, sf)
     found = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v")).join(pts, "point_id")
-    want = spark.createDataFrame([(k, r.ravel().tolist(), t.tolist()) for k in range(CAMERAS) for r, t in [true_pose(k)]], "image_id int, rr array<double>, tt array<double>")
-    near = lambda a, b, n: F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.abs(F.get(a, i) - F.get(b, i)) < 1e-3)
-    return sfm.resect(found).join(want, "image_id").select("image_id", (near("r", "rr", 9) & near("t", "tt", 3)).alias("same"))
+    rows = C.numbered(found, ["image_id"], ["image_id", "point_id"], C.SIX)
+    return found, rows, C.blocks(rows, C.SIX)
+
+
+def _flat(poses):
+    return poses.select("image_id", F.concat("r", "t").alias("m"))
 
 
-@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
+@query(_poses_sql(1.0), ints="image_id k", reals="v")
+def m_pnp(spark, sf):
+    """All 1,024 samples of every camera."""
+    return _values(_flat(sfm.resect(_seen_points(spark, sf)[0])), "image_id", F.col("image_id").cast("string"))
+
+
+@query(_poses_sql(1.0), ints="image_id k", reals="v")
 def m_epnp(spark, sf):
-    pts, _, seen, _ = scene(spark, sf)
-    found = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v")).join(pts, "point_id")
+    return _values(C.pose_of_all(_seen_points(spark, sf)[2]), "image_id")
+
+
+_OFF = f"SELECT i, x + 0.01::DOUBLE * (i % 3) AS x, y - 0.01::DOUBLE * (i % 5) AS y, z, x AS ox, y AS oy FROM ({_SCENE})"
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r, t = G.epnp(rows[["u", "v"]].to_numpy(), rows[["x", "y", "z"]].to_numpy())
-        tr, tt = true_pose(int(rows["image_id"].iloc[0]))
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[:1], "same": [bool(np.abs(r - tr).max() < 1e-3 and np.abs(t - tt).max() < 1e-3)]})
+def _full_cameras_sql() -> str:
+    rows = [", ".join(f"{v:.17g}::DOUBLE" for v in (*r.ravel(), *t)) for r, t in map(true_pose, range(CAMERAS))]
+    return "(VALUES " + ", ".join(f"({r})" for r in rows) + ") c(" + ", ".join(f"r{i}" for i in range(9)) + ", t0, t1, t2)"
 
-    return found.groupBy("image_id").applyInPandas(run, "image_id int, same boolean")
 
+_AT = lambda i, p: f"(r{3 * i} * {p}x + r{3 * i + 1} * {p}y + r{3 * i + 2} * z + t{i})"
+_RMS = "sqrt(avg((" + " + ".join(f"({_AT(i, '')} / {_AT(2, '')} - {_AT(i, 'o')} / {_AT(2, 'o')}) ** 2" for i in (0, 1)) + ") / 2))"
 
-@query(None, ints="step", reals="rms")
+
+@query(f"SELECT {_RMS} AS rms_first, 0.0 AS rms_last FROM ({_OFF}), {_full_cameras_sql()}", reals="rms_first rms_last")
 def m_ba(spark, sf):
+    """Until it settles; exact observations leave no error."""
     pts, poses, seen, _ = scene(spark, sf)
     i = F.col("point_id")
     off = pts.select("point_id", (F.col("x") + 0.01 * (i % 3)).alias("x"), (F.col("y") - 0.01 * (i % 5)).alias("y"), "z")
     obs = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v"))
-    _, _, history = sfm.bundle_adjust(poses, off, obs, 4)
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(history)], "step int, rms double")
+    _, _, history = sfm.bundle_adjust(poses, off, obs)
+    return spark.createDataFrame([(float(history[0]), float(history[-1]))], "rms_first double, rms_last double").withColumn("rms_last", F.round("rms_last", 5))
 
 
 _QUART = ", ".join(f"(SELECT list_sort(list({a}))[len(list({a})) // 4 + 1] AS q1{a}, list_sort(list({a}))[3 * len(list({a})) // 4 + 1] AS q3{a} FROM ({_TRI}))" for a in "xyz")
@@ -157,29 +214,16 @@ def s_gt(spark, sf):
     return sfm.reconstruct_known(coords, poses)
 
 
-def _as_made(spark, poses):
-    """image_id, same: whether poses are those of the scene, up to the frame of the first of them and its scale."""
-    found = {r["image_id"]: (np.reshape(r["r"], (3, 3)), np.array(r["t"])) for r in poses.collect()}  # cameras
-    own = min(found, key=lambda k: (np.abs(found[k][0] - np.eye(3)).max() + np.abs(found[k][1]).max(), k))
-    r0, t0 = true_pose(own)
-    want = {}
-    for k in found:
-        r, t = true_pose(k)
-        want[k] = r @ r0.T, t - r @ r0.T @ t0
-    scale = sum(found[k][1] @ want[k][1] for k in found) / max(sum(want[k][1] @ want[k][1] for k in found), 1e-12)
-    same = [(k, bool(np.abs(r - want[k][0]).max() < 1e-3 and np.abs(t - scale * want[k][1]).max() < 1e-3 * max(1.0, scale))) for k, (r, t) in found.items()]
-    return spark.createDataFrame(same, "image_id int, same boolean")
-
-
-@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
+@query("SELECT image_id, k, round(v, 3) AS v FROM (" + _poses_sql(1.0) + ")", ints="image_id k", reals="v")
 def s_hyb(spark, sf):
     _, poses, seen, coords = scene(spark, sf)
     found, _, _ = sfm.reconstruct_hybrid(coords, seen, poses.where("image_id < 2"))
-    return _as_made(spark, found)
+    return _values(_flat(found), "image_id", F.col("image_id").cast("string")).withColumn("v", F.round("v", 3))
 
 
-@query("SELECT i AS image_id, true AS same FROM range(5) g(i)", ints="image_id", other="same")
+@query("SELECT image_id, k, round(v, 3) AS v FROM (" + _poses_sql(float(np.linalg.norm(_relative(1)[1])), relative=True) + ")", ints="image_id k", reals="v")
 def s_recon(spark, sf):
+    """From matches alone, adjusted; the first camera is the frame and the distance to the second one the unit."""
     _, _, seen, coords = scene(spark, sf)
-    poses, _, _ = sfm.reconstruct(coords, seen, adjust=0)
-    return _as_made(spark, poses)
+    poses, _, _ = sfm.reconstruct(coords, seen)
+    return _values(_flat(poses), "image_id", F.col("image_id").cast("string")).withColumn("v", F.round("v", 3))

@@ -6,11 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from voxelloom.functions import splat as S
+from voxelloom.operators import consensus as C
 from voxelloom.operators import geometry as G
 from voxelloom.plans import fixtures as X
 from voxelloom.plans.cloud_plans import eigen_sql
 from voxelloom.plans.registry import query
-from voxelloom.plans.sfm_plans import scene, true_pose
+from voxelloom.plans.sfm_plans import CAMERAS, _flat, _poses_sql, _seen_points, _values, scene, true_pose
 
 
 def _each(spark, sf, f, out: str):
@@ -188,29 +190,19 @@ def f_pack(spark, sf):
     return X.features(spark, sf).select("feat_id", "d0", "d1").mapInPandas(run, "feat_id long, i int, word long")
 
 
-def _per_camera(spark, sf, f):
-    """image_id, same: whether ``f`` of a camera's pairs and its true pose gives that pose."""
-    pts, _, seen, _ = scene(spark, sf)
-    found = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v")).join(pts, "point_id")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tr, tt = true_pose(int(rows["image_id"].iloc[0]))
-        r, t = f(rows[["u", "v"]].to_numpy(), rows[["x", "y", "z"]].to_numpy(), tr, tt)
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[:1], "same": [bool(np.abs(r - tr).max() < 1e-4 and np.abs(t - tt).max() < 1e-4)]})
-
-    return found.groupBy("image_id").applyInPandas(run, "image_id int, same boolean")
-
-
-SAME = "SELECT i AS image_id, true AS same FROM range(5) g(i)"
-
-
-@query(SAME, ints="image_id", other="same")
+@query(_poses_sql(1.0), ints="image_id k", reals="v")
 def m_procr(spark, sf):
-    """Rigid fit of each camera's points to where it sees them."""
-    return _per_camera(spark, sf, lambda x2, x3, r, t: G.rigid_fit(x3, x3 @ r.T + t))
+    """Rigid fit of each camera's points to where it sees them, from sums alone."""
+    pts, poses, _, _ = scene(spark, sf)
+    r = [[F.col("r")[3 * i + j] for j in range(3)] for i in range(3)]
+    c = S.transform_point(r, [F.col("t")[i] for i in range(3)], [F.col(a) for a in "xyz"])
+    pairs = pts.crossJoin(F.broadcast(poses)).select("image_id", "x", "y", "z", *[v.alias(k) for v, k in zip(c, "uvw")])  # five poses
+    return _values(_flat(C.rigid_fits(pairs, ["image_id"])), "image_id", F.col("image_id").cast("string"))
 
 
-@query(SAME, ints="image_id", other="same")
+@query(_poses_sql(1.0), ints="image_id k", reals="v")
 def m_gn(spark, sf):
-    """Refinement of a pose that is a little off."""
-    return _per_camera(spark, sf, lambda x2, x3, r, t: G.refine_pose(G.rotation(np.array([0.02, -0.01, 0.03])) @ r, t + [0.05, -0.04, 0.03], x2, x3, 30))
+    """Refinement of poses that are a little off, one system per camera and round."""
+    turn, shift = G.rotation(np.array([0.02, -0.01, 0.03])), np.array([0.05, -0.04, 0.03])
+    off = [(str(i), 0, [*(turn @ r).ravel().tolist(), *(t + shift).tolist()]) for i in range(CAMERAS) for r, t in [true_pose(i)]]
+    return _values(C.refine(_seen_points(spark, sf)[2], spark.createDataFrame(off, C.POSES), rounds=30), "image_id")
