@@ -574,6 +574,67 @@ def test_urls(spark):
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
 
 
+RULES_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path"""
+
+
+def test_rules_against_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(RULES_SQL).fetchall()}
+    got = registry.op7_url_filter(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want) and len({r.rule for r in got}) >= 4
+    for r in got:
+        assert (r.host, r.path, r.rule) == want[r.page_id][:3]
+        assert r.verdict == want[r.page_id][3] if r.rule else r.verdict in ("allow", "block")
+
+
+def test_url_features_by_brute_force():
+    hosts, paths = ["ab.c", "", "Straße.de", "x" * 3000], ["/p/", "/only", "", "/y"]
+    row, slot, x = urlfilter.features(hosts, paths)
+
+    def slot_of(part, gram):
+        h = part + 1
+        for c in gram:
+            h = (h * int(urlfilter.POLY) + ord(c)) % 2**64
+        return (((h ^ (h >> 31)) * int(urlfilter.MIX)) % 2**64 >> 40) % urlfilter.DIM
+
+    for i in range(4):
+        want = {}
+        for part, text in enumerate((hosts[i], paths[i])):
+            t = f"^{text}$" if text else ""
+            for n in (3, 4, 5):
+                for a in range(len(t) - n + 1):
+                    k = slot_of(part, t[a : a + n])
+                    want[k] = want.get(k, 0) + 1
+        size = np.sqrt(sum(v * v for v in want.values()))
+        got = dict(zip(slot[row == i].tolist(), x[row == i].tolist()))
+        assert got.keys() == want.keys() and all(abs(got[k] - v / size) < 1e-12 for k, v in want.items())
+    assert len(urlfilter.features([], [])[0]) == 0
+
+
+def test_url_model_on_unseen_urls():
+    rows = [(*urlfilter._split(u), y) for u, y in urlfilter.SEED_URLS]
+    _, limit, (false, missed) = urlfilter.fitted(rows)
+    assert len(rows) == len(set(rows)) < 200 and limit >= 0.5
+    assert false <= urlfilter.FALSE_BLOCKS and missed < 0.35
+
+
+def test_url_edges(spark):
+    long = "https://quiet.org/" + "a" * 100_000
+    df = spark.createDataFrame([(1, long), (1, long), (None, "https://x.net/fr/"), (2, ""), (3, None)], "page_id long, url string")
+    for c in ("host", "path", "verdict", "rule", "p_block"):
+        df = df.withColumn(c, F.lit(7))
+    got = urlfilter.judge_urls(df).collect()
+    assert sorted((str(r.page_id), len(r.path), r.verdict) for r in got) == [("1", 100_001, got[0].verdict)] * 2 + [("2", 0, "allow"), ("3", 0, "allow"), ("None", 4, "block")]
+
+
 # 9: languages
 
 
