@@ -504,6 +504,15 @@ def test_trusted_patterns_discover_other_formats(spark):
     assert all(n == 0 for k, (n, _) in got.items() if k not in (100, 101))
 
 
+def test_instances_of_several_tokens(spark):
+    """Numbers written in groups seed their patterns as a whole and are found as a whole, without punctuation around them."""
+    known = [(i, f"call our office on +1 555 01{i:02d} 4567 before noon") for i in range(30)]
+    new = [(100, "call our office on 5550199456 before noon"), (101, "call our office on (555) 0199 456, before noon"), (102, "call our office on 17 before noon"), (103, "12 34 56 of them")]
+    got = {r.doc_id: (r.n_added, r.spans) for r in pii.find_pii(spark.createDataFrame(known + new, "doc_id long, text string")).collect()}
+    assert got[100] == (1, "phone:19:29") and got[101] == (1, "phone:20:33")
+    assert all(got[i] == (0, "phone:19:35") for i in range(30)) and got[102][0] == got[103][0] == 0
+
+
 def test_parts_are_linked_in_scope_only(spark):
     secret = "aB3dE5fG7hJ9kL1mN3pQ5"
     df = spark.createDataFrame([

@@ -1,7 +1,8 @@
 """Personal data: base patterns, and bootstrapped contextual extraction. SQL functions only.
 
 Base spans come from four patterns. The method then learns where identifiers stand: every token that
-has a digit or an at sign is an instance, and the words around it (two before; one before and one after,
+has a digit or an at sign is an instance, and so is every run of tokens without letters that are written as
+groups of digits, one blank apart; punctuation around it is none of it. The words around an instance (two before; one before and one after,
 whole words whatever their length) are its lexical patterns. Patterns and instances form a bipartite
 graph. Tokens that base spans cover are the first seeds of their kind. Each round scores the patterns, a
 pattern's confidence in a kind being the mean confidence of its distinct instances in it (discounted for
@@ -38,7 +39,10 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains(text, '+')"),
 }
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_GROUP = r"[^\s\p{L}0-9@]*+[0-9][^\s\p{L}@]*+(?!\S)"
+TOKEN = rf"(?<!\S)(?:{_GROUP}(?:\x20{_GROUP})*+|[^\s0-9@]*+[0-9@]\S*+)"
+#: What stands around an instance without being part of it.
+BEFORE, AFTER = r"^[(\[{<\"'`*]+", r"[)\]}>\"'`*.,;:!?]+$"
 MIN_SEEDS = 3
 TRUST = 0.6
 ROUNDS = 4
@@ -88,6 +92,8 @@ def _blocks() -> Column:
 def _instances(slim: DataFrame) -> DataFrame:
     """One row per identifier-like token: place, text, its patterns and the base kind that covers it, if any."""
     one = slim.select("rid", (F.size("base") > 0).alias("known"), F.explode("tok").alias("t")).select("rid", "known", "t.*")
+    outer = [F.length("m") - F.length(F.regexp_replace("m", p, "")) for p in (BEFORE, AFTER)]
+    one = one.withColumns({"s": F.col("s") + outer[0], "e": F.col("e") - outer[1], "m": F.regexp_replace(F.regexp_replace("m", BEFORE, ""), AFTER, "")})
     two = F.when(F.size("left") == 2, F.concat(F.lit("2 "), F.lower(F.array_join("left", " "))))
     near = F.when((F.size("left") > 0) | F.col("right").isNotNull(), F.concat(F.lit("1 "), F.concat_ws(" _ ", F.lower(F.try_element_at("left", F.lit(-1))), F.lower("right"))))
     patterns = F.filter(F.array(two, near), lambda p: F.length(p) > 5)
