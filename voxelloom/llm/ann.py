@@ -279,8 +279,8 @@ def _search(k: int, width: int):
     return run
 
 
-def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.96, key: str = "vec_id", vector: str = "embedding", parts: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score, measured_recall for the rows where ``is_query`` (a condition on vec_id) holds.
+def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding", parts: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, measured_recall, probes, parts for the rows where ``is_query`` (a condition on vec_id) holds.
 
     ``recall``: wanted mean share of true neighbours on the measured queries; more than asked of the
     whole, since they are few.
@@ -290,14 +290,14 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.96, key: s
     ok = written(valid_vectors(rows, key, vector), "ann-valid")
     n = ok.count()
     width = ok.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, measured_recall double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, measured_recall double, probes int, parts int")
     if width is None:
         return empty
     width = width["w"]
     ok = ok.where(F.size("v") == width)
     by_hash = ok.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id")
     x, _ = _matrix(by_hash.limit(SAMPLE).toArrow()["v"].combine_chunks(), width)
-    wanted = parts or 2 ** max(2, round(np.log2(max(n, 1) ** 0.5 / ROOT)))
+    wanted = parts or 2 ** max(4, round(np.log2(max(n, 1) ** 0.5 / ROOT)))
     router = Router(fit_cut(x, min(wanted, CUT)))
     if wanted > router.parts == CUT:
         router = _cut_again(ok, router, width, min(CUT, wanted // CUT))
@@ -324,7 +324,8 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.96, key: s
     routed = rows.mapInArrow(_route(sent, probes, width, blocks), _ROUTED)
     found = routed.groupBy("part", "block", "asked").applyInArrow(_search(k, width), "query_id long, vec_id long, score double")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(reached).alias("measured_recall"))
+    measured = [F.lit(reached).alias("measured_recall"), F.lit(probes).alias("probes"), F.lit(router.parts).alias("parts")]
+    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *measured)
 
 
 def _cut_again(ok: DataFrame, router: Router, width: int, parts: int) -> Router:
