@@ -36,11 +36,11 @@ SPACE = "▁"
 LITERAL = "\ud800"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Words whose forward weights a task keeps.
-CACHE = 80_000
+CACHE = 20_000
 #: Words that one vector pass draws for.
-CHUNK = 50_000
+CHUNK = 20_000
 #: New words that are filtered at once: their edges take most of the memory.
-SOME = 8_000
+SOME = 4_000
 
 
 class Pieces:
