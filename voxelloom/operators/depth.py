@@ -130,6 +130,11 @@ def presets(spark) -> DataFrame:
     return spark.createDataFrame(PRESETS, "preset string, subsample int, edge double, use_sr boolean, sr_scale int, sort_bits int")
 
 
+def with_preset(images: DataFrame) -> DataFrame:
+    """Images (with a column preset) and the settings of their presets."""
+    return images.join(F.broadcast(presets(images.sparkSession)), "preset")  # three rows
+
+
 def pending(images: DataFrame, done: DataFrame) -> DataFrame:
     """Images without a result."""
     return images.join(done, "image_id", "left_anti")

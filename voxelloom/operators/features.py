@@ -20,6 +20,11 @@ THRESHOLD, MARGIN, CELL, MOST = 25, 4, 8, 2000
 ARC = 9
 
 
+def circle(x: str, y: str) -> Column:
+    """i, x, y of the sixteen places around a pixel, exploded."""
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col(x) + dx).alias("x"), (F.col(y) + dy).alias("y")) for i, (dx, dy) in enumerate(CIRCLE)]))
+
+
 def _offsets(which) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(CIRCLE) if i in which])).alias("o")
 

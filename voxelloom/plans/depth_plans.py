@@ -165,9 +165,12 @@ def r_cas(spark, sf):
     return D.sharpen(_unit_gray(spark, sf), W, X.height(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('fast', 4, 0.0, false, 1, 16), ('standard', 2, 0.3, false, 1, 16), ('high', 1, 0.3, true, 2, 32)) t(preset, subsample, edge, use_sr, sr_scale, sort_bits)", ints="subsample sr_scale sort_bits", reals="edge", other="preset use_sr")
+@query("SELECT image_id, preset, subsample, edge, use_sr, sr_scale, sort_bits FROM (SELECT DISTINCT image_id FROM feat) JOIN (VALUES (0, 'fast', 4, 0.0, false, 1, 16), (1, 'standard', 2, 0.3, false, 1, 16), (2, 'high', 1, 0.3, true, 2, 32)) t(i, preset, subsample, edge, use_sr, sr_scale, sort_bits) ON image_id % 3 = i", ints="image_id subsample sr_scale sort_bits", reals="edge", other="preset use_sr")
 def n_preset(spark, sf):
-    return D.presets(spark)
+    """The settings of every image by the preset that it is processed with."""
+    names = F.array(*[F.lit(n) for n in ("fast", "standard", "high")])
+    chosen = X.images(spark, sf).withColumn("preset", F.get(names, F.col("image_id") % 3))
+    return D.with_preset(chosen)
 
 
 @query("SELECT image_id FROM (SELECT DISTINCT image_id FROM feat) WHERE image_id % 3 <> 0", ints="image_id")

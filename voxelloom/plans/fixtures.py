@@ -100,6 +100,21 @@ def inputs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Size of the picture fixture: so many events make one picture.
+TILE_W, TILE_H = 12, 8
+
+
+def tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """image_id, x, y, r, g, b of pictures of 12 x 8 events each; events that fill no whole picture are left out."""
+    e, n = F.col("event_id"), TILE_W * TILE_H
+    k = F.get_json_object("props", "$.k").cast("int")
+    t = table(spark, sf, "events").select(
+        F.expr(f"event_id div {n}").alias("image_id"), (e % n % TILE_W).cast("int").alias("x"), F.expr(f"cast(event_id % {n} div {TILE_W} as int)").alias("y"),
+        (F.col("user_id") % 256).cast("int").alias("r"), (k % 256).alias("g"), (e * 37 % 256).cast("int").alias("b"),
+    )
+    return t.join(t.groupBy("image_id").count().where(F.col("count") == n).select("image_id"), "image_id")
+
+
 def images(spark: SparkSession, sf: str) -> DataFrame:
     return features(spark, sf).select("image_id").distinct()
 
@@ -130,6 +145,7 @@ CTE = {
     "packed": "SELECT splat_id, x, y, z, " + ", ".join(f"least(greatest(0.5::DOUBLE + 0.28209479::DOUBLE * sh_dc_{c}, 0), 1) AS {c}" for c in "rgb") + ", exp(scale_x) AS scale_x, exp(scale_y) AS scale_y, exp(scale_z) AS scale_z, 1 / (1 + exp(-opacity_logit)) AS opacity FROM spl",
     "frames": "SELECT event_id AS frame_id, user_id AS session, ts, value / 20000.0 AS px, event_id % 17 / 1000.0::DOUBLE AS py, 0.0::DOUBLE AS pz, event_id % 5 / 1000.0::DOUBLE AS fx, 0.0::DOUBLE AS fy, 1.0::DOUBLE AS fz, event_id % 29 - 14.0::DOUBLE AS dx, value % 50 - 20.0::DOUBLE AS dy FROM events",
     "inputs": "SELECT event_id AS frame_id, user_id AS session, ts, string_split('" + KINDS + "', ' ')[event_id * 7 % 12 + 1] AS kind, event_id % 3 AS button, event_id % 7 = 0 AS shift, CAST(event_id * 37 % 640 AS DOUBLE) AS cx, CAST(event_id * 53 % 480 AS DOUBLE) AS cy, event_id * 31 % 700 - 350.0::DOUBLE AS delta, string_split('" + KEYS + "', ' ')[event_id % 8 + 1] AS key, 0.016::DOUBLE + event_id % 5 / 50.0::DOUBLE AS dt FROM events",
+    "tiles": f"SELECT * FROM (SELECT event_id // {TILE_W * TILE_H} AS image_id, event_id % {TILE_W * TILE_H} % {TILE_W} AS x, event_id % {TILE_W * TILE_H} // {TILE_W} AS y, user_id % 256 AS r, CAST(json_extract(props, '$.k') AS INT) % 256 AS g, event_id * 37 % 256 AS b, count(*) OVER (PARTITION BY event_id // {TILE_W * TILE_H}) AS n FROM events) WHERE n = {TILE_W * TILE_H}",
     "target": "SELECT i % 64 AS x, i // 64 AS y, avg(user_id % 256) / 255.0::DOUBLE AS r, avg(event_id * 11 % 256) / 255.0::DOUBLE AS g, avg(event_id * 37 % 256) / 255.0::DOUBLE AS b FROM (SELECT *, (event_id - 1) % 3072 AS i FROM events) GROUP BY i",
     # Candidates of descriptor matching, ranked from either side.
     "cand": "SELECT a.image_id AS img_a, b.image_id AS img_b, a.feat_id AS fa, b.feat_id AS fb, bit_count(xor(a.d0, b.d0)) + bit_count(xor(a.d1, b.d1)) AS dist FROM feat a JOIN feat b ON a.image_id < b.image_id",

@@ -7,6 +7,9 @@ import struct
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelloom.functions.splat import MEAN, STD
@@ -14,8 +17,14 @@ from voxelloom.operators import models as M
 from voxelloom.operators import scene as O
 from voxelloom.plans import fixtures as X
 from voxelloom.plans.registry import query
-from voxelloom.session import shared_dir
+from voxelloom.session import shared_dir, ship
+from voxelloom.sources import fetch as FE
 from voxelloom.sources import files as S
+from voxelloom.sources import scenes as SC
+
+def _address(path: str) -> str:
+    return path if ":" in path.split("/", 1)[0] else f"file://{path}"
+
 
 F32 = "x y z scale_x scale_y scale_z rot_w rot_x rot_y rot_z opacity_logit sh_dc_r sh_dc_g sh_dc_b"
 
@@ -57,27 +66,55 @@ def src_file(spark, sf):
     return S.load_scene(spark, f"{path}/part-00000.splat").agg(F.count("*").alias("n"))
 
 
-def _ascii_ply(spark, sf):
-    """A text PLY with an extra property, a byte colour and no rotation."""
-    path = _folder(spark, "ascii").removeprefix("file://")
-    os.makedirs(path)
-    with open(f"{path}/a.ply", "w") as f:
-        f.write("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float extra\nproperty double opacity\nend_header\n1 2 9 0.5\n3 4 9 oops\n5 6 9\n")
-    S.register(spark)
-    return spark.read.format("ply").load(path)
+def _text_ply(spark, sf):
+    """Text PLY files of ``part``, one per partition, with an extra property, a byte colour, no rotation, and some values that are no numbers."""
+    path, p = _folder(spark, "text"), X.part_points(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    odd = F.when(F.col("point_id") % 5 == 0, F.lit("oops")).otherwise(F.col("point_id").cast("double").cast("string"))
+    lines = p.select("point_id", F.concat_ws(" ", text("point_id"), text("x"), text("y"), F.lit("9"), (F.col("point_id") % 256).cast("string"), odd).alias("value"))
 
+    def files(frames):
+        rows = [v for pdf in frames for v in pdf["value"]]
+        head = f"ply\nformat ascii 1.0\ncomment made\nelement vertex {len(rows)}\nproperty double rot_0\nproperty float x\nproperty float y\nproperty float extra\nproperty uchar f_dc_0\nproperty double opacity\nend_header"
+        if rows:
+            yield pd.DataFrame({"value": [*head.split("\n"), *rows, "more after the last vertex"]})
 
-@query("SELECT * FROM (VALUES (0, 1.0, 2.0, 0.5, 0.0), (1, 3.0, 4.0, 0.0, 0.0), (2, 5.0, 6.0, 0.0, 0.0)) t(splat_id, x, y, opacity_logit, rot_w)", ints="splat_id", reals="x y opacity_logit rot_w")
+    lines.repartition(3, "point_id").select("value").mapInPandas(files, "value string").write.text(path)
+    return path
+
+
+@query("SELECT CAST(CAST(point_id AS FLOAT) AS DOUBLE) AS rot_w, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST((point_id % 256) / 255.0 AS FLOAT) AS sh_dc_r, CASE WHEN point_id % 5 = 0 THEN 0 ELSE point_id END AS opacity_logit, 0 AS z FROM ppts", reals="rot_w x y sh_dc_r opacity_logit z")
 def src_ply_ascii(spark, sf):
-    return _ascii_ply(spark, sf)
+    return SC.text_scene(spark, _text_ply(spark, sf))
+
 
+_KINDS = ("float x", "float y", "uchar red", "double opacity", "short label")
 
-@query("SELECT * FROM (VALUES ('x', 'f4', 0), ('y', 'f4', 4), ('opacity', 'f8', 8)) t(name, kind, start)", ints="start", other="name kind")
+
+def _header_text():
+    """A binary header for each row of ``part``: as many vertices as its key, and its first properties by size."""
+    n = (F.col("p_size") % 5 + 1).cast("int")
+    props = F.transform(F.slice(F.array(*[F.lit(k) for k in _KINDS]), F.lit(1), n), lambda k: F.concat(F.lit("property "), k))
+    lines = [F.lit("ply"), F.lit("format binary_little_endian 1.0"), F.concat(F.lit("element vertex "), F.col("p_partkey").cast("string")), props, F.lit("end_header"), F.lit("")]
+    return F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("\r\n", *lines)).otherwise(F.concat_ws("\n", *lines))
+
+
+@query(
+    "SELECT p_partkey AS id, p_partkey AS n, p_size % 5 + 1 AS props, [4, 8, 9, 17, 19][p_size % 5 + 1] AS stride, "
+    "59 + length(CAST(p_partkey AS VARCHAR)) + [16, 32, 50, 73, 93][p_size % 5 + 1] + (p_size % 5 + 5) * (CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END) AS start FROM part",
+    ints="id n props stride start",
+)
 def src_ply_hdr(spark, sf):
+    from voxelloom.session import table
     from voxelloom.sources.ply import Header
 
-    h = Header(b"ply\r\nformat binary_little_endian 1.0\r\nelement vertex 7\r\nproperty float x\r\nproperty float y\r\nproperty double opacity\r\nend_header\r\n")
-    return spark.createDataFrame([(n, t.lstrip("<"), h.dtype.fields[n][1]) for n, t in h.props], "name string, kind string, start int")
+    def run(frames):
+        for pdf in frames:
+            hs = [Header(t.encode()) for t in pdf["head"]]
+            yield pd.DataFrame({"id": pdf["p_partkey"], "n": [h.count for h in hs], "props": [len(h.props) for h in hs], "stride": [h.dtype.itemsize for h in hs], "start": [h.start for h in hs]})
+
+    heads = table(spark, sf, "part").select("p_partkey", _header_text().alias("head"))
+    return heads.mapInPandas(run, "id long, n long, props int, stride int, start int")
 
 
 @query("SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' || value ELSE CAST(value AS VARCHAR) END AS DOUBLE), 0) AS v FROM events", ints="event_id", reals="v")
@@ -88,9 +125,18 @@ def src_ply_val(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(text.try_cast("double"), F.lit(0.0)).alias("v"))
 
 
-@query("SELECT 'skull_' || lpad(CAST(i AS VARCHAR), 2, '0') || '.jpg' AS file_name FROM range(1, 76, 3) g(i) UNION ALL SELECT 'templeR' || lpad(CAST(i AS VARCHAR), 4, '0') || '.png' FROM range(1, 17) g(i)", other="file_name")
+_SETS = ", ".join(f"({i}, '{n}')" for i, n in enumerate((*S.SETS, "Other")))
+_NUMBERS = " UNION ALL ".join(f"SELECT '{k}' AS name, '{p}' || lpad(CAST(i AS VARCHAR), {d}, '0') || '{e}' AS file_name FROM range{s} g(i)" for k, (p, s, d, e) in (S.SETS | {"Other": ("other_", (1, 15, 1), 2, ".jpg")}).items())
+
+
+@query(f"SELECT file_name, n FROM (SELECT name, count(*) AS n FROM supplier JOIN (VALUES {_SETS}) s(i, name) ON s_suppkey % 6 = i GROUP BY name) JOIN ({_NUMBERS}) USING (name)", ints="n", other="file_name")
 def src_dataset(spark, sf):
-    return S.sample_names(spark, "Skull").unionByName(S.sample_names(spark, "TempleRing"))
+    """Files of the sets that suppliers are dealt to, with how many share them."""
+    from voxelloom.session import table
+
+    names = F.array(*[F.lit(n) for n in (*S.SETS, "Other")])
+    sets = table(spark, sf, "supplier").select(F.get(names, (F.col("s_suppkey") % 6).cast("int")).alias("set")).groupBy("set").agg(F.count("*").alias("n"))
+    return S.sample_lists(sets).join(sets, "set").select("file_name", "n")
 
 
 def _lines(spark, sf):
@@ -122,55 +168,137 @@ def j_gt(spark, sf):
     return a.join(b, "point_id").select("point_id", F.sqrt(d).alias("gap"))
 
 
-def write_png(path: str, width: int, height: int, rgb) -> None:
+def png(width: int, height: int, rgb: bytes) -> bytes:
     """A plain 8-bit RGB PNG."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = b"".join(b"\0" + bytes(v for x in range(width) for v in rgb(x, y)) for y in range(height))
-    with open(path, "wb") as f:
-        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    rows = b"".join(b"\0" + rgb[3 * width * y : 3 * width * (y + 1)] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
 
+def _files(spark, sf):
+    """A folder of the picture fixture's files, written where their rows are, and of one file that is no picture."""
+    path = _folder(spark, "images")
+    local = path.removeprefix("file://")
+    os.makedirs(local)
+    order = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b")))
+    rows = X.tiles(spark, sf).groupBy("image_id").agg(order.alias("p"))
 
-def _pictures(spark):
-    path = _folder(spark, "images").removeprefix("file://")
-    os.makedirs(path)
-    for i in range(2):
-        write_png(f"{path}/p{i}.png", 12, 8, lambda x, y, i=i: (x * 20, y * 30, 100 * i))
-    with open(f"{path}/bad.png", "wb") as f:
+    def save(frames):
+        for pdf in frames:
+            for i, p in zip(pdf["image_id"], pdf["p"]):
+                name, data = f"{local}/p{i}.png", png(X.TILE_W, X.TILE_H, bytes(v for q in p for v in (q["r"], q["g"], q["b"])))
+                with open(f"{name}.{os.getpid()}", "wb") as f:
+                    f.write(data)
+                os.replace(f"{name}.{os.getpid()}", name)  # an attempt that is run again does no harm
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    ship(spark)
+    if not rows.mapInPandas(save, "n long").agg(F.sum("n")).first()[0]:
+        raise ValueError("too few events for a picture")
+    with open(f"{local}/bad.png", "wb") as f:
         f.write(b"not a picture")
-    return S.images(spark, path)
+    return path
+
+
+def _numbered(images):
+    """Images under their fixture's number instead of their name's hash."""
+    return images.withColumn("image_id", F.regexp_extract("file_name", r"p(\d+)[^/]*$", 1).cast("long"))
 
 
-@query("SELECT x, y, count(*) AS n, x * 20 AS r, y * 30 AS g, 100 AS b FROM range(12) h(x) JOIN range(8) v(y) ON true JOIN range(2) i(k) ON true GROUP BY x, y", ints="x y n r g b")
+@query("SELECT * EXCLUDE (n) FROM tiles", ints="image_id x y r g b")
 def src_img(spark, sf):
-    p = S.pixels(_pictures(spark))
-    return p.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("r").alias("r"), F.max("g").alias("g"), F.max("b").alias("b"))
+    return S.pixels(_numbered(S.images(spark, _files(spark, sf))))
 
 
-@query("SELECT 'p' || i || '.png' AS file_name, 12 AS width, 8 AS height FROM range(2) g(i)", ints="width height", other="file_name")
+@query(f"SELECT DISTINCT 'p' || image_id || '.png' AS file_name, {X.TILE_W} AS width, {X.TILE_H} AS height FROM tiles", ints="width height", other="file_name")
 def src_import(spark, sf):
     """The file that is no picture is left out."""
-    return _pictures(spark).select(F.substring_index("file_name", "/", -1).alias("file_name"), "width", "height")
+    return S.images(spark, _files(spark, sf)).select(F.substring_index("file_name", "/", -1).alias("file_name"), "width", "height")
 
 
-_SCALED = "((({v} * {k}) / 255.0::DOUBLE) - {m}::DOUBLE) / {s}::DOUBLE"
-_SEEN = " + ".join(_SCALED.format(v=v, k=k, m=m, s=s) for v, k, m, s in zip(("sx", "sy", "i"), (20, 30, 100), MEAN, STD))
+@query("SELECT 'p' || image_id || '.png' AS file_name FROM (SELECT DISTINCT image_id FROM tiles) ORDER BY file_name LIMIT 20", other="file_name")
+def src_img_ui(spark, sf):
+    """What a person may pick: the first 20 files under the size limit, less the one that is no picture."""
+    files = S.images(spark, _files(spark, sf).rstrip("/") + "/p*.png", most_files=S.MAX_FILES)
+    return files.select(F.substring_index("file_name", "/", -1).alias("file_name"))
 
 
-@query(f"SELECT x, y, count(*) AS n, avg(({_SEEN}) / 3) AS d FROM (SELECT x, y, i, x * 16 // 12 * 12 // 16 AS sx, y * 16 // 8 * 8 // 16 AS sy FROM range(12) h(x) JOIN range(8) v(y) ON true JOIN range(2) g(i) ON true) GROUP BY x, y", ints="x y n", reals="d")
+@query(f"SELECT page_id, page_id % 7 < 5 AS found, CASE WHEN page_id % 7 = 5 THEN 'FileNotFoundError' WHEN page_id % 7 = 6 THEN 'not an address' END AS error, CASE WHEN page_id % 7 < 5 THEN {X.TILE_W} END AS width FROM pages", ints="page_id width", other="found error")
+def src_img_url(spark, sf):
+    """Every page's picture by its address; some are not there, some are no address."""
+    from voxelloom.session import table
+
+    folder, k = _address(_files(spark, sf)), F.col("page_id") % 7
+    url = F.when(k < 5, F.concat(F.lit(folder + "/p"), (F.col("page_id") % 3).cast("string"), F.lit(".png"))).when(k == 5, F.lit(folder + "/none.png")).otherwise(F.lit("mailto:someone"))
+    got = FE.fetched(table(spark, sf, "pages").select("page_id", url.alias("url")), tries=2, wait=0.01)
+    width = F.conv(F.hex(F.substring("content", 17, 4)), 16, 10).cast("long")
+    return got.select("page_id", F.col("content").isNotNull().alias("found"), "error", width.alias("width"))
+
+
+@query("SELECT CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z FROM spl", reals="x y z")
+def src_demo(spark, sf):
+    """A scene by its address: fetched, then read by the table function."""
+    path = _folder(spark, "demo")
+    S.save_scene(_float_splats(spark, sf).coalesce(1), path, "ply")
+    got = FE.fetched(spark.createDataFrame([(_address(f"{path}/part-00000.ply"),)], "url string"), most=S.MAX_SCENE)
+    return SC.parsed(got.select("content"), "content")
+
+
+_SCALED = "((({v}) / 255.0::DOUBLE) - {m}::DOUBLE) / {s}::DOUBLE"
+_SEEN = " + ".join(_SCALED.format(v=f"s.{v}", m=m, s=s) for v, m, s in zip("rgb", MEAN, STD))
+
+
+def _decoded(spark, sf):
+    return _numbered(S.images(spark, _files(spark, sf)))
+
+
+@query(f"SELECT t.image_id, t.x, t.y, ({_SEEN}) / 3 AS d FROM tiles t JOIN tiles s ON s.image_id = t.image_id AND s.x = t.x * 16 // {X.TILE_W} * {X.TILE_W} // 16 AND s.y = t.y * 16 // {X.TILE_H} * {X.TILE_H} // 16", ints="image_id x y", reals="d")
 def n_depth(spark, sf):
-    return M.estimate_depth(_pictures(spark), side=16).groupBy("x", "y").agg(F.count("*").alias("n"), F.avg("d").alias("d"))
+    return M.estimate_depth(_decoded(spark, sf), side=16)
 
 
-@query("SELECT x, y, count(*) AS n, x // 2 * 20 AS r, y // 2 * 30 AS g, 100 AS b FROM range(24) h(x) JOIN range(16) v(y) ON true JOIN range(2) i(k) ON true GROUP BY x, y", ints="x y n r g b")
+@query(f"SELECT image_id, x * 2 + i AS x, y * 2 + j AS y, r, g, b FROM tiles, range(2) h(i), range(2) v(j)", ints="image_id x y r g b")
 def n_sr(spark, sf):
-    return S.pixels(M.upscale(_pictures(spark))).groupBy("x", "y").agg(F.count("*").alias("n"), F.max("r").alias("r"), F.max("g").alias("g"), F.max("b").alias("b"))
+    return S.pixels(M.upscale(_decoded(spark, sf)))
+
+
+def _binaries(spark, sf, size: int = 50):
+    """file_id, content: splats of ``part`` packed into binaries, even ones headerless, odd ones PLY."""
+    from voxelloom.sources.ply import PROPERTIES
+    from voxelloom.sources.splat import encode
+
+    cols = F32.split()
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("splat_id")
+        k = t["file_id"][0].as_py()
+        if k % 2 == 0:
+            data = encode(t)
+        else:
+            rows = np.stack([t[c].to_numpy().astype("<f4") for c in cols], 1)
+            data = ("ply\nformat binary_little_endian 1.0\nelement vertex %d\n" % len(t) + "".join(f"property float {p}\n" for p in PROPERTIES) + "end_header\n").encode() + rows.tobytes()
+        return pa.table({"file_id": pa.array([k], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    s = _float_splats(spark, sf).withColumn("file_id", F.expr(f"splat_id div {size}"))
+    return s.groupBy("file_id").applyInArrow(pack, "file_id long, content binary")
+
+
+_BYTE = lambda v: f"least(greatest(round(({v}) * 255), 0), 255)"
+
+
+@query(
+    "SELECT splat_id // 50 AS file_id, row_number() OVER (PARTITION BY splat_id // 50 ORDER BY splat_id) - 1 AS splat_id, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, CAST(scale_x AS FLOAT) AS scale_x, "
+    + f"CASE WHEN splat_id // 50 % 2 = 0 THEN {_BYTE('0.5::DOUBLE + 0.28209479::DOUBLE * sh_dc_r')} ELSE round((0.5::DOUBLE + 0.28209479::DOUBLE * sh_dc_r) * 255) END AS red FROM spl",
+    ints="file_id splat_id red", reals="x y z scale_x",
+)
+def parse_splat(spark, sf):
+    """Binary columns, one with a header and one without, as rows of splats by a lateral join."""
+    rows = SC.parsed(_binaries(spark, sf), "content")
+    return rows.select("file_id", "splat_id", "x", "y", "z", "scale_x", F.round((0.5 + 0.28209479 * F.col("sh_dc_r").cast("double")) * 255).alias("red"))
 
 
 @query("SELECT count(*) * 24 AS bytes FROM spl", ints="bytes")
 def snk_pack24(spark, sf):
-    import pandas as pd
-    import pyarrow as pa
-
     from voxelloom.sources.splat import pack24
 
     def run(frames):

@@ -50,9 +50,12 @@ def f_score(spark, sf):
     return K.corners(X.blocky(spark, sf), *_size(spark, sf)).groupBy("score").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT * FROM (VALUES {_CIRCLE}) k(i, dx, dy)", ints="i dx dy")
+@query(f"SELECT k.i, count(*) AS n, sum(p.v) AS total FROM blocky c JOIN (VALUES {_CIRCLE}) k(i, dx, dy) ON true JOIN blocky p ON p.x = c.x + k.dx AND p.y = c.y + k.dy GROUP BY k.i", ints="i n total")
 def f_circle(spark, sf):
-    return spark.createDataFrame([(i, *d) for i, d in enumerate(K.CIRCLE)], "i int, dx int, dy int")
+    """What lies at each place of the circle around every pixel."""
+    g = X.blocky(spark, sf)
+    at = g.select("image_id", K.circle("x", "y").alias("k")).select("image_id", "k.*")
+    return at.join(g, ["image_id", "x", "y"]).groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 @query("SELECT m, list_bool_or(list_transform(range(16), lambda s: ((m + m * 65536) >> s) & 511 = 511)) AS arc FROM (SELECT event_id * 40503 % 65536 AS m FROM events)", ints="m", other="arc")
@@ -89,9 +92,16 @@ def f_brief(spark, sf):
     return d.select("feat_id", ones.alias("ones"), even.alias("even"))
 
 
-@query(None, ints="i x1 y1 x2 y2")
+@query(f"SELECT t.i, count(*) AS n, count(*) FILTER (WHERE p.v < q.v) AS less FROM blocky c JOIN (VALUES {_TABLE}) t(i, x1, y1, x2, y2) ON c.x % 10 = 0 AND c.y % 5 = 0 JOIN blocky p ON p.x = c.x + x1 AND p.y = c.y + y1 JOIN blocky q ON q.x = c.x + x2 AND q.y = c.y + y2 GROUP BY t.i", ints="i n less")
 def f_pairs(spark, sf):
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(_PAIRS)], "i int, x1 int, y1 int, x2 int, y2 int")
+    """How each of the 256 tests turns out over a grid of pixels that covers the image."""
+    g = X.blocky(spark, sf).select("image_id", "x", "y", "v")
+    tests = F.broadcast(spark.createDataFrame([(i, *p) for i, p in enumerate(_PAIRS)], "i int, x1 int, y1 int, x2 int, y2 int"))  # 256 rows
+    at = lambda k: g.select("image_id", F.col("x").alias(f"px{k}"), F.col("y").alias(f"py{k}"), F.col("v").alias(f"v{k}"))
+    c = g.where("x % 10 = 0 and y % 5 = 0").crossJoin(tests)
+    c = c.select("image_id", "i", *[(F.col(a) + F.col(f"{a}{k}")).alias(f"p{a}{k}") for k in (1, 2) for a in "xy"])
+    both = c.join(at(1), ["image_id", "px1", "py1"]).join(at(2), ["image_id", "px2", "py2"])
+    return both.groupBy("i").agg(F.count("*").alias("n"), F.count_if(F.col("v1") < F.col("v2")).alias("less"))
 
 
 @query(None, ints="image_id feat_id x y d0 d1 d2 d3")

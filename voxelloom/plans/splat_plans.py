@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from voxelloom.functions import camera as CAM
 from voxelloom.functions import splat as S
-from voxelloom.functions.camera import Camera, perspective
+from voxelloom.functions.camera import Camera
 from voxelloom.operators import raster as R
 from voxelloom.operators import scene as O
 from voxelloom.plans import fixtures as X
@@ -107,27 +108,51 @@ def fit_ctrl(spark, sf):
     return O.fit_controls(X.splats(spark, sf), VW, VH)
 
 
-def _matrix_rows(spark, m):
-    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "i int, a double, b double, c double, d double")
+def _frame_cameras(spark, sf):
+    """A camera for every frame event: where it is and looks, and its size and focal length by its number."""
+    e = F.col("frame_id")
+    return X.frames(spark, sf).withColumn("px", F.col("px") * F.sqrt(F.lit(2.0))).select("frame_id", *FR_POSE, (320 + e % 7 * 40).alias("w"), (240 + e % 5 * 30).alias("h"), (300.0 + e % 11 * 25).alias("focal"))
 
 
-@query("SELECT * FROM (VALUES (0, -1.0, 0.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0, 0.0), (2, 0.0, 0.0, -1.0, 2.0), (3, 0.0, 0.0, 0.0, 1.0)) t(i, a, b, c, d)", ints="i", reals="a b c d")
-def view_mtx(spark, sf):
-    import numpy as np
+FR_POSE = ("px", "py", "pz", "fx", "fy", "fz")
+_CAMS = "SELECT * REPLACE (px * sqrt(2) AS px), sqrt(fx * fx + fy * fy + fz * fz) AS len, 320 + frame_id % 7 * 40 AS w, 240 + frame_id % 5 * 30 AS h, 300.0::DOUBLE + frame_id % 11 * 25 AS focal FROM frames"
+#: Right is up x backward, up is backward x right; both for an upright camera, with backward = -forward / length.
+_AXES = f"SELECT *, b2 / rl AS r0, 0::DOUBLE AS r1, -b0 / rl AS r2 FROM (SELECT *, sqrt(b0 * b0 + b2 * b2) AS rl FROM (SELECT *, -fx / len AS b0, -fy / len AS b1, -fz / len AS b2 FROM ({_CAMS})))"
+_VIEW = f"SELECT frame_id, r0, r2, u0, u1, u2, b0, b1, b2, -(r0 * px + r2 * pz) AS t0, -(u0 * px + u1 * py + u2 * pz) AS t1, -(b0 * px + b1 * py + b2 * pz) AS t2 FROM (SELECT *, b1 * r2 AS u0, b2 * r0 - b0 * r2 AS u1, -b1 * r0 AS u2 FROM ({_AXES}))"
+
 
-    m = np.eye(4)
-    m[:3, :3], m[:3, 3] = Camera.default(64, 48, position=(0.0, 0.0, 2.0), forward=(0.0, 0.0, 1.0)).view()
-    return _matrix_rows(spark, m)
+@query(_VIEW, ints="frame_id", reals="r0 r2 u0 u1 u2 b0 b1 b2 t0 t1 t2")
+def view_mtx(spark, sf):
+    c = _frame_cameras(spark, sf)
+    r, t = CAM.view_columns([F.col(k) for k in FR_POSE[:3]], [F.col(k) for k in FR_POSE[3:]])
+    names = ("r0", "r1", "r2", "u0", "u1", "u2", "b0", "b1", "b2")
+    return c.select("frame_id", *[v.alias(k) for v, k in zip([x for row in r for x in row], names)], *[v.alias(f"t{i}") for i, v in enumerate(t)])
 
 
-@query("SELECT * FROM (VALUES (0, 2.4::DOUBLE, 0, 0, 0), (1, 0, 3.2::DOUBLE, 0, 0), (2, 0, 0, -1000.1::DOUBLE / 999.9::DOUBLE, -200.0::DOUBLE / 999.9::DOUBLE), (3, 0, 0, -1, 0)) t(i, a, b, c, d)", ints="i", reals="a b c d")
+@query(f"SELECT frame_id, 2 * focal / w AS a, 2 * focal / h AS b, 1 - 2 * (w / 2.5::DOUBLE) / w AS c, 2 * (h / 1.5::DOUBLE) / h - 1 AS d, -1000.1::DOUBLE / 999.9::DOUBLE AS e, -200.0::DOUBLE / 999.9::DOUBLE AS f FROM ({_CAMS})", ints="frame_id", reals="a b c d e f")
 def proj_mtx(spark, sf):
-    return _matrix_rows(spark, C.projection())
+    c = _frame_cameras(spark, sf)
+    m = CAM.projection_columns(F.col("w"), F.col("h"), F.col("focal"), F.col("w") / 2.5, F.col("h") / 1.5)
+    return c.select("frame_id", *[m[i][j].alias(k) for k, (i, j) in zip("abcdef", ((0, 0), (1, 1), (0, 2), (1, 2), (2, 2), (2, 3)))])
 
 
-@query("SELECT * FROM (VALUES (0, 1 / tan(0.5::DOUBLE) / 1.5, 0, 0, 0), (1, 0, 1 / tan(0.5::DOUBLE), 0, 0), (2, 0, 0, 100 / (0.1::DOUBLE - 100), 10 / (0.1::DOUBLE - 100)), (3, 0, 0, -1, 0)) t(i, a, b, c, d)", ints="i", reals="a b c d")
+@query(f"SELECT frame_id, 2 * focal / h / (w / h) AS a, 2 * focal / h AS b, 100 / (0.1::DOUBLE - 100) AS c, 10 / (0.1::DOUBLE - 100) AS d FROM ({_CAMS})", ints="frame_id", reals="a b c d")
 def proj_gpu(spark, sf):
-    return _matrix_rows(spark, perspective(1.0, 1.5, 0.1, 100.0))
+    c = _frame_cameras(spark, sf)
+    m = CAM.perspective_columns(2 * F.atan(F.col("h") / (2 * F.col("focal"))), F.col("w") / F.col("h"), 0.1, 100.0)
+    return c.select("frame_id", *[m[i][j].alias(k) for k, (i, j) in zip("abcd", ((0, 0), (1, 1), (2, 2), (2, 3)))])
+
+
+@query(
+    "SELECT frame_id, cos(a) / tan(pi() / 8) * 0.75::DOUBLE AS m00, cos(p) / tan(pi() / 8) AS m11, 0 AS m03, (100 * d - 1) / 99.99::DOUBLE AS m23, d AS m33 "
+    "FROM (SELECT frame_id, frame_id % 63 / 10.0::DOUBLE AS a, frame_id % 29 / 10.0::DOUBLE - 1.4 AS p, 1 + frame_id % 13 AS d FROM frames)",
+    ints="frame_id", reals="m00 m11 m03 m23 m33",
+)
+def orbit(spark, sf):
+    """A camera on a sphere for every frame; the last column is where the origin lands in clip space."""
+    e = F.col("frame_id")
+    m = CAM.orbit_columns(e % 63 / 10.0, e % 29 / 10.0 - 1.4, 1 + e % 13, F.lit(4 / 3))
+    return X.frames(spark, sf).select("frame_id", *[m[i][j].alias(f"m{i}{j}") for i, j in ((0, 0), (1, 1), (0, 3), (2, 3), (3, 3))])
 
 
 @query("SELECT 0 AS camera_id, 1.2::DOUBLE * greatest(w, h) AS fx, w / 2 AS cx, h / 2 AS cy, 3 AS pos_z, -1 AS fwd_z FROM size", ints="camera_id", reals="fx cx cy pos_z fwd_z")

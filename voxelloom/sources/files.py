@@ -21,12 +21,30 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SplatSource)
 
 
-def load_scene(spark: SparkSession, path: str) -> DataFrame:
-    """Splats of a .ply or .splat file, by its ending."""
+def _bytes_of(spark: SparkSession, path: str) -> int | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else None
+
+
+def load_scene(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Splats of a .ply or .splat file, by its ending; ``most`` bytes, such as ``MAX_SCENE`` for one that a viewer is to hold.
+
+    Text files are split by bytes; binary ones are read by range where the folder is mounted, else whole through Spark's readers.
+    """
+    from voxelloom.sources import scenes
+
     register(spark)
     kind = path.lower().rsplit(".", 1)[-1]
     if kind not in ("ply", "splat"):
         raise ValueError(f"unknown scene format: {path}")
+    size = _bytes_of(spark, path)
+    if most is not None and size is not None and size > most:
+        raise ValueError(f"{path}: {size} bytes, more than {most}")
+    if size is not None and kind == "ply" and scenes.header_of(spark, path).format == "ascii":
+        return scenes.text_scene(spark, path)
+    if "://" in path and not path.startswith("file:"):
+        return scenes.binary_scene(spark, path)
     return spark.read.format(kind).load(path)
 
 
@@ -35,9 +53,21 @@ def save_scene(splats: DataFrame, folder: str, kind: str = "ply") -> None:
     splats.write.format(kind).mode("overwrite").save(folder)
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """image_id (in order of names), file_name, width, height, n_channels, data. Unreadable files are skipped."""
-    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def images(spark: SparkSession, path: str, most_bytes: int | None = MAX_IMAGE, most_files: int | None = None) -> DataFrame:
+    """image_id (in order of names), file_name, width, height, n_channels, data. Unreadable files are skipped, and larger ones than ``most_bytes``.
+
+    ``most_files``: that many first names alone, such as ``MAX_FILES`` where a person picks them.
+    """
+    reader = spark.read.format("image").option("dropInvalid", True)
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")  # no content is read
+    if most_bytes is not None or most_files is not None:
+        few = listed.where(F.lit(True) if most_bytes is None else F.col("length") <= most_bytes)
+        if most_files is not None:
+            few = few.orderBy("path").limit(most_files)
+    raw = reader.load(path).select("image.*")
+    if most_bytes is not None or most_files is not None:
+        plain = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
+        raw = raw.join(few.select(plain(F.col("path")).alias("_path")), plain(F.col("origin")) == F.col("_path"), "left_semi")
     names = raw.select("origin").distinct().select("origin", F.xxhash64("origin").alias("image_id"))
     return raw.join(names, "origin").select("image_id", F.col("origin").alias("file_name"), "width", "height", F.col("nChannels").alias("n_channels"), "data")
 
@@ -69,6 +99,16 @@ def calibration(lines: DataFrame) -> DataFrame:
 SETS = {"Skull": ("skull_", (1, 76, 3), 2, ".jpg"), "Bathroom": ("bathroom_", (1, 36, 1), 2, ".jpg"), "TempleRing": ("templeR", (1, 17, 1), 4, ".png"), "DinoSparseRing": ("dinoSR", (1, 17, 1), 4, ".png"), "SouthBuilding": ("south_", (1, 23, 1), 2, ".jpg")}
 
 
+def sample_lists(names: DataFrame) -> DataFrame:
+    """set, file_name of every set in a table of names (column ``set``); an unknown set has fourteen numbered images."""
+    spark = names.sparkSession
+    known = spark.createDataFrame([(k, p, *s, d, e) for k, (p, s, d, e) in SETS.items()], "set string, prefix string, start int, stop int, step int, digits int, ending string")
+    j = names.select("set").distinct().join(F.broadcast(known), "set", "left")  # the known sets
+    own = j.select("set", F.coalesce("prefix", F.concat(F.lower("set"), F.lit("_"))).alias("prefix"), F.coalesce("digits", F.lit(2)).alias("digits"), F.coalesce("ending", F.lit(".jpg")).alias("ending"),
+                   F.explode(F.sequence(F.coalesce("start", F.lit(1)), F.coalesce("stop", F.lit(15)) - 1, F.coalesce("step", F.lit(1)))).alias("i"))
+    return own.select("set", F.concat("prefix", F.lpad(F.col("i").cast("string"), F.col("digits"), F.lit("0")), "ending").alias("file_name"))
+
+
 def sample_names(spark: SparkSession, name: str) -> DataFrame:
     """File names of a sample set; an unknown set has fourteen numbered images."""
     prefix, span, digits, ending = SETS.get(name, (name.lower() + "_", (1, 15, 1), 2, ".jpg"))

@@ -33,6 +33,7 @@ class Header:
             raise ValueError("not a PLY file: no end_header")
         stop = end + len(b"end_header")
         self.start = stop + (2 if head[stop : stop + 2] == b"\r\n" else 1)
+        self.lines = head[: self.start].count(b"\n")
         self.format, self.count, self.props, self.before = "ascii", 0, [], 0
         self.lines_before = 0
         element, pending = None, (0, 0)
