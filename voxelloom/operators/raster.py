@@ -83,7 +83,11 @@ def screen_box(projected: DataFrame, width: int, height: int) -> DataFrame:
 def splat_pixels(projected: DataFrame, width: int, height: int) -> DataFrame:
     """One row per splat and pixel that it colours: alpha of at least 1/255 within the falloff, at most 0.99."""
     b = screen_box(visible(projected, width, height), width, height).where("min_x <= max_x and min_y <= max_y")
-    b = b.withColumn("y", F.explode(F.sequence("min_y", "max_y"))).withColumn("x", F.explode(F.sequence("min_x", "max_x")))
+    return fragments(b.withColumn("y", F.explode(F.sequence("min_y", "max_y"))).withColumn("x", F.explode(F.sequence("min_x", "max_x"))))
+
+
+def fragments(b: DataFrame) -> DataFrame:
+    """What ellipses with a pixel (x, y) beside them colour there."""
     det = F.col("cov00") * F.col("cov11") - F.col("cov01") * F.col("cov01")
     dx, dy = F.col("x") + 0.5 - F.col("screen_x"), F.col("y") + 0.5 - F.col("screen_y")
     power = -0.5 * (F.col("cov11") * dx * dx - 2 * F.col("cov01") * dx * dy + F.col("cov00") * dy * dy) / det

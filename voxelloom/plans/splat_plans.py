@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from voxelloom.functions import camera as CAM
 from voxelloom.functions import splat as S
 from voxelloom.functions.camera import Camera
+from voxelloom.operators import loop as L
 from voxelloom.operators import raster as R
 from voxelloom.operators import scene as O
 from voxelloom.plans import fixtures as X
@@ -291,6 +293,38 @@ def w_alpha(spark, sf):
     return R.composite(_frag(spark, sf))
 
 
+_CHAIN = ("spl", "cov", "cov6", "proj", "rad", "vis", "box", "frag", "image")
+for _n in _CHAIN[1:]:  # the same picture of the changed scene
+    X.CTE[f"{_n}_b"] = re.sub(rf"\b(FROM|JOIN) ({'|'.join(_CHAIN)})\b", r"\1 \2_b", X.CTE[_n])
+X.CTE["spl_b"] = "SELECT * REPLACE (CASE WHEN splat_id % 37 = 0 THEN x + 0.3 ELSE x END AS x, CASE WHEN splat_id % 37 = 0 THEN sh_dc_r + 0.5 ELSE sh_dc_r END AS sh_dc_r) FROM spl WHERE splat_id % 53 <> 1"
+
+
+def _changes(spark, sf):
+    s = X.splats(spark, sf)
+    put = s.where("splat_id % 37 = 0 and splat_id % 53 <> 1").withColumns({"x": F.col("x") + 0.3, "sh_dc_r": F.col("sh_dc_r") + 0.5})
+    return s, put, s.where("splat_id % 53 = 1").select("splat_id")
+
+
+@query("SELECT * FROM image_b", ints="x y", reals="r g b a")
+def r_changed(spark, sf):
+    """The frame after a change, of which only dirty tiles were drawn again."""
+    s, put, gone = _changes(spark, sf)
+    loop = L.RenderLoop(C)
+    loop.show(s)
+    return loop.change(put, gone)
+
+
+@query("SELECT 0 AS version, count(*) AS lit, sum(r) AS r, sum(a) AS a FROM image UNION ALL SELECT 1, count(*), sum(r), sum(a) FROM image_b UNION ALL SELECT 2, count(*), sum(r), sum(a) FROM image_b", ints="version lit", reals="r a")
+def r_loop(spark, sf):
+    """Frames of a loop: nothing to show, a scene, a change, and no change."""
+    s, put, gone = _changes(spark, sf)
+    loop, out = L.RenderLoop(C), []
+    loop.show(s.limit(0))
+    for f in (lambda: loop.show(s), lambda: loop.change(put, gone), lambda: loop.look(C)):
+        out.append(f().agg(F.count("*").alias("lit"), F.round(F.sum("r"), 6).alias("r"), F.round(F.sum("a"), 6).alias("a")).first())
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(out)], "version int, lit long, r double, a double")
+
+
 @query("SELECT x, y, sum(alpha * t * r) AS r, sum(alpha * t * g) AS g, sum(alpha * t * b) AS b, 1 - min(t * (1 - alpha)) AS a FROM (SELECT *, coalesce(product(1 - alpha) OVER (PARTITION BY x, y ORDER BY depth, splat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS t FROM frag WHERE alpha >= 0.002) GROUP BY x, y", ints="x y", reals="r g b a")
 def w_blend(spark, sf):
     return R.blend_back_to_front(_frag(spark, sf))
