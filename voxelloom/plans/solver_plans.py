@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxelloom.functions import splat as S
 from voxelloom.operators import consensus as C
 from voxelloom.operators import geometry as G
+from voxelloom.operators import linalg as A
 from voxelloom.plans import fixtures as X
 from voxelloom.plans.cloud_plans import eigen_sql
 from voxelloom.plans.registry import query
@@ -33,6 +34,21 @@ def _matrices(p: np.ndarray) -> np.ndarray:
     return np.stack([np.stack(r, 1) for r in ((4 + x, y, one), (y, 5 + z, x), (one, x, 6 * one))], 1)
 
 
+def _symmetric() -> list:
+    x, y, z = (F.col(a) for a in "xyz")
+    one = F.lit(1.0)
+    return [[4 + x, y, one], [y, 5 + z, x], [one, x, 6 * one]]
+
+
+def _square() -> list:
+    x, y, z = (F.col(a) for a in "xyz")
+    return [[1 + x, y, z], [-y, F.lit(3.0), x], [F.lit(0.5), -z, 2 - y]]
+
+
+def _solution(df, at, names):
+    return df.select("point_id", *[F.get("s", F.lit(i)).alias(c) for i, c in zip(at, names.split())])
+
+
 _M = "SELECT point_id, x, y, z, 4 + x AS c_xx, y AS c_xy, 1::DOUBLE AS c_xz, 5 + z AS c_yy, x AS c_yz, 6::DOUBLE AS c_zz FROM ppts"
 _DET = "(c_xx * (c_yy * c_zz - c_yz * c_yz) - c_xy * (c_xy * c_zz - c_yz * c_xz) + c_xz * (c_xy * c_yz - c_yy * c_xz))"
 
@@ -50,7 +66,8 @@ SOLVED = {"ints": "point_id", "reals": "s0 s1 s2"}
 
 @query(f"SELECT point_id, {_cramer('x / 3', 'y / 3', 'z / 3')} FROM ({_M})", **SOLVED)
 def m_gauss(spark, sf):
-    return _each(spark, sf, lambda p: [G.solve(a, b / 3) for a, b in zip(_matrices(p), p)], "s0 s1 s2")
+    b = [F.col(a) / 3 for a in "xyz"]
+    return _solution(A.solved(X.part_points(spark, sf), A.augmented(_symmetric(), b), 3, "s"), range(3), "s0 s1 s2")
 
 
 def _six(p: np.ndarray) -> np.ndarray:
@@ -62,12 +79,16 @@ def _six(p: np.ndarray) -> np.ndarray:
 
 @query(f"SELECT point_id, s0, s1, s2, 2 * s0 AS s3, 2 * s2 AS s5 FROM (SELECT point_id, {_cramer('x / 3', 'y / 3', 'z / 3')} FROM ({_M}))", ints="point_id", reals="s0 s1 s2 s3 s5")
 def m_gauss6(spark, sf):
-    return _each(spark, sf, lambda p: [G.solve(a, np.r_[b, 2 * b] / 3)[[0, 1, 2, 3, 5]] for a, b in zip(_six(p), p)], "s0 s1 s2 s3 s5")
+    m, zero = _symmetric(), [F.lit(0.0)] * 3
+    six = [[*r, *zero] for r in m] + [[*zero, *r] for r in m]
+    b = [F.col(a) * k / 3 for k in (1, 2) for a in "xyz"]
+    return _solution(A.solved(X.part_points(spark, sf), A.augmented(six, b), 6, "s"), (0, 1, 2, 3, 5), "s0 s1 s2 s3 s5")
 
 
 @query(f"SELECT point_id, {_cramer('1::DOUBLE / 3', 'y / 3', '2::DOUBLE / 3')} FROM ({_M})", **SOLVED)
 def m_dense(spark, sf):
-    return _each(spark, sf, lambda p: [G.solve(a, np.array([1.0, b[1], 2.0]) / 3, 1e-15) for a, b in zip(_matrices(p), p)], "s0 s1 s2")
+    b = [F.lit(1 / 3), F.col("y") / 3, F.lit(2 / 3)]
+    return _solution(A.solved(X.part_points(spark, sf), A.augmented(_symmetric(), b), 3, "s", 1e-15), range(3), "s0 s1 s2")
 
 
 EIGEN = {"ints": "point_id", "reals": "e1 e2 e3"}
@@ -75,7 +96,7 @@ EIGEN = {"ints": "point_id", "reals": "e1 e2 e3"}
 
 @query(f"SELECT point_id, e1, e2, e3 FROM ({eigen_sql(_M)})", **EIGEN)
 def m_eig3(spark, sf):
-    return _each(spark, sf, lambda p: np.linalg.eigh(_matrices(p))[0][:, ::-1], "e1 e2 e3")
+    return A.eigenvalues3(X.part_points(spark, sf), _symmetric()).select("point_id", "e1", "e2", "e3")
 
 
 @query(f"SELECT point_id, e1 + e2 + e3 AS total, e1 AS most, e3 AS least FROM ({eigen_sql(_M)})", ints="point_id", reals="total most least")
@@ -97,7 +118,10 @@ def _general(p: np.ndarray) -> np.ndarray:
 @query(f"SELECT point_id, sqrt(e1) AS s0, sqrt(e2) AS s1, det / (sqrt(e1) * sqrt(e2)) AS s2 FROM ({eigen_sql(_GRAM)})", **SOLVED)
 def m_svd3(spark, sf):
     """Singular values of proper rotations: the last one has the sign of the determinant."""
-    return _each(spark, sf, lambda p: [G.svd3(a)[1] for a in _general(p)], "s0 s1 s2")
+    m = _square()
+    e = A.eigenvalues3(X.part_points(spark, sf), A.product(A.transposed(m), m))
+    s0, s1 = F.sqrt("e1"), F.sqrt("e2")
+    return e.select("point_id", s0.alias("s0"), s1.alias("s1"), (A.determinant3(m) / (s0 * s1)).alias("s2"))
 
 
 _CROSS = "SELECT point_id, abs(n0) / l AS v0, abs(n1) / l AS v1, abs(n2) / l AS v2 FROM (SELECT *, sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS l FROM (SELECT point_id, y * 1 - z * 2 AS n0, z * 1 - x * 1 AS n1, x * 2 - y * 1 AS n2 FROM ppts))"
@@ -107,15 +131,17 @@ NULL = {"ints": "point_id", "reals": "v0 v1 v2"}
 @query(_CROSS, **NULL)
 def m_null(spark, sf):
     """The direction (without its sign) at right angles to the point and to (1, 2, 1)."""
-    rows = lambda p: np.stack([p, np.tile([1.0, 2.0, 1.0], (len(p), 1))], 1)
-    return _each(spark, sf, lambda p: np.abs(G.null_vector(rows(p))), "v0 v1 v2")
+    n = A.cross([F.col(a) for a in "xyz"], [F.lit(v) for v in (1.0, 2.0, 1.0)])
+    return X.part_points(spark, sf).select("point_id", *[(F.abs(v) / F.sqrt(A.dot(n, n))).alias(f"v{i}") for i, v in enumerate(n)])
 
 
 @query(_CROSS, **NULL)
 def m_jac1(spark, sf):
     """The eigenvector of the smallest eigenvalue of a symmetric matrix of rank two."""
-    outer = lambda p: p[:, :, None] * p[:, None] + np.outer([1.0, 2.0, 1.0], [1.0, 2.0, 1.0])
-    return _each(spark, sf, lambda p: np.abs(np.linalg.eigh(outer(p))[1][..., 0]), "v0 v1 v2")
+    p, q = [F.col(a) for a in "xyz"], (1.0, 2.0, 1.0)
+    m = [[p[i] * p[j] + q[i] * q[j] for j in range(3)] for i in range(3)]
+    e = A.eigenvector3(A.eigenvalues3(X.part_points(spark, sf), m), m, "e3", "v")
+    return e.select("point_id", *[F.abs(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(3)])
 
 
 @query("SELECT CAST(x * 10 AS BIGINT) % 7 AS g, regr_slope(z, y) AS slope, regr_intercept(z, y) AS base FROM ppts GROUP BY 1", ints="g", reals="slope base")
@@ -161,12 +187,14 @@ def m_gs(spark, sf):
 @query("SELECT point_id, (1 + x) * (4 + x) + y * y + z AS m00, (1 + x) * y + y * (5 + z) + z * x AS m01, 0.5 - z * x + (2 - y) * 6 AS m22, 0.5::DOUBLE AS t02 FROM ppts", ints="point_id", reals="m00 m01 m22 t02")
 def mat_mul(spark, sf):
     """Products of two matrices, and an entry of the first one turned."""
-    return _each(spark, sf, lambda p: np.c_[(_general(p) @ _matrices(p)).reshape(-1, 9)[:, [0, 1, 8]], np.swapaxes(_general(p), 1, 2)[:, 0, 2]], "m00 m01 m22 t02")
+    m, t = A.product(_square(), _symmetric()), A.transposed(_square())
+    return X.part_points(spark, sf).select("point_id", m[0][0].alias("m00"), m[0][1].alias("m01"), m[2][2].alias("m22"), t[0][2].alias("t02"))
 
 
 @query("SELECT point_id, 1 + x AS t00, -y AS t01, 0.5 AS t02, y AS t10, z AS t20 FROM ppts", ints="point_id", reals="t00 t01 t02 t10 t20")
 def mat_t(spark, sf):
-    return _each(spark, sf, lambda p: np.swapaxes(_general(p), 1, 2).reshape(-1, 9)[:, [0, 1, 2, 3, 6]], "t00 t01 t02 t10 t20")
+    t = A.transposed(_square())
+    return X.part_points(spark, sf).select("point_id", *[t[i][j].alias(f"t{i}{j}") for i, j in ((0, 0), (0, 1), (0, 2), (1, 0), (2, 0))])
 
 
 @query("SELECT cx, cy, sqrt(2) / avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)) AS scale FROM ppts, (SELECT avg(x) AS cx, avg(y) AS cy FROM ppts) GROUP BY cx, cy", reals="cx cy scale")
