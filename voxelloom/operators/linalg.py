@@ -55,7 +55,7 @@ def _largest(k: int, n: int) -> Column:
 
 
 def eigenvalues3(rows: DataFrame, a: Matrix, names: tuple[str, str, str] = ("e1", "e2", "e3")) -> DataFrame:
-    """Adds the eigenvalues of a symmetric matrix, largest first: the trigonometric roots, each with a Newton step."""
+    """Adds the eigenvalues of a symmetric matrix, largest first: the trigonometric roots, each that is well apart with a Newton step."""
     q = (a[0][0] + a[1][1] + a[2][2]) / 3
     off = a[0][1] * a[0][1] + a[0][2] * a[0][2] + a[1][2] * a[1][2]
     out = rows.withColumns({"_q": q, "_off": off})
@@ -69,7 +69,7 @@ def eigenvalues3(rows: DataFrame, a: Matrix, names: tuple[str, str, str] = ("e1"
     def newton(n: str) -> Column:
         x = F.col(n)
         slope = 3 * x * x - 6 * F.col("_q") * x + F.col("_c")
-        return F.when(F.abs(slope) > 1e-9 * F.col("_p") * F.col("_p"), x - (((x - 3 * F.col("_q")) * x + F.col("_c")) * x - F.col("_d")) / slope).otherwise(x)
+        return F.when(F.abs(slope) > 1e-6 * (F.col("_q") * F.col("_q") + F.col("_p") * F.col("_p")), x - (((x - 3 * F.col("_q")) * x + F.col("_c")) * x - F.col("_d")) / slope).otherwise(x)
 
     return out.withColumns({n: newton(n) for n in names}).drop("_q", "_off", "_p", "_f", "_d", "_c")
 
