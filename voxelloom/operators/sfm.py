@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from voxelloom.functions import splat as S
 from voxelloom.operators import cloud, consensus, match
 from voxelloom.operators import geometry as G
-from voxelloom.session import written
+from voxelloom.session import discard, written
 
 POSE = "image_id int, r array<double>, t array<double>"
 MIN_ANGLE = 3.0
@@ -146,14 +146,69 @@ def resect(found: DataFrame, samples: int = 1024) -> DataFrame:
     return both.select("image_id", "r", "t", F.col("inliers").cast("int").alias("inliers"), det.alias("det"), far.alias("distance"), F.least("median", F.lit(1e6)).alias("median_error"))
 
 
-def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame, rounds: int = 15, damping: float = 10.0, diagonal: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
+#: Cameras up to which the reduced system is solved as one matrix (384 x 384); beyond, by conjugate gradients.
+DENSE = 64
+#: Numbers of a block: 6 x 6 of the pair; and of a camera's own: gradient, undamped 6 x 6, squared error.
+_OWN = 79
+
+
+def gradients_step(blocks: DataFrame, own: dict[int, np.ndarray], lam: float, held: int, tolerance: float = 1e-12) -> dict[int, np.ndarray]:
+    """Each camera's step from the table of blocks, by conjugate gradients preconditioned with the cameras' own blocks.
+
+    A product with the system is a pass over the blocks, which are only there for cameras that share points, and a sum of six numbers a
+    camera. The driver holds vectors of that size, never the matrix. ``held``: the camera that stays.
+    """
+    ids = [c for c in sorted(own) if c != held]
+    extra = {c: lam * np.diag(own[c][42:78].reshape(6, 6)) + 1e-12 for c in ids}
+    inverse = {c: np.linalg.pinv(own[c][:36].reshape(6, 6) + np.diag(extra[c])) for c in ids}
+
+    def times(x: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        def run(frames):
+            for pdf in frames:
+                pdf = pdf[pdf["a"].isin(x) & pdf["b"].isin(x)]
+                if len(pdf):
+                    m = np.stack(pdf["s"].to_numpy())[:, :36].reshape(-1, 6, 6)
+                    y = np.einsum("nij,nj->ni", m, np.stack([x[b] for b in pdf["b"]]))
+                    yield pd.DataFrame({"a": pdf["a"], **{f"y{i}": y[:, i] for i in range(6)}})
+
+        rows = blocks.mapInPandas(run, "a int, " + ", ".join(f"y{i} double" for i in range(6))).groupBy("a").agg(*[F.sum(f"y{i}") for i in range(6)]).collect()
+        found = {r[0]: np.array(r[1:]) for r in rows}
+        return {c: found.get(c, np.zeros(6)) + extra[c] * x[c] for c in ids}
+
+    dot = lambda u, v: sum(float(u[c] @ v[c]) for c in ids)
+    x, r = {c: np.zeros(6) for c in ids}, {c: -own[c][36:42] for c in ids}
+    z = {c: inverse[c] @ r[c] for c in ids}
+    p, rz = z, dot(r, z)
+    first = rz
+    for _ in range(6 * len(ids)):
+        if not rz > tolerance * tolerance * first:
+            break
+        q = times(p)
+        a = rz / dot(p, q)
+        x, r = {c: x[c] + a * p[c] for c in ids}, {c: r[c] - a * q[c] for c in ids}
+        z = {c: inverse[c] @ r[c] for c in ids}
+        rz, before = dot(r, z), rz
+        p = {c: z[c] + rz / before * p[c] for c in ids}
+    return x | {held: np.zeros(6)}
+
+
+def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame, rounds: int = 15, damping: float = 10.0, diagonal: bool = False, dense: int = DENSE) -> tuple[DataFrame, DataFrame, list[float]]:
     """Levenberg-Marquardt over poses, points and observations (image_id, point_id, u, v); the first pose is held.
 
     A point lies with its own observations in one row, and is eliminated there; batches of points add up their
-    6 x 6 blocks per pair of cameras before Spark does. Only that camera system comes to the driver. ``diagonal``
-    keeps blocks of single cameras alone. Rejected steps raise the damping and are tried again. ``POSE`` order:
-    angle-axis, t.
+    6 x 6 blocks per pair of cameras before Spark does. That table of blocks is solved at the driver for up to ``dense``
+    cameras, by :func:`gradients_step` beyond. ``diagonal`` keeps blocks of single cameras alone. Rejected steps
+    raise the damping and are tried again. ``POSE`` order: angle-axis, t.
     """
+    return _adjust(poses, points, observations, rounds, damping, diagonal, dense)
+
+
+def reduced_system(poses: DataFrame, points: DataFrame, observations: DataFrame, damping: float = 0.0) -> DataFrame:
+    """a, b, s: the 6 x 6 blocks (and for a camera itself what stands after them) of the system of cameras that is left when points are eliminated."""
+    return _adjust(poses, points, observations, -1, damping, False, 0)
+
+
+def _adjust(poses: DataFrame, points: DataFrame, observations: DataFrame, rounds: int, damping: float, diagonal: bool, dense: int):
     cams = {r["image_id"]: np.r_[G.angle_axis(np.reshape(r["r"], (3, 3))), r["t"]] for r in poses.collect()}
     ids = sorted(cams)
     seen = observations.where(F.col("image_id").isin(ids)).groupBy("point_id").agg(*[F.collect_list(c).alias(c) for c in ("image_id", "u", "v")])
@@ -220,43 +275,50 @@ def bundle_adjust(poses: DataFrame, points: DataFrame, observations: DataFrame,
 
     schema, history = base.schema, []
 
-    def system(df: DataFrame, now: dict, lam: float):
-        blocks = df.mapInPandas(eliminate(now, lam), "a int, b int, s array<double>")
-        rows = blocks.select("a", "b", F.posexplode("s").alias("i", "v")).groupBy("a", "b", "i").agg(F.sum("v").alias("v")).toPandas()  # cameras squared
-        n = 6 * len(ids)
-        s, g, h, total = np.zeros((n, n)), np.zeros(n), np.zeros(n), 0.0
-        for (a, b), part in rows.groupby(["a", "b"]):
-            x = np.zeros(79)
-            x[part["i"].to_numpy()] = part["v"].to_numpy()
-            i, k = 6 * ids.index(a), 6 * ids.index(b)
-            s[i : i + 6, k : k + 6] += x[:36].reshape(6, 6)
-            g[i : i + 6] += x[36:42]
-            h[i : i + 6] += np.diag(x[42:78].reshape(6, 6))
-            total += x[78]
-        return s, g, h, total
+    def system(df: DataFrame, now: dict, lam: float) -> tuple[DataFrame, dict[int, np.ndarray], float]:
+        """The blocks, each camera's own one, and the squared error."""
+        part = df.mapInPandas(eliminate(now, lam), "a int, b int, s array<double>")
+        sums = part.groupBy("a", "b").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(_OWN)]).alias("s"))
+        blocks = written(sums, "ba-blocks")
+        own = {r["a"]: np.array(r["s"]) for r in blocks.where("a = b").collect()}  # one row a camera
+        return blocks, own, sum(v[78] for v in own.values())
+
+    def steps(blocks: DataFrame, own: dict[int, np.ndarray], lam: float) -> dict[int, np.ndarray]:
+        zero = np.zeros(_OWN)
+        if len(ids) > dense:
+            return gradients_step(blocks, {c: own.get(c, zero) for c in ids}, lam, ids[0])
+        m, g = np.zeros((6 * len(ids), 6 * len(ids))), np.concatenate([own.get(c, zero)[36:42] for c in ids])
+        for r in blocks.collect():  # at most ``dense`` squared
+            i, k = 6 * ids.index(r["a"]), 6 * ids.index(r["b"])
+            m[i : i + 6, k : k + 6] += np.reshape(r["s"][:36], (6, 6))
+        m += np.diag(np.concatenate([lam * np.diag(own.get(c, zero)[42:78].reshape(6, 6)) for c in ids])) + 1e-12 * np.eye(len(m))
+        d = np.zeros(len(m))
+        d[6:] = -np.linalg.lstsq(m[6:, 6:], g[6:], rcond=None)[0]
+        return {c: d[6 * i : 6 * i + 6] for i, c in enumerate(ids)}
 
     lam, count = damping, base.agg(F.coalesce(F.sum(F.size("u")), F.lit(0))).first()[0]
-    s, g, h, total = system(base, cams, lam)
+    blocks, own, total = system(base, cams, lam)
+    if rounds < 0:
+        return blocks
     history.append(float(np.sqrt(total / max(2 * count, 1))))
     for _ in range(rounds):
-        m = s + lam * np.diag(h) + 1e-12 * np.eye(len(h))
-        d = np.zeros(len(h))
-        d[6:] = -np.linalg.lstsq(m[6:, 6:], g[6:], rcond=None)[0]
-        step = {c: d[6 * i : 6 * i + 6] for i, c in enumerate(ids)}
+        step = steps(blocks, own, lam)
         new = {c: cams[c] + step[c] for c in ids}
         moved = written(base.mapInPandas(move(cams, step, lam), schema), "ba")
         again = system(moved, new, max(lam / 3, 1e-6))
-        if np.isfinite(again[3]) and again[3] < total:
-            done = abs(history[-1] - np.sqrt(again[3] / max(2 * count, 1))) < 1e-7
-            base, cams, lam, (s, g, h, total) = moved, new, max(lam / 3, 1e-6), again
+        discard(blocks)
+        if np.isfinite(again[2]) and again[2] < total:
+            done = abs(history[-1] - np.sqrt(again[2] / max(2 * count, 1))) < 1e-7
+            base, cams, lam, (blocks, own, total) = moved, new, max(lam / 3, 1e-6), again
             history.append(float(np.sqrt(total / max(2 * count, 1))))
             if done:
                 break
         else:
+            discard(moved, again[0])
             lam *= 10
             if lam > 1e12:
                 break
-            s, g, h, total = system(base, cams, lam)
+            blocks, own, total = system(base, cams, lam)
     spark = poses.sparkSession
     out = spark.createDataFrame([(c, G.rotation(p[:3]).ravel().tolist(), p[3:].tolist()) for c, p in sorted(cams.items())], POSE)
     fresh = base.select("point_id", *[F.col(a).alias(f"n_{a}") for a in "xyz"])

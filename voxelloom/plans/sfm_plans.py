@@ -205,6 +205,38 @@ def m_ba(spark, sf):
     return spark.createDataFrame([(float(history[0]), float(history[-1]))], "rms_first double, rms_last double").withColumn("rms_last", F.round("rms_last", 5))
 
 
+def _schur_sql() -> str:
+    """Blocks of translations alone, from each point's derivatives in every camera: own less what goes through the point."""
+    h = "1 / (d * d) AS h00, 1 / (d * d) AS h11, -u / (d * d * d) AS h02, -w / (d * d * d) AS h12, (u * u + w * w) / (d * d * d * d) AS h22"
+    seen = f"SELECT p.i, c.image, c.*, {_AT(0, '')} AS u, {_AT(1, '')} AS w, {_AT(2, '')} AS d FROM ({_SCENE}) p, {_numbered_cameras_sql()}"
+    full = {(0, 0): "h00", (1, 1): "h11", (0, 2): "h02", (2, 0): "h02", (1, 2): "h12", (2, 1): "h12", (2, 2): "h22"}
+    w = ", ".join(f"{' + '.join(f'{full[i, k]} * r{3 * k + j}' for k in range(3) if (i, k) in full)} AS w{i}{j}" for i in range(3) for j in range(3))
+    rows = f"SELECT *, {w} FROM (SELECT *, {h} FROM ({seen}))"
+    v = ", ".join(f"sum({' + '.join(f'r{3 * k + i} * w{k}{j}' for k in range(3))}) AS v{i}{j}" for i in range(3) for j in range(i, 3))
+    n = "v11 * v22 - v12 * v12 AS n00, v02 * v12 - v01 * v22 AS n01, v01 * v12 - v02 * v11 AS n02, v00 * v22 - v02 * v02 AS n11, v01 * v02 - v00 * v12 AS n12, v00 * v11 - v01 * v01 AS n22"
+    points = f"SELECT *, v00 * n00 + v01 * n01 + v02 * n02 AS det FROM (SELECT *, {n} FROM (SELECT i, {v} FROM rows GROUP BY i))"
+    inv = lambda i, j: f"n{min(i, j)}{max(i, j)}"
+    through = lambda i, j: "(" + " + ".join(f"a.w{i}{k} * {inv(k, m)} * b.w{j}{m}" for k in range(3) for m in range(3)) + ") / det"
+    one = lambda i, j: f"CASE WHEN a.image = b.image THEN {'a.' + full[i, j] if (i, j) in full else '0'} ELSE 0 END"
+    parts = [f"SELECT a.image AS a, b.image AS b, {3 * i + j} AS k, sum({one(i, j)} - {through(i, j)}) AS v FROM rows a JOIN rows b ON a.i = b.i JOIN points p ON a.i = p.i GROUP BY ALL" for i in range(3) for j in range(3)]
+    return f"SELECT a, b, k, round(v / n, 5) AS v FROM (WITH rows AS MATERIALIZED ({rows}), points AS MATERIALIZED ({points}) {' UNION ALL '.join(parts)}), (SELECT count(*) AS n FROM part)"
+
+
+def _numbered_cameras_sql() -> str:
+    rows = [", ".join(f"{v:.17g}::DOUBLE" for v in (*r.ravel(), *t)) for r, t in map(true_pose, range(CAMERAS))]
+    return "(VALUES " + ", ".join(f"({i}, {r})" for i, r in enumerate(rows)) + ") c(image, " + ", ".join(f"r{i}" for i in range(9)) + ", t0, t1, t2)"
+
+
+@query(_schur_sql(), ints="a b k", reals="v")
+def agg_schur(spark, sf):
+    """The system of cameras that is left when points are eliminated: its blocks of translations, per point."""
+    pts, poses, seen, _ = scene(spark, sf)
+    obs = seen.select("image_id", F.col("feat_id").alias("point_id"), F.col("x").alias("u"), F.col("y").alias("v"))
+    blocks = sfm.reduced_system(poses, pts, obs)
+    places = F.array(*[F.struct(F.lit(3 * i + j).alias("k"), F.col("s")[6 * (i + 3) + j + 3].alias("v")) for i in range(3) for j in range(3)])
+    return blocks.select("a", "b", F.explode(places).alias("x")).select("a", "b", "x.k", F.round(F.col("x.v") / pts.count(), 5).alias("v"))
+
+
 _QUART = ", ".join(f"(SELECT list_sort(list({a}))[len(list({a})) // 4 + 1] AS q1{a}, list_sort(list({a}))[3 * len(list({a})) // 4 + 1] AS q3{a} FROM ({_TRI}))" for a in "xyz")
 
 
