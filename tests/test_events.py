@@ -114,3 +114,11 @@ def test_running_values_cross_blocks(spark):
         x = min(max(x + i % 7 - 3.5, -4.0), 4.0)
         want.append(x)
     assert [r.c for r in clamped] == want
+
+
+def test_two_candidates_a_task_are_exchanged(spark):
+    from voxelloom.operators import match
+
+    f = X.features(spark, SF)
+    plan = match.best_two(f, match.image_pairs(f.select("image_id").distinct()), X.WORDS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before and after the exchange

@@ -1,7 +1,7 @@
 """Frame events: the same logic over a batch, and as keyed state over a stream.
 
-frames: session, ts, px, py, pz, fx, fy, fz. Batch forms are windows; the greedy gate is a chain of successors followed by doubling;
-running averages, which depend on their own past, are folds per session (bounded by a session's frames) or stream state.
+frames: session, ts, px, py, pz, fx, fy, fz. Batch forms are windows, or running values over ranges where they add up a whole session; the
+greedy gate is a chain of successors followed by doubling.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelloom.session import discard, written
+from voxelloom.streaming.running import clamped_sum, ranged, running
 
 # Smoothing, hysteresis limits and the least time between sorts.
 KEEP, NEW = 0.7, 0.3
@@ -29,10 +30,19 @@ def velocity(frames: DataFrame) -> DataFrame:
 
 
 def smoothed(frames: DataFrame) -> DataFrame:
-    """session, n, ema: the smoothed velocity after each session's last frame."""
-    g = velocity(frames).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_id", "v"))).alias("a"))
-    ema = F.aggregate("a", F.lit(0.0), lambda s, x: KEEP * s + NEW * x["v"])
-    return g.select("session", F.size("a").alias("n"), ema.alias("ema"))
+    """session, n, ema: the smoothed velocity after each session's last frame.
+
+    The average is a sum of velocities by powers of ``KEEP`` in their distance from the last frame, so sessions are numbered and added up
+    by range, however long they are.
+    """
+    order = ["ts", "frame_id"]
+    e = ranged(frames.select("session", *order, *POSE), "session", order)
+    e = running(e, "session", order, last={"was": F.struct(*POSE)}, own=False)
+    v = F.coalesce(sum((F.col(c) - F.col(f"was.{c}")) * (F.col(c) - F.col(f"was.{c}")) for c in POSE), F.lit(0.0))
+    e = running(e.withColumn("v", v), "session", order, sums={"i": F.lit(1.0)}).select("session", "i", "v")
+    n = e.groupBy("session").agg(F.count("*").alias("n")).withColumnRenamed("session", "_s")
+    both = e.join(n, e["session"].eqNullSafe(F.col("_s")))
+    return both.groupBy("session").agg(F.first("n").alias("n"), F.sum(F.col("v") * NEW * F.pow(F.lit(KEEP), F.col("n") - F.col("i"))).alias("ema"))
 
 
 def half_resolution(moving: DataFrame) -> DataFrame:
@@ -122,7 +132,6 @@ def stream_rates(frames: DataFrame, late: str = "10 seconds") -> DataFrame:
 
 def controls(events: DataFrame) -> DataFrame:
     """Yaw and pitch after all look events (session, ts, frame_id, dx, dy) of a session: 0.001 a unit, pitch clamped."""
-    limit = 1.5707963267948966 - 0.01
-    g = events.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_id", "dx", "dy"))).alias("a"), F.sum("dx").alias("dx"))
-    pitch = F.aggregate("a", F.lit(0.0), lambda s, e: F.least(F.greatest(s - e["dy"] * 0.001, F.lit(-limit)), F.lit(limit)))
-    return g.select("session", (F.col("dx") * 0.001).alias("yaw"), pitch.alias("pitch"))
+    limit, order = 1.5707963267948966 - 0.01, ["ts", "frame_id"]
+    e = clamped_sum(ranged(events.select("session", *order, "dx", "dy"), "session", order), "session", order, "pitch", -F.col("dy") * 0.001, -limit, limit)
+    return e.groupBy("session").agg((F.sum("dx") * 0.001).alias("yaw"), F.max_by("pitch", F.struct(*order)).alias("pitch"))
