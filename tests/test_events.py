@@ -116,9 +116,9 @@ def test_running_values_cross_blocks(spark):
     assert [r.c for r in clamped] == want
 
 
-def test_two_candidates_a_task_are_exchanged(spark):
+def test_candidates_are_limited_below_the_window(spark):
     from voxelloom.operators import match
 
     f = X.features(spark, SF)
     plan = match.best_two(f, match.image_pairs(f.select("image_id").distinct()), X.WORDS)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2  # before and after the exchange
+    assert "WindowGroupLimit" in plan and "row_number(), 2" in plan

@@ -25,7 +25,7 @@ def best_two(features: DataFrame, pairs: DataFrame, words: list[str], reverse: b
     """img_a, img_b, feat, match, best, second: of each feature of one side, the nearest two of the other.
 
     Ties go to the smaller id. ``reverse`` starts from side b. Candidates are ranked by a window whose limit of two Spark
-    also applies within each task, so that two a task and feature are exchanged at most.
+    pushes below it, and applies within each task where candidates are exchanged.
     """
     own, other = ("img_b", "img_a") if reverse else ("img_a", "img_b")
     left = features.select(F.col("image_id").alias(own), F.col("feat_id").alias("feat"), *[F.col(w).alias(f"l_{w}") for w in words])
