@@ -104,7 +104,12 @@ def f_pairs(spark, sf):
     return both.groupBy("i").agg(F.count("*").alias("n"), F.count_if(F.col("v1") < F.col("v2")).alias("less"))
 
 
-@query(None, ints="image_id feat_id x y d0 d1 d2 d3")
+_WORD = lambda w: f"sum(CASE WHEN bit AND i // 64 = {w} THEN 1::HUGEINT << (i % 64)::INT ELSE 0 END)"
+_SIGNED = lambda c: f"coalesce(CASE WHEN {c} >= 9223372036854775808 THEN {c} - 18446744073709551616 ELSE {c} END, 0) AS {c}"
+_WORDS = f"SELECT feat_id, {', '.join(f'{_WORD(w)} AS d{w}' for w in range(4))} FROM ({_ASK}) GROUP BY feat_id"
+
+
+@query(f"SELECT 0 AS image_id, feat_id, x, y, {', '.join(_SIGNED(f'd{w}') for w in range(4))} FROM ({_TOP}) LEFT JOIN ({_WORDS}) USING (feat_id)", ints="image_id feat_id x y d0 d1 d2 d3")
 def f_detect(spark, sf):
     return K.detect(X.blocky(spark, sf), *_size(spark, sf))
 
