@@ -162,7 +162,7 @@ def test_pieces_round_trip(spark, docs, edges):
 
 def test_pieces_follow_the_lattice():
     s = pieces.Sampler(pieces.Pieces(pieces.MODEL, 1.0), 1)
-    logp = {int(i): v for _, ids, logs in s.p.levels for i, v in zip(ids, logs)}
+    logp = {int(i): v for _, ids, logs, *_ in s.p.levels for i, v in zip(ids, logs)}
 
     def cut(w):
         if not w:

@@ -36,11 +36,11 @@ SPACE = "▁"
 LITERAL = "\ud800"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Words whose forward weights a task keeps.
-CACHE = 20_000
+CACHE = 40_000
 #: Words that one vector pass draws for.
 CHUNK = 20_000
 #: New words that are filtered at once: their edges take most of the memory.
-SOME = 4_000
+SOME = 8_000
 
 
 class Pieces:
@@ -70,7 +70,7 @@ class Pieces:
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("a piece crosses a word or line end: the lattice does not split there")
         # For each length, hashes of the pieces' prefixes (sorted), the id of the piece that a prefix
-        # is, or -1, and its log-probability.
+        # is, or -1, and its log-probability; and which of many slots of hashes they fill.
         self.levels = []
         for length in range(1, max(map(len, self.ids), default=1) + 1):
             prefixes = {p[:length] for p in self.ids if len(p) >= length}
@@ -78,7 +78,10 @@ class Pieces:
             if len({h for h, _ in table}) < len(table):
                 raise ValueError("prefix hashes collide")
             i = np.array([i for _, i in table], np.int32)
-            self.levels.append((np.array([h for h, _ in table], np.uint64), i, np.array([logp.get(x, 0.0) for x in i.tolist()])))
+            hashes, bits = np.array([h for h, _ in table], np.uint64), len(table).bit_length() + 4
+            filled = np.zeros(1 << bits, bool)
+            filled[(hashes * SLOT) >> np.uint64(64 - bits)] = True
+            self.levels.append((hashes, i, np.array([logp.get(x, 0.0) for x in i.tolist()]), filled, np.uint64(64 - bits)))
 
         # Where each character stands in the first level; characters beyond the table share its last entry.
         first = self.levels[0][0]
@@ -108,6 +111,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 GAMMA = 0x9E3779B97F4A7C15
 ONE = 1 << 40
 POLY = np.uint64(0x100000001B3F)
+SLOT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def poly_hash(text: str) -> int:
@@ -117,6 +121,13 @@ def poly_hash(text: str) -> int:
     return h
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 class Sampler:
     """Draws segmentations; keeps the lattices of words seen, as flat arrays.
 
@@ -145,10 +156,14 @@ class Sampler:
         room = np.repeat(np.cumsum(size), size) - np.arange(len(cp))  # characters from here to the word's end
         live, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
         begin, end, token, weight = [], [], [], []
-        for length, (hashes, ids, logs) in enumerate(p.levels, 1):
-            go = room[live] >= length
-            live, h = live[go], h[go]
+        for length, (hashes, ids, logs, filled, shift) in enumerate(p.levels, 1):
+            if length > 1:
+                go = room[live] >= length
+                live, h = live[go], h[go]
             h = h * POLY + cp[live + (length - 1)] + np.uint64(1)
+            if length > 1:  # most prefixes that are none are told without a search
+                go = np.flatnonzero(filled[(h * SLOT) >> shift])
+                live, h = live[go], h[go]
             spot = p.single[np.minimum(cp, len(p.single) - 1)] if length == 1 else np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             go = hashes[spot] == h
             hit = go & (ids[spot] >= 0)
@@ -180,17 +195,18 @@ class Sampler:
         cuts = np.searchsorted(offset[by], np.arange(int(offset.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             e = by[a:b]
-            first = np.flatnonzero(np.r_[True, end[e][1:] != end[e][:-1]])
-            w = weight[e] + np.where(begin[e] > head[end[e]], alpha[begin[e] - 1], 0.0)
-            n = np.diff(np.r_[first, len(e)])
+            to, start = end[e], begin[e]
+            first = _firsts(to)
+            w = weight[e] + np.where(start > head[to], alpha[start - 1], 0.0)
+            n = np.diff(first, append=len(e))
             top = np.maximum.reduceat(w, first)
             x = np.exp(w - np.repeat(top, n))
             total = np.add.reduceat(x, first)
-            alpha[end[e][first]] = top + np.log(total)
+            alpha[to[first]] = top + np.log(total)
             prob[e] = x / np.repeat(total, n)
         # Cumulative posteriors per node, added up edge by edge so that a word's values are its own.
-        first = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
-        n = np.diff(np.r_[first, len(end)])
+        first = _firsts(end)
+        n = np.diff(first, append=len(end))
         cum = prob.copy()
         for k in range(1, int(n.max(initial=1))):
             e = first[n > k] + k
