@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import exact_dedup, langid, mixing, pieces, simhash
 from voxelloom.llm.registry import MIX_WEIGHTS
-from voxelloom.session import ship, table, written
+from voxelloom.session import discard, ship, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,5 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
