@@ -154,7 +154,8 @@ def neighbours8(values: DataFrame, width: int, height: int) -> DataFrame:
     # The pixel read by target (x, y) at offset o is clamp(x + dx, y + dy).
     want = values.select("x", "y").select("x", "y", F.explode(near).alias("o")).select(
         "x", "y", "o", F.least(F.greatest(F.col("x") + F.col("o.dx"), F.lit(0)), F.lit(width - 1)).alias("sx"), F.least(F.greatest(F.col("y") + F.col("o.dy"), F.lit(0)), F.lit(height - 1)).alias("sy"))
-    return want.join(values.withColumnsRenamed({"x": "sx", "y": "sy"}), ["sx", "sy"]).select("x", "y", "o.dx", "o.dy", *keys)
+    # Spark sizes ``want`` as if it were not exploded, and would broadcast nine rows a pixel of a small table.
+    return want.join(values.withColumnsRenamed({"x": "sx", "y": "sy"}).hint("merge"), ["sx", "sy"]).select("x", "y", "o.dx", "o.dy", *keys)
 
 
 def surround_stats(values: DataFrame, width: int, height: int) -> DataFrame:
