@@ -16,3 +16,27 @@ def test_neighbours_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan(near)
     at = {(r.x, r.y): r.v for r in spark.read.parquet(str(tmp_path / "v")).collect()}
     assert sorted((r.x, r.y, r.dx, r.dy, r.v) for r in near.collect()) == sorted((x, y, i, j, at[min(max(x + i, 0), 9), min(max(y + j, 0), 5)]) for x, y in at for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
+def test_matching_by_blocks(spark, monkeypatch):
+    import itertools
+    import random
+
+    from voxelloom.operators import match as M
+
+    monkeypatch.setattr(M, "BLOCK", 3)  # several blocks an image, and ties across them
+    rng = random.Random(4)
+    rows = [(i, f, rng.randrange(8), rng.choice((0, -1, 1 << 62))) for f, i in enumerate([0] * 11 + [1] * 7 + [4] + [6] * 9)]
+    rows.append(rows[3])  # a feature that is there twice
+    df = spark.createDataFrame(rows, "image_id int, feat_id long, d0 long, d1 long")
+    for reverse in (False, True):
+        best = M.best_two(df, M.image_pairs(df.select("image_id").distinct()), ["d0", "d1"], reverse)
+        assert "FlatMapGroupsInArrow" in plan(best).split("Window")[-1]  # reduced before anything is ranked
+        found = {}
+        for a, b in itertools.product(rows, rows):
+            if a[0] < b[0]:
+                d = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[2:], b[2:]))
+                own, other = (b, a) if reverse else (a, b)
+                found.setdefault((a[0], b[0], own[1]), []).append((d, other[1]))
+        want = {k: (min(v)[1], min(v)[0], sorted(v)[1][0] if len(v) > 1 else None) for k, v in found.items()}
+        assert {(r.img_a, r.img_b, r.feat): (r.match, r.best, r.second) for r in best.collect()} == want
