@@ -16,7 +16,7 @@ def pack10(splats: DataFrame) -> DataFrame:
     return splats.select(
         "splat_id", *XYZ,
         *[S.clamp(S.sh_to_rgb(f"sh_dc_{c}"), 0.0, 1.0).alias(c) for c in "rgb"],
-        *[F.exp(f"scale_{a}").alias(f"scale_{a}") for a in XYZ], S.sigmoid("opacity_logit").alias("opacity"),
+        *[S.exp(f"scale_{a}").alias(f"scale_{a}") for a in XYZ], S.sigmoid("opacity_logit").alias("opacity"),
     )
 
 
