@@ -61,3 +61,17 @@ def test_exponentials_and_logarithms_are_the_nearest_doubles(spark):
         assert all(near(r.l, Decimal(r.v).ln()) for r in rows if abs(r.l) > 0.25)
     assert [r.l for r in spark.sql("select 0D v union all select 1D").select(S.ln("v").alias("l")).collect()] == [None, 0.0]
     assert [r.e for r in spark.sql("select 40D v union all select null union all select -800D").select(S.exp("v").alias("e")).collect()] == [pytest.approx(math.exp(40)), None, 0.0]
+
+
+def test_clamped_sums_make_no_group_per_session(spark):
+    from voxelloom.streaming.running import clamped_sum
+
+    rows = [(s, i, i // 5, d) for s in (None, 1, 2) for i, d in enumerate([3.0, None, 4.0, -9.0, 1.0, 2.0, -1.0, 8.0, -2.0, None, 1.0, 1.5])]
+    e = spark.createDataFrame(rows, "session long, at long, block int, d double")
+    out = clamped_sum(e, "session", ["at"], "x", F.col("d"), -5.0, 5.0)
+    assert "InPandas" not in plan(out)  # each group costs milliseconds, and a session was one
+    want, x = {}, 0.0
+    for s, i, _, d in rows:
+        x = 0.0 if i == 0 else x
+        want[s, i] = x = min(max(x + (d or 0.0), -5.0), 5.0)
+    assert {(r.session, r.at): r.x for r in out.collect()} == want
