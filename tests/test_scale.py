@@ -75,3 +75,59 @@ def test_clamped_sums_make_no_group_per_session(spark):
         x = 0.0 if i == 0 else x
         want[s, i] = x = min(max(x + (d or 0.0), -5.0), 5.0)
     assert {(r.session, r.at): r.x for r in out.collect()} == want
+
+
+def test_poses_go_to_the_matches(spark):
+    """A join by image put all matches of one image in one task."""
+    from voxelloom.operators import sfm
+
+    one = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    poses = spark.createDataFrame([(0, one, [0.0, 0.0, 0.0]), (1, one, [-1.0, 0.0, 0.0])], sfm.POSE)
+    coords = spark.createDataFrame([(0, 1, 7, 8, 0.0, 0.0, -0.2, 0.0), (0, 1, 9, 9, 0.0, 0.0, 0.2, 0.0)], "img_a int, img_b int, feat_a long, feat_b long, xa double, ya double, xb double, yb double")
+    found = sfm.triangulate_pairs(coords, poses)
+    assert "SortMergeJoin" not in plan(found) and plan(found).count("Broadcast") >= 2
+    assert [(r.feat_a, r.feat_b, round(r.z, 9)) for r in found.collect()] == [(7, 8, 5.0)]  # the other one lies behind
+
+
+def test_order_statistics_hold_no_value_by_value(spark):
+    """Counting every distinct value first filled a task's memory with them."""
+    from voxelloom.operators import cloud
+
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 4001 / 7.0).alias("v"))
+    found = cloud.upper_median(df, ["g"], "v")
+    grouped = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line and "_v#" in line.split("]")[0]]
+    assert grouped and all("_upto#" in line.split("]")[0] for line in grouped)  # only values inside the ranges asked for
+    want = {g: sorted(r.v for r in df.where(F.col("g") == g).collect()) for g in range(3)}
+    assert {r.g: r.median for r in found.collect()} == {g: v[len(v) // 2] for g, v in want.items()}
+
+
+def test_models_meet_slices_of_a_group(spark):
+    """One group's blocks were joined by its name alone, so they could all fall to one task."""
+    import numpy as np
+
+    from voxelloom.operators import consensus as C
+
+    parts = spark.range(40).select(F.lit("a").alias("g"), F.col("id").alias("block"), *[F.array(F.col("id").cast("double")).alias(c) for c in C.TWO])
+    models = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [2.0])], C.POSES)
+    sums = C.over_blocks(parts, models, lambda xa, ya, xb, yb, m: m[:, 0] * xa.sum(), 2, C.TWO)
+    assert "slice" in plan(sums)
+    assert {r.i: r.v for r in sums.collect()} == {0: 780.0, 1: 1560.0}
+    rng = np.random.default_rng(2)
+    x, e = rng.normal(size=(4, 300)), rng.normal(size=(70, 9))
+    want = np.stack([C.G.sampson(m.reshape(3, 3), x[:2].T, x[2:].T) < 0.05 for m in e])
+    assert (C._sampson_inside(0.05)(*x, e) == want).all() and want.any() and not want.all()
+    p, w = rng.normal(size=(70, 12)), rng.normal(size=(5, 300))
+    want = np.stack([C.G.reprojection(m[:9].reshape(3, 3), m[9:], w[:2].T, w[2:].T) < 0.5 for m in p])
+    assert (C._pose_inside(0.5)(*w, p) == want).all() and want.any() and not want.all()
+
+
+def test_small_images_share_a_frame():
+    """A frame an image cost a batch on the way to the JVM each; a large one is cut."""
+    import numpy as np
+
+    from voxelloom.sources import files as S
+
+    parts = [{"image_id": i, "x": np.arange(n)} for i, n in enumerate([5] * 1000 + [S.ROWS * 2 + 3])]
+    frames = list(S.gathered(iter(parts)))
+    assert len(frames) <= 4 and max(map(len, frames)) < 2 * S.ROWS + 5
+    assert [tuple(r) for f in frames for r in f.to_numpy()] == [(p["image_id"], k) for p in parts for k in p["x"]]

@@ -21,21 +21,22 @@ RANGES = 4096
 def ranked_values(values: DataFrame, by: list[str], value: str, at: dict[str, Column]) -> DataFrame:
     """Order statistics: for each name, the value at a 0-based rank (an expression of ``n``) within ``by``.
 
-    Distinct values are counted (partial aggregation), then counts of ``RANGES`` ranges between the least
-    and the largest value tell the range of each rank; only the values inside those ranges are ordered.
+    Counts of ``RANGES`` ranges between the least and the largest value tell the range of each rank; only values inside those
+    ranges, counted where they are equal, are ordered. Values are read anew for each of the three, and never held by value.
     """
     same = lambda t: reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{t}_{c}")) for c in by])
     named = lambda t: [F.col(c).alias(f"_{t}_{c}") for c in by]
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
-    ends = counts.groupBy(*by).agg(F.sum("_m").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(*named("e"), "n", "_lo", "_hi")
+    every = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = every.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(*named("e"), "n", "_lo", "_hi")
     part = F.nanvl((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)).cast("double"), F.lit(0.0))
     bucket = F.when(F.col("_v") >= F.col("_hi"), RANGES - 1).otherwise(F.least(F.floor(part * RANGES), F.lit(RANGES - 1))).cast("int")
-    c = counts.join(ends, same("e")).select(*by, "_v", "_m", "n", bucket.alias("_b"))
+    c = every.join(ends, same("e")).select(*by, "_v", "n", bucket.alias("_b"))
     w = Window.partitionBy(*by).orderBy("_b")
-    sums = c.groupBy(*by, "_b").agg(F.sum("_m").alias("_m"), F.max("n").alias("n")).withColumn("_upto", F.sum("_m").over(w))
+    sums = c.groupBy(*by, "_b").agg(F.count("*").alias("_m"), F.max("n").alias("n")).withColumn("_upto", F.sum("_m").over(w))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in at.items()])).alias("_r")
     want = sums.select(*named("w"), F.col("_b").alias("_w"), "_upto", F.col("_m").alias("_in"), ranks).where("_r.rank >= _upto - _in and _r.rank < _upto")
-    inside = c.join(want, same("w") & (F.col("_b") == F.col("_w"))).withColumn("_seen", F.col("_upto") - F.col("_in") + F.sum("_m").over(Window.partitionBy(*by, "_r.name").orderBy("_v")))
+    held = c.join(want, same("w") & (F.col("_b") == F.col("_w"))).groupBy(*by, "_r", "_upto", "_in", "_v").agg(F.count("*").alias("_m"), F.max("n").alias("n"))
+    inside = held.withColumn("_seen", F.col("_upto") - F.col("_in") + F.sum("_m").over(Window.partitionBy(*by, "_r.name").orderBy("_v")))
     pick = [F.min(F.when((F.col("_r.name") == name) & (F.col("_seen") > F.col("_r.rank")), F.col("_v"))).alias(name) for name in at]
     return inside.groupBy(*by).agg(F.max("n").alias("n"), *pick)
 
