@@ -122,3 +122,59 @@ def test_candidates_are_limited_below_the_window(spark):
     f = X.features(spark, SF)
     plan = match.best_two(f, match.image_pairs(f.select("image_id").distinct()), X.WORDS)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "row_number(), 2" in plan
+
+
+def test_waiting_frames_are_blocks():
+    """Each waiting frame was a list entry of its own, and all were read again with each batch."""
+    import pandas as pd
+
+    calls = []
+
+    class State(list):
+        def appendValue(self, v):  # noqa: N802
+            calls.append("append")
+            self.append(v)
+
+        def appendList(self, v):  # noqa: N802
+            calls.extend(["append"] * len(v))
+            self.extend(v)
+
+        def get(self):
+            calls.append("get")
+            return iter(list(self)) if self else None
+
+        def update(self, v):
+            self[:] = v
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        def getValueState(self, *_):  # noqa: N802
+            state = State()
+            state.get = lambda: tuple(state) or None
+            state.exists = lambda: bool(state)
+            return state
+
+        def registerTimer(self, ms):  # noqa: N802
+            calls.append(ms)
+
+    class Mark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    f = keyed.Follower(1000)
+    f.init(Handle())
+    us = [4_000_000, 1_000_000, 9_000_000, 2_500_000]
+    frame = pd.DataFrame({"us": us, "frame_id": [4, 1, 9, 2], **{c: [float(u) / 1e6 for u in us] for c in keyed.POSE}})
+    list(f.handleInputRows((3,), iter([frame]), None))
+    assert calls == ["append", 1001]
+    (first,) = f.handleExpiredTimer((3,), Mark(5000), None)
+    assert first["frame_id"].tolist() == [1, 2, 4] and first["sorts"].tolist() == [True, True, True] and calls[-1] == 9001
+    assert np.allclose(first["v"], [0, 1.5**2 * len(keyed.POSE), 1.5**2 * len(keyed.POSE)])
+    assert list(f.handleExpiredTimer((3,), Mark(6000), None)) == []  # a timer of a batch that is gone
+    (last,) = f.handleExpiredTimer((3,), Mark(9900), None)
+    assert last["frame_id"].tolist() == [9] and np.allclose(last["v"], 25.0 * len(keyed.POSE))
