@@ -27,3 +27,30 @@ def test_seeds_are_gated_by_inliers_and_rotation(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n int, inliers int, det double")
     verdicts = df.orderBy("i").select(sfm.seed_verdict(F.col("n"), F.col("inliers"), F.col("det")).alias("v"))
     assert [v.v for v in verdicts.collect()] == ["few matches", "no matrix", "few inliers", "no pose", "no rotation", "no rotation", "ok"]
+
+
+def test_depth_model_sees_its_whole_size(spark):
+    """The query gave the model 16 x 16 pixels, and no range of depths came back."""
+    from voxelloom.operators import depth as D
+    from voxelloom.operators import models as M
+    from voxelloom.plans import registry
+
+    rng = np.random.default_rng(8)
+    raw = [(i, w, h, rng.integers(0, 256, (h, w, 3)).astype(np.uint8)) for i, (w, h) in enumerate([(12, 8), (700, 20)])] + [(2, 4, 4, np.zeros((4, 4, 3), np.uint8))]
+    df = spark.createDataFrame([(i, f"p{i}.png", w, h, 3, b.tobytes()) for i, w, h, b in raw], "image_id long, file_name string, width int, height int, n_channels int, data binary")
+
+    def halves(x):
+        assert x.shape == (1, 3, 518, 518)
+        return x.mean(axis=1)[:, :259, ::2]  # a model may return another size
+
+    got = M.estimate_depth(df, halves)
+    rows = {(r.image_id, r.x, r.y): r.d for r in got.collect()}
+    assert len(rows) == sum(w * h for _, w, h, _ in raw)
+    for i, w, h, b in raw:
+        for x, y in [(0, 0), (w - 1, h - 1), (w // 3, h // 2)]:
+            sy, sx = y * 259 // h * h // 518, x * 259 // w * 2 * w // 518
+            want = np.mean((b[sy, sx, ::-1] / 255 - np.array(M.MEAN)) / np.array(M.STD))
+            assert abs(rows[i, x, y] - want) < 1e-12
+    ranges = {r.image_id: (r.dmin, r.dmax) for r in got.select("image_id", "dmin", "dmax").distinct().collect()}
+    assert ranges == {r.image_id: (r.dmin, r.dmax) for r in D.min_max(got.select("image_id", "d")).collect()} and ranges[2] == (0.0, 1.0)
+    assert "518" in registry.oracle_sql()["n_depth"]
