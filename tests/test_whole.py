@@ -54,3 +54,40 @@ def test_depth_model_sees_its_whole_size(spark):
     ranges = {r.image_id: (r.dmin, r.dmax) for r in got.select("image_id", "dmin", "dmax").distinct().collect()}
     assert ranges == {r.image_id: (r.dmin, r.dmax) for r in D.min_max(got.select("image_id", "d")).collect()} and ranges[2] == (0.0, 1.0)
     assert "518" in registry.oracle_sql()["n_depth"]
+
+
+def test_import_detects_and_matches(spark, tmp_path):
+    """Files were decoded only: no type was looked at, no feature sought and no pair matched."""
+    from voxelloom.operators import features as K
+    from voxelloom.operators import imports as I
+    from voxelloom.plans.io_plans import png
+
+    rng = np.random.default_rng(6)
+    plane = rng.integers(0, 256, (60, 75, 3)).astype(np.uint8).repeat(2, 0).repeat(2, 1)
+    shown = {"a.png": plane[:104, :104], "b.PNG": plane[8:112, 16:120], "other.png": rng.integers(0, 256, (104, 104, 3)).astype(np.uint8), "wide.png": plane[:90, :150]}
+    for name, p in shown.items():
+        (tmp_path / name).write_bytes(png(p.shape[1], p.shape[0], p.tobytes()))
+    dot = png(1, 1, b"\0\0\0")
+    (tmp_path / "notes.txt").write_bytes(dot)  # a picture, but no image by its type
+    (tmp_path / "large.png").write_bytes(dot + bytes(200_000))
+    (tmp_path / "bad.png").write_bytes(b"not a picture")
+    images, features, matches = I.import_images(spark, str(tmp_path), most_bytes=200_000, most_side=110)
+    ids = {r.file_name.rsplit("/", 1)[-1]: (r.image_id, r.width, r.height) for r in images.collect()}
+    assert {k: v[1:] for k, v in ids.items()} == {k: (p.shape[1], p.shape[0]) for k, p in shown.items()}
+    numbers = {v[0]: k for k, v in ids.items()}
+    pairs = {tuple(sorted((numbers[r.img_a], numbers[r.img_b]))): r.n for r in matches.groupBy("img_a", "img_b").agg(F.count("*").alias("n")).collect()}
+    assert set(pairs) == {("a.png", "b.PNG")} and pairs["a.png", "b.PNG"] >= 8  # of one scale and overlapping
+    at = {(numbers[r.image_id], r.feat_id): (r.x, r.y) for r in features.collect()}
+    shifts = [np.subtract(at[numbers[r.img_a], r.feat_a], at[numbers[r.img_b], r.feat_b]) for r in matches.collect()]
+    sign = 1 if numbers[matches.first().img_a] == "a.png" else -1
+    assert np.mean([np.array_equal(sign * s, (16.0, 8.0)) for s in shifts]) > 0.9
+    # The wide one is sought in at most 110 pixels: its corners are those of nearest pixels, taken back to full size.
+    one = np.float32
+    w, h = int(one(150) * (one(110) / one(150))), int(one(90) * (one(110) / one(150)))
+    sx, sy = ((np.arange(n, dtype=one) * (one(size) / one(n))).astype(int) for n, size in ((w, 150), (h, 90)))
+    v = (shown["wide.png"][sy][:, sx].astype(int) @ np.array([77, 150, 29])) >> 8
+    gray = spark.createDataFrame([(0, x, y, int(v[y, x])) for y in range(h) for x in range(w)], "image_id long, x int, y int, v int")
+    want = {(r.feat_id, r.x * 150 / w, r.y * 90 / h, r.score, r.d0, r.d3) for r in K.detect(gray, w, h).collect()}
+    got = {(r.feat_id, r.x, r.y, r.score, r.d0, r.d3) for r in features.where(F.col("image_id") == ids["wide.png"][0]).collect()}
+    rounded = lambda rows: {(r[0], round(r[1], 9), round(r[2], 9), *r[3:]) for r in rows}
+    assert len(want) > 20 and rounded(got) == rounded(want)
